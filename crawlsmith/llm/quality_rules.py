@@ -121,11 +121,11 @@ def nearest_sql(rows: str, stats: str) -> str:
     return f"SELECT gid, min(bin) AS bin FROM ({upto}) u WHERE c >= {H_SHARE} * n GROUP BY gid"
 
 
-def step_sql(rows: str, stats: str) -> str:
+def step_sql(rows: str, stats: str, nearest: str) -> str:
     """One concentration step: the sums over the nearest share of each group."""
     xs = ", ".join(f"r.x{i} AS x{i}" for i in P)
     near = distance_sql(rows, stats, f"r.gid AS gid, {xs}")
-    kept = f"SELECT d.gid AS gid, {', '.join(f'd.x{i} AS x{i}' for i in P)} FROM ({near}) d JOIN ({nearest_sql(rows, stats)}) b ON d.gid = b.gid WHERE least(1000, CAST(floor(16 * d.d2) AS BIGINT)) <= b.bin"
+    kept = f"SELECT d.gid AS gid, {', '.join(f'd.x{i} AS x{i}' for i in P)} FROM ({near}) d JOIN {nearest} b ON d.gid = b.gid WHERE least(1000, CAST(floor(16 * d.d2) AS BIGINT)) <= b.bin"
     return sums_sql(f"({kept}) k")
 
 
@@ -136,7 +136,8 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialize(spark.sql(members_sql("{rows}", "{groups}"), rows=rows, groups=groups), "quality-members")
     stats = materialize(spark.sql(factor_sql(f"({sums_sql('{members}')}) s", 1.0), members=members), "quality-stats")
     for _ in range(STEPS):
-        sums = spark.sql(step_sql("{members}", "{stats}"), members=members, stats=stats)
+        nearest = materialize(spark.sql(nearest_sql("{members}", "{stats}"), members=members, stats=stats), "quality-nearest")
+        sums = spark.sql(step_sql("{members}", "{stats}", "{nearest}"), members=members, stats=stats, nearest=nearest)
         stats = materialize(spark.sql(factor_sql("{sums}", CONSISTENCY), sums=sums), "quality-stats")
     return groups, stats
 
@@ -168,7 +169,7 @@ def keep_clean(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same rules for DuckDB, words and windows unnested instead of folded within a row."""
     steps = [f"st0 AS MATERIALIZED ({factor_sql('(' + sums_sql('members') + ') s', 1.0)})"]
-    steps += [f"st{k} AS MATERIALIZED ({factor_sql('(' + step_sql('members', f'st{k - 1}') + ') s', CONSISTENCY)})" for k in range(1, STEPS + 1)]
+    steps += [f"st{k} AS MATERIALIZED ({factor_sql('(' + step_sql('members', f'st{k - 1}', '(' + nearest_sql('members', f'st{k - 1}') + ')') + ') s', CONSISTENCY)})" for k in range(1, STEPS + 1)]
     final = distance_sql("judged", f"st{STEPS}", f"r.doc_id AS doc_id, {', '.join(f'r.{c} AS {c}' for c in _BASE)}, r.base_failed AS base_failed").replace(f"JOIN st{STEPS}", f"LEFT JOIN st{STEPS}")
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),

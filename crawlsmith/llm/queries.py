@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlsmith.llm import fingerprints, mixing, quality_rules
-from crawlsmith.llm._store import read
+from crawlsmith.llm import bpe, fingerprints, minhash_dedup, mixing, quality_classifier, quality_rules, token_counts, token_store
+from crawlsmith.llm._store import fresh_path, read
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-shards")
+    manifest = token_store.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
+    return token_store.read(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.encode(docs, path, bpe.build_lexicon(docs, path))
+    count = (F.octet_length("ids") / 4).cast("bigint")
+    return out.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-counts"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -23,7 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mixing, op9_document_fingerprints, op10_quality_rules)}
+_ALL = (op1_minhash_dedup, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op9_document_fingerprints, op10_quality_rules)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE_SQL,
