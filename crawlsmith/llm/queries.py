@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsmith.llm import bpe, fingerprints, minhash_dedup, mixing, quality_classifier, quality_rules, token_counts, token_store
+from crawlsmith.llm import bpe, fingerprints, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
 from crawlsmith.llm._store import fresh_path, read
 
 
@@ -41,6 +41,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(read(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL = (op1_minhash_dedup, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op9_document_fingerprints, op10_quality_rules)
+_ALL = (op1_minhash_dedup, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_document_fingerprints, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
