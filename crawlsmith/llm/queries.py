@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsmith.llm import bpe, fingerprints, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
+from crawlsmith.llm import bpe, fingerprints, html_text, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
 from crawlsmith.llm._store import fresh_path, read
 
 
@@ -16,6 +16,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-shards")
     manifest = token_store.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL = (op1_minhash_dedup, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_document_fingerprints, op10_quality_rules)
+_ALL = (op1_minhash_dedup, op2_html_text, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_document_fingerprints, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
