@@ -1,9 +1,10 @@
 """Token ids in binary shards with a minimal perfect hash index for keyed access.
 
-A shard is two files in a folder. ``shard-N.bin`` holds nothing but ids, little-endian unsigned 32-bit, its
-documents in ascending order of key. ``shard-N.idx`` (little-endian) holds
+A shard is two files in a folder. ``shard-N.bin`` holds nothing but ids, little-endian unsigned, 16-bit if every
+id of the vocabulary fits and else 32-bit, its documents in ascending order of key. ``shard-N.idx``
+(little-endian) holds
 
-    magic, keys, rows, tokens, null-key rows     5 x u64
+    magic, keys, rows, tokens, null-key rows, bytes of an id   6 x u64
     displacement of each bucket                  i32 x buckets (keys / 4, rounded up)
     fingerprint of the key of each slot          u32 x keys
     first row and number of rows of each slot    u32 x keys, twice
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +42,20 @@ from tokenizers import Tokenizer
 
 from crawlsmith.llm._arrow import chunks, text_bytes, texts
 from crawlsmith.llm._store import materialize
-from crawlsmith.llm.bpe import Memo
 
 MAGIC = 0x31584449_4E4B4F54
-MEMO_PIECES = 400_000  # bound on each of a worker's two generations of remembered pieces
-BUCKET = 4
+MEMO_PIECES = 500_000  # beyond this a worker's remembered pieces become the older of two generations
+BUCKET = 4  # keys a bucket, on average
+FEW = 32
+_TRIES = np.arange(256)
 MANIFEST = "shard string, part int, n_rows bigint, n_tokens bigint, low bigint, high bigint"
 
-_ODD = re.compile(r"[^\S \n]|  | \n|\n |\n\n\Z|\n\n\n|\x00")
+_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text has white space that is not one blank, or one or two line ends, between other characters."""
+    return "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or _WHITE.search(text) is not None
 
 
 def mix64(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -60,7 +68,11 @@ def mix64(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
 
 
 def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements and the slot of each of the distinct ``keys``: one slot a key, none free."""
+    """Displacements and the slot of each of the distinct ``keys``: one slot a key, none free.
+
+    Buckets are placed by size, the fullest first. All of a size try the same displacement at once; those whose
+    slots are free and not wanted by a bucket before them stay, the others go on to the next one.
+    """
     n = len(keys)
     buckets = -(-n // BUCKET)
     bucket = (mix64(keys, 0) % np.uint64(max(buckets, 1))).astype(np.int64)
@@ -68,28 +80,37 @@ def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.bincount(bucket, minlength=buckets)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     displacement, slot, taken = np.zeros(buckets, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
-    by_size = np.argsort(-sizes, kind="stable")
-    several = by_size[: int((sizes > 1).sum())]
-    tries = np.arange(64)
-    for b in several:
-        own = order[starts[b] : starts[b + 1]]
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        own = order[starts[left][:, None] + np.arange(size)]
         d = 1
-        while True:
-            places = (mix64(keys[own][None, :], (d + tries)[:, None]) % np.uint64(n)).astype(np.int64)
+        while len(left) > FEW:
+            places = (mix64(keys[own], d) % np.uint64(n)).astype(np.int64)
             ranked = np.sort(places, axis=1)
-            good = ~taken[places].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
-            if good.any():
-                k = int(good.argmax())
-                displacement[b], slot[own] = d + k, places[k]
-                taken[places[k]] = True
-                break
-            d += len(tries)
-    free = iter(np.flatnonzero(~taken))
-    for b in by_size[len(several) :]:
-        if sizes[b]:
-            own = order[starts[b]]
-            slot[own] = next(free)
-            displacement[b] = -slot[own] - 1
+            fits = np.flatnonzero(~taken[places].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1))
+            wanted, first = np.unique(places[fits], return_index=True)
+            won = np.bincount(first // size, minlength=len(fits)) == size
+            fits = fits[won]
+            displacement[left[fits]], slot[own[fits]] = d, places[fits]
+            taken[places[fits]] = True
+            stay = np.ones(len(left), bool)
+            stay[fits] = False
+            left, own, d = left[stay], own[stay], d + 1
+        for b, few in zip(left, own, strict=True):  # each by itself, many displacements at once
+            at = d
+            while True:
+                places = (mix64(keys[few][None, :], (at + _TRIES)[:, None]) % np.uint64(n)).astype(np.int64)
+                ranked = np.sort(places, axis=1)
+                fits = ~taken[places].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+                if fits.any():
+                    k = int(fits.argmax())
+                    displacement[b], slot[few] = at + k, places[k]
+                    taken[places[k]] = True
+                    break
+                at += len(_TRIES)
+    single = np.flatnonzero(sizes == 1)
+    slot[order[starts[single]]] = np.flatnonzero(~taken)
+    displacement[single] = -slot[order[starts[single]]] - 1
     return displacement, slot
 
 
@@ -97,10 +118,10 @@ class Index:
     """A shard's index file, and lookups in it."""
 
     def __init__(self, data: bytes) -> None:
-        head = np.frombuffer(data, "<u8", 5)
+        head = np.frombuffer(data, "<u8", 6)
         assert head[0] == MAGIC, "not an index of token shards"
-        n, rows, self.n_tokens, self.null_rows = (int(x) for x in head[1:])
-        at, parts = 40, []
+        n, rows, self.n_tokens, self.null_rows, self.width = (int(x) for x in head[1:])
+        at, parts = 48, []
         for kind, k in (("<i4", -(-n // BUCKET)), ("<u4", n), ("<u4", n), ("<u4", n), ("<u8", rows + 1), ("<i8", rows)):
             parts.append(np.frombuffer(data, kind, k, at))
             at += parts[-1].nbytes
@@ -108,7 +129,7 @@ class Index:
         self.displacement, self.fingerprint, self.first, self.count, self.offset, self.key = parts
 
     @staticmethod
-    def pack(keys: np.ndarray, offsets: np.ndarray, null_rows: int) -> bytes:
+    def pack(keys: np.ndarray, offsets: np.ndarray, null_rows: int, width: int) -> bytes:
         """From the keys of the rows with one, ascending, and the token offsets of all rows."""
         distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
         displacement, slot = build_hash(distinct)
@@ -116,7 +137,7 @@ class Index:
         by_slot = np.empty(n, np.int64)
         by_slot[slot] = np.arange(n)
         fingerprint = (mix64(distinct, 2**32) >> np.uint64(32))[by_slot]
-        head = np.array([MAGIC, n, len(offsets) - 1, offsets[-1], null_rows], "<u8")
+        head = np.array([MAGIC, n, len(offsets) - 1, offsets[-1], null_rows, width], "<u8")
         every = np.concatenate([keys, np.zeros(null_rows, np.int64)])
         parts = [displacement.astype("<i4"), fingerprint.astype("<u4"), first[by_slot].astype("<u4"), count[by_slot].astype("<u4"), offsets.astype("<u8"), every.astype("<i8")]
         return b"".join(x.tobytes() for x in (head, *parts))
@@ -133,19 +154,37 @@ class Index:
 
 
 class PieceEncoder:
+    """Packed ids of texts; what the library gave for a piece is remembered in two generations of bounded size."""
+
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self.library, MEMO_PIECES)
-
-    def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return self.library(text)
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.memo.__getitem__, cut))
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def library(self, texts_: list[str]) -> list[bytes]:
+        code = "H" if self.width == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def encode(self, texts_: list[str]) -> list[bytes]:
+        cuts = [None if odd(t) or any(s in t for s in self.special) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts_]
+        if len(self.known) > MEMO_PIECES:
+            self.known, self.old = {}, self.known
+        wanted: set[str] = set()
+        for cut in cuts:
+            if cut is not None:
+                wanted.update(cut)
+        known, old = self.known, self.old
+        new = []
+        for piece in wanted.difference(known):
+            if (ids := old.get(piece)) is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
+        known.update(zip(new, self.library(new), strict=True))
+        whole = iter(self.library([t for t, cut in zip(texts_, cuts, strict=True) if cut is None]))
+        return [next(whole) if cut is None else b"".join(map(known.__getitem__, cut)) for cut in cuts]
 
 
 @lru_cache(2)
@@ -153,13 +192,16 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def wide(ids: bytes, width: int) -> bytes:
+    """Stored ids as little-endian unsigned 32-bit ones."""
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
     """Writes the shards of ``docs`` (doc_id, text) below ``folder`` and returns the manifest, a row a shard.
 
     A task writes to names of its own attempt and renames them, so a task that runs again leaves whole files.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
         if (batch := next(batches, None)) is None:
@@ -169,20 +211,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
         fs.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():05d}"
         own, keys, offsets, nulls = piece_encoder(tokenizer), [], [0], 0
+        width, end = own.width, end_id.to_bytes(own.width, "little")
         with fs.open_output_stream(f"{base}/{name}.bin.{task.taskAttemptId()}") as out:
             while batch is not None:
                 column = batch.column(1)
                 nulls += batch.column(0).null_count
                 keys.append(batch.column(0).drop_null().to_numpy())
                 for a, b in chunks(text_bytes(column)[0], 4 << 20):
-                    for text in texts(column.slice(a, b - a)):
-                        ids = own.encode(text) + end
+                    for ids in own.encode(texts(column.slice(a, b - a))):
+                        ids += end
                         out.write(ids)
-                        offsets.append(offsets[-1] + len(ids) // 4)
+                        offsets.append(offsets[-1] + len(ids) // width)
                 batch = next(batches, None)
         keys = np.concatenate(keys)
         with fs.open_output_stream(f"{base}/{name}.idx.{task.taskAttemptId()}") as out:
-            out.write(Index.pack(keys, np.array(offsets, np.int64), nulls))
+            out.write(Index.pack(keys, np.array(offsets, np.int64), nulls, width))
         for kind in ("bin", "idx"):
             fs.move(f"{base}/{name}.{kind}.{task.taskAttemptId()}", f"{base}/{name}.{kind}")
         row = [name, task.partitionId(), len(offsets) - 1, offsets[-1], *([int(keys[0]), int(keys[-1])] if len(keys) else [None, None])]
@@ -219,7 +262,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     for a in range(0, len(rows), 2000):
                         part = rows[a : a + 2000]
                         low, high = index.offset[part].astype(np.int64), index.offset[part + 1].astype(np.int64)
-                        ids = [f.read_at(int(4 * (h - l)), int(4 * l)) for l, h in zip(low, high, strict=True)]  # noqa: E741
+                        ids = [wide(f.read_at(int(index.width * (h - l)), int(index.width * l)), index.width) for l, h in zip(low, high, strict=True)]  # noqa: E741
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(index.key[part], mask=part >= known), pa.array(start + low), pa.array(high - low), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                             ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
@@ -249,7 +292,7 @@ def lookup(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
                     for row in range(int(first), int(first + count)) if first >= 0 else ():
                         a, b = int(index.offset[row]), int(index.offset[row + 1])
                         out_keys.append(key)
-                        out_ids.append(f.read_at(4 * (b - a), 4 * a))
+                        out_ids.append(wide(f.read_at(index.width * (b - a), index.width * a), index.width))
             yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_ids, pa.binary())], ["doc_id", "ids"])
 
     wanted = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
