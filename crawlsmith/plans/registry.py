@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from crawlsmith.plans import audit_queries
+
 FLAGSHIP = "p3_parity_rules"
+QUERIES = {**audit_queries.QUERIES}
+ORACLE_SQL = {**audit_queries.ORACLE_SQL}
