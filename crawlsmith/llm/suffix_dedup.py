@@ -8,7 +8,7 @@ anchor string that occurs at least twice. About one byte in 137 starts an anchor
 1. One scan finds each text's anchors. Equal anchors with equal surroundings inside a text are settled at
    once (runs of one word would else flood the next steps); equal texts are settled by their digest.
 2. Anchor strings that occur once are dropped. Of the others, the surroundings go to a group: up to 272
-   bytes before and 400 after.
+   bytes before and 400 after; where these overlap for equal anchors of a text, they go as one region.
 3. Within a group the suffixes at the anchors are merge-sorted. Two suffixes are compared through prefix
    polynomial hashes: binary search finds the length of their common extension, then one byte decides. So runs
    of suffixes that agree in the first r bytes lie together. For each offset o, windows that start o bytes before an
@@ -39,7 +39,7 @@ from crawlsmith.llm._store import materialize
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM  # most bytes of a window before its anchor
-HOT = 50_000
+HOT = 200_000  # places; as many suffixes are sorted in one task at most
 GROUP = 4_000  # anchors that a task sorts at a time, if no string has more
 BLOCK = 16  # window offsets that are counted together for hot anchors
 BROADCAST_IDS = 200_000  # at most about 20 MB of digests are broadcast; more are joined by a shuffle
@@ -118,14 +118,19 @@ def anchored(docs: DataFrame) -> DataFrame:
 
 
 class Suffixes:
-    """The surroundings of a group's anchors, and comparisons of the suffixes that start at them."""
-
-    def __init__(self, gram: np.ndarray, left: np.ndarray, around: pa.Array) -> None:
-        self.offsets, self.bytes = text_bytes(around)
-        self.offsets, self.bytes = self.offsets - self.offsets[0], self.bytes[self.offsets[0] : self.offsets[-1]]
-        self.gram, self.left = gram, left.astype(np.int64)
-        self.at = self.offsets[:-1] + self.left
-        self.right = np.minimum(self.offsets[1:] - self.at, LENGTH)
+    """The regions around a group's anchors, and comparisons of the suffixes that start at the anchors."""
+
+    def __init__(self, gram: np.ndarray, first: np.ndarray, places: pa.ListArray, around: pa.Array) -> None:
+        offsets, data = text_bytes(around)
+        self.bytes = data[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        ends = places.offsets.to_numpy()
+        region = np.repeat(np.arange(len(gram)), np.diff(ends))
+        self.region, self.place = region, places.flatten().to_numpy().astype(np.int64)
+        self.gram = gram[region]
+        self.at = offsets[region] + self.place - first[region]
+        self.left = np.minimum(self.at - offsets[region], REACH)
+        self.right = np.minimum(offsets[region + 1] - self.at, LENGTH)
         self.prefix = prefixes(self.bytes)
         self.inverse = _hashing.powers(len(self.prefix))[1]
 
@@ -236,27 +241,37 @@ def exact_windows(s: Suffixes) -> list[tuple[int, int, int]]:
 
 
 def surroundings(texts: DataFrame, flagged: DataFrame) -> DataFrame:
-    """digest, gram, pos, left and the bytes around each flagged anchor (digest, list of gram, pos, hot)."""
+    """Regions around the flagged anchors (digest, list of gram, pos, hot) of texts.
+
+    A row has digest, gram, hot, first (the region's start in the text), places (of the anchors in the text) and around,
+    the region's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
             lists = batch.column(2)
-            ends = lists.offsets.to_numpy()
             flat = lists.flatten()
-            pos = flat.field("pos").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            pos, gram = flat.field("pos").to_numpy().astype(np.int64), flat.field("gram").to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((pos, gram, row))
+            row, pos, gram, hot = row[order], pos[order], gram[order], flat.field("hot").take(pa.array(order))
             at = offsets[row] + pos
             low, high = np.maximum(offsets[row], at - REACH), np.minimum(offsets[row + 1], at + LENGTH)
-            for k in range(0, len(pos), 4000):
-                part = slice(k, k + 4000)
-                around = pa.array([data[x:y].tobytes() for x, y in zip(low[part], high[part], strict=True)], pa.binary())
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (low[1:] > high[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(row))
+            for k in range(0, len(starts), 4000):
+                i, j = starts[k : k + 4000], ends[k : k + 4000]
+                around = pa.array([data[x:y].tobytes() for x, y in zip(low[i], high[j - 1], strict=True)], pa.binary())
+                places = pa.ListArray.from_arrays(pa.array(np.append(i, j[-1]) - i[0], pa.int32()), pa.array(pos[i[0] : j[-1]], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[part])), flat.field("gram").slice(k, 4000), flat.field("pos").slice(k, 4000), flat.field("hot").slice(k, 4000), pa.array((at - low)[part].astype(np.int32)), around],
-                    ["digest", "gram", "pos", "hot", "before", "around"],
+                    [batch.column(0).take(pa.array(row[i])), pa.array(gram[i]), hot.take(pa.array(i)), pa.array(low[i] - offsets[row[i]], pa.int32()), places, around],
+                    ["digest", "gram", "hot", "first", "places", "around"],
                 )
 
-    return texts.join(flagged, "digest").select("digest", "text", "anchors").mapInArrow(run, "digest string, gram bigint, pos int, hot boolean, before int, around binary")
+    return texts.join(flagged, "digest").select("digest", "text", "anchors").mapInArrow(run, "digest string, gram bigint, hot boolean, first int, places array<int>, around binary")
 
 
 def group_intervals(around: DataFrame, n: int) -> DataFrame:
@@ -264,14 +279,14 @@ def group_intervals(around: DataFrame, n: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         digest = table["digest"].combine_chunks()
-        pos = table["pos"].to_numpy()
-        found = repeated_windows(Suffixes(table["gram"].to_numpy(), table["before"].to_numpy(), table["around"].combine_chunks()))
+        suffixes = Suffixes(table["gram"].to_numpy(), table["first"].to_numpy(), table["places"].combine_chunks(), table["around"].combine_chunks())
+        found, pos = repeated_windows(suffixes), suffixes.place
         i = np.array([x for x, _, _ in found], np.int64)
         least, most = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
-        return pa.table({"digest": digest.take(pa.array(i)), "a": pa.array((pos[i] - most).astype(np.int32)), "b": pa.array((pos[i] - least + LENGTH).astype(np.int32))})
+        return pa.table({"digest": digest.take(pa.array(suffixes.region[i])), "a": pa.array((pos[i] - most).astype(np.int32)), "b": pa.array((pos[i] - least + LENGTH).astype(np.int32))})
 
     buckets = max(1, -(-n // GROUP))
-    grouped = around.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "digest", "gram", "pos", "before", "around")
+    grouped = around.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "digest", "gram", "first", "places", "around")
     return grouped.groupBy("bucket").applyInArrow(run, "digest string, a int, b int")
 
 
@@ -310,12 +325,15 @@ def hot_intervals(around: DataFrame) -> DataFrame:
         return hashlib.blake2b(data, digest_size=16).digest()
 
     kind = "id bigint, o int, q int, p int, whole binary, shared binary"
-    rows = around.withColumn("id", F.xxhash64("digest", "pos"))
+    rows = around.withColumn("pos", F.explode("places")).withColumn("low", F.greatest(F.col("first"), F.col("pos") - REACH))
+    part = F.substring(F.col("around"), F.col("low") - F.col("first") + 1, F.col("pos") + LENGTH - F.col("low"))
+    rows = rows.select(F.xxhash64("digest", "pos").alias("id"), "digest", "pos", (F.col("pos") - F.col("low")).alias("before"), part.alias("around"))
     rows = materialize(rows, "suffix-hot")
     blocks = materialize(rows.select("id", "before", "around", F.array().cast("array<int>").alias("blocks")).mapInArrow(hashes(BLOCK), kind), "suffix-blocks")
     counted = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     whole = blocks.join(counted(blocks, "whole"), "whole", "left_semi").select("id", "q", "p")
-    open_ = blocks.join(counted(blocks, "shared"), "shared", "left_semi").groupBy("id").agg(F.collect_list("o").alias("blocks"))
+    unsettled = blocks.join(counted(blocks, "whole"), "whole", "left_anti")
+    open_ = unsettled.join(counted(blocks, "shared"), "shared", "left_semi").groupBy("id").agg(F.collect_list("o").alias("blocks"))
     windows = rows.join(open_, "id").select("id", "before", "around", "blocks").mapInArrow(hashes(1), kind)
     windows = materialize(windows, "suffix-windows")
     single = windows.join(counted(windows, "whole"), "whole", "left_semi").select("id", "q", "p")
