@@ -24,7 +24,9 @@ gives an empty result; a very long text is taken whole; other columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -297,44 +299,42 @@ def hot_intervals(around: DataFrame) -> DataFrame:
     bytes that all its windows share do, none is. Windows of the other blocks are counted one by one.
     """
 
-    def hashes(steps: int):
+    def hashes(single: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    raw, left = batch.column(2)[k].as_py(), batch.column(1)[k].as_py()
-                    last = min(left, REACH)
-                    first = max(0, left + LENGTH - len(raw))
-                    blocks = batch.column(3)[k].as_py() if steps == 1 else range(first, last + 1, steps)
+                    raw, left, gram = (batch.column(c)[k].as_py() for c in (2, 1, 4))
+                    first, last = max(0, left + LENGTH - len(raw)), min(left, REACH)  # offsets of whole windows
                     rows = []
-                    for o in blocks:
-                        # The block's windows start o..p bytes before the anchor.
-                        for p in [min(o + steps - 1, last)] if steps > 1 else range(o, min(o + BLOCK - 1, last) + 1):
-                            q = o if steps > 1 else p
-                            whole, shared = raw[left - p : left - q + LENGTH], raw[left - q : left - p + LENGTH]
-                            rows.append((o, q, p, len(whole), digest(whole), digest(shared)))
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    for o in batch.column(3)[k].as_py() if single else range(first // BLOCK * BLOCK, last + 1, BLOCK):
+                        q, p = max(o, first), min(o + BLOCK - 1, last)
+                        for i, j in [(x, x) for x in range(q, p + 1)] if single else [(q, p)]:
+                            # Blocks start at the same offsets everywhere; what all their windows share is never cut.
+                            shared = b"" if single else digest(gram, o, o, raw[left - o : left - (o + BLOCK - 1) + LENGTH])
+                            rows.append((o, i, j, digest(gram, i, j, raw[left - j : left - i + LENGTH]), shared))
+                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in cols[:3]], *[pa.array(c, pa.binary()) for c in cols[4:]]], ["id", "o", "q", "p", "whole", "shared"]
+                        [pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in cols[:3]], *[pa.array(c, pa.binary()) for c in cols[3:]]], ["id", "o", "q", "p", "whole", "shared"]
                     )
 
         return run
 
-    def digest(data: bytes) -> bytes:
-        import hashlib
-
-        return hashlib.blake2b(data, digest_size=16).digest()
+    def digest(gram: int, i: int, j: int, data: bytes) -> bytes:
+        """Of windows at the same offsets from the same anchor: one place is never held against itself."""
+        return hashlib.blake2b(pack("<qii", gram, i, j) + data, digest_size=16).digest()
 
     kind = "id bigint, o int, q int, p int, whole binary, shared binary"
     rows = around.withColumn("pos", F.explode("places")).withColumn("low", F.greatest(F.col("first"), F.col("pos") - REACH))
     part = F.substring(F.col("around"), F.col("low") - F.col("first") + 1, F.col("pos") + LENGTH - F.col("low"))
-    rows = rows.select(F.xxhash64("digest", "pos").alias("id"), "digest", "pos", (F.col("pos") - F.col("low")).alias("before"), part.alias("around"))
+    rows = rows.select(F.xxhash64("digest", "pos").alias("id"), "gram", "digest", "pos", (F.col("pos") - F.col("low")).alias("before"), part.alias("around"))
     rows = materialize(rows, "suffix-hot")
-    blocks = materialize(rows.select("id", "before", "around", F.array().cast("array<int>").alias("blocks")).mapInArrow(hashes(BLOCK), kind), "suffix-blocks")
+    blocks = materialize(rows.select("id", "before", "around", F.array().cast("array<int>").alias("blocks"), "gram").mapInArrow(hashes(False), kind), "suffix-blocks")
     counted = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     whole = blocks.join(counted(blocks, "whole"), "whole", "left_semi").select("id", "q", "p")
-    unsettled = blocks.join(counted(blocks, "whole"), "whole", "left_anti")
-    open_ = unsettled.join(counted(blocks, "shared"), "shared", "left_semi").groupBy("id").agg(F.collect_list("o").alias("blocks"))
-    windows = rows.join(open_, "id").select("id", "before", "around", "blocks").mapInArrow(hashes(1), kind)
+    # One block of each content is enough for others to be held against.
+    distinct = blocks.groupBy("whole").agg(F.min(F.struct("id", "o", "shared")).alias("b")).select("b.*")
+    open_ = distinct.join(counted(distinct, "shared"), "shared", "left_semi").groupBy("id").agg(F.collect_list("o").alias("blocks"))
+    windows = rows.join(open_, "id").select("id", "before", "around", "blocks", "gram").mapInArrow(hashes(True), kind)
     windows = materialize(windows, "suffix-windows")
     single = windows.join(counted(windows, "whole"), "whole", "left_semi").select("id", "q", "p")
     return whole.union(single).join(rows.select("id", "digest", "pos"), "id").select("digest", (F.col("pos") - F.col("p")).alias("a"), (F.col("pos") - F.col("q") + LENGTH).alias("b"))
