@@ -145,6 +145,35 @@ def estimate(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def spanning_forest(est: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs of 0..n make up a spanning forest of the highest estimates."""
+    root, kept, left = list(range(n)), [], n - 1
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = np.lexsort((j, i, -est))
+    for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            kept.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(kept, np.int64)
+
+
+def values_ahead(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the long lists that each row is in and that come before this one, and where each row's begin."""
+    df, v = int(part["df"].iloc[0]), int(part["v"].iloc[0])
+    rows = [[x["v"] for x in own if (x["df"], x["v"]) < (df, v)] for own in part["own"]]
+    flat = np.array([x for own in rows for x in own], np.int64)
+    return np.unique(flat, return_inverse=True)[1].astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+
+
 def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """a, b, est of pairs that share a long list and whose estimate allows a link.
 
@@ -155,57 +184,65 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -
     width = -float(np.log(PERCENT / 100))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        # Visitors are smaller than all that are at home, so they come first; what is compared is one range.
         part = part.sort_values(["n", "rep"], kind="stable")
-        n, rep, at_home = part["n"].to_numpy(), part["rep"].to_numpy(), part["home"].to_numpy()
-        label = part["component"].to_numpy()
-        flat = np.concatenate(part["sketch"].to_list())
+        n, rep, label = (part[c].to_numpy() for c in ("n", "rep", "component"))
+        visitors = int((~part["home"]).sum())
         length = np.array([len(x) for x in part["sketch"]])
-        values, codes = np.unique(flat, return_inverse=True)
         start = np.concatenate([[0], np.cumsum(length)])
-        mark = np.zeros(len(values), np.int16)
-        found = []
+        values, codes = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True)
+        if not spanning:
+            ahead, ahead_start = values_ahead(part)
+            seen = np.zeros(int(ahead.max(initial=-1)) + 1, bool)
+        place = np.arange(len(codes)) - np.repeat(start[:-1], length)  # of a value within its sketch
+        at = np.full(len(values), -1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(n)):
-            end = int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
-            if end <= i + 1:
+            low, high = max(i + 1, visitors), int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
+            if high <= low:
                 continue
-            mark[codes[start[i] : start[i + 1]]] = 1
-            hits = np.add.reduceat(mark[codes[start[i + 1] : start[end]]], start[i + 1 : end] - start[i + 1])
-            mark[codes[start[i] : start[i + 1]]] = 0
-            # Sketches of a linked pair share so many values; the union sketch then settles it.
-            need = np.minimum(LEAST, np.ceil(least * np.minimum(length[i], length[i + 1 : end])) - 1) - 4
-            ok = (hits >= need) & (at_home[i] | at_home[i + 1 : end]) & (rep[i + 1 : end] != rep[i])
+            mine = codes[start[i] : start[i + 1]]
+            at[mine] = np.arange(len(mine))
+            span = slice(start[low], start[high])
+            hit = np.flatnonzero(at[codes[span]] >= 0)
+            other = np.searchsorted(start, hit + start[low], side="right") - 1
+            first = np.searchsorted(other, np.arange(low, high))
+            nth = np.arange(1, len(hit) + 1) - first[other - low]  # how many common values up to this one
+            # Rank of a common value in the union: those before it on either side, common ones counted once.
+            rank = at[codes[span][hit]] + place[span][hit] + 2 - nth
+            at[mine] = -1
+            shared = np.bincount(other - low, minlength=high - low)
+            k = np.minimum(K, length[i] + length[low:high] - shared)
+            est = np.bincount(other - low, rank <= k[other - low], minlength=high - low) / np.maximum(k, 1)
+            ok = (est >= least) & (rep[low:high] != rep[i])
             if not spanning:
-                ok &= label[i + 1 : end] != label[i]
-            for j in np.flatnonzero(ok) + i + 1:
-                est = union_sketch(flat[start[i] : start[i + 1]], n[i], flat[start[j] : start[j + 1]], n[j])
-                if est >= least:
-                    found.append((est, i, j))
+                ok &= label[low:high] != label[i]
+                # A pair that shares several lists is looked at in the first of them only.
+                seen[ahead[ahead_start[i] : ahead_start[i + 1]]] = True
+                before = np.concatenate([[0], np.cumsum(seen[ahead[ahead_start[low] : ahead_start[high]]])])
+                bounds = ahead_start[low : high + 1] - ahead_start[low]
+                ok &= before[bounds[1:]] == before[bounds[:-1]]
+                seen[ahead[ahead_start[i] : ahead_start[i + 1]]] = False
+            if (j := np.flatnonzero(ok)).size:
+                found.append((est[j], np.full(j.size, i), j + low))
+        if not found:
+            return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float64"})
+        est, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         if spanning:
-            root = list(range(len(n)))
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            kept = []
-            for est, i, j in sorted(found, reverse=True):
-                if (x := top(i)) != (y := top(j)):
-                    root[x] = y
-                    kept.append((est, i, j))
-            found = kept
-        return pd.DataFrame({"a": [min(rep[i], rep[j]) for _, i, j in found], "b": [max(rep[i], rep[j]) for _, i, j in found], "est": [e for e, _, _ in found]}).astype({"a": "int64", "b": "int64", "est": "float64"})
+            keep = spanning_forest(est, i, j, len(n))
+            est, i, j = est[keep], i[keep], j[keep]
+        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "est": est})
 
     long = lists.where(f"df > {LONG_LIST}").join(classes.select("rep", "n", "sketch"), ["rep", "n"])
     if labels is None:
-        long = long.withColumn("component", F.col("rep"))
+        long = long.withColumn("component", F.col("rep")).withColumn("own", F.lit(None).cast("array<struct<df:bigint,v:bigint>>"))
     else:
         long = long.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        long = long.join(lists.where(f"df > {LONG_LIST}").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("own")), ["rep", "n"])
     band = F.floor(F.log("n") / width)
     # A set is at home in its size band and visits the next one, which holds the sizes it may link to.
     homes = long.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))))
-    homes = homes.select("v", "at.band", "at.home", "rep", "n", "sketch", "component")
+    homes = homes.select("v", "df", "at.band", "at.home", "rep", "n", "sketch", "component", "own")
     return homes.groupBy("v", "band").applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
