@@ -199,7 +199,8 @@ def l1(spark, sf_dir):
     return L.list_checks(view(spark, sf_dir, "v_checks"), "llm").withColumn("created_at", F.col("created_at").cast("string"))
 
 
-@query("l2_search_checks", "SELECT id, kind, url, coalesce(verdict, 'error') AS verdict, reasons, ip, user_id FROM v_checks WHERE coalesce(verdict, 'error') = 'mismatch' AND contains(lower(concat_ws(' ', url, ip, reasons)), 'site1') ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50", "v_checks")
+@query("l2_search_checks", """_m AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS k, count(*) OVER () AS n FROM v_checks WHERE coalesce(verdict, 'error') = 'mismatch' AND contains(lower(concat_ws(' ', url, ip, reasons)), 'site1'))
+SELECT id, kind, url, coalesce(verdict, 'error') AS verdict, reasons, ip, user_id FROM _m WHERE (k - 1) // 50 = least(1, (n - 1) // 50)""", "v_checks")
 def l2(spark, sf_dir):
     return L.search_checks(view(spark, sf_dir, "v_checks"), "mismatch", "site1", 2).drop("created_at")
 
