@@ -8,11 +8,13 @@ from crawlsmith.functions import html as H
 from crawlsmith.functions.urls import host
 from crawlsmith.operators import ai_readiness as A
 from crawlsmith.operators import compare as M
+from crawlsmith.operators import context as X
 from crawlsmith.operators import content as C
 from crawlsmith.operators import reach as R
+from crawlsmith.operators import site_profile as S
 from crawlsmith.operators import speed as V
 from crawlsmith.operators import subdomains as D
-from crawlsmith.plans.audit_queries import d_host, d_path, d_visible
+from crawlsmith.plans.audit_queries import AS_OF, d_host, d_path, d_strip, d_visible
 from crawlsmith.plans.fixtures import view, with_views
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -244,3 +246,35 @@ def h14(spark, sf_dir):
 
 def hosts_of(df):
     return df.select(host(F.col("url")).alias("host")).distinct()
+
+
+@query("h12_page_context", r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS h1,
+  left(""" + d_strip("nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '')") + """, 5000) AS excerpt, CAST(0 AS INT) AS questions FROM v_pages""", "v_pages")
+def h12(spark, sf_dir):
+    return X.page_context(view(spark, sf_dir, "v_pages")).select("page_id", "h1", "excerpt", F.size("faq").alias("questions"))
+
+
+@query("k1_seed_queries", None, "v_pages")
+def k1(spark, sf_dir):
+    return X.seed_queries(X.page_context(view(spark, sf_dir, "v_pages")))
+
+
+@query("h10_pagination", r"""_m AS (SELECT page_id, list_max([coalesce(list_max(list_transform(regexp_extract_all(html, '(?i)href=["''][^"'']*[?&]page=(\d{1,5})', 1), lambda x: CAST(x AS INT))), 0)]) AS top FROM v_seo_pages)
+SELECT page_id, CASE WHEN top > 1 THEN 'pages' ELSE 'single' END AS mode, CASE WHEN top > 1 THEN top END AS page_count FROM _m""", "v_seo_pages")
+def h10(spark, sf_dir):
+    return X.pagination(view(spark, sf_dir, "v_seo_pages"))
+
+
+@query("s8_site_profile", None, "v_seo_pages", "v_site_urls")
+def s8(spark, sf_dir):
+    pages = view(spark, sf_dir, "v_seo_pages").withColumn("site", F.col("domain"))
+    return X.site_profile(pages, view(spark, sf_dir, "v_site_urls"), AS_OF)
+
+
+_FLAG = lambda p: f"coalesce(bool_or(regexp_matches(html, '{p}')), false)"
+
+
+@query("s5_site_signals", f"SELECT domain AS site, {_FLAG('(?i)jivosite|livechat|chat-widget')} AS chat, {_FLAG('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')} AS email, {_FLAG('(?i)<form')} AND coalesce(bool_or(regexp_matches(html, '(?i)name=\"(?:name|phone)\"|телефон|имя')), false) AS form FROM v_seo_pages GROUP BY domain", "v_seo_pages")
+def s5(spark, sf_dir):
+    pages = view(spark, sf_dir, "v_seo_pages").withColumn("site", F.col("domain"))
+    return S.site_signals(pages).select("site", "chat", "email", "form")

@@ -118,3 +118,40 @@ def test_query_against_sql(spark, name):
 def test_registry_covers_all_tables():
     assert registry.FLAGSHIP in registry.QUERIES
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_page_context_and_seeds(spark):
+    from crawlsmith.operators import context as C
+
+    ld = '<script type="application/ld+json">{"mainEntity":[{"@type":"Question","name":"Q1","acceptedAnswer":{"text":"A1"}},{"@type":"Question","name":"S","acceptedAnswer":"x"}]}</script><script type="application/ld+json">{bad</script>'
+    html = f"<title>Проверка поддоменов домена | X</title>{ld}<main><h1>Найдите поддомены</h1><details><summary>S</summary>T</details>про googlebot</main><ul class='pager'><li> 7 </li></ul><a href='/c?page=4'>4</a>"
+    df = spark.createDataFrame([(1, "https://a/tools/t", html), (2, "https://a/", None)], "page_id int, url string, html string")
+    ctx = C.page_context(df)
+    first = ctx.where("page_id = 1").first()
+    assert [(q.question, q.answer) for q in first.faq] == [("S", "T"), ("Q1", "A1")]
+    seeds = [r["query"] for r in C.seed_queries(ctx).where("page_id = 1").orderBy("place").collect()]
+    assert "как видит googlebot" in seeds and any("поддоменов домена" in s for s in seeds)
+    preset = spark.createDataFrame([("t", ["проверить поддомены сайта"])], "slug string, queries array<string>")
+    assert C.seed_queries(ctx, preset).where("page_id = 1").first()["query"] == "проверить поддомены сайта"
+    assert tuple(C.pagination(df).where("page_id = 1").first()) == (1, "pages", 7)
+    got = spark.createDataFrame([("../c",), ("//d/e",), (None,)], "x string").select(C.resolve_url(F.lit("https://a/b/"), F.col("x")).alias("u"))
+    assert [r.u for r in got.collect()] == ["https://a/c", "https://d/e", None]
+
+
+def test_resume_and_vacancy_page(spark):
+    from crawlsmith.operators import context as C
+
+    text = "Иван\n+7 900 123-45-67\na@b.ru\nПроживает: Москва\n150 000 ₽\nОпыт работы\nООО Х\nОбразование\nМГУ\nНавыки\nPython SQL\nОбо мне\nлюблю SEO"
+    r = C.parse_resumes(spark.createDataFrame([(text,)], "text string")).first()
+    assert (r.email, r.location, r.salary_expected, r.skills, r.about) == ("a@b.ru", "Москва", 150000, "Python SQL", "люблю SEO")
+    html = '<meta name="description" content="Опыт: 1–3 года. Занятость: полная."><a data-qa="vacancy-company-name">ACME</a><div data-qa="vacancy-description"><p>Делать</p></div><li data-qa="skills-element">Python</li> 12 человек уже откликнулись'
+    v = C.vacancy_page(spark.createDataFrame([("1", html)], "vacancy_id string, html string")).first()
+    assert (v.employer, v.description, v.key_skills, v.experience, v.employment, v.applicants_count) == ("ACME", "Делать", '["Python"]', "1–3 года", "полная", 12)
+
+
+def test_pick_sitemap(spark):
+    rows = [("s", 0, "robots", "a", 404), ("s", 1, "robots", "b", 200), ("t", 0, "standard", "c", 500), ("t", 1, "standard", "d", 0)]
+    from crawlsmith.operators.context import pick_sitemap
+
+    got = {r.site: (r.sitemap_found, r.url) for r in pick_sitemap(spark.createDataFrame(rows, "site string, pos int, source string, url string, status int")).collect()}
+    assert got == {"s": (True, "b"), "t": (False, "c")}
