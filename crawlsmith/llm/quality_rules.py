@@ -25,7 +25,7 @@ STEPS = 3
 CUTOFF = 30.0  # squared distance; above the 0.9999 quantile of chi-square with five degrees of freedom
 CONSISTENCY = 1.41  # of the covariance of the nearest three quarters, for five dimensions
 LEAST_GROUP = 50  # smaller groups are judged against all documents
-FLOORS = (500, 80, 500, 700, 700)  # least standard deviations of the features
+FLOORS = (1500, 80, 500, 700, 700)  # added deviations of the features; length by itself is no fault
 P = range(1, 6)
 
 #: The six white-space bytes that part words.

@@ -294,3 +294,9 @@ def test_pipeline_stages(spark, hard_docs, no_docs):
             if k < 4:
                 assert out.columns == hard_docs.columns
                 docs = out
+
+
+def test_long_clean_documents_stay(spark):
+    docs = [(k, prose(k, 150 + k), "en", "s") for k in range(120)] + [(500, prose(500, 30000), "en", "s")]
+    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[500] and all(got.values())
