@@ -15,6 +15,7 @@ from crawlsmith.operators import speed as S
 from crawlsmith.operators import vacancies as V
 from crawlsmith.plans.audit_queries import ROBOTS, d_host
 from crawlsmith.plans.fixtures import view, with_views
+from crawlsmith.plans.layout_sql import layout as _layout
 from crawlsmith.plans.research_queries import _CLASSES, _FIRSTS, _ITEMS
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -43,15 +44,6 @@ def u4(spark, sf_dir):
     return view(spark, sf_dir, "v_pages").select("page_id", C.resolve_url(F.col("url"), href).alias("full_url"))
 
 
-def _layout(h: str) -> str:
-    for tag in ("script", "style", "noscript"):
-        h = rf"regexp_replace({h}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("header", "nav", "footer", "aside"):
-        h = rf"regexp_replace({h}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
-    return rf"""regexp_replace({h}, '(?is)<[^>]+(?:\shidden\b|display\s*:\s*none|aria-hidden=["'']true["''])[^>]*>.*?</[^>]+>', ' ', 'g')"""
-
-
 @query("u6_strip_layout", f"SELECT page_id, {_layout('html')} AS body FROM v_seo_pages", "v_seo_pages")
 def u6(spark, sf_dir):
     return view(spark, sf_dir, "v_seo_pages").select("page_id", T.strip_layout(F.col("html")).alias("body"))

@@ -16,6 +16,7 @@ from crawlsmith.operators import speed as V
 from crawlsmith.operators import subdomains as D
 from crawlsmith.plans.audit_queries import AS_OF, d_host, d_path, d_strip, d_visible
 from crawlsmith.plans.fixtures import view, with_views
+from crawlsmith.plans.layout_sql import layout as _layout
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -224,7 +225,48 @@ def typed(spark, sf_dir):
     return C.resolve_page_type(C.page_type_scores(C.page_features(view(spark, sf_dir, "v_seo_pages"))))
 
 
-@query("c2_page_types", None, "v_seo_pages")
+def _page_facts() -> str:
+    """Facts of a page for its type, under the names that the scores below use."""
+    text = {k: f"regexp_matches(txt, '(?i){C.TEXT_SIGNALS[k]}')" for k in ("reviews", "related", "author", "cta", "address")}
+    raw = {k: f"regexp_matches(low, '(?i){C.RAW_SIGNALS[k]}')" for k in ("form", "faq")}
+    flags = ", ".join(f"{c} AS {k}" for k, c in (text | raw).items())
+    words = d_strip(_layout("html"))
+    return rf"""_x AS (SELECT page_id, url, html, lower(html) AS low, {d_visible('html')} AS txt, lower({d_path('url')}) AS p, {words} AS body,
+  list_distinct(regexp_extract_all(regexp_extract(html, '(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>', 1), '"@type"\s*:\s*"([^"]+)"', 1)) AS types FROM v_seo_pages),
+_y AS (SELECT *, p IN ('', '/') AS root, CASE WHEN body = '' THEN 0 ELSE len(string_split(body, ' ')) END AS n, {flags}, regexp_matches(low, 'filter|фильтр') AND regexp_matches(low, '<(?:form|select|input)\b') AS filter_,
+  regexp_matches(txt, '\+7|8\s?\(?\d{{3}}\)?[\s-]?\d{{3}}') OR contains(low, 'tel:') AS phone, len(regexp_extract_all(txt, '(?i)\d[\d\s]*(?:₽|руб|\$|€)')) > 0 AS priced, regexp_matches(txt, '(?i)(купить|в корзину|заказать|buy now|add to cart)') AS buy,
+  regexp_matches(txt, '(?:^|[^\d])(\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}})(?:[^\d]|$)') OR regexp_matches(html, '(?i)<time\b[^>]*datetime=') AS dated, len(regexp_extract_all(html, '(?i)<h[23]\b')) AS heads,
+  len(list_filter(regexp_extract_all(html, '(?is)<a\b[^>]*\shref\s*=\s*["'']([^"'']*)["'']', 1), lambda h: h <> '' AND NOT regexp_matches(h, '^[a-z]+:'))) AS inner_links FROM _x)"""
+
+
+def _type_scores() -> str:
+    """Score of each type; the pages have no listings and no Product or ItemList schema."""
+    when = lambda cond, n: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
+    path = lambda words: f"NOT root AND regexp_matches(p, '{words}')"
+    art, org = "list_has_any(types, ['Article', 'NewsArticle', 'BlogPosting'])", "list_has_any(types, ['Organization', 'LocalBusiness'])"
+    plain = "NOT list_contains(types, 'Article')"
+    rules = {
+        "product": [(path("product|tovar|item|goods"), 35), ("NOT root AND priced", 25), ("NOT root AND buy", 30), ("NOT root AND related AND priced AND buy", 10)],
+        "category": [(path("catalog|category|shop|store|collection|products"), 25), ("NOT root AND filter_", 25)],
+        "article": [(path("blog|article|news|stati|post"), 35), (f"NOT root AND {art}", 60), ("NOT root AND n >= 500 AND heads >= 3", 35), ("NOT root AND author", 15), ("NOT root AND dated", 20)],
+        "informational": [(path("contact|kontakty|contacts|o-nas|about|faq|help|pomoshch"), 40), (org, 30), ("NOT root AND n < 500 AND NOT author AND NOT dated", 20), (f"NOT root AND faq AND {plain} AND n < 700", 20), ("NOT root AND (phone OR address) AND NOT dated AND NOT author", 20)],
+        "home": [("root", 90), ("root AND cta", 25), ("root AND inner_links >= 10", 20), ("root AND reviews", 10), ("root AND n >= 180", 10), (f"root AND faq AND {plain} AND n < 700", 10), ("root AND (phone OR address) AND NOT dated AND NOT author", 10)],
+        "landing": [(path("landing|lp|promo"), 25), ("form AND cta AND root", 70), ("form AND cta AND NOT root", 30), (f"n < 220 AND form AND NOT {art} AND root", 25), (f"n < 220 AND form AND NOT {art} AND NOT root", 15)],
+        "contacts": [(path("contact|kontakty|contacts|o-nas|about"), 35), ("phone AND address AND form", 35)],
+    }
+    cols = ", ".join(f"{' + '.join(when(c, n) for c, n in rs)} AS score_{t}" for t, rs in rules.items())
+    every = ", ".join(f"score_{t}" for t in rules)
+    return f"_z AS (SELECT page_id, root, {cols} FROM _y), _s AS (SELECT *, CASE WHEN greatest({every}) = 0 THEN 20 ELSE 0 END AS score_unknown FROM _z)"
+
+
+_CELL = " UNION ALL ".join(f"SELECT page_id, root, '{'informational' if t == 'contacts' else t}' AS k, {i} AS i, score_{t} AS s FROM _s" for i, t in enumerate(C.TYPES))
+
+
+@query("c2_page_types", _page_facts() + ",\n" + _type_scores() + f""",
+_c AS ({_CELL}), _o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, i) AS r FROM _c), _b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, i) AS r2 FROM _c WHERE NOT root OR k IN ('home', 'landing')),
+_q AS (SELECT page_id, max(k) FILTER (r2 = 1) AS page_type, greatest(35, least(98, 2 * max(s) FILTER (r2 = 1) - max(s) FILTER (r2 = 2))) AS confidence FROM _b GROUP BY page_id),
+_g AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY r) AS g FROM _o WHERE k <> 'unknown' AND s > 0), _h AS (SELECT page_id, string_agg(k, ',' ORDER BY g) AS suggestions FROM _g WHERE g <= 3 GROUP BY page_id)
+SELECT _s.page_id, page_type, CAST(confidence AS INT) AS confidence, page_type = 'unknown' OR confidence < 80 AS needs_choice, coalesce(suggestions, '') AS suggestions, {', '.join(f'CAST(score_{t} AS INT) AS score_{t}' for t in C.TYPES)} FROM _s JOIN _q ON _s.page_id = _q.page_id LEFT JOIN _h ON _s.page_id = _h.page_id""", "v_seo_pages")
 def c2(spark, sf_dir):
     return typed(spark, sf_dir).select("page_id", "page_type", "confidence", "needs_choice", F.array_join("suggestions", ",").alias("suggestions"), *[f"score_{t}" for t in C.TYPES])
 
