@@ -41,7 +41,8 @@ K = 64
 LEAST = 40
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
 MARGIN = 0.2  # estimates down to threshold - MARGIN are confirmed exactly; 4.5 standard deviations
-LONG_LIST = 64
+LIKELY = 0.92  # estimates from here on are almost surely of links
+LONG_LIST = 12  # longer lists are compared within tasks, so that pairs to be joined stay few
 BROADCAST_IDS = 1_000_000  # at most 8 MB of ids are broadcast; more are joined by a shuffle
 _TOP = np.uint64(1 << 63)
 SIGNATURE = "doc_id bigint, n bigint, digest binary, sketch array<bigint>"
@@ -145,8 +146,11 @@ def estimate(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def spanning_forest(est: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Which of the pairs of 0..n make up a spanning forest of the highest estimates."""
+def spanning_forest(est: np.ndarray, i: np.ndarray, j: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs of 0..n make up a spanning forest: likely links first, about the least ids (``low``), then by estimate.
+
+    Stars about few ids become components in few rounds.
+    """
     root, kept, left = list(range(n)), [], n - 1
 
     def top(x: int) -> int:
@@ -155,7 +159,8 @@ def spanning_forest(est: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np
             x = root[x]
         return x
 
-    order = np.lexsort((j, i, -est))
+    likely = est >= LIKELY
+    order = np.lexsort((j, i, low, np.where(likely, 0.0, -est), ~likely))
     for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
         if (x := top(x)) != (y := top(y)):
             root[x] = y
@@ -229,7 +234,7 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -
             return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float64"})
         est, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         if spanning:
-            keep = spanning_forest(est, i, j, len(n))
+            keep = spanning_forest(est, i, j, np.minimum(rep[i], rep[j]), len(n))
             est, i, j = est[keep], i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "est": est})
 
@@ -288,9 +293,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = materialize(inverted_lists(classes), "minhash-lists")
     candidates = estimate(short_pairs(lists), classes).union(long_pairs(lists, classes, None)).groupBy("a", "b").agg(F.max("est").alias("est"))
     candidates = materialize(candidates, "minhash-candidates")
-    # First each node's best pairs; what then still parts components is confirmed pair by pair.
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("est"), "a", "b"))
-    ends = candidates.select(F.col("a").alias("node"), "*").union(candidates.select(F.col("b").alias("node"), "*"))
+    # First each node's best pairs, of likely links those to the least ids, which soon meet in stars; what then still
+    # parts components is confirmed pair by pair.
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("likely"), F.when(F.col("likely"), F.col("a")), F.desc("est"), "a", "b"))
+    ends = candidates.select(F.col("a").alias("node"), "*").union(candidates.select(F.col("b").alias("node"), "*")).withColumn("likely", F.col("est") >= LIKELY)
     first = ends.withColumn("place", best).where("place <= 3").select("a", "b").distinct()
     same_id = signed_docs.where("doc_id IS NOT NULL").join(reps, "digest").join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     links = materialize(confirmed(first, docs).union(same_id), "minhash-links")
@@ -299,10 +305,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = candidates.select("a", "b").union(long_pairs(lists, classes, labels).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     more = materialize(confirmed(more, docs), "minhash-links")
+    # Components that these links join are few: only their names go through the rounds again.
+    joins = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     if more.limit(1).count():
-        labels = materialize(components(links.union(more)), "minhash-components")
-    out = signed_docs.join(reps, "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+        joined = materialize(components(joins), "minhash-joined").select(F.col("node").alias("c_"), F.col("component").alias("joined"))
+    else:
+        joined = labels.where("false").select(F.col("node").alias("c_"), F.col("component").alias("joined"))
+    out = signed_docs.join(reps, "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = out.join(joined, F.col("component") == F.col("c_"), "left").withColumn("component", F.coalesce("joined", "component"))
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
