@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
-from crawlsmith.functions.urls import compare_key, host, path_and_query
+from crawlsmith.functions.urls import compare_key, path_and_query
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def root_blocked(robots: DataFrame) -> DataFrame:
     """site, blocked: whether "Disallow: /" stands while the agent * is current; other fields end the agents."""
     by = Window.partitionBy("site").orderBy("pos")
     lines = robots_lines(robots)
-    run = F.sum((F.coalesce(F.lag("field").over(by), F.lit("")) != "user-agent").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("other", ~F.col("field").isin("user-agent", "allow", "disallow"))
-    lines = lines.withColumn("part", F.sum((F.col("other") | ((F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(by), F.lit("")) != "user-agent"))).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.coalesce(F.lag("field").over(by), F.lit(""))
+    opens = F.col("other") | ((F.col("field") == "user-agent") & (before != "user-agent"))
+    lines = lines.withColumn("part", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     star = F.max((F.col("field") == "user-agent") & (F.col("value") == "*")).over(Window.partitionBy("site", "part"))
     hit = (F.col("field") == "disallow") & (F.col("value") == "/") & star
-    del run
     return lines.withColumn("hit", hit).groupBy("site").agg(F.max("hit").alias("blocked"))
 
 
@@ -140,7 +140,3 @@ def robots_home_blocked(robots_rules: DataFrame, sites: DataFrame, agents: list[
         part = evaluate_robots(pages, robots_rules, agent).where("NOT robots_allowed").select("site", F.struct(F.lit(k).alias("k"), F.lit(agent).alias("agent")).alias("a"))
         found = part if found is None else found.union(part)
     return sites.select("site").join(found.groupBy("site").agg(F.min("a").alias("a")), "site", "left").select("site", F.col("a.agent").alias("first_blocked"))
-
-
-def host_of(url):
-    return host(url)

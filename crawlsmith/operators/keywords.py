@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlsmith.functions.text import STOPWORDS, anchor_tokens, collapse, comparable_tokens, query_tokens, seed_phrase, slugify
+from crawlsmith.functions.text import anchor_tokens, collapse, comparable_tokens, query_tokens, seed_phrase, slugify
 
 #: Words of worthless intent, and competing brands.
 STOP = ["скачать", "торрент", "crack", "вакансия", "работа", "wikipedia", "бесплатно", "реферат"]
@@ -226,7 +226,3 @@ def normalize_brief(items: Column, most: int = 20) -> Column:
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
-
-
-def stopword_free(tokens: Column) -> Column:
-    return F.filter(tokens, lambda x: ~x.isin(*STOPWORDS))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
-from crawlsmith.functions.urls import compare_key
 
 AGENTS = ["browser", "google", "yandex"]
 FEATURES = ["http_code", "text_len", "links_count", "has_h1", "has_title", "access_state"]
@@ -175,7 +174,3 @@ def availability(status: DataFrame) -> DataFrame:
     """For each url how many agents are blocked, warned about and served."""
     count = lambda s: F.count_if(F.col("status") == s)
     return status.groupBy("url").agg(count("fail").alias("blocked"), count("warn").alias("warned"), count("ok").alias("served"))
-
-
-def same_page(left: Column, right: Column) -> Column:
-    return compare_key(left) == compare_key(right)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlsmith.functions.urls import depth_level, path, segments, site_keys
+from crawlsmith.functions.urls import depth_level, path, site_keys
 
 BUCKETS = ["commercial", "informational", "application", "search", "documents", "video", "faq", "service", "unknown"]
 #: Path parts, segment words and, last, patterns that put a URL into a bucket, in the order tried.
@@ -129,7 +129,3 @@ def commerce_score(signals: DataFrame, site_type: Column) -> DataFrame:
     total = lambda names: sum((F.col(n).cast("int") for n in names), F.lit(0))
     pick = lambda k: F.when(site_type == "shop", total(COMMERCE["shop"][k])).when(site_type == "service", total(COMMERCE["service"][k])).otherwise(total(COMMERCE["corporate"][k]))
     return signals.select("*", pick(0).alias("critical_found"), pick(1).alias("important_found"), pick(2).alias("additional_found"), (pick(0) + pick(1) + pick(2)).alias("found"), F.lit(10).alias("expected"))
-
-
-def first_segments(url: Column) -> Column:
-    return segments(url)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
-from crawlsmith.functions.urls import host
 from crawlsmith.operators import ai_readiness as A
 from crawlsmith.operators import compare as M
 from crawlsmith.operators import context as X
@@ -286,9 +285,6 @@ def h14(spark, sf_dir):
     return view(spark, sf_dir, "v_pages").select("page_id", H.detect_cms(F.col("html")).alias("cms"), F.array_join(H.detect_analytics(F.col("html")), ",").alias("analytics"))
 
 
-def hosts_of(df):
-    return df.select(host(F.col("url")).alias("host")).distinct()
-
 
 @query("h12_page_context", r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS h1,
   left(""" + d_strip("nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '')") + """, 5000) AS excerpt, CAST(0 AS INT) AS questions FROM v_pages""", "v_pages")
