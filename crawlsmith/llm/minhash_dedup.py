@@ -89,8 +89,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def prefix_length(size: str, n: str) -> str:
     """How many values, rarest first, must be looked up so that no linked set is missed."""
-    # Up to 40 values a linked set is at most 47 values long, so both sketches are whole sets.
-    return f"CASE WHEN {n} <= {LEAST} THEN {n} - CAST(ceil({PERCENT} * {n} / 100) AS INT) + 1 ELSE {size} - {LEAST} + 1 END".replace("{LEAST}", str(LEAST))
+    # Short sets are linked through fewer than LEAST common values: through PERCENT of their own, and no sketch of
+    # a set that may link to one of them leaves any out.
+    return f"{size} - least({LEAST}, CAST(ceil({PERCENT} * {n} / 100) AS INT)) + 1"
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:

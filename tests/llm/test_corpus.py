@@ -82,6 +82,26 @@ def test_families_of_near_copies(spark, monkeypatch, long_list):
     check_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
 
 
+def cut_families():
+    """Texts of 30 to 70 words, each with one copy that is cut or edited at an end and about as far off as a link may be."""
+    docs = []
+    for n in range(30, 71):
+        for d in range(1, 8):
+            w, i = prose(1000 + 100 * n + d, n).split(), 1000 * n + 10 * d
+            edited = [*w[: n - d], *(f"e{i}x{j}" for j in range(d))]
+            docs += [(i, " ".join(w)), (i + 1, " ".join(w[: n - d] if d % 2 else w[d:]))]
+            docs += [(i + 500, " ".join(f"o{x}" for x in w)), (i + 501, " ".join(f"o{x}" for x in edited))]
+    return docs
+
+
+def test_texts_cut_at_their_ends(spark):
+    docs = spark.createDataFrame(cut_families(), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    by = dict(texts(docs))
+    for i in (i for i in by if i % 10 == 0):
+        assert got[i + 1] == brute_components([(i, by[i]), (i + 1, by[i + 1])])[i + 1], (i, len(by[i].split()))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
