@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from crawlsmith.llm import bpe, minhash_dedup, mixing, quality_rules, suffix_dedup
 from crawlsmith.llm._store import materialize, read
 
+NEAR_PERCENT = 80  # of word shingles; the 85 of op1 is that query's contract
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 1. Each text becomes the set of hashes of its five-word shingles, a digest of the set, and the K least hashes
    as its sketch. Equal sets (copies) form a class with one representative; only those go on.
-2. Inverted lists of retained values give candidates. A linked pair shares at least LEAST of its retained
-   values (or its whole sets nearly agree), so it shares one among each side's first K - LEAST + 1, in any common
+2. Inverted lists of retained values give candidates. A linked pair shares at least ``least_common`` of its
+   retained values, so it shares one among each side's first K - least_common + 1, in any common
    order; the rarest come first, so passages that many documents share are hardly ever looked up.
 3. Short lists are joined by value. Long lists are dealt out by value and size band (linked sets differ little
    in size), compared block by block within a task through the sketches, and only pairs that the estimate
@@ -17,13 +17,14 @@ A class with only few candidates never moves its text: full sets are made anew f
 Nulls and edge cases: a null or empty text has an empty set, size 0, and is linked with nothing; a null doc_id
 has a null component and is kept; rows that share a doc_id count as one document with several texts, whose links
 are joined; an empty table gives an empty result; other columns are ignored. A pair at the threshold is missed
-if its sketches share fewer than LEAST values, which has a probability of about 1e-6.
+if its sketches share fewer than ``least_common`` values, which has a probability of at most MISSED.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,8 @@ from crawlsmith.llm._store import materialize
 
 SHINGLE = 5
 K = 64
-LEAST = 40
-PERCENT = 85  # links have 100 * intersection >= PERCENT * union
-MARGIN = 0.2  # estimates down to threshold - MARGIN are confirmed exactly; 4.5 standard deviations
+PERCENT = 85  # links have 100 * intersection >= percent * union; the contract of op1
+MISSED = 1e-6  # probability that a pair at the threshold is missed
 LIKELY = 0.92  # estimates from here on are almost surely of links
 LONG_LIST = 12  # longer lists are compared within tasks, so that pairs to be joined stay few
 BROADCAST_IDS = 1_000_000  # at most 8 MB of ids are broadcast; more are joined by a shuffle
@@ -87,30 +87,36 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
-def prefix_length(size: str, n: str) -> str:
+def least_common(percent: int) -> int:
+    """How many of the K least values of a linked pair's union both sets hold at least; sketches share these."""
+    p, t, missed = percent / 100, 0, 0.0
+    while (missed := missed + comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISSED:
+        t += 1
+    return t
+
+
+def prefix_length(size: str, n: str, percent: int) -> str:
     """How many values, rarest first, must be looked up so that no linked set is missed."""
-    # Short sets are linked through fewer than LEAST common values: through PERCENT of their own, and no sketch of
-    # a set that may link to one of them leaves any out.
-    return f"{size} - least({LEAST}, CAST(ceil({PERCENT} * {n} / 100) AS INT)) + 1"
+    # Short sets are linked through fewer common values: through ``percent`` of their own, and no sketch of a set
+    # that may link to one of them leaves any out.
+    return f"{size} - least({least_common(percent)}, CAST(ceil({percent} * {n} / 100) AS INT)) + 1"
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """v, rep, n, df: the values under which each representative is looked up, with their number of sets."""
     held = classes.select("rep", "ver", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     common = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(common, "v").groupBy("rep", "ver", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # Values of one set only come first in the order; no list needs them.
-    shared = shared.withColumn("take", F.expr(f"{prefix_length('s', 'n')} - (s - size(vs))")).where("take > 0")
+    shared = shared.withColumn("take", F.expr(f"{prefix_length('s', 'n', percent)} - (s - size(vs))")).where("take > 0")
     return shared.select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.col("take").cast("int"))).alias("x")).select("rep", "n", "x.v", "x.df")
 
 
-_SIZES_FIT = f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)"
-
-
-def short_pairs(lists: DataFrame) -> DataFrame:
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b that share a short list and whose sizes allow a link."""
+    sizes_fit = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
     short = lists.where(f"df <= {LONG_LIST}").select("v", "rep", "n")
-    return short.alias("a").join(short.alias("b"), F.expr(f"a.v = b.v AND a.rep < b.rep AND {_SIZES_FIT}")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    return short.alias("a").join(short.alias("b"), F.expr(f"a.v = b.v AND a.rep < b.rep AND {sizes_fit}")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
 def union_sketch(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:
@@ -128,9 +134,9 @@ def union_sketch(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:
     return int((twice <= last).sum()) / k
 
 
-def estimate(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b, est of the pairs whose estimate allows a link."""
-    least = PERCENT / 100 - MARGIN
+    least = least_common(percent) / K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +186,14 @@ def values_ahead(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(flat, return_inverse=True)[1].astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
 
 
-def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """a, b, est of pairs that share a long list and whose estimate allows a link.
 
     Without ``labels`` a spanning forest of them in each part of a list; with ``labels`` (node, component) all
     that are in different components.
     """
-    least, spanning = PERCENT / 100 - MARGIN, labels is None
-    width = -float(np.log(PERCENT / 100))
+    least, spanning = least_common(percent) / K, labels is None
+    width = -float(np.log(percent / 100))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         # Visitors are smaller than all that are at home, so they come first; what is compared is one range.
@@ -204,7 +210,7 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -
         at = np.full(len(values), -1)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(n)):
-            low, high = max(i + 1, visitors), int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
+            low, high = max(i + 1, visitors), int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
             if high <= low:
                 continue
             mine = codes[start[i] : start[i + 1]]
@@ -252,7 +258,7 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None) -
     return homes.groupBy("v", "band").applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) whose full sets are linked."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +274,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     pairs = materialize(pairs.select("a", "b"), "minhash-pairs")
@@ -281,8 +287,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "ha", "hb").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row; links have a Jaccard of ``percent`` or more."""
     signed_docs = materialize(signatures(docs), "minhash-signatures")
     reps = signed_docs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "minhash-classes")
@@ -291,8 +297,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = classes.select("rep", F.xxhash64("digest").alias("ver"), "n", "sketch")
     repeated = signed_docs.where("digest IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 AND doc_id IS NOT NULL")
     classes = materialize(classes.dropDuplicates(["rep", "ver"]) if repeated.limit(1).count() else classes, "minhash-reps")
-    lists = materialize(inverted_lists(classes), "minhash-lists")
-    candidates = estimate(short_pairs(lists), classes).union(long_pairs(lists, classes, None)).groupBy("a", "b").agg(F.max("est").alias("est"))
+    lists = materialize(inverted_lists(classes, percent), "minhash-lists")
+    candidates = estimate(short_pairs(lists, percent), classes, percent).union(long_pairs(lists, classes, None, percent)).groupBy("a", "b").agg(F.max("est").alias("est"))
     candidates = materialize(candidates, "minhash-candidates")
     # First each node's best pairs, of likely links those to the least ids, which soon meet in stars; what then still
     # parts components is confirmed pair by pair.
@@ -300,12 +306,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = candidates.select(F.col("a").alias("node"), "*").union(candidates.select(F.col("b").alias("node"), "*")).withColumn("likely", F.col("est") >= LIKELY)
     first = ends.withColumn("place", best).where("place <= 3").select("a", "b").distinct()
     same_id = signed_docs.where("doc_id IS NOT NULL").join(reps, "digest").join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    links = materialize(confirmed(first, docs).union(same_id), "minhash-links")
+    links = materialize(confirmed(first, docs, percent).union(same_id), "minhash-links")
     labels = materialize(components(links), "minhash-components")
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    more = candidates.select("a", "b").union(long_pairs(lists, classes, labels).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = candidates.select("a", "b").union(long_pairs(lists, classes, labels, percent).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = materialize(confirmed(more, docs), "minhash-links")
+    more = materialize(confirmed(more, docs, percent), "minhash-links")
     # Components that these links join are few: only their names go through the rounds again.
     joins = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     if more.limit(1).count():
@@ -319,8 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
     one = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL"))

@@ -102,6 +102,19 @@ def test_texts_cut_at_their_ends(spark):
         assert got[i + 1] == brute_components([(i, by[i]), (i + 1, by[i + 1])])[i + 1], (i, len(by[i].split()))
 
 
+def test_stage_keeps_one_of_eighty_percent(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "LONG_LIST", 4)
+    docs = []
+    for k in range(8):
+        base = prose(700 + k, 200).split()
+        for j in range(7):  # each edit parts five of 196 shingles: 0.815 and 0.774 of the base's at four and five
+            docs.append((10 * k + j, " ".join(f"edit{k}x{j}x{i}" if i % 20 == 5 and i < 20 * j * (j > 3) else w for i, w in enumerate(base)), "en", "s"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    want = brute_components(texts(df), 80)
+    assert want != brute_components(texts(df), 85)
+    assert {i for i, _ in texts(corpus_pipeline.near_dedup(spark, df, ""))} == set(want.values())
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
