@@ -5,10 +5,11 @@
 2. Inverted lists of retained values give candidates. A linked pair shares at least ``least_common`` of its
    retained values, so it shares one among each side's first K - least_common + 1, in any common
    order; the rarest come first, so passages that many documents share are hardly ever looked up.
-3. Short lists are joined by value. Long lists are dealt out by value and size band (linked sets differ little
-   in size), compared block by block within a task through the sketches, and only pairs that the estimate
-   passes leave it. In the first round that is a spanning forest of the estimated links; once its links are
-   confirmed, all estimated pairs that are still in different components follow.
+3. Short lists are joined by value. Long lists are dealt out by value, size band (linked sets differ little
+   in size) and block, compared within a task through the sketches, and only pairs that the estimate passes leave
+   it. In the first round each block gives a spanning forest of its estimated links, and the components of several
+   lists meet; once its links are confirmed, all estimated pairs that are still in different components follow,
+   from every two blocks that do not lie in one component. No task holds more than two blocks.
 4. The estimate counts, among the K least values of both sketches together, those in both.
 5. Exact Jaccard of the full sets confirms links; components are found by rewriting links to stars.
 
@@ -43,6 +44,8 @@ PERCENT = 85  # links have 100 * intersection >= percent * union; the contract o
 MISSED = 1e-6  # probability that a pair at the threshold is missed
 LIKELY = 0.92  # estimates from here on are almost surely of links
 LONG_LIST = 12  # longer lists are compared within tasks, so that pairs to be joined stay few
+BLOCK = 2048  # rows of a long list that are compared with each other or with another block in one go
+THIN = 1_000_000  # pairs of a spanning forest in the making
 BROADCAST_IDS = 1_000_000  # at most 8 MB of ids are broadcast; more are joined by a shuffle
 _TOP = np.uint64(1 << 63)
 SIGNATURE = "doc_id bigint, n bigint, digest binary, sketch array<bigint>"
@@ -186,18 +189,55 @@ def values_ahead(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(flat, return_inverse=True)[1].astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
 
 
+_PART = ["v", "at", "left", "right", "inner"]
+
+
+def blocks(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """v, df, rep, n, component, home and the part (_PART) of each row of the long lists that is compared there.
+
+    A set is at home in its size band and visits the next one, which holds the sizes it may link to.
+    """
+    tag = "minhash-blocks"
+    part = lambda k: F.pmod(F.xxhash64("v", "rep", "n"), F.coalesce(k, F.lit(1)))
+    visits = F.explode(F.array(F.struct(F.col("band").alias("at"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("at"), F.lit(False).alias("home"))))
+    many = lambda sizes: sizes.where(f"k > {BLOCK}").withColumn("k", F.ceil(F.col("k") / BLOCK))
+    if labels is None:
+        long = lists.withColumn("component", F.col("rep")).withColumn("x", visits).select("v", "df", "rep", "n", "component", "x.at", "x.home")
+        large = many(long.groupBy("v", "at").agg(F.count(F.lit(1)).alias("k")))
+        return long.join(F.broadcast(large), ["v", "at"], "left").withColumn("left", part(F.col("k"))).withColumn("right", F.col("left")).withColumn("inner", F.lit(True)).drop("k")
+    long = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = materialize(long.groupBy("v", "band", "component").agg(F.count(F.lit(1)).alias("k")), tag)
+    # Large components have blocks of their own; the rest of a list shares some.
+    own = many(sizes).withColumnRenamed("k", "ko")
+    rest = many(sizes.where(f"k <= {BLOCK}").groupBy("v", "band").agg(F.sum("k").alias("k")))
+    long = long.join(F.broadcast(own), ["v", "band", "component"], "left").join(F.broadcast(rest), ["v", "band"], "left")
+    long = long.withColumn("block", F.when(F.col("ko").isNotNull(), F.xxhash64("component", part(F.col("ko")))).otherwise(part(F.col("k"))))
+    long = materialize(long.select("v", "df", "band", "rep", "n", "component", "block"), tag)
+    held = materialize(long.groupBy("v", "band", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), tag)
+    # Every two blocks of a band and the next, but for those that lie in one component.
+    near = held.withColumn("x", visits).select("v", F.col("block").alias("left"), "x.at", F.col("x.home").alias("same"), F.col("low").alias("a"), F.col("high").alias("b"))
+    pairs = near.join(held.withColumnRenamed("band", "at").withColumnRenamed("block", "right"), ["v", "at"])
+    pairs = pairs.where("NOT (a = b AND low = high AND a = low) AND (NOT same OR left <= right)").withColumn("inner", F.expr("same AND left = right"))
+    # The left block's own band tells it from one of the same number in the next band.
+    side = lambda block, band, home: F.struct(F.col(block).alias("block"), band.alias("band"), F.lit(home).alias("home"))
+    left, right = side("left", F.expr("IF(same, at, at - 1)"), False), side("right", F.col("at"), True)
+    sides = pairs.withColumn("x", F.explode(F.when(F.col("inner"), F.array(right)).otherwise(F.array(left, right))))
+    sides = sides.select("v", "at", F.xxhash64("left", "same").alias("left"), "right", "inner", "x.block", "x.band", "x.home")
+    return long.join(sides, ["v", "band", "block"]).select("v", "df", "rep", "n", "component", "home", "at", "left", "right", "inner")
+
+
 def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """a, b, est of pairs that share a long list and whose estimate allows a link.
 
-    Without ``labels`` a spanning forest of them in each part of a list; with ``labels`` (node, component) all
+    Without ``labels`` a spanning forest of them in each block of a list; with ``labels`` (node, component) all
     that are in different components.
     """
     least, spanning = least_common(percent) / K, labels is None
     width = -float(np.log(percent / 100))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        # Visitors are smaller than all that are at home, so they come first; what is compared is one range.
-        part = part.sort_values(["n", "rep"], kind="stable")
+        # Visitors come first; what is compared is one range of those at home, by size.
+        part = part.sort_values(["home", "n", "rep"], kind="stable")
         n, rep, label = (part[c].to_numpy() for c in ("n", "rep", "component"))
         visitors = int((~part["home"]).sum())
         length = np.array([len(x) for x in part["sketch"]])
@@ -209,8 +249,17 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
         place = np.arange(len(codes)) - np.repeat(start[:-1], length)  # of a value within its sketch
         at = np.full(len(values), -1)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(n)):
-            low, high = max(i + 1, visitors), int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        pending = 0
+
+        def thinned(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            est, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = spanning_forest(est, i, j, np.minimum(rep[i], rep[j]), len(n))
+            return est[keep], i[keep], j[keep]
+
+        home = n[visitors:]
+        for i in range(len(n) if part["inner"].iloc[0] else visitors):
+            low = i + 1 if i >= visitors else visitors + int(np.searchsorted(home, -(-n[i] * percent // 100)))
+            high = visitors + int(np.searchsorted(home, n[i] * 100 // percent, side="right"))
             if high <= low:
                 continue
             mine = codes[start[i] : start[i + 1]]
@@ -236,26 +285,23 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
                 ok &= before[bounds[1:]] == before[bounds[:-1]]
                 seen[ahead[ahead_start[i] : ahead_start[i + 1]]] = False
             if (j := np.flatnonzero(ok)).size:
-                found.append((est[j], np.full(j.size, i), j + low))
+                found.append((est[j], np.full(j.size, i, np.int32), (j + low).astype(np.int32)))
+                pending += j.size
+            if spanning and pending > THIN:
+                found, pending = [thinned(found)], 0
         if not found:
             return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float64"})
-        est, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        if spanning:
-            keep = spanning_forest(est, i, j, np.minimum(rep[i], rep[j]), len(n))
-            est, i, j = est[keep], i[keep], j[keep]
+        est, i, j = thinned(found) if spanning else (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "est": est})
 
-    long = lists.where(f"df > {LONG_LIST}").join(classes.select("rep", "n", "sketch"), ["rep", "n"])
+    long = lists.where(f"df > {LONG_LIST}").withColumn("band", F.floor(F.log("n") / width))
+    parts = blocks(long, labels).join(classes.select("rep", "n", "sketch"), ["rep", "n"])
     if labels is None:
-        long = long.withColumn("component", F.col("rep")).withColumn("own", F.lit(None).cast("array<struct<df:bigint,v:bigint>>"))
+        parts = parts.withColumn("own", F.lit(None).cast("array<struct<df:bigint,v:bigint>>"))
     else:
-        long = long.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        long = long.join(lists.where(f"df > {LONG_LIST}").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("own")), ["rep", "n"])
-    band = F.floor(F.log("n") / width)
-    # A set is at home in its size band and visits the next one, which holds the sizes it may link to.
-    homes = long.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))))
-    homes = homes.select("v", "df", "at.band", "at.home", "rep", "n", "sketch", "component", "own")
-    return homes.groupBy("v", "band").applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+        parts = parts.join(long.groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("own")), ["rep", "n"])
+    parts = parts.select(*_PART, "df", "home", "rep", "n", "sketch", "component", "own")
+    return parts.groupBy(*_PART).applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

@@ -115,6 +115,27 @@ def test_stage_keeps_one_of_eighty_percent(spark, monkeypatch):
     assert {i for i, _ in texts(corpus_pipeline.near_dedup(spark, df, ""))} == set(want.values())
 
 
+def test_no_task_holds_a_whole_family(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "LONG_LIST", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 6)
+    sizes, whole = [], minhash_dedup.blocks
+
+    def counted(lists, labels):
+        out = whole(lists, labels)
+        sizes.append(max((r["count"] for r in out.groupBy("v", "at", "left", "right", "inner").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "blocks", counted)
+    docs, base = [], prose(31, 220).split()
+    for k in range(60):
+        copy = list(base) + (prose(900 + k // 20, 10 * (k // 20)).split() if k >= 20 else [])
+        for j in range(k % 8):
+            copy[(37 * j + 11 * k) % len(copy)] = f"edit{k}x{j}"
+        docs.append((k, " ".join(copy)))
+    check_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert len(sizes) == 2 and max(sizes) <= 5 * 6 < 60
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
