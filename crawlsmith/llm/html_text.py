@@ -175,30 +175,45 @@ class Layout:
         self.gap = 1
 
 
-def rows_of(table: Node) -> list[list[Node]]:
-    found: list[list[Node]] = []
-    for node in table.children:
-        if isinstance(node, Node) and node.seen():
-            if node.tag == "tr":
-                found.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and c.seen()])
-            elif node.tag in ("thead", "tbody", "tfoot"):
-                found += rows_of(node)
-            elif node.tag in ("td", "th"):
-                found.append([node])
-    return [r for r in found if r]
+def holds_cells(node: Node) -> bool:
+    """Whether rows or cells of the table around it are in a node that is no part of a table."""
+    if node.tag in ("table", "caption", "pre") or node.tag == "details" and node.get("open") is None:
+        return False
+    return any(isinstance(c, Node) and (c.tag in ("tr", "td", "th") or holds_cells(c)) for c in node.children if isinstance(c, str) or c.seen())
+
+
+def split_table(node: Node, rows: list[list[Node]], loose: list[Node | str], row: list[Node] | None = None) -> None:
+    """Sorts what is seen in a table into rows of cells and all else, which stands before the table."""
+    for child in node.children:
+        if isinstance(child, str):
+            loose.append(child)
+        elif not child.seen():
+            continue
+        elif child.tag == "tr":
+            rows.append([])
+            split_table(child, rows, loose, rows[-1])
+        elif child.tag in ("td", "th"):
+            rows.append([child]) if row is None else row.append(child)
+        elif child.tag in ("thead", "tbody", "tfoot", "colgroup") or holds_cells(child):
+            split_table(child, rows, loose, row)
+        else:
+            loose.append(child)
 
 
 def render_table(table: Node, out: Layout) -> None:
-    for node in table.children:
-        if isinstance(node, Node) and (node.tag == "caption" or node.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col")) and node.seen():
+    rows: list[list[Node]] = []
+    loose: list[Node | str] = []
+    split_table(table, rows, loose)
+    for node in loose:
+        if isinstance(node, Node):
             render(node, out)
             out.end_line()
-        elif isinstance(node, str) and node.strip():
+        elif node.strip():
             out.add(node)
     out.end_line()
     grid: list[list[list[str]]] = []
     held: dict[int, int] = {}  # columns that a cell of an earlier row still covers, with rows left
-    for row in rows_of(table):
+    for row in filter(None, rows):
         cells: list[list[str]] = []
         for cell in row:
             while held.get(len(cells), 0):

@@ -336,6 +336,16 @@ def test_html(spark):
     assert rows(html_text.extract_text(pages), "page_id", "text") == sorted([(1, None), (None, ""), (2, "x"), (2, "x")], key=str)
 
 
+def test_all_that_is_in_a_table_is_kept():
+    text = lambda page: html_text.extract(f"<table>{page}</table>")[1]
+    assert text("<tr><form><td>a</td><td>b</td></form></tr>") == "a | b"
+    assert text("<tbody><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></tbody>") == "a | b\nc | d"
+    assert text("<tr><a><span><td>a</td></span></a><div><th>b</th></div></tr>") == "a | b"
+    assert text("<tbody>t <tr>r <td>a</td><b>x</b></tr><p>y</p></tbody>").split() == ["t", "r", "x", "y", "a"]
+    assert text("<tr><div hidden><td>no</td></div><td>a</td></tr><details><summary>s</summary><p>no</p></details>").split() == ["s", "a"]
+    assert text("<tr><td><table><tr><form><td>in</form></table></td><td>b</td></tr>") == "in | b"
+
+
 # Pipeline
 
 
