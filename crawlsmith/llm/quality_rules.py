@@ -83,11 +83,17 @@ def groups_sql(rows: str) -> str:
 
 
 def members_sql(rows: str, groups: str) -> str:
-    """Rows under the group that judges them; those of small groups also count for the group of all."""
+    """Rows under the group that judges them, small groups pooled: the pool of the DuckDB text below, not of ``fit``."""
     xs = ", ".join(f"x{i}" for i in P)
     return f"SELECT CASE WHEN g.gid IS NULL THEN '' ELSE r.gid END AS gid, {xs} FROM {rows} r LEFT JOIN {groups} g ON r.gid = g.gid WHERE NOT r.base_failed"
 
 
+def pooled_sql(rows: str, groups: str) -> str:
+    """All rows under '', the group that judges small groups, and those of large groups also under their own."""
+    xs = ", ".join(f"r.x{i} AS x{i}" for i in P)
+    return f"SELECT '' AS gid, {xs} FROM {rows} r WHERE NOT r.base_failed UNION ALL SELECT r.gid AS gid, {xs} FROM {rows} r JOIN {groups} g ON r.gid = g.gid WHERE NOT r.base_failed"
+
+
 def sums_sql(rows: str) -> str:
     parts = [f"sum(x{i}) AS s{i}" for i in P] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in P for j in P if j <= i]
     return f"SELECT gid, count(*) AS n, {', '.join(parts)} FROM {rows} GROUP BY gid"
@@ -133,7 +139,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The groups that are judged by themselves, and each group's centre and factor."""
     spark = rows.sparkSession
     groups = materialize(spark.sql(groups_sql("{rows}"), rows=rows), "quality-groups")
-    members = materialize(spark.sql(members_sql("{rows}", "{groups}"), rows=rows, groups=groups), "quality-members")
+    members = materialize(spark.sql(pooled_sql("{rows}", "{groups}"), rows=rows, groups=groups), "quality-members")
     stats = materialize(spark.sql(factor_sql(f"({sums_sql('{members}')}) s", 1.0), members=members), "quality-stats")
     for _ in range(STEPS):
         nearest = materialize(spark.sql(nearest_sql("{members}", "{stats}"), members=members, stats=stats), "quality-nearest")

@@ -282,6 +282,14 @@ def test_outliers_are_rejected(spark):
     assert all(got[k] for k in range(120)) and not any(got[900 + k] for k in range(12))
 
 
+def test_rare_sources_are_judged_against_all(spark):
+    spam = lambda k: " ".join(x + "&&&" for x in prose(k, 150).split())
+    docs = [(k, prose(k, 150 + k), "en", "s") for k in range(120)] + [(800, spam(800), "en", "lone"), (801, prose(801, 160), "en", "fine")] + [(900 + k, spam(900 + k), None, "few") for k in range(5)]
+    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[k] for k in range(120)) and got[801]
+    assert not got[800] and not any(got[900 + k] for k in range(5))
+
+
 def test_mixing(spark, hard_docs, no_docs):
     docs = [(k, prose(k, 20 + k % 30), "abc"[k % 3] if k % 50 else None) for k in range(600)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
