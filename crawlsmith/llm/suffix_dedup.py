@@ -1,52 +1,54 @@
-"""Suffix-array dedup: every byte of a repeated 400-byte string is removed, at each of its places.
+"""Suffix-array dedup: every byte of a repeated string of a given length is removed, at each of its places.
 
 A suffix array of the whole corpus would move many times its bytes, so suffixes are first parted into groups
-that cannot share a long match with others. In each 400-byte window the 128-byte string with the least hash is
-the window's anchor; equal windows have equal anchors at the same place, so a repeated window lies around an
-anchor string that occurs at least twice. About one byte in 137 starts an anchor.
-
-1. One scan finds each text's anchors. Equal anchors with equal surroundings inside a text are settled at
-   once (runs of one word would else flood the next steps); equal texts are settled by their digest.
-2. Anchor strings that occur once are dropped. Of the others, the surroundings go to a group: up to 272
-   bytes before and 400 after; where these overlap for equal anchors of a text, they go as one region.
+that cannot share a long match with others. In each window of the least length the GRAM-byte string with the least
+hash is the window's anchor; equal windows have equal anchors at the same place, so a repeated window lies around
+an anchor string that occurs at least twice. Longer windows hold such windows. Several lengths are judged at once.
+
+1. One scan finds each text's anchors, long texts in overlapping stretches. Equal anchors with equal surroundings
+   inside a stretch are settled at once (runs of one word would else flood the next steps); equal texts are
+   settled by their digest.
+2. Anchor strings that occur once are dropped. Of the others, the surroundings go to a group: what a window may
+   hold before the anchor and after; where these overlap for equal anchors of a text, they go as one region.
 3. Within a group the suffixes at the anchors are merge-sorted. Two suffixes are compared through prefix
    polynomial hashes: binary search finds the length of their common extension, then one byte decides. So runs
-   of suffixes that agree in the first r bytes lie together. For each offset o, windows that start o bytes before an
-   anchor are equal if their anchors are in one run for r = 400 - o and the o bytes before them are equal.
+   of suffixes that agree in the first r bytes lie together. For each offset o, windows of n bytes that start o bytes
+   before an anchor are equal if their anchors are in one run for r = n - o and the o bytes before them are equal.
    Matches are verified byte by byte; a hash collision makes the group start anew without hashes.
-4. Anchors that occur more than HOT times are not brought together: blocks of window offsets, then
-   single windows, are counted by 128-bit hashes, pre-aggregated in each task.
-
-Nulls and edge cases: a null text counts as empty; texts under 400 bytes lose nothing; rows are judged by their
-text, so null or repeated doc_ids need no care; equal texts of at least 400 bytes lose everything, each copy; an empty table
-gives an empty result; a very long text is taken whole; other columns are ignored, or passed on by ``remove``.
+4. A group holds about GROUP anchors, so the places of an anchor that has more are first split by what lies around
+   them: windows at neighbouring offsets share bytes, and only places that agree in these bytes come together, one of
+   each content. Such parts are sorted like the groups; a part that is still too large is split at single offsets,
+   where bytes that agree are the window itself. No task holds all places of an anchor.
+
+Nulls and edge cases: a null text counts as empty; shorter texts lose nothing; rows are judged by their
+text, so null or repeated doc_ids need no care; equal texts of at least the length lose everything, each copy; an empty
+table gives an empty result; a very long text is one row of its task, and scanned STRETCH bytes at a time; other
+columns, whatever their names, are ignored, or passed on by ``remove``.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from struct import pack
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsmith.llm import _hashing
 from crawlsmith.llm._arrow import chunks, text_bytes
 from crawlsmith.llm._hashing import finish, prefixes, spans
-from crawlsmith.llm._store import materialize
-
-LENGTH = 400
-GRAM = 128
-REACH = LENGTH - GRAM  # most bytes of a window before its anchor
-HOT = 200_000  # places; as many suffixes are sorted in one task at most
-GROUP = 4_000  # anchors that a task sorts at a time, if no string has more
-BLOCK = 16  # window offsets that are counted together for hot anchors
-BROADCAST_IDS = 200_000  # at most about 20 MB of digests are broadcast; more are joined by a shuffle
+from crawlsmith.llm._store import Tables
+
+LENGTH = 400  # the contract of op8
+PASSAGE = 250  # bytes; nineteen of twenty passages of over 50 words are longer
+GRAM = 96
+STRETCH = 1 << 20  # bytes of a long text that are scanned at a time
+GROUP = 4_000  # anchors that a task sorts at a time; about twice as many places of one anchor at most
+BLOCK = 16  # neighbouring window offsets by whose common bytes an anchor's places are split
+BROADCAST_IDS = 100_000  # at most about 10 MB of digests are broadcast; more are joined by a shuffle
 _HEX_EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-ANCHORS = "digest string, settled array<struct<a:int,b:int>>, anchors array<struct<gram:bigint,pos:int>>"
+ANCHORS = "digest string, settled array<struct<n:int,a:int,b:int>>, anchors array<struct<gram:bigint,pos:int>>"
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -59,32 +61,51 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_anchors(data: np.ndarray, offsets: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and hash of the anchors of the texts data[offsets[i] : offsets[i + 1]]."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
+    none, reach = np.zeros(0, np.int64), shortest - GRAM
+    if len(data) < shortest:
         return none, none, np.zeros(0, np.uint64)
     prefix = prefixes(data)
-    start = np.arange(len(data) - GRAM + 1)
-    hashes = finish((prefix[GRAM:] - prefix[: len(start)]) * _hashing.powers(len(prefix))[1][: len(start)])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    least = _sliding(hashes, REACH + 1, np.minimum)  # of the window that starts here
-    least[row[: len(least)] != row[LENGTH - 1 :]] = 0  # windows that reach into the next text do not count
-    padded = np.zeros(len(hashes) + REACH, np.uint64)
-    padded[REACH : REACH + len(least)] = least
-    highest = _sliding(padded, REACH + 1, np.maximum)  # over all windows that hold the place
+    hashes = finish((prefix[GRAM:] - prefix[:-GRAM]) * _hashing.powers(len(prefix))[1][: len(data) - GRAM + 1])
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    least = _sliding(hashes, reach + 1, np.minimum)  # of the window that starts here
+    least[row[: len(least)] != row[shortest - 1 :]] = 0  # windows that reach into the next text do not count
+    padded = np.zeros(len(hashes) + reach, np.uint64)
+    padded[reach : reach + len(least)] = least
+    highest = _sliding(padded, reach + 1, np.maximum)  # over all windows that hold the place
     at = np.flatnonzero((highest == hashes) & (highest != 0))
-    return row[at], at, hashes[at]
+    return row[at].astype(np.int64), at, hashes[at]
+
 
+def stretches(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Ranges a..b of rows, and bytes x..y of their texts: rows together, or parts of one text of over STRETCH bytes.
+
+    A part sees ``most`` bytes more on either side than the bytes start..end that are its own.
+    """
+    for a, b in chunks(offsets, STRETCH):
+        n = int(offsets[b] - offsets[a])
+        step = STRETCH if b - a == 1 else n
+        for start in range(0, max(n, 1), max(step, 1)):
+            end = min(n, start + step)
+            yield a, b, max(0, start - most), min(n, end + most), start, end
 
-def scan(column: pa.Array) -> Iterator[tuple[int, int, list, list]]:
+
+def scan(column: pa.Array, lengths: Sequence[int]) -> Iterator[tuple[int, int, list, list]]:
     """For ranges of rows: settled intervals and remaining anchors of each text, at byte places within it."""
     offsets, data = text_bytes(column)
-    for a, b in chunks(offsets):
-        own = offsets[a : b + 1] - offsets[a]
-        bytes_ = data[offsets[a] : offsets[b]]
-        row, at, gram = find_anchors(bytes_, own)
-        low, high = np.maximum(own[row], at - REACH), np.minimum(own[row + 1], at + LENGTH)
+    shortest, longest = min(lengths), max(lengths)
+    back = longest - GRAM
+    parts: list[tuple[list, np.ndarray, np.ndarray]] = []
+    for a, b, x, y, start, end in stretches(offsets, longest):
+        own = np.clip(offsets[a : b + 1] - offsets[a], x, y) - x
+        bytes_ = data[offsets[a] + x : offsets[a] + y]
+        row, at, gram = find_anchors(bytes_, own, shortest)
+        whole = int(offsets[b] - offsets[a])
+        if end - start < whole:
+            mine = (at >= start - x) & (at < end - x)
+            row, at, gram = row[mine], at[mine], gram[mine]
+        low, high = np.maximum(own[row], at - back), np.minimum(own[row + 1], at + longest)
         around = spans(prefixes(bytes_), low, high) + finish((at - low).astype(np.uint64)) if len(at) else gram
         order = np.lexsort((at, around, row))
         same = np.zeros(len(order), bool)  # as the one before
@@ -94,35 +115,42 @@ def scan(column: pa.Array) -> Iterator[tuple[int, int, list, list]]:
             same[k] = high[i] - low[i] == high[j] - low[j] and np.array_equal(bytes_[low[i] : high[i]], bytes_[low[j] : high[j]])
         repeated = same.copy()
         repeated[:-1] |= same[1:]
-        full = order[repeated & (high[order] - low[order] >= LENGTH)]
         settled: list[list] = [[] for _ in range(b - a)]
-        for i in np.sort(full):
-            r, x, y = int(row[i]), int(low[i] - own[row[i]]), int(high[i] - own[row[i]])
-            if settled[r] and settled[r][-1]["b"] >= x:
-                settled[r][-1]["b"] = max(y, settled[r][-1]["b"])
+        for i in np.sort(order[repeated & (high[order] - low[order] >= shortest)]):
+            r, p, q = int(row[i]), int(low[i] - own[row[i]]) + x, int(high[i] - own[row[i]]) + x
+            n = min(q - p, longest)  # windows of at most n bytes are repeated throughout
+            if settled[r] and settled[r][-1]["n"] == n and settled[r][-1]["b"] >= p:
+                settled[r][-1]["b"] = max(q, settled[r][-1]["b"])
             else:
-                settled[r].append({"a": x, "b": y})
+                settled[r].append({"n": n, "a": p, "b": q})
         left = np.sort(order[~same])
         ends = np.searchsorted(row[left], np.arange(b - a + 1))
-        places, grams = (at[left] - own[row[left]]).astype(np.int32), gram[left].view(np.int64)
-        yield a, b, settled, [ends, places, grams]
-
-
-def anchored(docs: DataFrame) -> DataFrame:
+        places, grams = (at[left] - own[row[left]] + x).astype(np.int32), gram[left].view(np.int64)
+        if end - start == whole:
+            yield a, b, settled, [ends, places, grams]
+            continue
+        parts.append((settled[0], places, grams))
+        if end == whole:
+            places, grams = (np.concatenate([part[k] for part in parts]) for k in (1, 2))
+            yield a, b, [[v for part in parts for v in part[0]]], [np.array([0, len(places)]), places, grams]
+            parts = []
+
+
+def anchored(docs: DataFrame, lengths: Sequence[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            for a, b, settled, (ends, places, grams) in scan(batch.column(1)):
+            for a, b, settled, (ends, places, grams) in scan(batch.column(1), lengths):
                 anchors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(grams), pa.array(places)], ["gram", "pos"]))
-                kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(settled, kind), anchors], ["digest", "settled", "anchors"])
 
-    return docs.where(F.octet_length("text") >= LENGTH).select("digest", "text").mapInArrow(run, ANCHORS).where("size(settled) > 0 OR size(anchors) > 0")
+    return docs.where(F.octet_length("text") >= min(lengths)).select("digest", "text").mapInArrow(run, ANCHORS).where("size(settled) > 0 OR size(anchors) > 0")
 
 
 class Suffixes:
     """The regions around a group's anchors, and comparisons of the suffixes that start at the anchors."""
 
-    def __init__(self, gram: np.ndarray, first: np.ndarray, places: pa.ListArray, around: pa.Array) -> None:
+    def __init__(self, gram: np.ndarray, first: np.ndarray, places: pa.ListArray, around: pa.Array, longest: int = LENGTH) -> None:
         offsets, data = text_bytes(around)
         self.bytes = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
@@ -131,8 +159,8 @@ class Suffixes:
         self.region, self.place = region, places.flatten().to_numpy().astype(np.int64)
         self.gram = gram[region]
         self.at = offsets[region] + self.place - first[region]
-        self.left = np.minimum(self.at - offsets[region], REACH)
-        self.right = np.minimum(offsets[region + 1] - self.at, LENGTH)
+        self.left = np.minimum(self.at - offsets[region], longest - GRAM)
+        self.right = np.minimum(offsets[region + 1] - self.at, longest)
         self.prefix = prefixes(self.bytes)
         self.inverse = _hashing.powers(len(self.prefix))[1]
 
@@ -196,58 +224,63 @@ class Suffixes:
         return bool((self.bytes[np.repeat(x, n) + within] == self.bytes[np.repeat(y, n) + within]).all())
 
 
-def repeated_windows(s: Suffixes) -> list[tuple[int, int, int]]:
-    """(anchor, least, most): offsets before the anchor at which repeated windows start."""
+def repeated_windows(s: Suffixes, lengths: Sequence[int]) -> list[tuple[int, int, int, int]]:
+    """(anchor, length, least, most): offsets before the anchor at which repeated windows of that length start."""
     order = s.sorted()
     lcp = np.full(len(order), -1)
     same = np.flatnonzero(s.gram[order][1:] == s.gram[order][:-1]) + 1
     lcp[same] = s.common(order[same - 1], order[same])
     if not s.equal(s.at[order[same - 1]], s.at[order[same]], lcp[same]):
-        return exact_windows(s)
-    found, partner = [], np.full(len(order), -1)
-    since = np.zeros(len(order), np.int64)
-    for o in range(REACH + 2):
-        now = np.full(len(order), -1)
-        if o <= REACH:
-            run = np.cumsum(lcp < LENGTH - o)
-            fits = np.flatnonzero((s.left[order] >= o) & (s.right[order] >= LENGTH - o))
-            if len(fits) > 1:
-                i = order[fits]
-                key = finish(s.hashed(s.at[i] - o, s.at[i])) + run[fits].astype(np.uint64) * _hashing.SEED
-                by = np.argsort(key, kind="stable")
-                pair = np.flatnonzero((key[by][1:] == key[by][:-1]) & (run[fits[by]][1:] == run[fits[by]][:-1]))
-                now[fits[by[pair]]] = i[by[pair + 1]]
-                now[fits[by[pair + 1]]] = i[by[pair]]
-        ended = np.flatnonzero((partner >= 0) & (now != partner))
-        back = np.full(len(ended), o - 1)
-        if not s.equal(s.at[order[ended]] - back, s.at[partner[ended]] - back, back):
-            return exact_windows(s)
-        for k in np.flatnonzero((partner >= 0) & (now < 0)):
-            found.append((int(order[k]), int(since[k]), o - 1))
-        since[(partner < 0) & (now >= 0)] = o
-        partner = now
+        return exact_windows(s, lengths)
+    best = np.maximum(lcp, np.append(lcp[1:], -1))  # the longest extension that a suffix has in common with any other
+    found = []
+    for length in lengths:
+        partner = np.full(len(order), -1)
+        since = np.zeros(len(order), np.int64)
+        for o in range(length - GRAM + 2):
+            now = np.full(len(order), -1)
+            if o <= length - GRAM:
+                fits = np.flatnonzero((best >= length - o) & (s.left[order] >= o) & (s.right[order] >= length - o))
+                if len(fits) > 1:
+                    run = np.cumsum(lcp < length - o)[fits]
+                    i = order[fits]
+                    key = finish(s.hashed(s.at[i] - o, s.at[i])) + run.astype(np.uint64) * _hashing.SEED
+                    by = np.argsort(key, kind="stable")
+                    pair = np.flatnonzero((key[by][1:] == key[by][:-1]) & (run[by][1:] == run[by][:-1]))
+                    now[fits[by[pair]]] = i[by[pair + 1]]
+                    now[fits[by[pair + 1]]] = i[by[pair]]
+            ended = np.flatnonzero((partner >= 0) & (now != partner))
+            back = np.full(len(ended), o - 1)
+            if not s.equal(s.at[order[ended]] - back, s.at[partner[ended]] - back, back):
+                return exact_windows(s, lengths)
+            for k in np.flatnonzero((partner >= 0) & (now < 0)):
+                found.append((int(order[k]), length, int(since[k]), o - 1))
+            since[(partner < 0) & (now >= 0)] = o
+            partner = now
     return found
 
 
-def exact_windows(s: Suffixes) -> list[tuple[int, int, int]]:
+def exact_windows(s: Suffixes, lengths: Sequence[int]) -> list[tuple[int, int, int, int]]:
     """The same by comparing whole windows, for groups in which hashes collide."""
     found = []
     data = s.bytes.tobytes()
-    for o in range(REACH + 1):
-        seen: dict[tuple[int, bytes], list[int]] = {}
-        for i in np.flatnonzero((s.left >= o) & (s.right >= LENGTH - o)):
-            start = int(s.at[i]) - o
-            seen.setdefault((int(s.gram[i]), data[start : start + LENGTH]), []).append(int(i))
-        found += [(i, o, o) for own in seen.values() if len(own) > 1 for i in own]
+    for length in lengths:
+        for o in range(length - GRAM + 1):
+            seen: dict[tuple[int, bytes], list[int]] = {}
+            for i in np.flatnonzero((s.left >= o) & (s.right >= length - o)):
+                start = int(s.at[i]) - o
+                seen.setdefault((int(s.gram[i]), data[start : start + length]), []).append(int(i))
+            found += [(i, length, o, o) for own in seen.values() if len(own) > 1 for i in own]
     return found
 
 
-def surroundings(texts: DataFrame, flagged: DataFrame) -> DataFrame:
+def surroundings(texts: DataFrame, flagged: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """Regions around the flagged anchors (digest, list of gram, pos, hot) of texts.
 
     A row has digest, gram, hot, first (the region's start in the text), places (of the anchors in the text) and around,
     the region's bytes.
     """
+    longest = max(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +292,7 @@ def surroundings(texts: DataFrame, flagged: DataFrame) -> DataFrame:
             order = np.lexsort((pos, gram, row))
             row, pos, gram, hot = row[order], pos[order], gram[order], flat.field("hot").take(pa.array(order))
             at = offsets[row] + pos
-            low, high = np.maximum(offsets[row], at - REACH), np.minimum(offsets[row + 1], at + LENGTH)
+            low, high = np.maximum(offsets[row], at - longest + GRAM), np.minimum(offsets[row + 1], at + longest)
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (low[1:] > high[:-1])
             starts = np.flatnonzero(new)
@@ -276,97 +309,99 @@ def surroundings(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     return texts.join(flagged, "digest").select("digest", "text", "anchors").mapInArrow(run, "digest string, gram bigint, hot boolean, first int, places array<int>, around binary")
 
 
-def group_intervals(around: DataFrame, n: int) -> DataFrame:
-    """digest, a, b: repeated intervals found in groups of anchors; ``n`` is about the number of anchors."""
+def group_intervals(regions: DataFrame, n: int, lengths: Sequence[int]) -> DataFrame:
+    """digest, n, a, b: repeated intervals found in groups of anchors; ``n`` is about the number of anchors."""
 
     def run(table: pa.Table) -> pa.Table:
         digest = table["digest"].combine_chunks()
-        suffixes = Suffixes(table["gram"].to_numpy(), table["first"].to_numpy(), table["places"].combine_chunks(), table["around"].combine_chunks())
-        found, pos = repeated_windows(suffixes), suffixes.place
-        i = np.array([x for x, _, _ in found], np.int64)
-        least, most = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
-        return pa.table({"digest": digest.take(pa.array(suffixes.region[i])), "a": pa.array((pos[i] - most).astype(np.int32)), "b": pa.array((pos[i] - least + LENGTH).astype(np.int32))})
+        suffixes = Suffixes(table["gram"].to_numpy(), table["first"].to_numpy(), table["places"].combine_chunks(), table["around"].combine_chunks(), max(lengths))
+        found = np.array(repeated_windows(suffixes, lengths), np.int64).reshape(-1, 4)
+        i, length, least, most = found.T
+        a, b = suffixes.place[i] - most, suffixes.place[i] - least + length
+        return pa.table({"digest": digest.take(pa.array(suffixes.region[i])), "n": pa.array(length.astype(np.int32)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
 
     buckets = max(1, -(-n // GROUP))
-    grouped = around.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "digest", "gram", "first", "places", "around")
-    return grouped.groupBy("bucket").applyInArrow(run, "digest string, a int, b int")
+    grouped = regions.select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "digest", "gram", "first", "places", "around")
+    return grouped.groupBy("bucket").applyInArrow(run, "digest string, n int, a int, b int")
 
 
-def hot_intervals(around: DataFrame) -> DataFrame:
-    """The same for anchors with any number of places, by counting hashes of window blocks, then of windows.
+def split(pieces: DataFrame, width: int) -> DataFrame:
+    """The windows of ``pieces`` by ``width`` neighbouring offsets, keyed by the bytes that all of them share.
 
-    A block stands for BLOCK neighbouring windows. If its bytes occur twice, all are repeated; if not even the
-    bytes that all its windows share do, none is. Windows of the other blocks are counted one by one.
+    A piece is a place (id) of an anchor string or part of its places (part) with windows of n bytes at offsets
+    least..most before it, and the bytes around, of which ``before`` lie before the place. Blocks start at the same
+    offsets everywhere, so places with a window in common have the shared bytes in common; ``content`` is of all bytes of the block.
     """
-
-    def hashes(single: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    raw, left, gram = (batch.column(c)[k].as_py() for c in (2, 1, 4))
-                    first, last = max(0, left + LENGTH - len(raw)), min(left, REACH)  # offsets of whole windows
-                    rows = []
-                    for o in batch.column(3)[k].as_py() if single else range(first // BLOCK * BLOCK, last + 1, BLOCK):
-                        q, p = max(o, first), min(o + BLOCK - 1, last)
-                        for i, j in [(x, x) for x in range(q, p + 1)] if single else [(q, p)]:
-                            # Blocks start at the same offsets everywhere; what all their windows share is never cut.
-                            shared = b"" if single else digest(gram, o, o, raw[left - o : left - (o + BLOCK - 1) + LENGTH])
-                            rows.append((o, i, j, digest(gram, i, j, raw[left - j : left - i + LENGTH]), shared))
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), *[pa.array(c, pa.int32()) for c in cols[:3]], *[pa.array(c, pa.binary()) for c in cols[3:]]], ["id", "o", "q", "p", "whole", "shared"]
-                    )
-
-        return run
-
-    def digest(gram: int, i: int, j: int, data: bytes) -> bytes:
-        """Of windows at the same offsets from the same anchor: one place is never held against itself."""
-        return hashlib.blake2b(pack("<qii", gram, i, j) + data, digest_size=16).digest()
-
-    kind = "id bigint, o int, q int, p int, whole binary, shared binary"
-    rows = around.withColumn("pos", F.explode("places")).withColumn("low", F.greatest(F.col("first"), F.col("pos") - REACH))
-    part = F.substring(F.col("around"), F.col("low") - F.col("first") + 1, F.col("pos") + LENGTH - F.col("low"))
-    rows = rows.select(F.xxhash64("digest", "pos").alias("id"), "gram", "digest", "pos", (F.col("pos") - F.col("low")).alias("before"), part.alias("around"))
-    rows = materialize(rows, "suffix-hot")
-    blocks = materialize(rows.select("id", "before", "around", F.array().cast("array<int>").alias("blocks"), "gram").mapInArrow(hashes(False), kind), "suffix-blocks")
-    counted = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    whole = blocks.join(counted(blocks, "whole"), "whole", "left_semi").select("id", "q", "p")
-    # One block of each content is enough for others to be held against.
-    distinct = blocks.groupBy("whole").agg(F.min(F.struct("id", "o", "shared")).alias("b")).select("b.*")
-    open_ = distinct.join(counted(distinct, "shared"), "shared", "left_semi").groupBy("id").agg(F.collect_list("o").alias("blocks"))
-    windows = rows.join(open_, "id").select("id", "before", "around", "blocks", "gram").mapInArrow(hashes(True), kind)
-    windows = materialize(windows, "suffix-windows")
-    single = windows.join(counted(windows, "whole"), "whole", "left_semi").select("id", "q", "p")
-    return whole.union(single).join(rows.select("id", "digest", "pos"), "id").select("digest", (F.col("pos") - F.col("p")).alias("a"), (F.col("pos") - F.col("q") + LENGTH).alias("b"))
-
-
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digested rows of ``docs``; the number of copies of each text; intervals to remove with their texts.
-
-    The last has digest, text and spans (an array of a, b) for texts that occur once and lose bytes.
+    digest = lambda *parts: F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, 16)
+    number = lambda c: F.encode(F.concat_ws("/", *c), "utf-8")
+    slice_ = lambda start, end: F.substring(F.col("around"), F.col("before") - start + 1, start + F.col("n") - end)
+    first, last = F.col("block") * width, F.col("block") * width + width - 1
+    out = pieces.withColumn("block", F.explode(F.expr(f"sequence(CAST(least div {width} AS INT), CAST(most div {width} AS INT))")))
+    out = out.withColumn("q", F.greatest("least", first)).withColumn("p", F.least("most", last))
+    shared = digest(number([F.lit("s"), "part", "n", "block"]), slice_(first, last))
+    content = digest(number([F.lit("c"), "part", "n", "q", "p"]), slice_(F.col("p"), F.col("q")))
+    return out.select("id", "n", "q", "p", shared.alias("part"), content.alias("content"))
+
+
+def split_intervals(hot: DataFrame, lengths: Sequence[int], tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """digest, n, a, b of repeated intervals around anchors with any number of places; and parts that are yet to be sorted."""
+    at = hot.withColumn("pos", F.explode("places")).withColumn("low", F.greatest(F.col("first"), F.col("pos") - max(lengths) + GRAM))
+    around = F.substring(F.col("around"), F.col("low") - F.col("first") + 1, F.col("pos") + max(lengths) - F.col("low"))
+    at = at.select(F.substring(F.unhex(F.sha2(F.concat_ws("/", "digest", "pos", "gram"), 256)), 1, 16).alias("id"), F.col("gram").cast("string").alias("part"), "digest", "pos", (F.col("pos") - F.col("low")).alias("before"), around.alias("around"))
+    at = tables.write(at, "suffix-places")
+    n = F.explode(F.array(*map(F.lit, lengths)))
+    least = F.greatest(F.lit(0), F.col("before") + F.col("n") - F.octet_length("around"))
+    pieces = at.withColumn("n", n).withColumn("least", least).withColumn("most", F.least("before", F.col("n") - GRAM)).where("least <= most")
+    blocks = tables.write(split(pieces, BLOCK), "suffix-blocks")
+    contents = tables.write(blocks.groupBy("part", "content").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n", "q", "p")).alias("one")), "suffix-contents")
+    settled = blocks.join(contents.where("k > 1").select("content"), "content", "left_semi").select("id", "n", "q", "p")
+    # One place of each content is enough for the others of a part to be held against.
+    parts = contents.groupBy("part").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rest = contents.join(parts, "part").select("part", "held", "one.*").join(at.drop("part"), "id")
+    cut = F.substring(F.col("around"), F.col("before") - F.col("p") + 1, F.col("p") - F.col("q") + F.col("n"))
+    rest = tables.write(rest.select("id", "part", "held", "digest", "pos", "n", "q", "p", cut.alias("around")), "suffix-parts")
+    large = rest.where(f"held > {GROUP}").select("id", F.hex("part").alias("part"), "n", F.col("q").alias("least"), F.col("p").alias("most"), F.col("p").alias("before"), "around")
+    single = tables.write(split(large, 1), "suffix-single")
+    again = single.groupBy("content").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    settled = settled.union(single.join(again, "content", "left_semi").select("id", "n", "q", "p"))
+    settled = settled.join(at.select("id", "digest", "pos"), "id").select("digest", "n", (F.col("pos") - F.col("p")).alias("a"), (F.col("pos") - F.col("q") + F.col("n")).alias("b"))
+    small = rest.where(f"held <= {GROUP}").select("digest", F.xxhash64("part").alias("gram"), (F.col("pos") - F.col("p")).alias("first"), F.array("pos").alias("places"), "around")
+    return settled, small
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """``docs`` as structs (row), with text and digest beside them, whatever the columns are called."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+
+
+def repeats(docs: DataFrame, lengths: Sequence[int], tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The number of copies of each text (digest, copies); and digest, text and spans of texts that occur once and lose bytes.
+
+    Spans are a sorted array of n, a, b: bytes a..b of the text lie in repeated strings of n bytes.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__text", text).withColumn("__digest", F.sha2("__text", 256))
-    plain = rows.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"))
-    copies = materialize(plain.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "suffix-copies")
-    scanned = materialize(anchored(plain), "suffix-scan").dropDuplicates(["digest"])
+    plain = digested(docs.select("text")).select("digest", "text")
+    copies = tables.write(plain.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "suffix-copies")
+    scanned = tables.write(anchored(plain, lengths), "suffix-scan").dropDuplicates(["digest"])
     anchors = scanned.select("digest", F.explode("anchors").alias("x")).select("digest", "x.gram", "x.pos")
     common = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    flagged = anchors.join(common, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "pos", (F.col("k") > HOT).alias("hot"))).alias("anchors"), F.count(F.lit(1)).alias("n"))
-    flagged = materialize(flagged, "suffix-flagged")
-    settled = materialize(scanned.where("size(settled) > 0").select("digest", "settled"), "suffix-settled")
-    needed = materialize(flagged.select("digest").union(settled.select("digest")).distinct(), "suffix-needed")
+    flagged = anchors.join(common, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "pos", (F.col("k") > GROUP).alias("hot"))).alias("anchors"), F.count(F.lit(1)).alias("n"))
+    flagged = tables.write(flagged, "suffix-flagged")
+    settled = tables.write(scanned.where("size(settled) > 0").select("digest", "settled"), "suffix-settled")
+    needed = tables.write(flagged.select("digest").union(settled.select("digest")).distinct(), "suffix-needed")
     texts = plain.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "digest", "left_semi")
-    texts = materialize(texts.groupBy("digest").agg(F.first("text").alias("text")), "suffix-texts")
+    texts = tables.write(texts.groupBy("digest").agg(F.first("text").alias("text")), "suffix-texts")
     total = flagged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.exists("anchors", lambda x: x.hot)), F.lit(False)).alias("hot")).first()
-    around = surroundings(texts, flagged)
-    found = settled.select("digest", F.explode("settled").alias("x")).select("digest", "x.a", "x.b")
-    found = found.union(group_intervals(around.where("NOT hot"), total["n"]))
+    around = surroundings(texts, flagged, lengths)
+    found = settled.select("digest", F.explode("settled").alias("x")).select("digest", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.col("x.n"))).alias("n"), "x.a", "x.b")
+    regions, n = around.where("NOT hot").drop("hot"), total["n"]
     if total["hot"]:
-        found = found.union(hot_intervals(around.where("hot")))
-    spans_ = found.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+        split_, parts = split_intervals(around.where("hot"), lengths, tables)
+        found, regions, n = found.union(split_), regions.unionByName(parts), n + parts.count()
+    found = found.union(group_intervals(regions, n, lengths))
+    spans_ = found.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("n", "a", "b"))).alias("spans"))
     once = copies.where("copies = 1").select("digest")
-    return rows, copies, texts.join(spans_, "digest").join(once, "digest", "left_semi")
+    return copies, texts.join(spans_, "digest").join(once, "digest", "left_semi")
 
 
 def cut(data: bytes, spans_: list[dict]) -> tuple[bytes, int, int]:
@@ -385,49 +420,64 @@ def cut(data: bytes, spans_: list[dict]) -> tuple[bytes, int, int]:
     return b"".join([*out, data[at:]]), removed, runs
 
 
-def trimmed(repeated: DataFrame) -> DataFrame:
-    """digest, n_removed, n_spans and the remaining bytes of each text in ``repeated``."""
+def trimmed(repeated: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """digest, and for each length n_removed, n_spans and the remaining bytes of each text in ``repeated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
             for k in range(batch.num_rows):
-                kept, removed, n = cut(data[offsets[k] : offsets[k + 1]].tobytes(), batch.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([removed], pa.int64()), pa.array([n], pa.int64()), pa.array([kept], pa.binary())], ["digest", "n_removed", "n_spans", "remaining"])
+                text, spans_ = data[offsets[k] : offsets[k + 1]].tobytes(), batch.column(2)[k].as_py()
+                kept, removed, runs = zip(*(cut(text, [x for x in spans_ if x["n"] == n]) for n in lengths), strict=True)
+                cols = [pa.array([removed], pa.list_(pa.int64())), pa.array([runs], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *cols], ["digest", "n_removed", "n_spans", "remaining"])
+
+    return repeated.select("digest", "text", "spans").mapInArrow(run, "digest string, n_removed array<bigint>, n_spans array<bigint>, remaining array<binary>")
 
-    return repeated.select("digest", "text", "spans").mapInArrow(run, "digest string, n_removed bigint, n_spans bigint, remaining binary")
 
+def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, by strings of ``length`` bytes.
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    rows, copies, repeated = repeats(docs)
-    done = trimmed(repeated).select("digest", "n_removed", "n_spans", F.sha2("remaining", 256).alias("kept"))
-    out = rows.select("doc_id", F.col("__digest").alias("digest"), F.octet_length("__text").cast("bigint").alias("n_bytes"))
-    out = out.join(copies.join(done, "digest", "left"), "digest")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    Also n_passage_bytes and n_passages, the bytes and maximal runs of repeated strings of ``passage`` bytes.
+    """
+    with Tables(docs.sparkSession) as tables:
+        copies, repeated = repeats(docs, (length, passage), tables)
+        done = trimmed(repeated, (length, passage)).withColumn("kept", F.sha2(F.col("remaining")[0], 256)).drop("remaining")
+        done = tables.keep(copies.join(done, "digest", "left"), "suffix-removed")
+    out = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).join(done, "digest")
+    gone = lambda n: (F.col("copies") > 1) & (F.col("n_bytes") >= n)
+    count = lambda n, whole, part: F.when(gone(n), whole).otherwise(F.coalesce(part, F.lit(0))).cast("bigint")
     return out.select(
         "doc_id", "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(gone, F.lit(_HEX_EMPTY)).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
+        count(length, F.col("n_bytes"), F.col("n_removed")[0]).alias("n_removed"),
+        count(length, F.lit(1), F.col("n_spans")[0]).alias("n_spans"),
+        F.when(gone(length), F.lit(_HEX_EMPTY)).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
+        count(passage, F.col("n_bytes"), F.col("n_removed")[1]).alias("n_passage_bytes"),
+        count(passage, F.lit(1), F.col("n_spans")[1]).alias("n_passages"),
     )
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the remaining text, and n_chars set anew where there is such a column.
 
     Characters of which bytes were removed are left out. No row goes.
     """
-    rows, copies, repeated = repeats(docs)
-    left = trimmed(repeated).mapInArrow(_decoded, "digest string, remaining string")
-    left = copies.join(left, "digest", "left").withColumnsRenamed({"digest": "__d", "copies": "__copies", "remaining": "__remaining"})
-    out = rows.join(left, F.col("__digest") == F.col("__d"))
-    gone = (F.col("__copies") > 1) & (F.octet_length("__text") >= LENGTH)
-    text = F.when(gone, F.lit("")).otherwise(F.coalesce("__remaining", "text"))
-    new = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
-    return out.select(*[new[c] if c in new else F.col(f"`{c}`") for c in docs.columns])
+    with Tables(docs.sparkSession) as tables:
+        copies, repeated = repeats(docs, (length,), tables)
+        left = trimmed(repeated, (length,)).select("digest", F.col("remaining")[0].alias("remaining")).mapInArrow(_decoded, "digest string, remaining string")
+        # Only texts that change are looked up.
+        left = tables.keep(copies.where("copies > 1").select("digest", F.lit("").alias("remaining")).unionByName(left), "suffix-remaining")
+    out = digested(docs).join(left.withColumnRenamed("digest", "other"), (F.col("digest") == F.col("other")) & (F.octet_length("text") >= length), "left")
+    text = F.coalesce("remaining", "row.text")
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        return F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(3).to_pylist()], pa.string())], ["digest", "remaining"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["digest", "remaining"])

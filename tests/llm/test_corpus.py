@@ -159,33 +159,58 @@ def brute_removal(docs, n=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 200_000])
-def test_removals(spark, hard_docs, no_docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def brute_passages(docs, n):
+    return [(gone, runs) for _, gone, runs, _ in brute_removal(docs, n)]
+
+
+@pytest.mark.parametrize(("group", "stretch"), [(1, 600), (3, 1 << 20), (4000, 1 << 20)])
+def test_removals(spark, hard_docs, no_docs, monkeypatch, group, stretch):
+    """Also with every anchor's places split, down to single offsets, and texts scanned in stretches."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     passage = prose(20, 90)
     more = [(200 + k, f"{prose(60 + k, 30)} {passage[k : 700 - k]} {prose(90 + k, 30)}") for k in range(8)] + [(300, "ab" * 700), (301, "x" + "ab" * 300), (302, passage[:400] + passage[100:])]
+    more += [(400 + k, f"{prose(160 + k, 20)} {passage[300 + k : 560]} {prose(190 + k, 20)}") for k in range(6)] + [(500, prose(500, 3) + "ab" * 140)]
     small = hard_docs.where("doc_id IS NULL OR doc_id <> 9").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
     docs = texts(small)
-    want = Counter((i, *r) for (i, _), r in zip(docs, brute_removal(docs), strict=True))
-    got = suffix_dedup.removals(small)
-    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got.collect()) == want
+    want = Counter((i, *r, *s) for (i, _), r, s in zip(docs, brute_removal(docs), brute_passages(docs, 250), strict=True))
+    got = suffix_dedup.removals(small).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages")) for r in got) == want
+    left = suffix_dedup.remove(small, 250)
+    assert Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in texts(left)) == Counter(r[3] for r in brute_removal(docs, 250))
+
+
+def test_removal_of_hard_rows(hard_docs, no_docs):
     assert suffix_dedup.removals(no_docs).count() == 0
     left = suffix_dedup.remove(hard_docs)
     assert left.columns == hard_docs.columns and left.count() == hard_docs.count()
+    odd = hard_docs.withColumnRenamed("stats", "__text").withColumnRenamed("digest", "row").withColumnRenamed("size", "copies")
+    assert suffix_dedup.remove(odd).columns == odd.columns
+    assert suffix_dedup.remove(odd).where("__text = 'x' AND copies = 'y' AND row = 'z'").count() == hard_docs.count()
+
+
+def test_stretches_of_a_text_have_its_anchors(monkeypatch):
+    import pyarrow as pa
+
+    column = pa.array([prose(5, 3000), "short", None, "ab" * 900])
+    whole = [x for a, b, _, (ends, places, grams) in suffix_dedup.scan(column, (400, 250)) for x in zip(places.tolist(), grams.tolist(), strict=True)]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    parts = [x for a, b, _, (ends, places, grams) in suffix_dedup.scan(column, (400, 250)) for x in zip(places.tolist(), grams.tolist(), strict=True)]
+    assert set(whole) <= set(parts) and len(whole) > 200  # equal surroundings are settled within a stretch only
 
 
 def test_suffix_sort_and_collisions(monkeypatch):
     import pyarrow as pa
 
-    data = [prose(k % 3, 120).encode() for k in range(7)]
-    s = suffix_dedup.Suffixes(np.zeros(7, np.int64), np.zeros(7, np.int32), pa.array([[150]] * 7, pa.list_(pa.int32())), pa.array(data, pa.binary()))
+    data = [prose(k % 3, 160).encode() for k in range(7)]
+    s = suffix_dedup.Suffixes(np.zeros(7, np.int64), np.zeros(7, np.int32), pa.array([[350]] * 7, pa.list_(pa.int32())), pa.array(data, pa.binary()))
     order = s.sorted()
-    assert [data[i][150:550] for i in order] == sorted(d[150:550] for d in data)
-    windows = lambda found: {(i, o) for i, a, b in found for o in range(a, b + 1)}
-    want = windows(suffix_dedup.exact_windows(s))
-    assert windows(suffix_dedup.repeated_windows(s)) == want and want
+    assert [data[i][350:750] for i in order] == sorted(d[350:750] for d in data)
+    windows = lambda found: {(i, n, o) for i, n, a, b in found for o in range(a, b + 1)}
+    want = windows(suffix_dedup.exact_windows(s, (400, 250)))
+    assert windows(suffix_dedup.repeated_windows(s, (400, 250))) == want and want
     monkeypatch.setattr(suffix_dedup.Suffixes, "hashed", lambda self, start, end: np.zeros(len(start), np.uint64))  # everything collides
-    assert windows(suffix_dedup.repeated_windows(s)) == want
+    assert windows(suffix_dedup.repeated_windows(s, (400, 250))) == want
 
 
 # Tokens
