@@ -35,6 +35,17 @@ def prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def region_prefixes(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """As ``prefixes``, but powers count from the start of each region data[offsets[i] : offsets[i + 1]]."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    longest = int(np.diff(offsets).max(initial=1))
+    for a in range(0, len(data), step):
+        at = np.arange(a, min(a + step, len(data)))
+        at -= offsets[np.searchsorted(offsets, at, side="right") - 1]
+        out[a + 1 : a + 1 + len(at)] = (data[a : a + step].astype(np.uint64) + np.uint64(1)) * powers(longest + 1)[0][at]
+    return np.cumsum(out, out=out)
+
+
 def finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * SEED
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

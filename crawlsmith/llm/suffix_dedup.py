@@ -15,7 +15,7 @@ an anchor string that occurs at least twice. Longer windows hold such windows. S
    of suffixes that agree in the first r bytes lie together. For each offset o, windows of n bytes that start o bytes
    before an anchor are equal if their anchors are in one run for r = n - o and the o bytes before them are equal.
    Matches are verified byte by byte; a hash collision makes the group start anew without hashes.
-4. A group holds about GROUP anchors, so the places of an anchor that has more are first split by what lies around
+4. A group holds about GROUP anchors. The places of one that has more than MOST are first split by what lies around
    them: windows at neighbouring offsets share bytes, and only places that agree in these bytes come together, one of
    each content. Such parts are sorted like the groups; a part that is still too large is split at single offsets,
    where bytes that agree are the window itself. No task holds all places of an anchor.
@@ -37,14 +37,15 @@ from pyspark.sql import functions as F
 
 from crawlsmith.llm import _hashing
 from crawlsmith.llm._arrow import chunks, text_bytes
-from crawlsmith.llm._hashing import finish, prefixes, spans
+from crawlsmith.llm._hashing import finish, prefixes, region_prefixes, spans
 from crawlsmith.llm._store import Tables
 
 LENGTH = 400  # the contract of op8
 PASSAGE = 250  # bytes; nineteen of twenty passages of over 50 words are longer
-GRAM = 96
+GRAM = 128
 STRETCH = 1 << 20  # bytes of a long text that are scanned at a time
-GROUP = 4_000  # anchors that a task sorts at a time; about twice as many places of one anchor at most
+GROUP = 4_000  # anchors that a task sorts at a time, on average
+MOST = 40_000  # places of one anchor that a task sorts; they take some 300 MB
 BLOCK = 16  # neighbouring window offsets by whose common bytes an anchor's places are split
 BROADCAST_IDS = 100_000  # at most about 10 MB of digests are broadcast; more are joined by a shuffle
 _HEX_EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -161,11 +162,13 @@ class Suffixes:
         self.at = offsets[region] + self.place - first[region]
         self.left = np.minimum(self.at - offsets[region], longest - GRAM)
         self.right = np.minimum(offsets[region + 1] - self.at, longest)
-        self.prefix = prefixes(self.bytes)
-        self.inverse = _hashing.powers(len(self.prefix))[1]
+        self.start = offsets[region]
+        self.prefix = region_prefixes(self.bytes, offsets)
+        self.inverse = _hashing.powers(int(np.diff(offsets).max(initial=1)) + 1)[1]
 
-    def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+    def hashed(self, i: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes start..end in the regions of suffixes i."""
+        return (self.prefix[end] - self.prefix[start]) * self.inverse[start - self.start[i]]
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension of two suffixes, by binary search on prefix hashes."""
@@ -173,7 +176,7 @@ class Suffixes:
         x, y = self.at[i], self.at[j]
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            equal = self.hashed(x, x + mid) == self.hashed(y, y + mid)
+            equal = self.hashed(i, x, x + mid) == self.hashed(j, y, y + mid)
             low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
         return low
 
@@ -218,10 +221,12 @@ class Suffixes:
 
     def equal(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> bool:
         """Whether the n bytes from x and from y are the same, for all given places."""
-        if not len(n) or not n.sum():
-            return True
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return bool((self.bytes[np.repeat(x, n) + within] == self.bytes[np.repeat(y, n) + within]).all())
+        for k in range(0, len(n), 2000):
+            a, b, m = x[k : k + 2000], y[k : k + 2000], n[k : k + 2000]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            if not (self.bytes[np.repeat(a, m) + within] == self.bytes[np.repeat(b, m) + within]).all():
+                return False
+        return True
 
 
 def repeated_windows(s: Suffixes, lengths: Sequence[int]) -> list[tuple[int, int, int, int]]:
@@ -244,7 +249,7 @@ def repeated_windows(s: Suffixes, lengths: Sequence[int]) -> list[tuple[int, int
                 if len(fits) > 1:
                     run = np.cumsum(lcp < length - o)[fits]
                     i = order[fits]
-                    key = finish(s.hashed(s.at[i] - o, s.at[i])) + run.astype(np.uint64) * _hashing.SEED
+                    key = finish(s.hashed(i, s.at[i] - o, s.at[i])) + run.astype(np.uint64) * _hashing.SEED
                     by = np.argsort(key, kind="stable")
                     pair = np.flatnonzero((key[by][1:] == key[by][:-1]) & (run[by][1:] == run[by][:-1]))
                     now[fits[by[pair]]] = i[by[pair + 1]]
@@ -360,12 +365,12 @@ def split_intervals(hot: DataFrame, lengths: Sequence[int], tables: Tables) -> t
     rest = contents.join(parts, "part").select("part", "held", "one.*").join(at.drop("part"), "id")
     cut = F.substring(F.col("around"), F.col("before") - F.col("p") + 1, F.col("p") - F.col("q") + F.col("n"))
     rest = tables.write(rest.select("id", "part", "held", "digest", "pos", "n", "q", "p", cut.alias("around")), "suffix-parts")
-    large = rest.where(f"held > {GROUP}").select("id", F.hex("part").alias("part"), "n", F.col("q").alias("least"), F.col("p").alias("most"), F.col("p").alias("before"), "around")
+    large = rest.where(f"held > {MOST}").select("id", F.hex("part").alias("part"), "n", F.col("q").alias("least"), F.col("p").alias("most"), F.col("p").alias("before"), "around")
     single = tables.write(split(large, 1), "suffix-single")
     again = single.groupBy("content").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     settled = settled.union(single.join(again, "content", "left_semi").select("id", "n", "q", "p"))
     settled = settled.join(at.select("id", "digest", "pos"), "id").select("digest", "n", (F.col("pos") - F.col("p")).alias("a"), (F.col("pos") - F.col("q") + F.col("n")).alias("b"))
-    small = rest.where(f"held <= {GROUP}").select("digest", F.xxhash64("part").alias("gram"), (F.col("pos") - F.col("p")).alias("first"), F.array("pos").alias("places"), "around")
+    small = rest.where(f"held <= {MOST}").select("digest", F.xxhash64("part").alias("gram"), (F.col("pos") - F.col("p")).alias("first"), F.array("pos").alias("places"), "around")
     return settled, small
 
 
@@ -385,7 +390,7 @@ def repeats(docs: DataFrame, lengths: Sequence[int], tables: Tables) -> tuple[Da
     scanned = tables.write(anchored(plain, lengths), "suffix-scan").dropDuplicates(["digest"])
     anchors = scanned.select("digest", F.explode("anchors").alias("x")).select("digest", "x.gram", "x.pos")
     common = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    flagged = anchors.join(common, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "pos", (F.col("k") > GROUP).alias("hot"))).alias("anchors"), F.count(F.lit(1)).alias("n"))
+    flagged = anchors.join(common, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "pos", (F.col("k") > MOST).alias("hot"))).alias("anchors"), F.count(F.lit(1)).alias("n"))
     flagged = tables.write(flagged, "suffix-flagged")
     settled = tables.write(scanned.where("size(settled) > 0").select("digest", "settled"), "suffix-settled")
     needed = tables.write(flagged.select("digest").union(settled.select("digest")).distinct(), "suffix-needed")
