@@ -17,7 +17,8 @@ A class with only few candidates never moves its text: full sets are made anew f
 
 Nulls and edge cases: a null or empty text has an empty set, size 0, and is linked with nothing; a null doc_id
 has a null component and is kept; rows that share a doc_id count as one document with several texts, whose links
-are joined; an empty table gives an empty result; other columns are ignored. A pair at the threshold is missed
+are joined; ties between values of one frequency go by value; very long texts are hashed one at a time; an empty table gives
+an empty result; other columns, whatever their names, are ignored, or passed on by ``keep_one``. A pair at the threshold is missed
 if its sketches share fewer than ``least_common`` values, which has a probability of at most MISSED.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from crawlsmith.llm._arrow import chunks, text_bytes
 from crawlsmith.llm._graph import components
 from crawlsmith.llm._hashing import combine, finish, lower_table, space_classes, words
-from crawlsmith.llm._store import materialize
+from crawlsmith.llm._store import Tables
 
 SHINGLE = 5
 K = 64
@@ -45,8 +46,8 @@ MISSED = 1e-6  # probability that a pair at the threshold is missed
 LIKELY = 0.92  # estimates from here on are almost surely of links
 LONG_LIST = 12  # longer lists are compared within tasks, so that pairs to be joined stay few
 BLOCK = 2048  # rows of a long list that are compared with each other or with another block in one go
-THIN = 1_000_000  # pairs of a spanning forest in the making
-BROADCAST_IDS = 1_000_000  # at most 8 MB of ids are broadcast; more are joined by a shuffle
+THIN = 200_000  # pairs of a spanning forest in the making
+BROADCAST_IDS = 200_000  # at most 2 MB of ids are broadcast; more are joined by a shuffle
 _TOP = np.uint64(1 << 63)
 SIGNATURE = "doc_id bigint, n bigint, digest binary, sketch array<bigint>"
 
@@ -192,7 +193,7 @@ def values_ahead(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _PART = ["v", "at", "left", "right", "inner"]
 
 
-def blocks(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def blocks(lists: DataFrame, labels: DataFrame | None, tables: Tables) -> DataFrame:
     """v, df, rep, n, component, home and the part (_PART) of each row of the long lists that is compared there.
 
     A set is at home in its size band and visits the next one, which holds the sizes it may link to.
@@ -206,14 +207,14 @@ def blocks(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         large = many(long.groupBy("v", "at").agg(F.count(F.lit(1)).alias("k")))
         return long.join(F.broadcast(large), ["v", "at"], "left").withColumn("left", part(F.col("k"))).withColumn("right", F.col("left")).withColumn("inner", F.lit(True)).drop("k")
     long = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = materialize(long.groupBy("v", "band", "component").agg(F.count(F.lit(1)).alias("k")), tag)
+    sizes = tables.write(long.groupBy("v", "band", "component").agg(F.count(F.lit(1)).alias("k")), tag)
     # Large components have blocks of their own; the rest of a list shares some.
     own = many(sizes).withColumnRenamed("k", "ko")
     rest = many(sizes.where(f"k <= {BLOCK}").groupBy("v", "band").agg(F.sum("k").alias("k")))
     long = long.join(F.broadcast(own), ["v", "band", "component"], "left").join(F.broadcast(rest), ["v", "band"], "left")
     long = long.withColumn("block", F.when(F.col("ko").isNotNull(), F.xxhash64("component", part(F.col("ko")))).otherwise(part(F.col("k"))))
-    long = materialize(long.select("v", "df", "band", "rep", "n", "component", "block"), tag)
-    held = materialize(long.groupBy("v", "band", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), tag)
+    long = tables.write(long.select("v", "df", "band", "rep", "n", "component", "block"), tag)
+    held = tables.write(long.groupBy("v", "band", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), tag)
     # Every two blocks of a band and the next, but for those that lie in one component.
     near = held.withColumn("x", visits).select("v", F.col("block").alias("left"), "x.at", F.col("x.home").alias("same"), F.col("low").alias("a"), F.col("high").alias("b"))
     pairs = near.join(held.withColumnRenamed("band", "at").withColumnRenamed("block", "right"), ["v", "at"])
@@ -226,7 +227,7 @@ def blocks(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return long.join(sides, ["v", "band", "block"]).select("v", "df", "rep", "n", "component", "home", "at", "left", "right", "inner")
 
 
-def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int, tables: Tables) -> DataFrame:
     """a, b, est of pairs that share a long list and whose estimate allows a link.
 
     Without ``labels`` a spanning forest of them in each block of a list; with ``labels`` (node, component) all
@@ -295,7 +296,7 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
         return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "est": est})
 
     long = lists.where(f"df > {LONG_LIST}").withColumn("band", F.floor(F.log("n") / width))
-    parts = blocks(long, labels).join(classes.select("rep", "n", "sketch"), ["rep", "n"])
+    parts = blocks(long, labels, tables).join(classes.select("rep", "n", "sketch"), ["rep", "n"])
     if labels is None:
         parts = parts.withColumn("own", F.lit(None).cast("array<struct<df:bigint,v:bigint>>"))
     else:
@@ -304,7 +305,7 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
     return parts.groupBy(*_PART).applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """a, b of the pairs (a, b) whose full sets are linked."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,11 +324,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = materialize(pairs.select("a", "b"), "minhash-pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "minhash-nodes")
+    pairs = tables.write(pairs.select("a", "b"), "minhash-pairs")
+    nodes = tables.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "minhash-nodes")
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node bigint, hashes binary")
-    full = materialize(full, "minhash-sets")
+    full = tables.write(full, "minhash-sets")
     with_a = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     with_b = with_a.join(full.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     return with_b.select("a", "b", "ha", "hb").mapInArrow(verify, "a bigint, b bigint").distinct()
@@ -335,33 +336,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; links have a Jaccard of ``percent`` or more."""
-    signed_docs = materialize(signatures(docs), "minhash-signatures")
+    with Tables(docs.sparkSession) as tables:
+        return tables.keep(grouped(docs, percent, tables), "minhash-groups")
+
+
+def grouped(docs: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """The rows of ``near_duplicates``, read from ``tables``."""
+    signed_docs = tables.write(signatures(docs), "minhash-signatures")
     reps = signed_docs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps, "minhash-classes")
+    reps = tables.write(reps, "minhash-classes")
     # One row of each class: its representative's, which may come several times.
     classes = signed_docs.join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     classes = classes.select("rep", F.xxhash64("digest").alias("ver"), "n", "sketch")
     repeated = signed_docs.where("digest IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 AND doc_id IS NOT NULL")
-    classes = materialize(classes.dropDuplicates(["rep", "ver"]) if repeated.limit(1).count() else classes, "minhash-reps")
-    lists = materialize(inverted_lists(classes, percent), "minhash-lists")
-    candidates = estimate(short_pairs(lists, percent), classes, percent).union(long_pairs(lists, classes, None, percent)).groupBy("a", "b").agg(F.max("est").alias("est"))
-    candidates = materialize(candidates, "minhash-candidates")
+    classes = tables.write(classes.dropDuplicates(["rep", "ver"]) if repeated.limit(1).count() else classes, "minhash-reps")
+    lists = tables.write(inverted_lists(classes, percent), "minhash-lists")
+    candidates = estimate(short_pairs(lists, percent), classes, percent).union(long_pairs(lists, classes, None, percent, tables)).groupBy("a", "b").agg(F.max("est").alias("est"))
+    candidates = tables.write(candidates, "minhash-candidates")
     # First each node's best pairs, of likely links those to the least ids, which soon meet in stars; what then still
     # parts components is confirmed pair by pair.
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("likely"), F.when(F.col("likely"), F.col("a")), F.desc("est"), "a", "b"))
     ends = candidates.select(F.col("a").alias("node"), "*").union(candidates.select(F.col("b").alias("node"), "*")).withColumn("likely", F.col("est") >= LIKELY)
     first = ends.withColumn("place", best).where("place <= 3").select("a", "b").distinct()
     same_id = signed_docs.where("doc_id IS NOT NULL").join(reps, "digest").join(repeated, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    links = materialize(confirmed(first, docs, percent).union(same_id), "minhash-links")
-    labels = materialize(components(links), "minhash-components")
+    links = tables.write(confirmed(first, docs, percent, tables).union(same_id), "minhash-links")
+    labels = components(links, tables)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    more = candidates.select("a", "b").union(long_pairs(lists, classes, labels, percent).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = candidates.select("a", "b").union(long_pairs(lists, classes, labels, percent, tables).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = materialize(confirmed(more, docs, percent), "minhash-links")
+    more = tables.write(confirmed(more, docs, percent, tables), "minhash-links")
     # Components that these links join are few: only their names go through the rounds again.
     joins = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     if more.limit(1).count():
-        joined = materialize(components(joins), "minhash-joined").select(F.col("node").alias("c_"), F.col("component").alias("joined"))
+        joined = components(joins, tables).select(F.col("node").alias("c_"), F.col("component").alias("joined"))
     else:
         joined = labels.where("false").select(F.col("node").alias("c_"), F.col("component").alias("joined"))
     out = signed_docs.join(reps, "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -372,7 +379,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates; rows without doc_id stay."""
-    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of one document, that of the least doc_id, for each group of near-duplicates.
+
+    A document goes if one of its texts is linked to one of a lesser doc_id. Of rows that share doc_id and text one stays,
+    that with the least hash of all columns; rows without doc_id stay.
+    """
+    with Tables(docs.sparkSession) as tables:
+        found = tables.write(grouped(docs, percent, tables), "minhash-groups")
+        ids = found.where("doc_id IS NOT NULL")
+        gone = tables.keep(ids.where("NOT kept").select("doc_id").distinct(), "minhash-gone")
+        again = tables.keep(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"), "minhash-repeated")
+        n_gone, n_again = gone.count(), again.count()
+    bounded = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    left = docs.join(bounded(gone, n_gone), docs["doc_id"] == gone["doc_id"], "left_anti")
+    if not n_again:
+        return left
+    repeated = left.join(bounded(again, n_again), left["doc_id"] == again["doc_id"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = repeated.select(F.col("doc_id").alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"), row.alias("row")).groupBy("i", "t").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return left.join(bounded(again, n_again), left["doc_id"] == again["doc_id"], "left_anti").unionByName(one.select("row.*"))
