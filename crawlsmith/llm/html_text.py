@@ -3,20 +3,21 @@
 The page is cut into tags, comments and text by one pattern. The tree builder closes elements that HTML lets
 authors leave open (p, li, dt, dd, option, table parts), keeps void elements empty and ignores stray end
 tags. Elements that are never shown (head, script, style, template, ...), the ``hidden`` attribute,
-``display: none`` and ``visibility: hidden``, and all but the summary of closed ``details`` stay out.
+``display: none``, and all but the summary of closed ``details`` stay out; ``visibility: hidden`` hides what does not
+turn visible again further in. Of drawings and formulas the text is kept, of choices all options.
 The renderer collapses white space, puts blocks on lines of their own with a blank line between paragraphs,
 headings and the like, marks list items by level, numbers ordered lists, keeps preformatted text, and pads
 table cells so that columns line up (a page that nests tables gets the inner one as lines in a cell).
 
 Nulls and edge cases: null html gives null title and text and 0 blocks; empty html gives empty text; tags left open at
-the end are closed; nesting beyond DEEPEST levels is kept flat; very long pages are rendered whole, one at a time;
-null or repeated page_ids are rows like others; other columns are ignored; an empty table gives an empty result.
+the end are closed; nesting has no bound; very long pages are rendered whole, one at a time; null or repeated page_ids are rows like others; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 from unicodedata import east_asian_width
 
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 from crawlsmith.llm._arrow import chunks, text_bytes
 
 SCHEMA = "page_id bigint, title string, text string, n_blocks bigint"
-DEEPEST = 150
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas svg math select datalist textarea noembed noframes map".split())
+_UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes map desc metadata defs symbol annotation annotation-xml".split())
+_FOREIGN = frozenset("svg math".split())
+_APART = frozenset("textarea svg text".split())  # boxes of their own within a line
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section figure form fieldset hr details main".split())
-_BLOCK = _SPACED | frozenset("html body div header footer nav aside address li dt dd tr figcaption summary caption thead tbody tfoot center hgroup legend menu search".split())
-_ENDS_P = _BLOCK - frozenset("html body li dt dd tr caption thead tbody tfoot summary legend".split())
+_BLOCK = _SPACED | frozenset("html body div header footer nav aside address li dt dd tr figcaption summary caption thead tbody tfoot center hgroup legend menu search option optgroup".split())
+_ENDS_P = _BLOCK - frozenset("html body li dt dd tr caption thead tbody tfoot summary legend option optgroup".split())
 #: A start tag closes an open element of the second set, unless one of the third is in between.
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -52,15 +54,17 @@ _IMPLIED = {
 _SCOPE = frozenset("table td th caption button html object".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "holds_cells")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.holds_cells = False  # rows or cells of the table around it
 
     def get(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -79,11 +83,17 @@ class Node:
             return False
         return True
 
+    def veiled(self, around: bool) -> bool:
+        """Whether its own text is hidden, given whether the text around it is."""
+        if self.attributes and (found := _VISIBILITY.findall(self.get("style") or "")):
+            return found[-1].lower() in ("hidden", "collapse") or around and found[-1].lower() != "visible"
+        return around
 
-def parse(page: str) -> Node:
-    """The tree of a page; text is in it as strings."""
+
+def parse(page: str) -> tuple[Node, int]:
+    """The tree of a page and its depth; text is in it as strings."""
     root = Node("#root")
-    stack = [root]
+    stack, depth = [root], 1
 
     def close(until: set[str], within: frozenset[str] | set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -128,9 +138,15 @@ def parse(page: str) -> Node:
             text = page[at : end.start()]
             node.children.append(html.unescape(text) if tag in ("title", "textarea") else text)
             at = end.end()
-        elif tag not in _VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in _VOID and not (m[3].endswith("/") and (tag in _FOREIGN or any(x.tag in _FOREIGN for x in stack))):
+            if tag in ("tr", "td", "th"):
+                for x in reversed(stack):
+                    if x.holds_cells or x.tag in ("table", "caption", "pre", "details"):
+                        break
+                    x.holds_cells = True
             stack.append(node)
-    return root
+            depth = max(depth, len(stack))
+    return root, depth
 
 
 def width(text: str) -> int:
@@ -147,21 +163,42 @@ class Layout:
         self.indent = ""
         self.first = ""  # a list mark that the next line starts with
         self.blocks = 0
+        self.veiled = False  # whether text is hidden here
+        self.pre = False  # whether white space counts
 
     def add(self, text: str) -> None:
-        """Inline text: white space is collapsed, also across elements."""
+        """Inline text: white space is collapsed, also across elements, but for preformatted text."""
+        if self.veiled:
+            return
+        if self.pre:
+            head, *rest = text.split("\n")
+            self.line.append(head)
+            for x in rest:
+                self.break_line()
+                self.line.append(x)
+            return
         text = _WHITE.sub(" ", text)
         if text[:1] == " " and (not self.line or self.line[-1].endswith(" ")):
             text = text[1:]
         if text:
             self.line.append(text)
 
-    def end_line(self) -> None:
-        text = "".join(self.line).strip(" ")
+    def taken(self) -> str:
+        text = "".join(self.line)
         self.line = []
-        if text:
+        return text.rstrip() if self.pre else text.strip(" ")
+
+    def end_line(self) -> None:
+        if text := self.taken():
             self.put(text)
 
+    def break_line(self) -> None:
+        """Ends the line even if it is empty, but for the first ones of a block."""
+        if text := self.taken():
+            self.put(text)
+        elif self.lines and not self.gap and (self.pre or self.lines[-1]):
+            self.lines.append("")
+
     def put(self, text: str) -> None:
         if self.lines:
             self.lines.extend([""] * self.gap)
@@ -175,51 +212,47 @@ class Layout:
         self.gap = 1
 
 
-def holds_cells(node: Node) -> bool:
-    """Whether rows or cells of the table around it are in a node that is no part of a table."""
-    if node.tag in ("table", "caption", "pre") or node.tag == "details" and node.get("open") is None:
-        return False
-    return any(isinstance(c, Node) and (c.tag in ("tr", "td", "th") or holds_cells(c)) for c in node.children if isinstance(c, str) or c.seen())
-
-
-def split_table(node: Node, rows: list[list[Node]], loose: list[Node | str], row: list[Node] | None = None) -> None:
-    """Sorts what is seen in a table into rows of cells and all else, which stands before the table."""
+def split_table(node: Node, rows: list[list[tuple[Node, bool]]], loose: list[tuple[Node | str, bool]], veiled: bool, row: list[tuple[Node, bool]] | None = None) -> None:
+    """Sorts what is seen in a table into rows of cells and all else, which stands before the table; with whether it is veiled."""
     for child in node.children:
         if isinstance(child, str):
-            loose.append(child)
+            loose.append((child, veiled))
         elif not child.seen():
             continue
         elif child.tag == "tr":
             rows.append([])
-            split_table(child, rows, loose, rows[-1])
+            split_table(child, rows, loose, child.veiled(veiled), rows[-1])
         elif child.tag in ("td", "th"):
-            rows.append([child]) if row is None else row.append(child)
-        elif child.tag in ("thead", "tbody", "tfoot", "colgroup") or holds_cells(child):
-            split_table(child, rows, loose, row)
+            rows.append([(child, veiled)]) if row is None else row.append((child, veiled))
+        elif child.tag in ("thead", "tbody", "tfoot", "colgroup") or child.holds_cells:
+            split_table(child, rows, loose, child.veiled(veiled), row)
         else:
-            loose.append(child)
+            loose.append((child, veiled))
 
 
 def render_table(table: Node, out: Layout) -> None:
-    rows: list[list[Node]] = []
-    loose: list[Node | str] = []
-    split_table(table, rows, loose)
-    for node in loose:
+    rows: list[list[tuple[Node, bool]]] = []
+    loose: list[tuple[Node | str, bool]] = []
+    split_table(table, rows, loose, out.veiled)
+    around = out.veiled
+    for node, out.veiled in loose:
         if isinstance(node, Node):
             render(node, out)
             out.end_line()
         elif node.strip():
             out.add(node)
     out.end_line()
+    out.veiled = around
     grid: list[list[list[str]]] = []
     held: dict[int, int] = {}  # columns that a cell of an earlier row still covers, with rows left
     for row in filter(None, rows):
         cells: list[list[str]] = []
-        for cell in row:
+        for cell, veiled in row:
             while held.get(len(cells), 0):
                 held[len(cells)] -= 1
                 cells.append([""])
             inner = Layout()
+            inner.veiled, inner.pre = cell.veiled(veiled), out.pre
             for child in cell.children:
                 render_child(child, inner)
             inner.end_line()
@@ -250,11 +283,21 @@ def render_child(child: Node | str, out: Layout) -> None:
 
 
 def render(node: Node, out: Layout) -> None:
+    around = out.veiled
+    out.veiled = node.veiled(around)
+    if node.tag in _APART:
+        out.add(" ")
+    render_as_seen(node, out)
+    if node.tag in _APART:
+        out.add(" ")
+    out.veiled = around
+
+
+def render_as_seen(node: Node, out: Layout) -> None:
     tag = node.tag
     if tag == "br":
-        text = "".join(out.line).strip(" ")
-        out.line = []
-        out.put(text) if text else out.lines.append("") if out.lines and out.lines[-1] else None
+        if not out.veiled:
+            out.break_line()
         return
     if tag == "img":
         if alt := (node.get("alt") or "").strip():
@@ -269,9 +312,13 @@ def render(node: Node, out: Layout) -> None:
         if spaced and not (tag in ("ul", "ol") and out.indent):
             out.gap = 1
     if tag == "pre":
-        text = "".join(plain(node)).strip("\n")
-        for line in text.split("\n") if text else ():
-            out.put(line.rstrip())
+        start, outer, out.pre = len(out.lines), out.pre, True
+        for child in node.children:
+            render_child(child, out)
+        out.end_line()
+        while len(out.lines) > start and not out.lines[-1]:
+            out.lines.pop()
+        out.pre = outer
     elif tag == "table":
         render_table(node, out)
     elif tag in ("ul", "ol", "menu"):
@@ -310,16 +357,6 @@ def render(node: Node, out: Layout) -> None:
         out.gap = 1
 
 
-def plain(node: Node) -> Iterator[str]:
-    for child in node.children:
-        if isinstance(child, str):
-            yield child
-        elif child.tag == "br":
-            yield "\n"
-        elif child.seen():
-            yield from plain(child)
-
-
 def find(node: Node, tag: str) -> Node | None:
     """The first element of that name, without recursion into its own text."""
     todo = [node]
@@ -333,7 +370,8 @@ def find(node: Node, tag: str) -> Node | None:
 
 def extract(page: str) -> tuple[str | None, str, int]:
     """Title, visible text and number of lines with text."""
-    root = parse(page)
+    root, depth = parse(page)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * depth))
     title = find(root, "title")
     out = Layout()
     for child in root.children:
