@@ -275,27 +275,38 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 def lookup(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
     """doc_id and ids (packed) of the documents in ``keys`` (doc_id); absent and null keys give no row.
 
-    A key belongs to the one shard whose range holds it (at a border, to those that share it).
+    Shards hold ranges of keys, and all rows of a key lie in one. So a key's shard is found by a binary search in the shards'
+    least keys, of which there is one a shard, and a shard's index is opened once.
     """
+    bounds = sorted((r.low, r.high, r.shard) for r in manifest.where("low IS NOT NULL").select("shard", "low", "high").toLocalIterator())
+    lows, highs = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+    shared = keys.sparkSession.sparkContext.broadcast((lows, highs))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = shared.value
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            at = np.searchsorted(low, key, side="right") - 1
+            held = (at >= 0) & (key <= high[np.maximum(at, 0)]) if len(high) else np.zeros(len(key), bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], ["doc_id", "at"]).filter(pa.array(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        opened: tuple[str, Index] | None = None
+        opened: tuple[int, Index] | None = None
         for batch in batches:
             out_keys, out_ids = [], []
-            for shard, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if opened is None or opened[0] != shard:
-                    opened = shard, Index(fs.open_input_file(f"{base}/{shard}.idx").read())
+            for key, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if opened is None or opened[0] != k:
+                    opened = k, Index(fs.open_input_file(f"{base}/{names[k]}.idx").read())
                 index = opened[1]
                 (first,), (count,) = index.rows(np.array([key], np.int64))
-                with fs.open_input_file(f"{base}/{shard}.bin") as f:
+                with fs.open_input_file(f"{base}/{names[k]}.bin") as f:
                     for row in range(int(first), int(first + count)) if first >= 0 else ():
                         a, b = int(index.offset[row]), int(index.offset[row + 1])
                         out_keys.append(key)
                         out_ids.append(wide(f.read_at(index.width * (b - a), index.width * a), index.width))
             yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_ids, pa.binary())], ["doc_id", "ids"])
 
-    wanted = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    ranges = manifest.select("shard", "low", "high").where("low IS NOT NULL")
-    found = wanted.join(ranges, (wanted["doc_id"] >= ranges["low"]) & (wanted["doc_id"] <= ranges["high"])).select("shard", "doc_id")
-    return found.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id bigint, ids binary")
+    names = [b[2] for b in bounds]
+    wanted = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().mapInArrow(place, "doc_id bigint, at int")
+    return wanted.repartition("at").sortWithinPartitions("at", "doc_id").mapInArrow(run, "doc_id bigint, ids binary")
