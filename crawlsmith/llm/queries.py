@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsmith.llm import bpe, fingerprints, html_text, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
-from crawlsmith.llm._store import fresh_path, read
+from crawlsmith.llm._store import fresh_path, read, shared_dir
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-counts"))
+    # One cache for each corpus: counting it again encodes only what is new.
+    cache = f"{shared_dir(spark)}/token-counts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
