@@ -4,16 +4,19 @@ Tokens are runs of letters and digits or of other marks, lower-cased; features a
 consecutive tokens into 2**18 buckets, and of markers for a token that equals the one 1 to REPEATS places back,
 as which word is repeated says little. A text's value of a feature is its share of the text's n-grams times
 SCALE, so the score is a sparse dot product through the logistic function. Training takes a bounded sample of
-labelled rows, in the order of a hash of their ids; the weights (2 MB) are broadcast for scoring.
+labelled texts, in the order of a hash of their ids. Their features lie in PARTS parts in the shared folder; each pass of the
+follow-the-regularised-leader updates reads one part after the other, so the driver holds one. The weights (2 MB) are
+broadcast for scoring.
 
 Nulls and edge cases: null and empty texts have no features and get the score of the intercept; null labels
-are not learnt from; a null doc_id is not held out; conflicting labels of repeated rows are all learnt from; without
+are not learnt from; a null doc_id is not held out; of rows that share id, text and label one is learnt from, and conflicting
+labels all are, the lesser first; very long texts have at most 2**18 distinct features; ties in the order go by id; without
 labelled rows all weights are 0 and scores 0.5; other columns are ignored, labels, lang and source included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from crawlsmith.llm._arrow import chunks, text_bytes
 from crawlsmith.llm._hashing import combine, finish, lower_table, words
+from crawlsmith.llm._store import Tables
 
 TRAIN_ROWS = 20_000  # bound on the labelled rows that are learnt from
+PARTS = 8
 BITS = 18
 REPEATS = 4
 SCALE = 100.0
@@ -62,23 +67,23 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, (both[keep] >> np.uint64(64 - BITS)).astype(np.uint32), before[first]
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Weights and, last, the intercept, from (buckets, label) rows."""
-    n, total, w = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), None
+def train(parts: Callable[[], Iterator[list[tuple[np.ndarray, np.ndarray, int]]]]) -> np.ndarray:
+    """Weights and, last, the intercept, from (distinct buckets, their counts, label) rows; ``parts`` gives them once a pass."""
+    n, z = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
-    z = total
+    weights = lambda z, n: np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(PASSES):
-        for buckets, label in rows:
-            at, count = np.unique(buckets, return_counts=True)
-            at = np.append(at, bias)
-            x = np.append(count * (SCALE / max(len(buckets), 1)), 1.0)
-            zi, ni = z[at], n[at]
-            w = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)).astype(np.float32)
+        for rows in parts():
+            for buckets, count, label in rows:
+                at = np.append(buckets.astype(np.int64), bias)
+                x = np.append(count * (SCALE / max(int(count.sum()), 1)), 1.0)
+                zi, ni = z[at], n[at]
+                w = weights(zi, ni)
+                g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+                sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
+                z[at] += g - sigma * w
+                n[at] += g * g
+    return weights(z, n).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,26 +91,34 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from at most TRAIN_ROWS labelled documents that are not held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    """Weights from at most TRAIN_ROWS labelled texts that are not held out."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_ROWS)
+    order = [F.xxhash64("doc_id"), "doc_id", "quality", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buckets, first in features(batch.column(2)):
-                packed = pa.array([buckets[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), packed], ["doc_id", "quality", "buckets"])
-
-    # The sample has a fixed bound, so it may be broadcast, and its features be sent to the driver.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
-    table = sample.mapInArrow(run, "doc_id bigint, quality int, buckets binary").toArrow().to_pandas()
-    table["key"] = np.array([hash_id(i) for i in table["doc_id"]], np.uint64)
-    table = table.sort_values(["key", "doc_id", "quality", "buckets"])
-    return train([(np.frombuffer(x, np.uint32), int(y)) for x, y in zip(table["buckets"], table["quality"], strict=True)])
-
-
-def hash_id(i: int) -> int:
-    return (i * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            for a, b, buckets, first in features(batch.column(3)):
+                pairs = [np.unique(buckets[i:j], return_counts=True) for i, j in zip(first, first[1:], strict=False)]
+                packed = [pa.array([x[k].astype(np.uint32).tobytes() for x in pairs], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(3)), *packed], ["doc_id", "quality", "digest", "buckets", "counts"])
+
+    with Tables(docs.sparkSession) as tables:
+        # Both lists are bounded by TRAIN_ROWS, so they may be broadcast.
+        digested = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+        labelled = digested.join(F.broadcast(known), "doc_id")
+        chosen = tables.write(labelled.select("doc_id", "quality", "digest").distinct().orderBy(*order).limit(TRAIN_ROWS), "classifier-rows")
+        texts = labelled.join(F.broadcast(chosen), ["doc_id", "quality", "digest"], "left_semi").dropDuplicates(["doc_id", "quality", "digest"])
+        rows = texts.select("doc_id", "quality", "digest", "text").mapInArrow(run, "doc_id bigint, quality int, digest string, buckets binary, counts binary")
+        rows = tables.write(rows.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.shiftright(F.xxhash64("doc_id"), 32), F.lit(PARTS)).cast("int")), "classifier-features")
+
+        def parts() -> Iterator[list[tuple[np.ndarray, np.ndarray, int]]]:
+            for k in range(PARTS):
+                own = rows.where(F.col("part") == k).select("h", "doc_id", "quality", "digest", "buckets", "counts").toArrow()
+                own = sorted(zip(*(own[c].to_pylist() for c in own.column_names), strict=True))
+                yield [(np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32), y) for _, _, y, _, b, c in own]
+
+        return train(parts)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
