@@ -1,7 +1,11 @@
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from crawlsmith.llm import bpe, fingerprints, html_text, lexicon, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
 from crawlsmith.llm._graph import components
+from crawlsmith.llm._store import Tables
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,8 +125,8 @@ def test_no_task_holds_a_whole_family(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 6)
     sizes, whole = [], minhash_dedup.blocks
 
-    def counted(lists, labels):
-        out = whole(lists, labels)
+    def counted(lists, labels, tables):
+        out = whole(lists, labels, tables)
         sizes.append(max((r["count"] for r in out.groupBy("v", "at", "left", "right", "inner").count().collect()), default=0))
         return out
 
@@ -138,7 +143,8 @@ def test_no_task_holds_a_whole_family(spark, monkeypatch):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
-    got = {r.node: r.component for r in components(links).collect()}
+    with Tables(spark) as tables:
+        got = {r.node: r.component for r in components(links, tables).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
 
@@ -167,6 +173,7 @@ def brute_passages(docs, n):
 def test_removals(spark, hard_docs, no_docs, monkeypatch, group, stretch):
     """Also with every anchor's places split, down to single offsets, and texts scanned in stretches."""
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "MOST", group)
     monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     passage = prose(20, 90)
     more = [(200 + k, f"{prose(60 + k, 30)} {passage[k : 700 - k]} {prose(90 + k, 30)}") for k in range(8)] + [(300, "ab" * 700), (301, "x" + "ab" * 300), (302, passage[:400] + passage[100:])]
@@ -189,6 +196,26 @@ def test_removal_of_hard_rows(hard_docs, no_docs):
     assert suffix_dedup.remove(odd).where("__text = 'x' AND copies = 'y' AND row = 'z'").count() == hard_docs.count()
 
 
+def test_memory_of_the_most_places_of_one_anchor():
+    """As many places as one task may sort, of one passage in texts of their own."""
+    code = (
+        "import resource, numpy as np, pyarrow as pa\n"
+        "from crawlsmith.llm import suffix_dedup as s\n"
+        "n, rng = s.MOST, np.random.default_rng(1)\n"
+        "size = 2 * s.LENGTH - s.GRAM\n"
+        "data = rng.integers(97, 123, (n, size), dtype=np.uint8)\n"
+        "data[:, 150:500] = data[0, 150:500]\n"
+        "around = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(data.tobytes())])\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "places = pa.ListArray.from_arrays(pa.array(range(n + 1), pa.int32()), pa.array([s.LENGTH - s.GRAM] * n, pa.int32()))\n"
+        "found = s.repeated_windows(s.Suffixes(np.zeros(n, np.int64), np.zeros(n, np.int32), places, around), (400, 250))\n"
+        "assert len(found) == n, len(found)\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert int(out.stdout.split()[-1]) < 700_000  # kB
+
+
 def test_stretches_of_a_text_have_its_anchors(monkeypatch):
     import pyarrow as pa
 
@@ -209,7 +236,7 @@ def test_suffix_sort_and_collisions(monkeypatch):
     windows = lambda found: {(i, n, o) for i, n, a, b in found for o in range(a, b + 1)}
     want = windows(suffix_dedup.exact_windows(s, (400, 250)))
     assert windows(suffix_dedup.repeated_windows(s, (400, 250))) == want and want
-    monkeypatch.setattr(suffix_dedup.Suffixes, "hashed", lambda self, start, end: np.zeros(len(start), np.uint64))  # everything collides
+    monkeypatch.setattr(suffix_dedup.Suffixes, "hashed", lambda self, i, start, end: np.zeros(len(start), np.uint64))  # everything collides
     assert windows(suffix_dedup.repeated_windows(s, (400, 250))) == want
 
 
@@ -231,12 +258,12 @@ def test_bpe_is_the_library(hard_docs, no_docs):
 
 def test_lexicon(tmp_path):
     words = {f"{a}{b}ing".encode(): [len(a), k] for k, a in enumerate(["r", "s", "st", "str", ""]) for b in ("", "ea", "o")}
-    lexicon.compile_words(list(words.items()), str(tmp_path / "l"))
+    (tmp_path / "l").write_bytes(lexicon.compile_words(list(words.items())))
     lex = lexicon.Lexicon(str(tmp_path / "l"))
     assert all(lex.get(w) == ids for w, ids in words.items())
     assert lex.get(b"") is None and lex.get(b"stri") is None and lex.get(b"stringing") is None
     assert len(lex.first) < sum(map(len, words))  # suffixes are shared
-    lexicon.compile_words([], str(tmp_path / "e"))
+    (tmp_path / "e").write_bytes(lexicon.compile_words([]))
     assert lexicon.Lexicon(str(tmp_path / "e")).get(b"a") is None
 
 
@@ -379,6 +406,61 @@ def test_all_that_is_in_a_table_is_kept():
     assert text("<tr><td><table><tr><form><td>in</form></table></td><td>b</td></tr>") == "in | b"
 
 
+def test_what_is_hidden_and_what_is_seen():
+    text = lambda page: html_text.extract(page)[1]
+    assert text("<div>" * 3000 + "<div hidden>SECRET</div>seen") == "seen"
+    assert text("<p hidden/>SECRET<p>seen") == "seen"
+    assert text("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><i>no</i></div>") == "yes"
+    assert text("<table><tr style='visibility:collapse'><td>no</td><td style='visibility:visible'>yes</td></tr></table>").strip() == "| yes"
+    assert text("<select><option>a<option>b</select><textarea>t</textarea><svg><g/><title>no</title><text>drawn</text></svg>").split() == ["a", "b", "t", "drawn"]
+    assert text("<pre>a<table><tr><td>1</td><td>2</td></tr></table>b<p>c</p></pre>").split("\n") == ["a", "", "1 | 2", "", "b", "", "c"]
+    assert text("<pre>\n\n  x\n\n y<br>z\n\n</pre>after") == "  x\n\n y\nz\n\nafter"
+
+
+class Words(HTMLParser):
+    """Visible words by the stdlib's parser, for pages whose markup hides nothing but by element, attribute or style."""
+
+    hidden = ("script", "style", "head", "template", "noscript", "title", "iframe", "object", "video", "audio", "canvas", "datalist", "noembed", "noframes", "map")
+    void = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        if tag in self.void:
+            self.words += (own.get("alt") or "").split() if tag == "img" and not any(x for _, x in self.stack) else []
+            return
+        self.stack.append((tag, tag in self.hidden or "hidden" in own or bool(re.search(r"display\s*:\s*none", own.get("style") or ""))))
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                del self.stack[k:]
+                return
+
+    def handle_data(self, data):
+        if not any(x for _, x in self.stack):
+            self.words += data.split()
+
+
+def test_all_pages_against_the_stdlib(spark):
+    """Every visible word of every page, as a multiset; marks of lists and cells are the layout's own."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    marks = re.compile(r"^\d+\.$|^[-|>]$")
+    for i, page in html.items():
+        if page is None or re.search("visibility|<details", page):
+            continue
+        own = Words()
+        own.feed(page)
+        own.close()
+        keep = lambda words: Counter(w for w in words if not marks.match(w))
+        assert keep(re.sub(r"\s", " ", " ".join(got[i].split())).split()) == keep(own.words), i
+
+
 # Pipeline
 
 
