@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
 from crawlsmith.functions import text as T
+from crawlsmith.functions.frames import fenced
 from crawlsmith.functions.urls import host, path
+from crawlsmith.operators.context import pagination_columns
 
 #: Order of the types; it breaks ties.
 TYPES = ["product", "category", "article", "informational", "home", "landing", "contacts", "unknown"]
@@ -26,6 +28,8 @@ TEXT_SIGNALS = {
     "author": "автор|author",
     "cta": "оставить заявку|получить|заказать|купить|попробовать|зарегистрироваться|подать заявку|buy now",
     "address": r"ул\.|улица|проспект|офис|адрес|г\.|город",
+    "related_articles": "похожие статьи|ещё по теме|читайте также|related posts|similar articles",
+    "requisites": r"инн|огрн|кпп|ооо|ип(?![\p{L}\p{N}_])|ао(?![\p{L}\p{N}_])|пао(?![\p{L}\p{N}_])",
 }
 RAW_SIGNALS = {
     "form": r"<form\b",
@@ -37,34 +41,67 @@ RAW_SIGNALS = {
     "map": r"yandex\.ru/map|google\.com/maps|2gis|leaflet|ymaps|карта",
     "faq": "faq|вопросы и ответы|частые вопросы",
 }
+#: A signal in the visible text, or else in the page's markup.
+EITHER_SIGNALS = {
+    "specs": ("характеристик|спецификац", r"<table\b"),
+    "description_block": ("описани", r"class=[\"'][^\"']*description"),
+    "subcategories": ("подкатегор|подраздел", r"class=[\"'][^\"']*subcategory"),
+}
+#: Schema types by what they stand for.
+SCHEMAS = {
+    "product": ["Product", "Offer", "AggregateOffer", "Review", "AggregateRating"],
+    "offer": ["Offer", "AggregateOffer"],
+    "review": ["Review", "AggregateRating"],
+    "item_list": ["ItemList", "CollectionPage", "OfferCatalog"],
+    "article": ["Article", "NewsArticle", "BlogPosting"],
+    "contact": ["Organization", "LocalBusiness", "PostalAddress", "ContactPoint"],
+}
 PRICE = r"(?iu)\d[\d\s]*(?:₽|руб|\$|€)"
 BUY = r"(?iu)(купить|в корзину|заказать|buy now|add to cart)"
-COUNTS = {"h2": r"(?i)<h2\b", "h3": r"(?i)<h3\b", "tables": r"(?i)<table\b", "lists": r"(?i)<(?:ul|ol)\b", "quotes": r"(?i)<blockquote\b", "videos": r"(?i)<(?:video|iframe)\b", "code": r"(?i)<(?:code|pre)\b", "images": r"(?i)<img\b"}
+COUNTS = {"h1": r"(?i)<h1\b", "h2": r"(?i)<h2\b", "h3": r"(?i)<h3\b", "tables": r"(?i)<table\b", "lists": r"(?i)<(?:ul|ol)\b", "quotes": r"(?i)<blockquote\b", "videos": r"(?i)<(?:video|iframe)\b", "code": r"(?i)<(?:code|pre)\b", "images": r"(?i)<img\b"}
 LISTING = [r"(?i)data-product\b", r"(?i)class=[\"'][^\"']*(?:product-card|product-item|catalog-item|card-product)[^\"']*[\"']"]
 
 
+def content_image(tag: Column) -> Column:
+    """Whether an img tag shows content: sprites, icons and small images do not."""
+    src, cls = H.attribute(tag, "src"), F.lower(H.attribute(tag, "class"))
+    size = lambda n: F.coalesce(F.nullif(F.regexp_extract(H.attribute(tag, n), r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    return ~cls.rlike("sprite|icon|logo|avatar|emoji") & ~F.lower(src).rlike(r"\.svg(?:$|\?)") & ((size("width") == 0) | (size("width") >= 50)) & ((size("height") == 0) | (size("height") >= 50))
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One wide row for each page (page_id, url, html), in one pass and without a shuffle; html is dropped."""
-    df = pages.withColumn("text_", H.visible_text(F.col("html"))).withColumn("low_", F.lower("html"))
+    df = pages.withColumn("text_", H.visible_text(F.col("html"))).withColumn("low_", F.lower("html")).withColumn("body_", T.strip_layout(F.col("html")))
+    df = df.withColumn("words_", T.strip_html(F.col("body_"))).withColumn("images_", F.filter(H.tags(F.col("html"), "img"), content_image))
     df = df.withColumn("types", H.jsonld_types(F.col("html"))).withColumn("links_", H.tags(F.col("html"), "a"))
     flags = {f"{k}_found": F.col("text_").rlike(f"(?iu){p}") for k, p in TEXT_SIGNALS.items()} | {f"{k}_found": F.col("low_").rlike(f"(?iu){p}") for k, p in RAW_SIGNALS.items()}
+    flags |= {f"{k}_found": F.col("text_").rlike(f"(?iu){a}") | F.col("low_").rlike(f"(?iu){b}") for k, (a, b) in EITHER_SIGNALS.items()}
+    mode, page_count = pagination_columns(F.col("html"))
+    cards = F.greatest(*[F.regexp_count("html", F.lit(p)) for p in LISTING])
     flags["filter_found"] = F.col("low_").rlike("filter|фильтр") & F.col("low_").rlike(r"<(?:form|select|input)\b")
     flags["phone_found"] = F.col("text_").rlike(r"\+7|8\s?\(?\d{3}\)?[\s-]?\d{3}") | F.col("low_").contains("tel:")
     flags["email_found"] = F.col("text_").rlike(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}")
     published = F.coalesce(H.meta(F.col("html"), "article:published_time", "property"), F.nullif(F.regexp_extract("html", r"(?i)<time\b[^>]*datetime=[\"']([^\"']+)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract("text_", r"(?:^|[^\d])(\d{1,2}[./]\d{1,2}[./]\d{2,4})(?:[^\d]|$)", 1), F.lit("")))
     hrefs = F.transform("links_", lambda t: H.attribute(t, "href"))
     inside = F.size(F.filter(hrefs, lambda h: (h != "") & (~h.rlike("^[a-z]+:") | (host(h) == host(F.col("url"))))))
-    return df.select(
+    found = fenced(df).select(
         "page_id", "url", "types", F.col("text_").alias("visible_text"),
-        T.word_count(T.strip_html(T.strip_layout(F.col("html")))).alias("word_count"),
+        T.word_count(F.col("words_")).alias("word_count"), T.content_density_pct(F.col("words_"), F.col("body_")).alias("density"),
         *[F.regexp_count("html", F.lit(p)).alias(f"{k}_count") for k, p in COUNTS.items()],
         *[c.alias(k) for k, c in flags.items()],
         F.regexp_count("text_", F.lit(PRICE)).alias("price_count"), F.col("text_").rlike(BUY).alias("buy_found"),
-        F.greatest(*[F.regexp_count("html", F.lit(p)) for p in LISTING]).alias("listing_cards"),
+        cards.alias("listing_cards"), mode.alias("pagination_mode"), page_count.alias("pagination_pages"),
+        F.when(cards > 0, cards * page_count).alias("assortment"),
+        F.size("images_").alias("content_images"), F.size(F.filter("images_", lambda t: F.trim(H.attribute(t, "alt")) == "")).alias("images_without_alt"),
+        F.size(F.filter(hrefs, lambda h: h.rlike("^(?:https?:)?//") & (host(F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)) != host(F.col("url"))))).alias("external_links"),
+        (F.regexp_count("html", F.lit(r"(?i)<(?:details|summary)\b")) + F.regexp_count("html", F.lit(r"(?i)(?:class|id)=[\"'][^\"']*(?:faq|question|answer)[^\"']*[\"']"))).alias("questions"),
+        F.col("low_").rlike("(?iu)команда|офис|team|about-us|company").alias("team_found"), F.col("html").rlike(r'(?i)"datePublished"').alias("date_schema_found"),
+        *[H.meta(F.col("html"), f"og:{c}", "property").isNotNull().alias(f"og_{c}_found") for c in ("title", "description", "image")],
         H.jsonld_type_count(F.col("html"), ["Product"]).alias("product_schemas"),
         published.alias("published"), inside.alias("internal_links"),
         *[H.head_meta(F.col("html"))[c].alias(c) for c in ("title", "h1", "description", "canonical", "og_title", "lang")],
     )
+    return fenced(found)
 
 
 def page_type_scores(features: DataFrame) -> DataFrame:
@@ -87,18 +124,18 @@ def page_type_scores(features: DataFrame) -> DataFrame:
     }
     score = lambda rs: reduce(lambda a, r: a + F.when(F.coalesce(r[0], F.lit(False)), r[1]).otherwise(0), rs, F.lit(0))
     df = features.withColumns({f"score_{t}": score(rs) for t, rs in rules.items()})
-    return df.withColumn("score_unknown", F.when(F.greatest(*[F.col(f"score_{t}") for t in rules]) == 0, 20).otherwise(0))
+    return fenced(df).withColumn("score_unknown", F.when(F.greatest(*[F.col(f"score_{t}") for t in rules]) == 0, 20).otherwise(0))
 
 
 def resolve_page_type(scored: DataFrame, override: str | None = None, force_best: bool = False) -> DataFrame:
     """scored with page_type, confidence, needs_choice and the three best suggestions."""
     name = lambda t: "informational" if t == "contacts" else t
     cells = F.array(*[F.struct((-F.col(f"score_{t}")).alias("minus"), F.lit(i).alias("i"), F.lit(name(t)).alias("key"), F.col(f"score_{t}").alias("score")) for i, t in enumerate(TYPES)])
-    df = scored.withColumn("all_", F.array_sort(cells))
+    df = fenced(scored.withColumn("all_", F.array_sort(cells)))
     if override and override != "unknown":
         return df.withColumn("page_type", F.lit(override)).withColumn("confidence", F.lit(100)).withColumn("needs_choice", F.lit(False)).withColumn("suggestions", F.array().cast("array<string>")).drop("all_")
     root = F.lower(path(F.col("url"))).isin("", "/")
-    df = df.withColumn("few_", F.when(root, F.filter("all_", lambda x: x.key.isin("home", "landing"))).otherwise(F.col("all_")))
+    df = fenced(df.withColumn("few_", F.when(root, F.filter("all_", lambda x: x.key.isin("home", "landing"))).otherwise(F.col("all_"))))
     best, second = F.get("few_", F.lit(0)), F.get("few_", F.lit(1))
     confidence = F.greatest(F.lit(35), F.least(F.lit(98), 2 * best.score - second.score))
     df = df.withColumn("page_type", best.key).withColumn("confidence", confidence)
@@ -107,41 +144,102 @@ def resolve_page_type(scored: DataFrame, override: str | None = None, force_best
     return df.withColumn("needs_choice", choice).withColumn("suggestions", F.transform(some, lambda x: x.key)).drop("all_", "few_")
 
 
-#: Numbers of checks by type; they are fixed and not the number of rules.
-TOTALS = {"product": 15, "category": 13, "article": 19, "home": 8, "landing": 8, "contacts": 7, "informational": 7}
+#: Numbers of checks by type, which are not the numbers of rules; informational pages about contacts have one more.
+TOTALS = {"product": 15, "category": 13, "article": 19, "home": 8, "landing": 8, "contacts": 7, "informational": 6}
 
 
-def content_issues(df: DataFrame) -> DataFrame:
-    """df (features and page_type) with issues: severity and what is missing for the type."""
-    f = lambda c: ~F.col(f"{c}_found")
-    none = lambda c: F.col(c).isNull()
+def informational_subtype() -> Column:
+    """contacts, about, faq or generic, by the path, or by a block of questions."""
+    p = F.lower(path(F.col("url")))
+    return (
+        F.when(p.rlike("/contacts?/|/kontakty?/|/contact-us/|/support/contacts"), "contacts")
+        .when(p.rlike("/about/|/o-nas/|/company/|/about-us/"), "about")
+        .when(p.rlike("/faq/|/help/|/pomoshch/|/questions/") | F.col("faq_found"), "faq")
+        .otherwise("generic")
+    )
+
+
+def content_rules() -> dict[str, list[tuple[str, str, Column]]]:
+    """By page type (of informational pages: by subtype), severity, name and condition of each check that fails."""
+    no = lambda c: ~F.col(f"{c}_found")
     has = lambda *ts: F.arrays_overlap("types", F.array(*map(F.lit, ts)))
-    common = [("critical", "title", none("title")), ("critical", "h1", none("h1")), ("warn", "description", none("description"))]
-    rules = {
-        "product": [*common, ("critical", "price", F.col("price_count") == 0), ("critical", "buy_button", ~F.col("buy_found")), ("critical", "product_schema", F.col("product_schemas") == 0), ("warn", "images", F.col("images_count") == 0), ("warn", "reviews", f("reviews")), ("warn", "stock", f("stock")), ("improve", "sku", f("sku")), ("improve", "delivery", f("delivery")), ("improve", "related", f("related")), ("improve", "breadcrumbs", f("breadcrumbs"))],
-        "category": [*common, ("critical", "listing", F.col("listing_cards") == 0), ("warn", "filter", f("filter")), ("warn", "sorting", f("sorting")), ("improve", "item_list", ~has("ItemList")), ("improve", "breadcrumbs", f("breadcrumbs"))],
-        "article": [*common, ("critical", "text", F.col("word_count") < 300), ("warn", "headings", F.col("h2_count") + F.col("h3_count") < 3), ("warn", "author", f("author")), ("warn", "date", none("published")), ("warn", "article_schema", ~has("Article", "NewsArticle", "BlogPosting")), ("improve", "images", F.col("images_count") == 0), ("improve", "lists", F.col("lists_count") == 0), ("improve", "toc", f("toc")), ("improve", "comments", f("comments")), ("improve", "social", f("social"))],
-        "home": [*common, ("warn", "cta", f("cta")), ("warn", "phone", f("phone")), ("improve", "reviews", f("reviews")), ("improve", "organization", ~has("Organization", "LocalBusiness", "WebSite"))],
-        "landing": [*common, ("critical", "form", f("form")), ("critical", "cta", f("cta")), ("warn", "reviews", f("reviews")), ("improve", "faq", f("faq"))],
-        "informational": [*common, ("warn", "text", F.col("word_count") < 100), ("improve", "phone", f("phone")), ("improve", "email", f("email"))],
-        "unknown": common,
+    schema = lambda k: has(*SCHEMAS[k])
+    zero = lambda c: F.col(c) == 0
+    reviews, crumbs = no("reviews") & ~schema("review"), no("breadcrumbs") & ~has("BreadcrumbList")
+    faq, address = no("faq") & ~has("FAQPage"), no("address") & ~has("PostalAddress")
+    pages, goods = F.col("pagination_mode") == "pages", F.coalesce("assortment", F.lit(0))
+    infinite = F.col("pagination_mode") == "infinite"
+    described = (F.col("word_count") >= 120) | F.col("visible_text").rlike("(?iu)описание категории|о категории")
+    h1, unreachable = ("critical", "h1", zero("h1_count")), no("phone") & no("email") & address
+    empty, thin = ("critical", "nearly_empty", F.col("density") < 10), F.col("word_count") < 250
+    return {
+        "product": [
+            ("critical", "price", zero("price_count")), ("critical", "buy_button", ~F.col("buy_found")), ("critical", "images", zero("content_images")), h1, ("critical", "product_schema", ~schema("product")),
+            ("warn", "reviews", reviews), ("warn", "breadcrumbs", crumbs), ("warn", "specs", no("specs")), ("warn", "offer_schema", ~schema("offer")), ("warn", "description_block", no("description_block")), ("warn", "delivery", no("delivery")),
+            ("improve", "related", no("related")), ("improve", "faq", faq), ("improve", "review_schema", ~schema("review")), ("improve", "image_alt", (F.col("content_images") > 0) & (F.col("images_without_alt") > 0)),
+        ],
+        "category": [
+            h1, ("critical", "price", zero("price_count")), ("critical", "filter_duplicates", F.col("filter_found") & (F.coalesce("canonical", F.lit("")) == "")),
+            ("warn", "category_description", ~described), ("warn", "filter", no("filter")), ("warn", "item_list_schema", ~schema("item_list")), ("warn", "breadcrumbs", crumbs), ("warn", "pagination", ~pages & ~infinite),
+            ("warn", "small_assortment", pages & (goods > 0) & (goods < 20)), ("warn", "huge_assortment", pages & (goods > 1000)),
+            ("improve", "quick_buy", ~F.col("buy_found")), ("improve", "subcategories", no("subcategories")), ("improve", "infinite_without_pages", infinite), ("improve", "large_assortment", pages & (goods > 500) & (goods <= 1000)),
+        ],
+        "article": [
+            h1, ("critical", "words", F.col("word_count") < 300), ("critical", "article_schema", ~schema("article")), ("critical", "date", F.col("published").isNull()), empty,
+            ("warn", "author", no("author")), ("warn", "headings", F.col("h2_count") + F.col("h3_count") == 0), ("warn", "internal_links", zero("internal_links")), ("warn", "images", zero("content_images")), ("warn", "date_schema", no("date_schema")), ("warn", "cta", no("cta")), ("warn", "image_alt", F.col("images_without_alt") > 0), ("warn", "density", (F.col("density") >= 10) & (F.col("density") < 25)),
+            ("improve", "toc", no("toc")), ("improve", "reading_time", no("reading_time")), ("improve", "tables", zero("tables_count")), ("improve", "external_links", zero("external_links")), ("improve", "faq_schema", ~has("FAQPage")), ("improve", "related_articles", no("related_articles")), ("improve", "comments", no("comments")), ("improve", "videos", zero("videos_count")), ("improve", "tags", no("tags")),
+        ],
+        "informational/contacts": [h1, empty, ("critical", "phone", no("phone")), ("critical", "address", address), ("warn", "local_business_schema", ~has("LocalBusiness")), ("warn", "email", no("email")), ("improve", "map", no("map"))],
+        "informational/about": [h1, empty, ("warn", "organization_schema", ~has("Organization")), ("warn", "contacts", unreachable), ("improve", "team_photo", no("team") | zero("content_images"))],
+        "informational/faq": [h1, empty, ("critical", "faq_schema", ~has("FAQPage")), ("warn", "faq", faq), ("improve", "few_questions", (F.col("questions") > 0) & (F.col("questions") < 5))],
+        "informational/generic": [h1, empty, ("warn", "organization_schema", ~has("Organization", "LocalBusiness")), ("warn", "contacts", unreachable), ("improve", "images", zero("content_images"))],
+        "home": [
+            h1, ("critical", "title", F.col("title").isNull()), ("warn", "cta", no("cta")), ("warn", "contact_or_form", no("phone") & no("email") & no("form")), ("warn", "og_image", no("og_image")), ("warn", "home_schema", ~has("Organization", "WebSite", "WebPage", "Service")),
+            ("improve", "trust", reviews), ("improve", "faq", faq), ("improve", "words", thin),
+        ],
+        "landing": [
+            h1, ("critical", "form", no("form")), ("critical", "cta", no("cta")), ("warn", "trust", reviews), ("warn", "og_image", no("og_image")), ("warn", "service_schema", ~has("Service")), ("improve", "faq", faq), ("improve", "words", thin),
+        ],
+        "contacts": [
+            ("critical", "phone", no("phone")), ("critical", "address", address), ("critical", "form", no("form")), ("warn", "email", no("email")), ("warn", "requisites", no("requisites")), ("warn", "contact_schema", ~schema("contact")),
+            ("improve", "open_graph", no("og_title") | no("og_description")),
+        ],
+        "unknown": [h1, ("critical", "title", F.col("title").isNull()), ("warn", "description", F.col("description").isNull()), ("warn", "words", thin), ("improve", "images", zero("content_images"))],
     }
+
+
+def content_issues(df: DataFrame) -> DataFrame:
+    """df (features and page_type) with subtype and issues: severity and what is missing for the type, gravest first."""
     none_yet = F.array().cast("array<struct<severity:string,what:string>>")
+    df = fenced(df.withColumn("subtype", F.when(F.col("page_type") == "informational", informational_subtype())))
+    kind = F.concat_ws("/", "page_type", "subtype")
     out = F.when(F.lit(False), none_yet)
-    for kind, checks in rules.items():
-        found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.struct(F.lit(s).alias("severity"), F.lit(w).alias("what"))) for s, w, c in checks]))
-        out = out.when(F.col("page_type") == kind, found)
-    return df.withColumn("issues", F.coalesce(out, none_yet))
+    for name, checks in content_rules().items():
+        out = out.when(kind == name, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.struct(F.lit(s).alias("severity"), F.lit(w).alias("what"))) for s, w, c in checks])))
+    return fenced(df.withColumn("issues", F.coalesce(out, none_yet)))
 
 
 def content_verdict(df: DataFrame) -> DataFrame:
     """df with verdict, total and passed; pages whose type needs a choice stop at phase detect."""
     any_ = lambda s: F.exists("issues", lambda x: x.severity == s)
-    total = reduce(lambda a, kv: a.when(F.col("page_type") == kv[0], kv[1]), TOTALS.items(), F.when(F.lit(False), 0)).otherwise(5)
+    total = reduce(lambda a, kv: a.when(F.col("page_type") == kv[0], kv[1]), TOTALS.items(), F.when(F.col("subtype") == "contacts", 7)).otherwise(5)
     verdict = F.when(any_("critical"), "fail").when(any_("warn"), "warn").otherwise("ok")
     return df.withColumns({"phase": F.when(F.col("needs_choice"), "detect").otherwise("audit"), "verdict": F.when(~F.col("needs_choice"), verdict), "total": total, "passed": F.greatest(F.lit(0), total - F.size("issues"))})
 
 
+def catalog_structure(df: DataFrame) -> DataFrame:
+    """page_id, items_on_page, pagination_pages, infinite_scroll, assortment and a note on it; null but for categories."""
+    category, mode, cards = F.col("page_type") == "category", F.col("pagination_mode"), F.nullif("listing_cards", F.lit(0))
+    note = (
+        F.when((mode == "infinite") & cards.isNotNull(), "infinite_at_least")
+        .when(mode == "infinite", "infinite")
+        .when((mode == "pages") & (F.coalesce("assortment", F.lit(0)) > 0), "estimate")
+        .when(cards.isNotNull(), "no_pagination")
+    )
+    found = {"items_on_page": cards, "pagination_pages": F.when(mode == "pages", F.col("pagination_pages")), "infinite_scroll": mode == "infinite", "assortment": F.when(mode == "pages", F.col("assortment")), "note": note}
+    return df.select("page_id", *[F.when(category, c).alias(k) for k, c in found.items()])
+
+
 def representative_url(urls: DataFrame, kind: str = "default") -> DataFrame:
     """site, url: the url (site, loc, pos) that stands best for a site; the earliest of the best, or none above 0."""
     p = F.lower(path(F.col("loc")))
@@ -181,7 +279,5 @@ def page_links(pages: DataFrame) -> DataFrame:
 def page_images(pages: DataFrame) -> DataFrame:
     """page_id, pos, src, alt, content_image; sprites, icons and small images are no content."""
     rows = pages.select("page_id", F.posexplode(H.tags(F.col("html"), "img")).alias("pos", "tag"))
-    src, cls = H.attribute(F.col("tag"), "src"), F.lower(H.attribute(F.col("tag"), "class"))
-    size = lambda n: F.coalesce(F.nullif(F.regexp_extract(H.attribute(F.col("tag"), n), r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
-    content = ~cls.rlike("sprite|icon|logo|avatar|emoji") & ~F.lower(src).rlike(r"\.svg(?:$|\?)") & ((size("width") == 0) | (size("width") >= 50)) & ((size("height") == 0) | (size("height") >= 50))
-    return rows.select("page_id", "pos", src.alias("src"), F.nullif(H.attribute(F.col("tag"), "alt"), F.lit("")).alias("alt"), content.alias("content_image"))
+    alt = F.nullif(H.attribute(F.col("tag"), "alt"), F.lit(""))
+    return rows.select("page_id", "pos", H.attribute(F.col("tag"), "src").alias("src"), alt.alias("alt"), content_image(F.col("tag")).alias("content_image"))

@@ -112,17 +112,22 @@ def page_number(link: Column) -> Column:
     return F.greatest(*[F.coalesce(F.nullif(F.regexp_extract(link, p, 1), F.lit("")).cast("int"), F.lit(0)) for p in patterns])
 
 
-def pagination(pages: DataFrame) -> DataFrame:
-    """page_id, mode (pages, infinite, single) and page_count, from links and pagination blocks."""
-    links = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|link)\b[^>]*?href=[\"']([^\"']+)[\"']"), F.lit(1))
-    blocks = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<(?:nav|div|ul)\b[^>]*class=[\"'][^\"']*(?:pagination|pager|nav-pages|page-nav)[^\"']*[\"'][^>]*>(.*?)</(?:nav|div|ul)>"), F.lit(1)), " ")
+def pagination_columns(html: Column) -> tuple[Column, Column]:
+    """Mode (pages, infinite, single) and number of pages, from links and pagination blocks."""
+    links = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|link)\b[^>]*?href=[\"']([^\"']+)[\"']"), F.lit(1))
+    blocks = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<(?:nav|div|ul)\b[^>]*class=[\"'][^\"']*(?:pagination|pager|nav-pages|page-nav)[^\"']*[\"'][^>]*>(.*?)</(?:nav|div|ul)>"), F.lit(1)), " ")
     numbers = F.transform(F.regexp_extract_all(blocks, F.lit(r"[>\s](\d{1,5})(?=[<\s])"), F.lit(1)), lambda x: x.cast("int"))
     by_link = F.coalesce(F.array_max(F.transform(links, page_number)), F.lit(0))
     top = F.greatest(by_link, F.coalesce(F.array_max(numbers), F.lit(0)))
-    infinite = F.col("html").rlike(r"(?iu)infinite\s*scroll|load more|show more|показать ещё|загрузить ещё|data-next-page|ajaxpager|catalog-more")
-    df = pages.withColumn("top_", top).withColumn("link_", by_link).withColumn("inf_", infinite)
-    mode = F.when((F.col("link_") > 0) & (F.col("top_") > 1), "pages").when(F.col("inf_"), "infinite").otherwise("single")
-    return df.select("page_id", mode.alias("mode"), F.when(mode == "pages", F.col("top_")).alias("page_count"))
+    infinite = html.rlike(r"(?iu)infinite\s*scroll|load more|show more|показать ещё|загрузить ещё|data-next-page|ajaxpager|catalog-more")
+    found = (by_link > 0) & (top > 1)
+    return F.when(found, "pages").when(infinite, "infinite").otherwise("single"), F.when(found, top)
+
+
+def pagination(pages: DataFrame) -> DataFrame:
+    """page_id, mode and page_count."""
+    mode, count = pagination_columns(F.col("html"))
+    return pages.select("page_id", mode.alias("mode"), count.alias("page_count"))
 
 
 def search_counts(html: Column, patterns: list[str]) -> Column:

@@ -17,7 +17,7 @@ def test_article_and_home(spark):
     body = "<h1>t</h1>" + "<h2>a</h2>" * 3 + "<p>" + "слово " * 600 + "</p><p>Автор: А</p><time datetime='2024-01-01'>x</time>"
     r = audit(spark, "https://a/blog/x", f"<title>t</title>{ld}<article>{body}</article>")
     assert (r.page_type, r.confidence, r.needs_choice, r.total) == ("article", 98, False, 19)
-    assert {x.what for x in r.issues} >= {"description", "images"} and "author" not in {x.what for x in r.issues}
+    assert {x.what for x in r.issues} >= {"images", "cta", "date_schema", "toc"} and not {x.what for x in r.issues} & {"author", "words", "h1", "date", "article_schema", "headings"}
     assert r.verdict == "warn"
     home = audit(spark, "https://a", "<title>t</title><h1>h</h1><p>Купить</p>")
     assert home.page_type == "home" and home.score_home == 90 + 25
@@ -35,6 +35,78 @@ def test_product_and_landing_and_override(spark):
     assert C.resolve_page_type(df).first().needs_choice
 
 
+def typed(spark, cases):
+    """Rows of (type, url, html), audited as pages of that type."""
+    df = spark.createDataFrame([(n, url, html) for n, (_, url, html) in enumerate(cases)], "page_id int, url string, html string")
+    kinds = F.array(*[F.lit(kind) for kind, _, _ in cases])
+    return C.page_features(df).withColumn("page_type", F.get(kinds, F.col("page_id"))).withColumn("needs_choice", F.lit(False))
+
+
+def test_each_content_check_fires_and_is_silent(spark):
+    """An empty page fails what asks for something; a full one fails nothing but what only larger or smaller lists fail."""
+    ld = lambda *types: "".join(f'<script type="application/ld+json">{{"@type":"{t}","datePublished":"2024-01-01"}}</script>' for t in types)
+    og = "<meta property='og:title' content='t'><meta property='og:description' content='d'><meta property='og:image' content='i'>"
+    words = "слово " * 400
+    full = (
+        f"<title>t</title><meta name='description' content='d'>{og}<link rel='canonical' href='/x'>{ld('Product', 'Offer', 'Review', 'ItemList', 'Article', 'FAQPage', 'Organization', 'LocalBusiness', 'Service', 'BreadcrumbList')}"
+        f"<h1>h</h1><h2>s</h2><p>{words} 1 200 ₽ Купить описание характеристики доставка похожие товары подкатегории содержание время чтения автор читайте также ИНН ул. +7 900 a@b.ru</p><form><input class='filter'></form>"
+        "<button>Купить</button><img src='/a.jpg' alt='a'><a href='/in'>i</a><a href='https://ext/x'>e</a><a href='/x?page=9'>9</a><table></table><iframe></iframe><time datetime='2024-01-01'></time>"
+        "<div class='comments tags faq team'>FAQ комментарии теги команда yandex.ru/maps</div>" + "<details></details>" * 5 + "<li data-product></li>" * 4
+    )
+    rules = C.content_rules()
+    by_size = {"category": {"small_assortment", "huge_assortment", "large_assortment", "infinite_without_pages", "filter_duplicates"}, "product": {"image_alt"}, "article": {"image_alt", "density"}, "informational/faq": {"few_questions", "faq"}}
+    urls = {"contacts": "https://a/contacts/", "about": "https://a/about/", "faq": "https://a/faq/", "generic": "https://a/q"}
+    bare = "<b></b>" * 40 + "<p>x</p>"
+    shop = lambda cards, last: "<li data-product></li>" * cards + f"<a href='/x?page={last}'>n</a>"
+    cases, wants = [], []
+
+    def case(kind, html, want, sub="generic"):
+        cases.append((kind, urls[sub], html))
+        wants.append(want)
+
+    for name, own in rules.items():
+        kind, _, sub = name.partition("/")
+        if name not in ("unknown", "informational/generic"):  # a full page has questions, so it is no generic one
+            case(kind, full, lambda got: not got, sub or "generic")
+        names = {(s, w) for s, w, _ in own if w not in by_size.get(name, ())}
+        case(kind, bare, lambda got, names=names: got >= names, sub or "generic")
+    case("category", "<form class=filter>", lambda got: ("critical", "filter_duplicates") in got)
+    for cards, last, size in ((2, 3, "small"), (10, 10, None), (10, 60, "large"), (10, 101, "huge")):
+        case("category", shop(cards, last), lambda got, size=size: {w for _, w in got if "assortment" in w} == ({f"{size}_assortment"} if size else set()))
+    case("category", "load more", lambda got: ("improve", "infinite_without_pages") in got)
+    case("informational", "<details>", lambda got: ("improve", "few_questions") in got, "faq")
+    case("article", "<img src='/a.jpg'>", lambda got: ("warn", "image_alt") in got)
+    case("product", "<img src='/a.jpg'>", lambda got: ("improve", "image_alt") in got)
+    case("article", "<p>" + "x " * 20 + "</p>" + "<b></b>" * 20, lambda got: ("warn", "density") in got)
+    for r in C.content_verdict(C.content_issues(typed(spark, cases))).collect():
+        got = {(x.severity, x.what) for x in r.issues}
+        assert wants[r.page_id](got), (cases[r.page_id][0], got)
+        assert r.total == {"informational": 7 if r.subtype == "contacts" else 6, "unknown": 5}.get(r.page_type, C.TOTALS.get(r.page_type)) and r.passed == max(0, r.total - len(got))
+
+
+def test_catalogue(spark):
+    shop = "<li data-product></li>" * 6
+    cases = [("category", shop + "<a href='/x?page=5'>5</a>"), ("category", shop + "load more"), ("category", shop), ("category", ""), ("article", shop)]
+    got = {r.page_id: tuple(r)[1:] for r in C.catalog_structure(typed(spark, [(k, "https://a/x", h) for k, h in cases])).collect()}
+    assert got[0] == (6, 5, False, 30, "estimate") and got[1] == (6, None, True, None, "infinite_at_least")
+    assert got[2] == (6, None, False, None, "no_pagination") and got[3] == (None, None, False, None, None) and got[4] == (None,) * 5
+
+
+def test_speed_cards(spark):
+    base = {"ttfb_ms": 100, "ttfb_state": "fast", "cms": "other", "cdn": "CDN", "available": True, "partial": False, "gap": 0, "opportunities": ["x"], "lcp": "good", "cls": "good", "tbt": "good"}
+    slow = {"ttfb_ms": 900, "ttfb_state": "slow"}
+    cases = [
+        ({}, [], "ok"), (slow, ["critical ttfb"], "fail"), (slow | {"cms": "Тильда"}, ["warn ttfb"], "warn"), ({"available": False}, ["warn report_missing"], "warn"), ({"partial": True}, ["warn report_partial"], "warn"),
+        ({"lcp": "critical", "opportunities": ["offscreen-images"]}, ["critical images"], "fail"), ({"lcp": "slow", "opportunities": ["unused-css-rules"]}, ["warn scripts"], "warn"), ({"lcp": "critical"}, [], "ok"), ({"opportunities": ["offscreen-images"]}, [], "ok"),
+        ({"tbt": "problem"}, [], "ok"), ({"tbt": "problem", "cms": "WordPress"}, ["warn plugins"], "warn"), ({"opportunities": ["font-display"]}, ["improve fonts"], "ok"), ({"cdn": None}, [], "ok"), ({"cdn": None, "ttfb_ms": 501}, ["improve cdn"], "ok"),
+        ({"gap": 30}, [], "ok"), ({"gap": 31}, ["warn mobile_gap"], "warn"), ({"cls": "problem"}, ["warn cls"], "warn"),
+    ]
+    kinds = "ttfb_ms int, ttfb_state string, cms string, cdn string, available boolean, partial boolean, gap int, opportunities array<string>, lcp string, cls string, tbt string, n int"
+    df = spark.createDataFrame([(*(base | c).values(), n) for n, (c, _, _) in enumerate(cases)], kinds)
+    for r in V.speed_problems(df).collect():
+        assert ([f"{p.severity} {p.kind}" for p in r.problems], r.verdict) == cases[r.n][1:], cases[r.n]
+
+
 def test_images_and_links(spark):
     html = '<img src="/a.jpg" alt="x"><img class="icon" src="/b.png"><img src="/c.svg"><img src="/d.png" width="20"><a href="/in" rel="nofollow">I</a><a href="//ext/x">E</a>'
     df = spark.createDataFrame([(1, "https://a/p", html)], "page_id int, url string, html string")
@@ -69,6 +141,10 @@ def test_speed_and_reach(spark):
     report = '{"categories":{"performance":{"score":0.555}},"audits":{"total-byte-weight":{"numericValue":10}}}'
     p = V.parse_lab_report(F.lit(report))
     assert tuple(spark.range(1).select(p["score"], p["page_bytes"], p["lcp"]).first()) == (56, 10.0, None)
+    report = '{"audits":{"resource-summary":{"details":{"items":[{"transferSize":3},{"transferSize":4},{}]}},"total-byte-weight":{"numericValue":10},"font-display":{"score":0,"title":"Fonts"},"unused-javascript":{"score":1},"offscreen-images":{"score":0.5,"details":{"overallSavingsBytes":9}}}}'
+    p = V.parse_lab_report(F.lit(report))
+    r = spark.range(1).select(p["page_bytes"].alias("b"), p["opportunities"].alias("o")).first()
+    assert r.b == 7.0 and [tuple(o) for o in r.o] == [("offscreen-images", "offscreen-images", None, 9.0), ("font-display", "Fonts", None, None)]
 
 
 def test_cms(spark):
