@@ -67,37 +67,73 @@ def tbt_state(v: Column) -> Column:
 
 
 def merge_strategies(reports: DataFrame) -> DataFrame:
-    """A row a url from its mobile and desktop reports (url, strategy, score, page_bytes, opportunities, error)."""
-    pick = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
-    items = lambda s: F.coalesce(F.max(F.when(F.col("strategy") == s, F.col("opportunities"))), F.array().cast(reports.schema["opportunities"].dataType))
-    df = reports.groupBy("url").agg(pick("mobile", "score").alias("mobile"), pick("desktop", "score").alias("desktop"), pick("mobile", "page_bytes").alias("mb"), pick("desktop", "page_bytes").alias("db"), F.concat(items("mobile"), items("desktop")).alias("all_"), F.max(F.col("error").isNotNull()).alias("has_error"))
+    """A row a url from its mobile and desktop reports (url, strategy, score, page_bytes, opportunities, error).
+
+    Of several reports of a strategy the one with the highest score stands, whole.
+    """
+    row = F.struct(F.coalesce("score", F.lit(-1)).alias("by"), "score", "page_bytes", "opportunities", "error")
+    pick = lambda s: F.max(F.when(F.col("strategy") == s, row))
+    df = reports.groupBy("url").agg(pick("mobile").alias("m"), pick("desktop").alias("d"))
+    none = F.array().cast(reports.schema["opportunities"].dataType)
+    df = df.withColumn("all_", F.concat(F.coalesce("m.opportunities", none), F.coalesce("d.opportunities", none)))
     ids = F.transform("all_", lambda o: o.id)
     first = F.filter("all_", lambda o, i: F.array_position(ids, o.id) == i + 1)
-    return df.select("url", "mobile", "desktop", (F.col("desktop") - F.col("mobile")).alias("gap"), F.coalesce("mb", "db").alias("page_bytes"), first.alias("opportunities"), (F.col("mobile").isNotNull() | F.col("desktop").isNotNull()).alias("available"), "has_error")
+    one, other = F.col("m.score").isNotNull(), F.col("d.score").isNotNull()
+    return df.select(
+        "url", F.col("m.score").alias("mobile"), F.col("d.score").alias("desktop"), (F.col("d.score") - F.col("m.score")).alias("gap"), F.coalesce("m.page_bytes", "d.page_bytes").alias("page_bytes"), first.alias("opportunities"),
+        (one | other).alias("available"), (one != other).alias("partial"), F.col("m.error").alias("mobile_error"), F.col("d.error").alias("desktop_error"), (F.col("m.error").isNotNull() | F.col("d.error").isNotNull()).alias("has_error"),
+    )
+
+
+#: Opportunities of a lab report that are tracked, by what they are about.
+OPPORTUNITIES = {
+    "images": ["modern-image-formats", "uses-optimized-images", "offscreen-images"],
+    "scripts": ["render-blocking-resources", "unused-javascript", "unused-css-rules"],
+    "fonts": ["font-display"],
+}
 
 
 def speed_problems(df: DataFrame) -> DataFrame:
-    """df with problems (severity and kind, gravest first) and verdict, from ttfb_state, cache, cdn, lcp, cls, tbt, server_cache."""
-    rules = [
-        ("critical", "ttfb", F.col("ttfb_state") == "critical"),
-        ("warn", "ttfb", F.col("ttfb_state") == "slow"),
-        ("critical", "lcp", F.col("lcp") == "critical"),
-        ("warn", "lcp", F.col("lcp") == "slow"),
-        ("warn", "cls", F.col("cls") == "problem"),
-        ("warn", "tbt", F.col("tbt") == "problem"),
-        ("warn", "cache", F.col("cache").isin("none", "partial")),
-        ("improve", "cdn", F.col("cdn").isNull()),
-        ("improve", "server_cache", (F.col("server_cache") == "not_detected") & F.col("ttfb_state").isin("slow", "critical")),
+    """df with problems (severity and kind, gravest first) and verdict.
+
+    Reads ttfb_ms, ttfb_state, cms, cdn, available, partial, gap, opportunities (ids), and the mobile states lcp, cls, tbt.
+    """
+    seen = lambda k: F.arrays_overlap("opportunities", F.array(*map(F.lit, OPPORTUNITIES[k])))
+    late, waits = F.col("lcp").isin("slow", "critical"), F.col("ttfb_state").isin("slow", "critical")
+    grave, tilda = F.when(F.col("lcp") == "critical", "critical").otherwise("warn"), F.col("cms") == "Тильда"
+    rules: list[tuple[str, Column | str, Column]] = [
+        ("report_missing", "warn", ~F.col("available")),
+        ("report_partial", "warn", F.col("available") & F.col("partial")),
+        ("ttfb", F.when(tilda, "warn").otherwise("critical"), waits),
+        ("images", grave, late & seen("images")),
+        ("scripts", grave, late & seen("scripts")),
+        ("plugins", "warn", (F.col("tbt") == "problem") & (F.col("cms") == "WordPress")),
+        ("fonts", "improve", seen("fonts")),
+        ("cdn", "improve", F.col("cdn").isNull() & (F.coalesce("ttfb_ms", F.lit(0)) > 500)),
+        ("mobile_gap", "warn", F.coalesce("gap", F.lit(0)) > 30),
+        ("cls", "warn", F.col("cls") == "problem"),
     ]
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit({"critical": 0, "warn": 1, "improve": 2}[s]).alias("rank"), F.lit(i).alias("i"), F.lit(s).alias("severity"), F.lit(k).alias("kind"))) for i, (s, k, c) in enumerate(rules)]))
+    rank = lambda s: F.when(s == "critical", 0).when(s == "warn", 1).otherwise(2)
+    card = lambda i, k, s: F.struct(rank(s).alias("rank"), F.lit(i).alias("i"), s.alias("severity"), F.lit(k).alias("kind"))
+    found = F.array_compact(F.array(*[F.when(c, card(i, k, F.lit(s) if isinstance(s, str) else s)) for i, (k, s, c) in enumerate(rules)]))
     df = df.withColumn("problems", F.array_sort(found))
     worst = F.get("problems", F.lit(0)).severity
     return df.withColumn("verdict", F.when(worst == "critical", "fail").when(worst == "warn", "warn").otherwise("ok"))
 
 
 def parse_lab_report(report: Column) -> dict[str, Column]:
-    """Score, metrics and bytes of a lab report in JSON."""
+    """Score, metrics, bytes and opportunities of a lab report in JSON."""
     get = lambda p: F.get_json_object(report, p).cast("double")
+    items = F.from_json(F.get_json_object(report, "$.audits.resource-summary.details.items"), "array<struct<transferSize:double>>")
+    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x.transferSize, F.lit(0.0)))
+
+    def opportunity(name: str) -> Column:
+        at = f"$.audits.{name}"
+        ms, size = F.coalesce(get(f"{at}.details.overallSavingsMs"), get(f"{at}.numericValue")), get(f"{at}.details.overallSavingsBytes")
+        kept = (F.coalesce(ms, F.lit(0.0)) > 0) | (F.coalesce(size, F.lit(0.0)) > 0) | F.coalesce(get(f"{at}.score") == 0, F.lit(False))
+        title = F.coalesce(F.nullif(F.get_json_object(report, f"{at}.title"), F.lit("")), F.lit(name))
+        return F.when(F.get_json_object(report, at).isNotNull() & kept, F.struct(F.lit(name).alias("id"), title.alias("title"), ms.alias("savings_ms"), size.alias("savings_bytes")))
+
     return {
         "score": F.round(get("$.categories.performance.score") * 100).cast("int"),
         "fcp": get("$.audits.first-contentful-paint.numericValue"),
@@ -105,5 +141,6 @@ def parse_lab_report(report: Column) -> dict[str, Column]:
         "cls": get("$.audits.cumulative-layout-shift.numericValue"),
         "tbt": get("$.audits.total-blocking-time.numericValue"),
         "speed_index": get("$.audits.speed-index.numericValue"),
-        "page_bytes": get("$.audits.total-byte-weight.numericValue"),
+        "page_bytes": F.coalesce(total, get("$.audits.total-byte-weight.numericValue")),
+        "opportunities": F.array_compact(F.array(*[opportunity(name) for own in OPPORTUNITIES.values() for name in own])),
     }
