@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
+from crawlsmith.functions.frames import settled
 from crawlsmith.functions.urls import compare_key, path_and_query
 
 
@@ -113,23 +114,28 @@ def redirect_chains(hops: DataFrame, most: int = 5) -> DataFrame:
     return chains.select("start", "final_url", F.get("chain", F.lit(0)).to_url.alias("first_target"), F.size("chain").alias("hops"), "chain")
 
 
-def expand_sitemaps(files: DataFrame, roots: DataFrame, deepest: int = 10) -> DataFrame:
-    """site, loc, lastmod of all url rows reachable from ``roots`` (site, file).
+def expand_sitemaps(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """site, loc, lastmod, root_kind of all url rows reachable from ``roots`` (site, file), whatever their depth.
 
     ``files`` has a row for each entry of a sitemap file: file, kind (index or url), loc, lastmod. A file is followed once
-    for each site, so cycles end; a level of nesting is a join.
+    for each site, so cycles end; a level of nesting is a join, and its files are settled before the next. root_kind is
+    index if any entry of the site's root is one.
     """
-    seen = roots.select("site", "file").distinct()
-    frontier, out = seen, None
-    for _ in range(deepest):
-        entries = frontier.join(files, "file")
-        rows = entries.where("kind = 'url'").select("site", "loc", "lastmod")
-        out = rows if out is None else out.union(rows)
-        frontier = entries.where("kind = 'index'").select("site", F.col("loc").alias("file")).distinct().join(seen, ["site", "file"], "left_anti")
-        if frontier.limit(1).count() == 0:
+    frontier = settled(roots.select("site", "file").distinct())
+    seen = frontier
+    root_kind = frontier.join(files, "file").groupBy("site").agg(F.min("kind").alias("root_kind"))
+    while True:
+        nested = unseen_files(frontier.join(files.where("kind = 'index'"), "file"), seen)
+        frontier = settled(nested)
+        if not frontier.limit(1).count():
             break
-        seen = seen.union(frontier)
-    return out
+        seen = settled(seen.union(frontier))
+    return seen.join(files.where("kind = 'url'"), "file").join(root_kind, "site").select("site", "loc", "lastmod", "root_kind")
+
+
+def unseen_files(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files of index ``entries`` that are not yet in ``seen``."""
+    return entries.select("site", F.col("loc").alias("file")).distinct().join(seen, ["site", "file"], "left_anti")
 
 
 def robots_home_blocked(robots_rules: DataFrame, sites: DataFrame, agents: list[str]) -> DataFrame:

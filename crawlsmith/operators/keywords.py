@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsmith.functions.frames import fenced, settled
 from crawlsmith.functions.text import anchor_tokens, collapse, comparable_tokens, query_tokens, seed_phrase, slugify
 
 #: Words of worthless intent, and competing brands.
@@ -28,15 +29,17 @@ def expand_queries(suggestions: DataFrame, seeds_a_research: int | None = 20) ->
     """research_id, query, frequency, source of suggestions (research_id, seed, phrase, count) that stay on topic.
 
     A suggestion must differ from its seed and share a token with it, as equal or as one beginning with the other.
-    Of the same query the greatest frequency stays.
+    Of the same query the greatest frequency stays. Each distinct seed and phrase is taken apart once.
     """
     s = suggestions
-    if seeds_a_research is not None:  # the feature's own limit on seeds, in their order of text
-        first = s.select("research_id", "seed").distinct().withColumn("place", F.row_number().over(Window.partitionBy("research_id").orderBy("seed")))
-        s = s.join(first.where(F.col("place") <= seeds_a_research).drop("place"), ["research_id", "seed"], "left_semi")
+    if seeds_a_research is not None:  # the feature's own limit on seeds, in their given order (position), else that of their text
+        given = F.min("position") if "position" in s.columns else F.min("seed")
+        first = s.groupBy("research_id", "seed").agg(given.alias("at")).withColumn("place", F.row_number().over(Window.partitionBy("research_id").orderBy("at", "seed")))
+        s = s.join(first.where(F.col("place") <= seeds_a_research).select("research_id", "seed"), ["research_id", "seed"], "left_semi")
     overlap = F.exists("anchors_", lambda a: F.exists("tokens_", lambda t: (a == t) | a.startswith(t) | t.startswith(a)))
-    s = s.withColumn("anchors_", anchor_tokens(F.col("seed"))).withColumn("tokens_", comparable_tokens(F.col("phrase")))
-    s = s.where((seed_phrase(F.col("phrase")) != seed_phrase(F.col("seed"))) & overlap)
+    seeds = fenced(s.select("seed").distinct().select("seed", seed_phrase(F.col("seed")).alias("seed_"), anchor_tokens(F.col("seed")).alias("anchors_")))
+    phrases = fenced(s.select("phrase").distinct().select("phrase", seed_phrase(F.col("phrase")).alias("phrase_"), comparable_tokens(F.col("phrase")).alias("tokens_")))
+    s = s.join(seeds, "seed").join(phrases, "phrase").where((F.col("phrase_") != F.col("seed_")) & overlap)
     best = s.groupBy("research_id", F.lower("phrase").alias("query_key")).agg(F.max(F.struct("count", "phrase")).alias("m"))
     return best.select("research_id", "query_key", F.col("m.phrase").alias("query"), F.col("m.count").alias("frequency"), F.lit("wordstat").alias("source"))
 
@@ -108,7 +111,7 @@ def cluster_queries(queries: DataFrame) -> DataFrame:
     """id, research_id, cluster_id, main_query: greedy leader clusters, a research in a task.
 
     Queries come by frequency, then text, then id; each joins the first leader with token Jaccard of a half or more,
-    else it leads. For researches beyond some 100,000 queries use ``cluster_queries_distributed``.
+    else it leads. For small researches, and to hold ``cluster_queries_distributed``, which serves all sizes, against.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -133,31 +136,37 @@ def cluster_queries(queries: DataFrame) -> DataFrame:
     return out.withColumn("cluster_id", cluster_key(F.col("research_id"), F.col("main_query")))
 
 
-def cluster_queries_distributed(queries: DataFrame, checkpoint) -> DataFrame:
+def cluster_queries_distributed(queries: DataFrame) -> DataFrame:
     """The same clusters by rounds over pairs of similar queries, for researches of any size.
 
-    An undecided query without an earlier undecided or leading neighbour becomes a leader; one with an earlier leading
-    neighbour becomes its member. ``checkpoint`` cuts the lineage of each round (a function of a DataFrame).
+    Queries of the same tokens go as one, the first of them. Two sets of which half is common share one of each side's
+    first n - ceil(n / 2) + 1 tokens, the rarest of the research first, so frequent tokens bring few together. In each round an undecided query
+    without an earlier undecided or leading neighbour becomes a leader; one with an earlier leading neighbour becomes its member.
+    A query without tokens leads itself.
     """
-    df = queries.select("id", "research_id", "query", F.coalesce("frequency", F.lit(0)).alias("frequency"), F.array_distinct(query_tokens(F.col("query"))).alias("tokens"))
-    order = F.struct((-F.col("frequency")).alias("f"), "query", "id")
-    df = checkpoint(df.withColumn("rank", order))
-    held = df.select("research_id", "id", "rank", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    a, b = held.alias("a"), held.alias("b")
-    shared = a.join(b, F.expr("a.research_id = b.research_id AND a.t = b.t AND a.rank < b.rank")).groupBy(F.col("a.id").alias("low"), F.col("b.id").alias("high")).agg(F.count(F.lit(1)).alias("k"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.first("a.rank").alias("low_rank"))
-    near = checkpoint(shared.where("2 * k >= na + nb - k").select("low", "high", "low_rank"))
-    state = checkpoint(df.select("id", F.lit("undecided").alias("state"), F.lit(None).cast("bigint").alias("leader")))
+    df = queries.select("id", "research_id", "query", F.coalesce("frequency", F.lit(0)).cast("bigint").alias("frequency"), F.array_sort(F.array_distinct(query_tokens(F.col("query")))).alias("tokens"))
+    df = settled(fenced(df).withColumn("rank", F.struct((-F.col("frequency")).alias("f"), "query", "id")))
+    sets = settled(df.where("size(tokens) > 0").groupBy("research_id", "tokens").agg(F.min("rank").alias("rank")).withColumn("id", F.col("rank.id")))
+    each = sets.select("research_id", "id", F.explode("tokens").alias("t"))
+    common = each.groupBy("research_id", "t").agg(F.count(F.lit(1)).alias("df"))
+    rarest = each.join(common, ["research_id", "t"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
+    first = F.slice("by", F.lit(1), F.size("by") - F.ceil(F.size("by") / 2).cast("int") + 1)
+    held = sets.join(rarest, "id").select("research_id", "id", "rank", "tokens", F.explode(F.transform(first, lambda x: x.t)).alias("t"))
+    pairs = held.alias("a").join(held.alias("b"), F.expr("a.research_id = b.research_id AND a.t = b.t AND a.rank < b.rank AND 2 * size(array_intersect(a.tokens, b.tokens)) >= size(array_union(a.tokens, b.tokens))"))
+    near = settled(pairs.groupBy(F.col("a.id").alias("low"), F.col("b.id").alias("high")).agg(F.first("a.rank").alias("low_rank")))
+    state = settled(sets.select("id", F.lit("undecided").alias("state"), F.lit(None).cast("bigint").alias("leader")))
     while state.where("state = 'undecided'").limit(1).count():
         seen = near.join(state.select(F.col("id").alias("low"), F.col("state").alias("low_state")), "low").where("low_state <> 'member'")
-        first = seen.groupBy("high").agg(F.min(F.when(F.col("low_state") == "leader", F.struct("low_rank", "low"))).alias("l"), F.min(F.when(F.col("low_state") == "undecided", F.col("low_rank"))).alias("u"))
-        now = state.join(first, state["id"] == first["high"], "left")
+        found = seen.groupBy("high").agg(F.min(F.when(F.col("low_state") == "leader", F.struct("low_rank", "low"))).alias("l"), F.min(F.when(F.col("low_state") == "undecided", F.col("low_rank"))).alias("u"))
+        now = state.join(found, state["id"] == found["high"], "left")
         # A leading neighbour settles a query once no earlier one is open.
         ready = F.col("l").isNotNull() & (F.col("u").isNull() | (F.col("l.low_rank") < F.col("u")))
         new = F.when(F.col("state") != "undecided", F.col("state")).when(ready, "member").when(F.col("l").isNull() & F.col("u").isNull(), "leader").otherwise("undecided")
-        state = checkpoint(now.select("id", new.alias("state"), F.when((F.col("state") == "undecided") & ready, F.col("l.low")).otherwise(F.col("leader")).alias("leader")))
-    out = df.join(state, "id").withColumn("lead_id", F.coalesce("leader", "id"))
+        state = settled(now.select("id", new.alias("state"), F.when((F.col("state") == "undecided") & ready, F.col("l.low")).otherwise(F.col("leader")).alias("leader")))
+    leads = sets.join(state, "id").select("research_id", "tokens", F.coalesce("leader", "id").alias("lead_id"))
     mains = df.select(F.col("id").alias("lead_id"), F.col("query").alias("main_query"))
-    return out.join(mains, "lead_id").select("id", "research_id", "query", "frequency", "main_query", cluster_key(F.col("research_id"), F.col("main_query")).alias("cluster_id"))
+    out = df.join(leads.join(mains, "lead_id"), ["research_id", "tokens"], "left").withColumn("main_query", F.coalesce("main_query", "query"))
+    return out.select("id", "research_id", "query", "frequency", "main_query", cluster_key(F.col("research_id"), F.col("main_query")).alias("cluster_id"))
 
 
 def cluster_totals(members: DataFrame) -> DataFrame:

@@ -52,6 +52,19 @@ def upsert_matches(existing: DataFrame, hits: DataFrame) -> DataFrame:
     return both.select(*keys, F.coalesce("status", F.lit("new")).alias("status"), "score", F.coalesce("h.search_id", "search_id").alias("search_id"), F.coalesce("h.keywords", "keywords").alias("keywords"))
 
 
+def hits_of_searches(found: DataFrame, searches: DataFrame, profiles: DataFrame, profile_id: int | None = None) -> DataFrame:
+    """Hits for ``upsert_matches`` from found (search_id, vacancy_id): those of active searches (id, profile_id, keywords, active).
+
+    A search without a profile belongs to the least profile id. With ``profile_id`` only that profile's searches count.
+    """
+    own = searches.where("active")
+    if profile_id is not None:
+        own = own.where(F.col("profile_id") == profile_id)
+    first = F.broadcast(profiles.agg(F.min("id").alias("first_")))  # one row
+    own = own.crossJoin(first).select(F.col("id").alias("search_id"), F.coalesce("profile_id", "first_").alias("profile_id"), "keywords").where("profile_id IS NOT NULL")
+    return found.where("vacancy_id <> ''").join(own, "search_id").select("profile_id", "vacancy_id", "search_id", "keywords")
+
+
 def clear_refreshable(matches: DataFrame, profile_id: int) -> DataFrame:
     return matches.where(~(F.col("profile_id").eqNullSafe(profile_id) & F.col("status").isin(*OPEN_STATUSES)))
 
@@ -115,9 +128,13 @@ RULES = [("automation", ["AI Automation", "Automation Specialist"]), ("ai", ["AI
 
 
 def suggest_keywords(profiles: DataFrame, most: int = 6) -> DataFrame:
-    """profile id, place and keyword: the position, its parts, then searches by rule; first spelling of each."""
+    """profile id, place and keyword: the position, its parts, then searches by rule; first spelling of each.
+
+    Rules on titles read position and name, the others also skills and about; columns that are missing count as empty.
+    """
     position = F.trim(F.coalesce("position", F.lit("")))
-    title, source = F.lower(position), haystack(F.col("position"), F.col("skills"))
+    own = [F.col(c) for c in ("position", "name", "skills", "about") if c in profiles.columns]
+    title, source = haystack(*[F.col(c) for c in ("position", "name") if c in profiles.columns]), haystack(*own)
     none = F.array().cast("array<string>")
     when = lambda c, words: F.when(c, F.array(*map(F.lit, words))).otherwise(none)
     parts = [F.array(position), F.transform(F.split(position, r"[/|,]"), lambda x: F.trim(x))]
@@ -128,6 +145,13 @@ def suggest_keywords(profiles: DataFrame, most: int = 6) -> DataFrame:
     return df.select("id", F.posexplode(first).alias("place", "keyword"))
 
 
+def add_searches(profiles: DataFrame, searches: DataFrame, area: int = 1) -> DataFrame:
+    """searches (profile_id, keywords, area, active) and the suggested ones of profiles that have none with keywords."""
+    has = searches.where("coalesce(keywords, '') <> ''").select(F.col("profile_id").alias("id")).distinct()
+    new = suggest_keywords(profiles.join(has, "id", "left_anti"))
+    return searches.unionByName(new.select(F.col("id").alias("profile_id"), F.col("keyword").alias("keywords"), F.lit(area).alias("area"), F.lit(True).alias("active")))
+
+
 def negotiation_report(negotiations: DataFrame, vacancies: DataFrame) -> DataFrame:
     """negotiations (id, profile_id, vacancy_id, ...) with a title, the id where there is none."""
     v = vacancies.select("vacancy_id", "title", "employer")

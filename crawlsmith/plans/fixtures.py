@@ -93,8 +93,8 @@ FROM documents
 """,
     "v_suggestions": r"""
 SELECT s.research_id, s.query AS seed, q.query AS phrase, q.frequency AS count
-FROM v_queries s JOIN v_queries q ON s.research_id = q.research_id AND s.id % 7 = q.id % 7
-WHERE s.source = 'seed' AND q.source = 'wordstat'
+FROM v_queries s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) o CROSS JOIN (SELECT count(*) AS n FROM v_queries) t
+JOIN v_queries q ON q.id = (s.id * 31 + o.k * 17 + 1) % t.n WHERE s.source = 'seed'
 """,
     "v_site_metrics": r"""
 SELECT s_nationkey AS grp,
@@ -112,12 +112,12 @@ FROM supplier
 SELECT CAST(d.doc_id AS STRING) AS vacancy_id, concat(p.p_name, ' ', p.p_type) AS title, p.p_brand AS employer,
   CASE d.doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('от ', CAST(50 + d.doc_id % 200 AS STRING), ' 000 ₽')
     WHEN 2 THEN concat('до ', CAST(90 + d.doc_id % 100 AS STRING), ' 000 ₽') ELSE concat('100 000 - ', CAST(150 + d.doc_id % 90 AS STRING), ' 000 ₽') END AS salary_text,
-  concat(substring(d.text, 1, 3000), CASE d.doc_id % 5 WHEN 0 THEN ' remote' WHEN 1 THEN ' гибрид' WHEN 2 THEN ' office' ELSE '' END) AS description,
+  concat(d.text, CASE d.doc_id % 5 WHEN 0 THEN ' remote' WHEN 1 THEN ' гибрид' WHEN 2 THEN ' office' ELSE '' END) AS description,
   CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE concat('["', p.p_type, '","Python"]') END AS key_skills,
   CASE d.doc_id % 4 WHEN 0 THEN '1–3 года' WHEN 1 THEN '3-6 лет' WHEN 2 THEN 'не требуется' ELSE NULL END AS experience,
   CASE d.doc_id % 3 WHEN 0 THEN 'полная занятость' WHEN 1 THEN 'частичная занятость' ELSE NULL END AS employment,
   CAST(NULL AS STRING) AS pub_date
-FROM documents d JOIN part p ON p.p_partkey = d.doc_id % 200
+FROM documents d JOIN part p ON p.p_partkey = d.doc_id % 200 + 1
 """,
     "v_profiles": r"""
 SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'Senior Ring Economy' WHEN 1 THEN 'Python widget lead' ELSE 'Standard bolt' END AS position,
@@ -126,13 +126,14 @@ SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'Senior Ring Economy' WHEN 1
   CASE WHEN item_id % 5 = 0 THEN 'office, PROMO' ELSE NULL END AS stop_words,
   CASE WHEN item_id % 2 = 0 THEN 'удаленно' ELSE NULL END AS work_format,
   CASE WHEN item_id % 3 = 0 THEN 'полная занятость' ELSE NULL END AS employment_type
-FROM benchmark WHERE item_id < 20
+FROM benchmark
 """,
     "v_matches": r"""
 SELECT p.id AS profile_id, v.vacancy_id,
   CASE (p.id + CAST(v.vacancy_id AS BIGINT)) % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'scored' WHEN 2 THEN 'skipped' WHEN 3 THEN 'applied' ELSE 'hidden' END AS status,
   CASE WHEN (p.id + CAST(v.vacancy_id AS BIGINT)) % 5 = 0 THEN NULL ELSE CAST((p.id * 7 + CAST(v.vacancy_id AS BIGINT) * 3) % 101 AS INT) END AS score
-FROM v_profiles p JOIN v_vacancies v ON CAST(v.vacancy_id AS BIGINT) % 10 = p.id % 10
+FROM v_vacancies v CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) o CROSS JOIN (SELECT count(*) AS n FROM v_profiles) t
+JOIN v_profiles p ON p.id = (CAST(v.vacancy_id AS BIGINT) * 7 + o.k * 13) % t.n
 """,
     "v_checks": r"""
 SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'ssr' WHEN 1 THEN 'llm' ELSE 'index' END AS kind,

@@ -77,16 +77,26 @@ def x11(spark, sf_dir):
     return X.redirect_chains(hops).select("start", "final_url", "hops")
 
 
-_METRICS = "_m AS (SELECT page_id, agent, ttfb_ms, ttfb_ms * 3 AS lcp, (ttfb_ms % 20) / CAST(100 AS DOUBLE) AS cls, ttfb_ms % 500 AS tbt FROM v_snapshots)"
+#: What the problems of a page's speed are read from: its time to the first byte, and the other measures made of it and of its id.
+_METRICS = """_m AS (SELECT page_id, agent, ttfb_ms, ttfb_ms * 3 AS lcp, (ttfb_ms % 20) / CAST(100 AS DOUBLE) AS cls, ttfb_ms % 500 AS tbt, page_id % 7 <> 0 AS available, page_id % 7 = 1 AS partial, page_id % 50 AS gap, CASE WHEN page_id % 2 = 1 THEN 'CDN' END AS cdn,
+  CASE page_id % 5 WHEN 0 THEN 'Битрикс' WHEN 1 THEN 'WordPress' WHEN 2 THEN 'Next.js' WHEN 3 THEN 'Тильда' ELSE 'other' END AS cms, CASE page_id % 4 WHEN 0 THEN 'offscreen-images' WHEN 1 THEN 'unused-javascript' WHEN 2 THEN 'font-display' ELSE 'none' END AS opportunity FROM v_snapshots)"""
 
 
 @query("v2_v4_speed_problems", _METRICS + """,
-_t AS (SELECT *, CASE WHEN coalesce(ttfb_ms, 0) = 0 THEN 'unknown' WHEN ttfb_ms > 2000 THEN 'critical' WHEN ttfb_ms > 800 THEN 'slow' WHEN ttfb_ms >= 200 THEN 'normal' ELSE 'fast' END AS t FROM _m),
-_p AS (SELECT page_id, agent, list_filter([CASE WHEN t = 'critical' THEN 'ttfb' END, CASE WHEN lcp > 4000 THEN 'lcp' END, CASE WHEN t = 'slow' THEN 'ttfb' END, CASE WHEN lcp BETWEEN 2500 AND 4000 THEN 'lcp' END, CASE WHEN cls > 0.1 THEN 'cls' END, CASE WHEN tbt > 300 THEN 'tbt' END, 'cache', 'cdn', CASE WHEN t IN ('slow', 'critical') THEN 'server_cache' END], lambda x: x IS NOT NULL) AS l, t = 'critical' OR lcp > 4000 AS bad FROM _t)
-SELECT page_id, agent, array_to_string(l, ',') AS problems, CASE WHEN bad THEN 'fail' ELSE 'warn' END AS verdict FROM _p""", "v_snapshots")
+_t AS (SELECT *, ttfb_ms > 800 AS waits, lcp >= 2500 AS late, lcp > 4000 AS very_late, opportunity = 'offscreen-images' AS img, opportunity = 'unused-javascript' AS js FROM _m),
+_p AS (SELECT page_id, agent,
+  list_filter([CASE WHEN waits AND cms <> 'Тильда' THEN 'ttfb' END, CASE WHEN very_late AND img THEN 'images' END, CASE WHEN very_late AND js THEN 'scripts' END], lambda x: x IS NOT NULL) AS critical,
+  list_filter([CASE WHEN NOT available THEN 'report_missing' WHEN partial THEN 'report_partial' END, CASE WHEN waits AND cms = 'Тильда' THEN 'ttfb' END, CASE WHEN late AND NOT very_late AND img THEN 'images' END, CASE WHEN late AND NOT very_late AND js THEN 'scripts' END,
+    CASE WHEN tbt > 300 AND cms = 'WordPress' THEN 'plugins' END, CASE WHEN gap > 30 THEN 'mobile_gap' END, CASE WHEN cls > 0.1 THEN 'cls' END], lambda x: x IS NOT NULL) AS warn,
+  list_filter([CASE WHEN opportunity = 'font-display' THEN 'fonts' END, CASE WHEN cdn IS NULL AND ttfb_ms > 500 THEN 'cdn' END], lambda x: x IS NOT NULL) AS improve FROM _t)
+SELECT page_id, agent, array_to_string(list_concat(critical, warn, improve), ',') AS problems, CASE WHEN len(critical) > 0 THEN 'fail' WHEN len(warn) > 0 THEN 'warn' ELSE 'ok' END AS verdict FROM _p""", "v_snapshots")
 def v4(spark, sf_dir):
-    t = F.col("ttfb_ms")
-    df = view(spark, sf_dir, "v_snapshots").select("page_id", "agent", S.ttfb_state(t).alias("ttfb_state"), S.lcp_state(t * 3).alias("lcp"), S.cls_state((t % 20) / 100).alias("cls"), S.tbt_state(t % 500).alias("tbt"), F.lit("none").alias("cache"), F.lit(None).cast("string").alias("cdn"), F.lit("not_detected").alias("server_cache"))
+    t, k = F.col("ttfb_ms"), F.col("page_id")
+    among = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    df = view(spark, sf_dir, "v_snapshots").select(
+        "page_id", "agent", "ttfb_ms", S.ttfb_state(t).alias("ttfb_state"), S.lcp_state(t * 3).alias("lcp"), S.cls_state((t % 20) / 100).alias("cls"), S.tbt_state(t % 500).alias("tbt"), (k % 7 != 0).alias("available"), (k % 7 == 1).alias("partial"), (k % 50).alias("gap"),
+        F.when(k % 2 == 1, "CDN").alias("cdn"), among(5, "Битрикс", "WordPress", "Next.js", "Тильда", "other").alias("cms"), F.array(among(4, "offscreen-images", "unused-javascript", "font-display", "none")).alias("opportunities"),
+    )
     return S.speed_problems(df).select("page_id", "agent", F.array_join(F.transform("problems", lambda p: p.kind), ",").alias("problems"), "verdict")
 
 
@@ -131,7 +141,7 @@ def k7(spark, sf_dir):
 @query("k10_content_plan", None, "v_queries")
 def k10(spark, sf_dir):
     df = view(spark, sf_dir, "v_queries")
-    members = K.cluster_queries(df)
+    members = K.cluster_queries_distributed(df)
     return K.content_plan(K.cluster_totals(members), K.tool_queries(K.classify_queries(df)), members).withColumn("queries", F.array_join("queries", "|"))
 
 

@@ -101,7 +101,7 @@ def k6(spark, sf_dir):
 
 @query("k8_cluster_queries", None, "v_queries")
 def k8(spark, sf_dir):
-    return K.cluster_queries(view(spark, sf_dir, "v_queries"))
+    return K.cluster_queries_distributed(view(spark, sf_dir, "v_queries"))
 
 
 @query("k9_tool_queries", _CLASSES + """,

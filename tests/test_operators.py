@@ -55,7 +55,26 @@ def test_redirect_chains(spark):
 def test_expand_sitemaps_ends_on_cycles(spark):
     files = spark.createDataFrame([("i", "index", "j", None), ("j", "index", "i", None), ("j", "index", "u", None), ("u", "url", "x", "2024-01-01")], "file string, kind string, loc string, lastmod string")
     out = X.expand_sitemaps(files, spark.createDataFrame([("s", "i")], "site string, file string"))
-    assert [tuple(r) for r in out.collect()] == [("s", "x", "2024-01-01")]
+    assert [tuple(r) for r in out.collect()] == [("s", "x", "2024-01-01", "index")]
+
+
+def test_expand_sitemaps_has_no_depth(spark):
+    chain = [(f"f{k}", "index", f"f{k + 1}", None) for k in range(13)] + [("f13", "url", "deep", None)]
+    files = spark.createDataFrame(chain, "file string, kind string, loc string, lastmod string")
+    assert [r.loc for r in X.expand_sitemaps(files, spark.createDataFrame([("s", "f0")], "site string, file string")).collect()] == ["deep"]
+
+
+def test_searches_of_profiles(spark):
+    profiles = spark.createDataFrame([(3, "Lead / Editor", "Growth Ann", "python", "n8n flows"), (5, "x", None, None, None)], "id int, position string, name string, skills string, about string")
+    got = [r.keyword for r in V.suggest_keywords(profiles).where("id = 3").orderBy("place").collect()]
+    assert got == ["Lead / Editor", "Lead", "Editor", "SEO Growth", "Growth Lead", "n8n"]
+    searches = spark.createDataFrame([(1, 5, "kept", True), (2, None, "ownerless", True), (4, 5, "off", False)], "id int, profile_id int, keywords string, active boolean")
+    found = spark.createDataFrame([(1, "v1"), (2, "v1"), (4, "v2"), (2, "")], "search_id int, vacancy_id string")
+    assert {tuple(r) for r in V.hits_of_searches(found, searches, profiles).collect()} == {(5, "v1", 1, "kept"), (3, "v1", 2, "ownerless")}
+    assert [r.search_id for r in V.hits_of_searches(found, searches, profiles, 5).collect()] == [1]
+    own = searches.select("profile_id", "keywords", F.lit(1).alias("area"), "active")
+    added = V.add_searches(profiles, own)
+    assert added.where("profile_id = 5").count() == 2 and added.where("profile_id = 3").count() == 6
 
 
 def test_registry_match(spark):
@@ -67,7 +86,7 @@ def test_clusters_agree(spark):
     rows = [(1, "r", "a1x b1x c1x d1x", 9), (2, "r", "b1x c1x d1x e1x", 8), (3, "r", "c1x d1x e1x f1x", 7), (4, "r", "zzz", 7), (5, "r", "zzz", 7), (6, "q", "и", 1), (7, "q", "и", 1)]
     df = spark.createDataFrame(rows, "id bigint, research_id string, query string, frequency bigint")
     local = {r.id: r.main_query for r in K.cluster_queries(df).collect()}
-    far = {r.id: r.main_query for r in K.cluster_queries_distributed(df, lambda x: x.cache()).collect()}
+    far = {r.id: r.main_query for r in K.cluster_queries_distributed(df).collect()}
     assert local[2] == "a1x b1x c1x d1x" and local[3] == "c1x d1x e1x f1x" and local[5] == "zzz"
     assert {k: v for k, v in local.items() if k < 6} == {k: v for k, v in far.items() if k < 6}
 
