@@ -235,3 +235,48 @@ def normalize_brief(items: Column, most: int = 20) -> Column:
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+#: Blocks, outline, schema types and settings of a brief by preset.
+BRIEFS = {
+    "tool_page": {
+        "required_blocks": ["Что проверяет инструмент", "Когда использовать", "Как работает проверка", "Пошаговый сценарий", "Частые ошибки", "FAQ", "CTA"],
+        "article_outline": ["Что проверяет инструмент", "Когда использовать", "Как запустить проверку", "Как интерпретировать результат", "Типовые ошибки", "FAQ", "Вывод и CTA"],
+        "schema_types": ["FAQPage", "BreadcrumbList"],
+        "settings": {"tone": "practical", "goal": "leads", "include_faq": True, "include_table": False, "include_lists": True, "include_examples": True, "include_cta": True, "min_words": 1800, "max_words": 2800},
+    },
+    "blog_article": {
+        "required_blocks": ["Что это", "Когда возникает проблема", "Как проверить", "Как исправить", "Частые ошибки", "FAQ", "Вывод"],
+        "article_outline": ["Что это", "Почему возникает проблема", "Как проверить", "Как исправить", "Частые ошибки", "FAQ", "Вывод и CTA"],
+        "schema_types": ["Article", "FAQPage", "BreadcrumbList"],
+        "settings": {"tone": "expert", "goal": "ranking", "include_faq": True, "include_table": True, "include_lists": True, "include_examples": True, "include_cta": True, "min_words": 2500, "max_words": 4000},
+    },
+}
+#: What settings may say, and the bounds of their numbers.
+CHOICES = {"preset": ["tool_page", "blog_article"], "tone": ["expert", "practical", "business", "simple"], "goal": ["ranking", "leads", "explain", "compare"]}
+WORDS = {"min_words": (500, 10_000), "max_words": (800, 15_000)}
+_LISTS = ["secondary_queries", "required_blocks", "article_outline", "faq_items", "schema_types", "linking_hints"]
+
+
+def complete_briefs(plans: DataFrame) -> DataFrame:
+    """plans (type, lists of phrases, notes, preset, tone, goal, include_..., min_words, max_words) made whole.
+
+    Missing columns count as null. Empty blocks, outline and schema types take the preset's of the plan's type, settings those
+    of the preset they name; unknown words fall back, numbers are clamped, notes are cut at 4,000 characters.
+    """
+    have = dict(plans.dtypes)
+    given = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    by_kind = F.when(F.col("type") == "tool_page", "tool_page").otherwise("blog_article")
+    named = F.when(given("preset", "string").isin(*CHOICES["preset"]), given("preset", "string")).otherwise(by_kind)
+    pick = lambda preset, get: F.when(preset == "tool_page", get(BRIEFS["tool_page"])).otherwise(get(BRIEFS["blog_article"]))
+    out = {"preset": named, "notes": F.substring(F.trim(F.coalesce(given("notes", "string"), F.lit(""))), 1, 4000)}
+    for c in _LISTS:
+        clean = F.coalesce(normalize_brief(given(c, "array<string>")), F.array().cast("array<string>"))
+        fallback = pick(by_kind, lambda b, c=c: F.array(*map(F.lit, b[c]))) if c in BRIEFS["tool_page"] else clean
+        out[c] = F.when(F.size(clean) > 0, clean).otherwise(fallback)
+    for c, default in BRIEFS["tool_page"]["settings"].items():
+        kind = {bool: "boolean", int: "int", str: "string"}[type(default)]
+        fallback, own = pick(named, lambda b, c=c: F.lit(b["settings"][c])), given(c, kind)
+        own = F.when(own.isin(*CHOICES[c]), own) if c in CHOICES else clamp(own, *WORDS[c]) if c in WORDS else own
+        out[c] = F.when(given(c, kind).isNull(), fallback).otherwise(F.coalesce(own, fallback))
+    return plans.withColumns(out)

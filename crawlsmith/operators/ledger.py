@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from crawlsmith.functions.urls import host
 
 
-def list_checks(checks: DataFrame, kind: str, n: int = 200) -> DataFrame:
-    """The newest checks of a kind; Spark keeps n rows a partition, no full sort."""
-    return checks.where(F.col("kind") == kind).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+def list_checks(checks: DataFrame, kind: str, n: int = 200, users: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+    """The newest checks of a kind, with user_email and team_name where users (id, email) and teams (id, name) are given.
+
+    Spark keeps n rows a partition, no full sort; only those n are joined.
+    """
+    top = checks.where(F.col("kind") == kind).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+    if users is not None:
+        top = top.join(users.select(F.col("id").alias("user_id"), F.col("email").alias("user_email")), "user_id", "left")
+    if teams is not None:
+        top = top.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name")), "team_id", "left")
+    return top.orderBy(F.desc("created_at"), F.desc("id")) if users is not None or teams is not None else top
 
 
 def search_checks(checks: DataFrame, verdict: str | None = None, text: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
-    """A page of the checks that match, newest first; a page beyond the last is the last."""
+    """A page of the checks that match, newest first; a page beyond the last is the last.
+
+    The text is looked for in url, ip, reasons and, where there are such columns, user_email and team_name.
+    """
     df = checks.withColumn("verdict", F.coalesce("verdict", F.lit("error")))
     if verdict:
         df = df.where(F.col("verdict") == verdict)
     if text:
-        df = df.where(F.lower(F.concat_ws(" ", "url", "ip", "reasons")).contains(text.lower()))
+        df = df.where(F.lower(F.concat_ws(" ", *[c for c in ("url", "user_email", "team_name", "ip", "reasons") if c in checks.columns])).contains(text.lower()))
     last = max(1, -(-df.count() // size))
     page = min(max(1, page), last)
     return df.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)
@@ -72,3 +83,9 @@ def active_users(users: DataFrame, n: int) -> DataFrame:
 def activity_feed(activity: DataFrame, users: DataFrame, user_id: int, n: int = 10) -> DataFrame:
     names = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
     return activity.where(F.col("user_id") == user_id).join(names, "user_id", "left").orderBy(F.desc("ts"), F.desc("id")).limit(n)
+
+
+def user_team(user_id: int, members: DataFrame, teams: DataFrame) -> DataFrame:
+    """The team (id, name, ...) of a user's first membership (id, user_id, team_id); no row without one."""
+    own = members.where(F.col("user_id") == user_id).orderBy("id").limit(1).select(F.col("team_id").alias("id"))
+    return teams.join(own, "id", "left_semi")

@@ -81,6 +81,11 @@ def probe_state(status: Column) -> Column:
     return F.when(status.between(300, 399), "redirect").when(status == 200, "working").when(status.isin(401, 403), "closed").when(status == 404, "missing").when(status.isNull(), "timeout").otherwise("error")
 
 
+def is_indexable(state: Column, robots_blocked: Column, noindex: Column) -> Column:
+    """A working host whose root robots.txt and page let it be indexed."""
+    return (state == "working") & ~F.coalesce(robots_blocked, F.lit(False)) & ~F.coalesce(noindex, F.lit(False))
+
+
 def duplicate_titles(hosts: DataFrame, mains: DataFrame) -> DataFrame:
     """hosts with same_title: whether a working host has its domain's home title."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
@@ -154,3 +159,23 @@ def regional_report(hosts: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
     df = hosts.where("category = 'regional'").join(listed, ["domain", "host"], "left").withColumn("in_main_sitemap", F.coalesce("in_main_sitemap", F.lit(False)))
     rank = F.array_position(F.array(F.lit("critical"), F.lit("warn"), F.lit("ok")), F.col("level"))
     return df.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(rank, "host")))
+
+
+def regional_notes(report: DataFrame) -> DataFrame:
+    """The rows of ``regional_report`` with canonical_host and a note, the last sign that holds: unstable, canonical elsewhere, duplicate, no hreflang."""
+    own = F.nullif(host(F.col("canonical")), F.lit(""))
+    note = (
+        F.when(F.col("state") != "working", "unstable")
+        .when(F.coalesce(own != F.col("host"), F.lit(False)), F.concat(F.lit("canonical: "), own))
+        .when(F.col("same_title"), "duplicate of home")
+        .when(F.coalesce(~F.col("has_hreflang"), F.lit(False)), "no hreflang")
+        .otherwise("works")
+    )
+    return report.withColumn("canonical_host", own).withColumn("note", note)
+
+
+def regional_verdicts(notes: DataFrame) -> DataFrame:
+    """domain, hosts, and host and note of the gravest host at risk (null if none is)."""
+    risky = F.col("level").isin("warn", "critical")
+    first = F.min(F.when(risky, F.struct("place", "host", "note")))
+    return notes.groupBy("domain").agg(F.count(F.lit(1)).alias("hosts"), first.alias("f")).select("domain", "hosts", F.col("f.host").alias("risky_host"), F.col("f.note").alias("risky_note"))

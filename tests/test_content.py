@@ -123,10 +123,23 @@ def test_ai_page_types(spark):
 
 
 def test_readiness(spark):
-    html = "<html lang='en'><title>Red apple pie</title><h1>Apple pie, red</h1><details><summary>q</summary>a</details><ul></ul><p>" + "word " * 350
-    r = A.content_readiness(spark.createDataFrame([(1, "https://a/x", html)], "page_id int, url string, html string")).first()
-    assert (r.check_h1, r.check_description, r.check_words, r.check_lists, r.check_lang, r.check_tables) == ("ok", "fail", "warn", "ok", "ok", "na")
-    assert r.faq == ["details"] and r.applicable == 7
+    og = "".join(f"<meta property='og:{k}' content='x'>" for k in ("title", "description", "image"))
+    full = (
+        f"<html lang='en'><title>Red apple pie</title><meta name='description' content='{'d' * 130}'>{og}<link rel='canonical' href='https://a/blog/x'><script type='application/ld+json'>{{\"@type\":\"Article\",\"datePublished\":\"2024-01-01\",\"author\":\"A\"}}</script>"
+        "<h1>Apple pie, red</h1><h2>s</h2><ul></ul><table></table><p>" + "word " * 501
+    )
+    pages = [
+        (1, "https://a/blog/x", full), (2, "https://a/blog/x", "<h3>a</h3><p>b</p>"), (3, "https://a/x?q=1", "<h1>h</h1>"), (4, "https://a/x", "<title>Red apple pie</title><h1>Apple pie, red</h1><details><summary>q</summary>a</details><ul></ul><p>" + "word " * 350),
+        (5, "https://a/docs/", "<div class='content' hidden></div><h1>one</h1><h1>two</h1><link rel='canonical' href='https://a/other'><meta property='og:title' content='x'>"), (6, "https://a/faq/", ""),
+    ]
+    got = {r.page_id: r for r in A.content_readiness(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    states = lambda k: " ".join(got[k][f"check_{c}"] for c in "h1 description headings words lists tables date author og lang canonical".split())
+    assert states(1) == " ".join(["ok"] * 11) and (got[1].passed, got[1].applicable, got[1].content_card, got[1].schema_card, got[1].faq_card) == (11, 11, "ok", "ok", "na")
+    assert states(2) == "fail fail fail fail warn warn warn warn fail warn fail" and (got[2].content_card, got[2].schema_card) == ("fail", "fail")
+    assert states(3) == "warn fail na na na na na na na warn fail" and got[3].applicable == 4
+    assert states(4) == "ok fail na warn ok na na na fail warn fail" and got[4].faq == ["details"] and got[4].faq_card == "ok"
+    assert states(5) == "warn fail fail fail warn warn warn warn warn warn warn" and got[5].faq_card == "warn" and got[5].schema_card == "na"
+    assert (got[6].faq_card, got[6].schema_card) == ("fail", "fail")
     assert spark.range(1).select(A.ai_readiness_verdict(F.lit("ok"), F.lit("na"), F.lit("warn"))).first()[0] == "warn"
 
 

@@ -64,6 +64,34 @@ def test_expand_sitemaps_has_no_depth(spark):
     assert [r.loc for r in X.expand_sitemaps(files, spark.createDataFrame([("s", "f0")], "site string, file string")).collect()] == ["deep"]
 
 
+def test_regional_notes_and_verdicts(spark):
+    rows = [("d", "a.d", "working", None, False, True, "ok", 3), ("d", "b.d", "working", "https://x.d/p", True, False, "warn", 1), ("d", "c.d", "timeout", None, True, False, "warn", 2), ("e", "m.e", "working", None, False, False, "ok", 1), ("e", "n.e", "working", "https://n.e/", True, True, "ok", 2)]
+    notes = D.regional_notes(spark.createDataFrame(rows, "domain string, host string, state string, canonical string, same_title boolean, has_hreflang boolean, level string, place int"))
+    assert {r.host: r.note for r in notes.collect()} == {"a.d": "works", "b.d": "canonical: x.d", "c.d": "unstable", "m.e": "no hreflang", "n.e": "duplicate of home"}
+    assert {tuple(r) for r in D.regional_verdicts(notes).collect()} == {("d", 3, "b.d", "canonical: x.d"), ("e", 2, None, None)}
+    got = spark.createDataFrame([("working", None, False), ("working", True, False), ("closed", False, False)], "s string, b boolean, n boolean").select(D.is_indexable(F.col("s"), F.col("b"), F.col("n")))
+    assert [r[0] for r in got.collect()] == [True, False, False]
+
+
+def test_checks_with_people(spark):
+    checks = spark.createDataFrame([(1, "ssr", "u1", "1.1", "", 7, 5, 10), (2, "ssr", "u2", "1.2", "", 8, None, 11), (3, "llm", "u3", "1.3", "", 7, 5, 12)], "id int, kind string, url string, ip string, reasons string, user_id int, team_id int, created_at int")
+    checks = checks.withColumn("verdict", F.lit(None).cast("string"))
+    users, teams = spark.createDataFrame([(7, "ann@x")], "id int, email string"), spark.createDataFrame([(5, "Red"), (6, "Blue")], "id int, name string")
+    got = L.list_checks(checks, "ssr", 5, users, teams)
+    assert [(r.id, r.user_email, r.team_name) for r in got.collect()] == [(2, None, None), (1, "ann@x", "Red")]
+    assert [r.id for r in L.search_checks(got, text="ANN@").collect()] == [1] and [r.verdict for r in L.search_checks(got, "error").collect()] == ["error"] * 2
+    members = spark.createDataFrame([(2, 7, 6), (1, 7, 5)], "id int, user_id int, team_id int")
+    assert [r.name for r in L.user_team(7, members, teams).collect()] == ["Red"] and L.user_team(9, members, teams).count() == 0
+
+
+def test_briefs_are_made_whole(spark):
+    rows = [("tool_page", [" a  b ", "A B", ""], None, "loud", None, 100, 99_999), ("other", None, ["x"], "simple", "tool_page", None, None)]
+    df = spark.createDataFrame(rows, "type string, required_blocks array<string>, schema_types array<string>, tone string, preset string, min_words int, max_words int")
+    a, b = K.complete_briefs(df).collect()
+    assert a.required_blocks == ["a b"] and a.schema_types == ["FAQPage", "BreadcrumbList"] and (a.preset, a.tone, a.goal, a.min_words, a.max_words, a.include_table) == ("tool_page", "practical", "leads", 500, 15_000, False)
+    assert b.required_blocks[0] == "Что это" and b.schema_types == ["x"] and (b.preset, b.tone, b.min_words, b.notes, b.faq_items) == ("tool_page", "simple", 1800, "", [])
+
+
 def test_searches_of_profiles(spark):
     profiles = spark.createDataFrame([(3, "Lead / Editor", "Growth Ann", "python", "n8n flows"), (5, "x", None, None, None)], "id int, position string, name string, skills string, about string")
     got = [r.keyword for r in V.suggest_keywords(profiles).where("id = 3").orderBy("place").collect()]
