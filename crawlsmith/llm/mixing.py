@@ -140,6 +140,8 @@ def mix(docs: DataFrame) -> DataFrame:
     def same(c: str) -> Column:
         return F.col(f"own.{c}").eqNullSafe(F.col(f"t.{c}"))
 
+    # A row a document is never to be broadcast, however small its compressed file.
+    taken = taken.hint("merge")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.expr(_BLOCK).alias("block"), F.expr(_SIZE).alias("size")).alias("own")
     out = own.join(taken.alias("t"), same("doc_id") & same("source") & (F.col("own.block") == F.col("t.block")) & (F.col("own.size") == F.col("t.size")))
     return out.select("own.row", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int")))).select("row.*")
