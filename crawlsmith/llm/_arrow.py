@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,3 +37,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def texts(column: pa.Array) -> list[str]:
     return column.fill_null("").to_pylist() if column.null_count else column.to_pylist()
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the machine: workers outlive their tasks, and may wait while others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        return

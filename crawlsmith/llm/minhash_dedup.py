@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlsmith.llm._arrow import chunks, text_bytes
+from crawlsmith.llm._arrow import chunks, give_back, text_bytes
 from crawlsmith.llm._graph import components
 from crawlsmith.llm._hashing import combine, finish, lower_table, space_classes, words
 from crawlsmith.llm._store import Tables
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
                 sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), sketches], ["doc_id", "n", "digest", "sketch"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsmith.llm import _hashing
-from crawlsmith.llm._arrow import chunks, text_bytes
+from crawlsmith.llm._arrow import chunks, give_back, text_bytes
 from crawlsmith.llm._hashing import finish, prefixes, region_prefixes, spans
 from crawlsmith.llm._store import Tables
 
@@ -144,6 +144,7 @@ def anchored(docs: DataFrame, lengths: Sequence[int]) -> DataFrame:
             for a, b, settled, (ends, places, grams) in scan(batch.column(1), lengths):
                 anchors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(grams), pa.array(places)], ["gram", "pos"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(settled, kind), anchors], ["digest", "settled", "anchors"])
+        give_back()
 
     return docs.where(F.octet_length("text") >= min(lengths)).select("digest", "text").mapInArrow(run, ANCHORS).where("size(settled) > 0 OR size(anchors) > 0")
 
