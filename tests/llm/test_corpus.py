@@ -4,10 +4,13 @@ import re
 import subprocess
 import sys
 import zlib
+from math import comb
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -141,6 +144,30 @@ def test_no_task_holds_a_whole_family(spark, monkeypatch):
     assert len(sizes) == 2 and max(sizes) <= 5 * 6 < 60
 
 
+def test_no_linked_sizes_fall_short_of_their_prefixes():
+    """Whole sketches: with the fewest shared values that a link can have, one is in both prefixes in any common order."""
+    for percent in (80, 85):
+        held = minhash_dedup.least_common(percent)
+        for a in range(1, 131):
+            for b in range(a, 131):
+                fewest = next((i for i in range(a + 1) if 100 * i >= percent * (a + b - i)), None)
+                if fewest is None or b > minhash_dedup.K:
+                    continue
+                for n in (a, b):
+                    prefix = n - min(held, -(-percent * n // 100)) + 1
+                    assert fewest >= n - prefix + 1, (percent, a, b, n)
+        assert sum(comb(64, k) * (percent / 100) ** k * (1 - percent / 100) ** (64 - k) for k in range(held)) <= minhash_dedup.MISSED
+
+
+def test_rows_that_share_an_id(spark):
+    base = prose(50, 120)
+    rows = [(1, base, "a"), (2, base + " tail", "b"), (7, prose(51, 90), "c"), (7, prose(52, 90), "d"), (7, prose(52, 90), "e"), (None, base, "f"), (None, base, "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string")
+    kept = minhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, base), (7, prose(51, 90)), (7, prose(52, 90)), (None, base), (None, base)])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
     with Tables(spark) as tables:
@@ -151,7 +178,8 @@ def test_components_of_a_long_chain(spark):
 # Suffix-array dedup
 
 
-def brute_removal(docs, n=400):
+def brute_marks(docs, n):
+    """Which bytes of each text lie in a string of n bytes that also starts elsewhere."""
     data = [t.encode() for _, t in docs]
     seen = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
     out = []
@@ -160,6 +188,13 @@ def brute_removal(docs, n=400):
         for i in range(len(d) - n + 1):
             if seen[d[i : i + n]] > 1:
                 gone[i : i + n] = True
+        out.append((d, gone))
+    return out
+
+
+def brute_removal(docs, n=400):
+    out = []
+    for d, gone in brute_marks(docs, n):
         spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(d) else 0
         out.append((len(d), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest()))
     return out
@@ -386,6 +421,55 @@ def test_classifier(spark, hard_docs, no_docs):
     assert quality_classifier.classify(no_docs, labels).count() == 0
 
 
+def slow_ftrl(rows):
+    """The updates one feature at a time, in dictionaries."""
+    q = quality_classifier
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= q.L1 else (np.sign(z[i]) * q.L1 - z[i]) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+    for _ in range(q.PASSES):
+        for counts, label in rows:
+            x = {i: c * q.SCALE / max(sum(counts.values()), 1) for i, c in counts.items()} | {1 << q.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-np.clip(sum(w[i] * v for i, v in x.items()), -35, 35)))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / q.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_updates_one_by_one():
+    rng = np.random.default_rng(5)
+    rows = [(dict(Counter(rng.integers(0, 40, 30).tolist())), int(k % 3 == 0)) for k in range(60)] + [({}, 1)]
+    arrays = [(np.array(sorted(c), np.uint32), np.array([c[i] for i in sorted(c)], np.uint32), y) for c, y in rows]
+    got, want = quality_classifier.train(lambda: iter([arrays[:25], arrays[25:]])), slow_ftrl(rows)
+    assert all(abs(got[i] - w) < 1e-5 for i, w in want.items()) and np.count_nonzero(got) <= len(want)
+
+
+def test_classifier_learns_once_from_repeated_rows(spark):
+    docs = spark.createDataFrame([(k, prose(k, 40)) for k in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(8, 1)], "doc_id bigint, quality int")
+    one = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    twice = {r.doc_id: r.score for r in quality_classifier.classify(docs.union(docs), labels.union(labels)).collect()}
+    assert one == twice
+
+
+def test_merged_and_contained_fingerprints(spark):
+    whole, part = prose(70, 600), " ".join(prose(70, 600).split()[:200])
+    rows = fingerprints.compare_edited(spark.createDataFrame([(2, part), (1, whole)], "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[2].held_by_next == 1.0 and got[1].holds_next == 1.0 and got[2].holds_next < 0.5 and got[2].near_next == got[1].near_next
+    merged = rows.agg(fingerprints.merge("fingerprint").alias("f")).first().f
+    assert merged == got[1].fingerprint  # the part adds nothing
+
+
+def test_html_of_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "<p>x" * 40000, "a", "b"), (2, "<b>" * 20000 + "y", "a", "b")], "page_id bigint, html string, title string, text string")
+    got = {r.page_id: r for r in html_text.extract_text(pages).collect()}
+    assert got[1].n_blocks == 40000 and got[2].text == "y"
+    assert html_text.extract_text(pages.where("false")).count() == 0
+
+
 def test_html(spark):
     page = "<title>T</title><p>a<p>b <b>c</b><ul><li>x<li>y<ol><li>n</ol></ul><table><tr><th>k<th>value<tr><td>longer<td>1</table><div hidden>no</div><pre>1\n  2</pre><script>'</p>'</script>z"
     assert html_text.extract(page) == ("T", "a\n\nb c\n\n- x\n- y\n  1. n\n\nk      | value\nlonger | 1\n\n1\n  2\n\nz", 10)
@@ -475,6 +559,41 @@ def test_pipeline_stages(spark, hard_docs, no_docs):
                 docs = out
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage by another way: DuckDB's SQL, all pairs, all windows, and the tokenizer's library."""
+    passage = prose(800, 45)
+    docs = [(k, prose(k, 60 + k % 70), ("en", "de", None)[k % 3], "abcd"[k % 4]) for k in range(90)]
+    docs += [(100 + k, docs[k][1] + f" tail{k}", "en", "a") for k in range(8)] + [(120 + k, f"{prose(900 + k, 40)} {passage} {prose(950 + k, 40)}", "en", "b") for k in range(6)]
+    docs += [(140, "spam " * 200, "en", "a"), (141, " ".join(x + "&&&" for x in prose(141, 150).split()), "en", "a"), (142, None, "en", "a"), (143, "few words", "de", "b")]
+    frame = pd.DataFrame([(*d, len(d[1] or "")) for d in docs], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    frame.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+
+    def sql(query, rows):
+        con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+        return con.sql(query).df()
+
+    verdict = sql(quality_rules.oracle_sql(), docs)
+    clean = set(verdict.doc_id[verdict.kept])
+    rows = [d for d in docs if d[0] in clean]
+    assert not clean & {140, 141, 142, 143} and len(rows) > 90
+    groups = brute_components([(d[0], d[1]) for d in rows], corpus_pipeline.NEAR_PERCENT)
+    rows = [d for d in rows if groups[d[0]] == d[0]]
+    assert len(rows) < len(clean)
+    left = [bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") for b, gone in brute_marks([(d[0], d[1]) for d in rows], suffix_dedup.PASSAGE)]
+    assert sum(map(len, left)) < sum(len(d[1]) for d in rows)
+    rows = [(d[0], t, *d[2:]) for d, t in zip(rows, left, strict=True)]
+    mixed = sql(mixing.ORACLE_SQL, rows)
+    copies = {i: round(t / s) for i, t, s in zip(mixed.doc_id, mixed.taken, mixed["size"], strict=True) if s}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t, *_ in rows:
+        want[i, np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] += copies.get(i, 0)
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == +want
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got)
+
+
 def test_long_clean_documents_stay(spark):
     docs = [(k, prose(k, 150 + k), "en", "s") for k in range(120)] + [(500, prose(500, 30000), "en", "s")]
     got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
