@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsmith.llm import bpe, fingerprints, html_text, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
+from crawlsmith.llm import bpe, fingerprints, hard_negatives, html_text, lexical_search, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_store
 from crawlsmith.llm._store import fresh_path, read, shared_dir
 
 
@@ -61,11 +61,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL = (op1_minhash_dedup, op2_html_text, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_document_fingerprints, op10_quality_rules)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_minhash_dedup, op2_html_text, op3_token_shards, op4_source_mixing, op5_bpe, op6_token_counts, op7_quality_classifier, op8_suffix_dedup, op9_document_fingerprints, op10_quality_rules, op11_license_scan, op12_hard_negatives, op13_lexical_search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE_SQL,
     "op9_document_fingerprints": fingerprints.ORACLE_SQL,
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_license_scan": license_scan.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
