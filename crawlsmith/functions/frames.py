@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,15 @@ def fenced(df: DataFrame) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in spark.checkpoint.dir, which all executors share; a temporary one where all runs in this process (tests)."""
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, if all runs in this process (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="crawlsmith-"))
-    return df.checkpoint()
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

@@ -170,7 +170,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view, or one of the driver's tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = f"{with_views(name)}\nSELECT * FROM {name}"
+    return _run(spark, sf_dir, f"{with_views(name)}\nSELECT * FROM {name}")
+
+
+def shared_sql(spark: SparkSession, sf_dir: str, more: str, name: str, *views: str) -> DataFrame:
+    """One of the views that ``more``, which the SQL twin shares, defines on top of ``views``."""
+    return _run(spark, sf_dir, f"{with_views(*views)},\n{more}\nSELECT * FROM {name}")
+
+
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
     for table in words.intersection(TABLES):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import text as T
 from crawlsmith.functions import urls as U
+from crawlsmith.functions.frames import settled, shared_folder
 from crawlsmith.operators import compare as M
 from crawlsmith.operators import context as C
 from crawlsmith.operators import indexability as X
@@ -14,9 +17,10 @@ from crawlsmith.operators import ledger as L
 from crawlsmith.operators import speed as S
 from crawlsmith.operators import vacancies as V
 from crawlsmith.plans.audit_queries import ROBOTS, d_host
-from crawlsmith.plans.fixtures import view, with_views
+from crawlsmith.plans.fixtures import shared_sql, view, with_views
 from crawlsmith.plans.layout_sql import layout as _layout
 from crawlsmith.plans.research_queries import _CLASSES, _FIRSTS, _ITEMS
+from crawlsmith.streaming.jobs import collected, vacancy_store
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -193,3 +197,26 @@ def l4(spark, sf_dir):
     users = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     activity = view(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "ts")
     return L.activity_feed(activity, users, 7).select("id", "user_id", "user_name")
+
+
+_FEED = """_s AS (SELECT id * 10 AS id, CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS profile_id, position AS keywords, id % 5 <> 0 AS active FROM v_profiles),
+_f AS (SELECT m.profile_id * 10 AS search_id, v.vacancy_id, v.title, CAST(m.profile_id % 3 AS INT) AS batch, CAST(v.vacancy_id AS BIGINT) * 1000 + m.profile_id AS pos,
+  CASE WHEN (CAST(v.vacancy_id AS BIGINT) + m.profile_id % 3) % 2 = 0 THEN NULL ELSE CAST(CAST(v.vacancy_id AS BIGINT) % 7 + m.profile_id % 3 AS INT) END AS applicants_count,
+  (CAST(v.vacancy_id AS BIGINT) + m.profile_id) % 4 <> 0 AS page_read
+  FROM v_matches m JOIN v_vacancies v ON m.vacancy_id = v.vacancy_id)"""
+
+
+@query("l7_vacancy_ingest", _FEED + """,
+_i AS (SELECT vacancy_id, min(batch * 10000000000 + pos) AS since FROM _f WHERE page_read GROUP BY vacancy_id),
+_v AS (SELECT vacancy_id, min(title) AS title, arg_min(applicants_count, batch) FILTER (WHERE applicants_count IS NOT NULL AND page_read) AS applicants_count FROM _f GROUP BY vacancy_id),
+_h AS (SELECT coalesce(s.profile_id, (SELECT min(id) FROM v_profiles)) AS profile_id, f.vacancy_id, f.search_id, f.batch FROM _f f JOIN _i i ON f.vacancy_id = i.vacancy_id AND f.batch * 10000000000 + f.pos >= since JOIN _s s ON s.id = f.search_id WHERE s.active)
+SELECT profile_id, vacancy_id, 'new' AS status, arg_max(search_id, batch * 10000000000 + search_id) AS search_id, any_value(title) AS title, any_value(applicants_count) AS applicants_count
+FROM _h JOIN _v USING (vacancy_id) GROUP BY profile_id, vacancy_id""", "v_matches", "v_vacancies", "v_profiles")
+def l7(spark, sf_dir):
+    """Three micro-batches into one store, then its matches with their vacancies."""
+    sql = lambda name: shared_sql(spark, sf_dir, _FEED, name, "v_matches", "v_vacancies", "v_profiles")
+    feed, searches, profiles = settled(sql("_f")), sql("_s"), view(spark, sf_dir, "v_profiles")
+    store = vacancy_store(spark, f"{shared_folder(spark)}/vacancies-{uuid.uuid4().hex}", 16)
+    for batch in range(3):
+        store.merge(feed.where(F.col("batch") == batch), batch, lambda tables, rows: collected(tables, rows, searches, profiles))
+    return store.read("matches").drop("score", "keywords").join(store.read("vacancies"), "vacancy_id")

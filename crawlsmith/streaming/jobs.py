@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from crawlsmith.functions.urls import host
-from crawlsmith.operators.vacancies import upsert_vacancies
+from crawlsmith.operators.vacancies import hits_of_searches, upsert_matches, upsert_vacancies
+from crawlsmith.streaming.store import BucketStore
 
 ADMISSION = "id bigint, ip string, day string, admitted boolean, reason string"
 
@@ -46,15 +47,42 @@ def daily_admission_stream(requests: DataFrame, exempt_ips: list[str], exempt_ho
     return df.groupBy("ip", "day").applyInPandasWithState(judge, ADMISSION, "taken boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest_vacancies(spark: SparkSession, feed: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Upserts a stream of feed rows (vacancy_id, title, applicants_count, pos) into a Parquet table, a batch at a time.
+VACANCY_TABLES = {
+    "vacancies": "vacancy_id string, title string, applicants_count int",
+    "matches": "profile_id bigint, vacancy_id string, status string, score int, search_id bigint, keywords string",
+}
 
-    A batch writes a new version of the table next to the last, named by its number; running it again writes the same.
+
+def vacancy_store(spark: SparkSession, path: str, buckets: int = 64) -> BucketStore:
+    """vacancies and matches, both dealt by vacancy_id, so that a batch changes the same buckets of either."""
+    return BucketStore(spark, path, VACANCY_TABLES, "vacancy_id", buckets)
+
+
+def collected(tables: dict[str, DataFrame], feed: DataFrame, searches: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
+    """vacancies and matches after a feed (search_id, vacancy_id, title, applicants_count, page_read, pos).
+
+    An unseen vacancy goes in if its page was read, else neither it nor a match of it does; a seen one takes the number of applicants
+    where it has none. Each hit of an active search becomes a match, or names the last search in an old one.
     """
+    feed = feed.where("vacancy_id <> ''")
+    seen = tables["vacancies"].select("vacancy_id")
+    read = feed.where("page_read")
+    vacancies = upsert_vacancies(tables["vacancies"], read)
+    # A vacancy that none has read yet keeps its hits out; one that is read in a later hit keeps out those before it.
+    since = read.groupBy("vacancy_id").agg(F.min("pos").alias("since_"))
+    hits = feed.join(seen.withColumn("seen_", F.lit(True)), "vacancy_id", "left").join(since, "vacancy_id", "left").where("seen_ OR pos >= since_")
+    hits = hits_of_searches(hits.select("search_id", "vacancy_id"), searches, profiles)
+    return {"vacancies": vacancies, "matches": upsert_matches(tables["matches"], hits)}
+
+
+def ingest_vacancies(feed: DataFrame, store: BucketStore, searches: DataFrame, profiles: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Takes a stream of feed rows into a store, a micro-batch a version: vacancies and matches change together or not at all."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        columns = ["vacancy_id", "title", "applicants_count"]
-        old = spark.read.parquet(f"{table}/v{number - 1}") if number else batch.where("false").select(*columns)
-        upsert_vacancies(old, batch).write.mode("overwrite").parquet(f"{table}/v{number}")
+        batch = batch.persist()
+        try:
+            store.merge(batch, number, lambda tables, rows: collected(tables, rows, searches, profiles))
+        finally:
+            batch.unpersist()
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
