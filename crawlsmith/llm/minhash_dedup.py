@@ -9,7 +9,8 @@
    in size) and block, compared within a task through the sketches, and only pairs that the estimate passes leave
    it. In the first round each block gives a spanning forest of its estimated links, and the components of several
    lists meet; once its links are confirmed, all estimated pairs that are still in different components follow,
-   from every two blocks that do not lie in one component. No task holds more than two blocks.
+   from every two blocks that do not lie in one component: their full sets come along, so that links are confirmed
+   in the task and only a spanning forest of them leaves it. No task holds more than two blocks, which rows and bytes bound.
 4. The estimate counts, among the K least values of both sketches together, those in both.
 5. Exact Jaccard of the full sets confirms links; components are found by rewriting links to stars.
 
@@ -46,6 +47,7 @@ MISSED = 1e-6  # probability that a pair at the threshold is missed
 LIKELY = 0.92  # estimates from here on are almost surely of links
 LONG_LIST = 12  # longer lists are compared within tasks, so that pairs to be joined stay few
 BLOCK = 2048  # rows of a long list that are compared with each other or with another block in one go
+BLOCK_BYTES = 16 << 20  # and bytes of their full sets
 THIN = 200_000  # pairs of a spanning forest in the making
 BROADCAST_IDS = 200_000  # at most 2 MB of ids are broadcast; more are joined by a shuffle
 _TOP = np.uint64(1 << 63)
@@ -200,19 +202,21 @@ def blocks(lists: DataFrame, labels: DataFrame | None, tables: Tables) -> DataFr
     A set is at home in its size band and visits the next one, which holds the sizes it may link to.
     """
     tag = "minhash-blocks"
+    most = f"greatest(1, least({BLOCK}, {BLOCK_BYTES} div (8 * big)))"  # rows of a block of sets of at most ``big`` hashes
     part = lambda k: F.pmod(F.xxhash64("v", "rep", "n"), F.coalesce(k, F.lit(1)))
     visits = F.explode(F.array(F.struct(F.col("band").alias("at"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("at"), F.lit(False).alias("home"))))
-    many = lambda sizes: sizes.where(f"k > {BLOCK}").withColumn("k", F.ceil(F.col("k") / BLOCK))
+    many = lambda sizes: sizes.where(f"k > {most}").withColumn("k", F.expr(f"CAST(ceil(k / {most}) AS BIGINT)")).drop("big")
+    counted = [F.count(F.lit(1)).alias("k"), F.max("n").alias("big")]
     if labels is None:
         long = lists.withColumn("component", F.col("rep")).withColumn("x", visits).select("v", "df", "rep", "n", "component", "x.at", "x.home")
-        large = many(long.groupBy("v", "at").agg(F.count(F.lit(1)).alias("k")))
-        return long.join(F.broadcast(large), ["v", "at"], "left").withColumn("left", part(F.col("k"))).withColumn("right", F.col("left")).withColumn("inner", F.lit(True)).drop("k")
+        large = many(long.groupBy("v", "at").agg(*counted))
+        return long.join(large, ["v", "at"], "left").withColumn("left", part(F.col("k"))).withColumn("right", F.col("left")).withColumn("inner", F.lit(True)).drop("k")
     long = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = tables.write(long.groupBy("v", "band", "component").agg(F.count(F.lit(1)).alias("k")), tag)
+    sizes = tables.write(long.groupBy("v", "band", "component").agg(*counted), tag)
     # Large components have blocks of their own; the rest of a list shares some.
     own = many(sizes).withColumnRenamed("k", "ko")
-    rest = many(sizes.where(f"k <= {BLOCK}").groupBy("v", "band").agg(F.sum("k").alias("k")))
-    long = long.join(F.broadcast(own), ["v", "band", "component"], "left").join(F.broadcast(rest), ["v", "band"], "left")
+    rest = many(sizes.where(f"k <= {most}").groupBy("v", "band").agg(F.sum("k").alias("k"), F.max("big").alias("big")))
+    long = long.join(own, ["v", "band", "component"], "left").join(rest, ["v", "band"], "left")
     long = long.withColumn("block", F.when(F.col("ko").isNotNull(), F.xxhash64("component", part(F.col("ko")))).otherwise(part(F.col("k"))))
     long = tables.write(long.select("v", "df", "band", "rep", "n", "component", "block"), tag)
     held = tables.write(long.groupBy("v", "band", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), tag)
@@ -228,11 +232,48 @@ def blocks(lists: DataFrame, labels: DataFrame | None, tables: Tables) -> DataFr
     return long.join(sides, ["v", "band", "block"]).select("v", "df", "rep", "n", "component", "home", "at", "left", "right", "inner")
 
 
-def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int, tables: Tables) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, n, hashes: the full set of each of ``classes`` whose representative is among ``nodes`` (rep), made anew from the texts."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, found in shingle_sets(batch.column(1)):
+                raw = [s.tobytes() for s in found]
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), pa.array(digests, pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array(raw, pa.binary())], ["rep", "digest", "n", "hashes"])
+        give_back()
+
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(nodes, "rep", "left_semi")
+    full = texts.mapInArrow(sets, "rep bigint, digest binary, n bigint, hashes binary").withColumn("ver", F.xxhash64("digest"))
+    # A representative may have other texts, and copies of its own.
+    return full.join(classes.select("rep", "ver"), ["rep", "ver"], "left_semi").groupBy("rep", "ver").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")).drop("ver")
+
+
+def links_between(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links of rows i and j are needed to join all components (``label``) that they join."""
+    codes = np.unique(label, return_inverse=True)[1]
+    root, kept = list(range(int(codes.max(initial=-1)) + 1)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, x, y in zip(range(len(i)), codes[i].tolist(), codes[j].tolist(), strict=True):
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int, tables: Tables, docs: DataFrame | None = None) -> DataFrame:
     """a, b, est of pairs that share a long list and whose estimate allows a link.
 
-    Without ``labels`` a spanning forest of them in each block of a list; with ``labels`` (node, component) all
-    that are in different components.
+    Without ``labels`` a spanning forest of them in each block of a list. With ``labels`` (node, component) and ``docs`` all
+    estimated pairs of different components are confirmed on full sets where they are found, and what leaves a task is a
+    spanning forest of its links between components.
     """
     least, spanning = least_common(percent) / K, labels is None
     width = -float(np.log(percent / 100))
@@ -242,9 +283,17 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
         part = part.sort_values(["home", "n", "rep"], kind="stable")
         n, rep, label = (part[c].to_numpy() for c in ("n", "rep", "component"))
         visitors = int((~part["home"]).sum())
-        length = np.array([len(x) for x in part["sketch"]])
+        if not spanning:
+            full = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
+            full_start = np.concatenate([[0], np.cumsum([len(x) for x in full])])
+            full_values, full_codes = np.unique(np.concatenate(full), return_inverse=True)
+            mine_too = np.zeros(len(full_values), bool)
+            sketches = [signed(x[:K]) for x in full]
+        else:
+            sketches = part["sketch"].to_list()
+        length = np.array([len(x) for x in sketches])
         start = np.concatenate([[0], np.cumsum(length)])
-        values, codes = np.unique(np.concatenate(part["sketch"].to_list()), return_inverse=True)
+        values, codes = np.unique(np.concatenate(sketches), return_inverse=True)
         if not spanning:
             ahead, ahead_start = values_ahead(part)
             seen = np.zeros(int(ahead.max(initial=-1)) + 1, bool)
@@ -286,6 +335,13 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
                 bounds = ahead_start[low : high + 1] - ahead_start[low]
                 ok &= before[bounds[1:]] == before[bounds[:-1]]
                 seen[ahead[ahead_start[i] : ahead_start[i + 1]]] = False
+                if ok.any():  # how much of the full sets is common
+                    mine_too[full_codes[full_start[i] : full_start[i + 1]]] = True
+                    upto = np.concatenate([[0], np.cumsum(mine_too[full_codes[full_start[low] : full_start[high]]])])
+                    mine_too[full_codes[full_start[i] : full_start[i + 1]]] = False
+                    ends = full_start[low : high + 1] - full_start[low]
+                    both = upto[ends[1:]] - upto[ends[:-1]]
+                    ok &= 100 * both >= percent * (n[i] + n[low:high] - both)
             if (j := np.flatnonzero(ok)).size:
                 found.append((est[j], np.full(j.size, i, np.int32), (j + low).astype(np.int32)))
                 pending += j.size
@@ -293,16 +349,24 @@ def long_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame | None, p
                 found, pending = [thinned(found)], 0
         if not found:
             return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float64"})
-        est, i, j = thinned(found) if spanning else (np.concatenate(x) for x in zip(*found, strict=True))
+        if spanning:
+            est, i, j = thinned(found)
+        else:
+            est, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            kept = links_between(label, i, j)
+            est, i, j = est[kept], i[kept], j[kept]
         return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "est": est})
 
     long = lists.where(f"df > {LONG_LIST}").withColumn("band", F.floor(F.log("n") / width))
-    parts = blocks(long, labels, tables).join(classes.select("rep", "n", "sketch"), ["rep", "n"])
+    parts = blocks(long, labels, tables)
     if labels is None:
-        parts = parts.withColumn("own", F.lit(None).cast("array<struct<df:bigint,v:bigint>>"))
+        parts = parts.join(classes.select("rep", "n", "sketch"), ["rep", "n"]).select(*_PART, "home", "rep", "n", "sketch", "component")
     else:
-        parts = parts.join(long.groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("own")), ["rep", "n"])
-    parts = parts.select(*_PART, "df", "home", "rep", "n", "sketch", "component", "own")
+        parts = tables.write(parts, "minhash-block-rows")
+        nodes = tables.write(parts.select("rep").distinct(), "minhash-nodes")
+        full = tables.write(full_sets(docs, nodes, classes), "minhash-sets")
+        parts = parts.join(long.groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("own")), ["rep", "n"]).join(full, ["rep", "n"])
+        parts = parts.select(*_PART, "df", "home", "rep", "n", "hashes", "component", "own")
     return parts.groupBy(*_PART).applyInPandas(run, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
@@ -363,9 +427,10 @@ def grouped(docs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     links = tables.write(confirmed(first, docs, percent, tables).union(same_id), "minhash-links")
     labels = components(links, tables)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    more = candidates.select("a", "b").union(long_pairs(lists, classes, labels, percent, tables).select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = candidates.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = tables.write(confirmed(more, docs, percent, tables), "minhash-links")
+    within = long_pairs(lists, classes, labels, percent, tables, docs).select("a", "b")
+    more = tables.write(confirmed(more, docs, percent, tables).union(within).distinct(), "minhash-links")
     # Components that these links join are few: only their names go through the rounds again.
     joins = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     if more.limit(1).count():
