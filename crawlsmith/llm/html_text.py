@@ -3,14 +3,16 @@
 The page is cut into tags, comments and text by one pattern. The tree builder closes elements that HTML lets
 authors leave open (p, li, dt, dd, option, table parts), keeps void elements empty and ignores stray end
 tags. Elements that are never shown (head, script, style, template, ...), the ``hidden`` attribute,
-``display: none``, and all but the summary of closed ``details`` stay out; ``visibility: hidden`` hides what does not
-turn visible again further in. Of drawings and formulas the text is kept, of choices all options.
+``display: none`` (the last display counts), closed ``dialog`` and ``popover`` elements, and all but the summary of closed ``details`` stay out; ``visibility: hidden`` hides what does not
+turn visible again further in. Of drawings and formulas the text is kept, of choices all options, of buttons their labels.
 The renderer collapses white space, puts blocks on lines of their own with a blank line between paragraphs,
 headings and the like, marks list items by level, numbers ordered lists, keeps preformatted text, and pads
-table cells so that columns line up (a page that nests tables gets the inner one as lines in a cell).
+table cells so that columns line up (a page that nests tables gets the inner one as lines in a cell). Columns that only spans reach take no
+room; a table whose grid has more than SPARSE places a cell, which only long spans make, is laid out row by row, and one that padding would make
+SPARSE times as long is not padded, so that text and time grow with the page and not with the numbers in it.
 
 Nulls and edge cases: null html gives null title and text and 0 blocks; empty html gives empty text; tags left open at
-the end are closed; nesting has no bound; very long pages are rendered whole, one at a time; null or repeated page_ids are rows like others; other columns are ignored; an empty table gives an empty result.
+the end are closed; numbers that are none count as missing; nesting has no bound; very long pages are rendered whole, one at a time; null or repeated page_ids are rows like others; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from unicodedata import east_asian_width
 
@@ -31,7 +34,7 @@ SCHEMA = "page_id bigint, title string, text string, n_blocks bigint"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes map desc metadata defs symbol annotation annotation-xml".split())
+_UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes map desc metadata defs symbol annotation annotation-xml rp".split())
 _FOREIGN = frozenset("svg math".split())
 _APART = frozenset("textarea svg text".split())  # boxes of their own within a line
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section figure form fieldset hr details main".split())
@@ -52,11 +55,16 @@ _IMPLIED = {
     "body": ({"head"}, {"body"}),
 }
 _SCOPE = frozenset("table td th caption button html object".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_REMARK = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+_LAST = re.compile(_REMARK + "|()()()(?!)", re.S)  # behind the last >, where no tag can end
+_TOKEN = re.compile(_REMARK + r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
+_BUTTONS = frozenset("submit button reset".split())
+SPARSE = 64  # places of a table's grid for each of its cells
 
 
 class Node:
@@ -74,14 +82,20 @@ class Node:
                 return html.unescape(m[2] or m[3] or m[4] or "")
         return None
 
+    def number(self, name: str, least: int, most: int, otherwise: int) -> int:
+        """An attribute's leading number between bounds; ``otherwise`` where it has none."""
+        m = _NUMBER.match(self.get(name) or "")
+        return min(max(int(m[1]), least), most) if m else otherwise
+
     def seen(self) -> bool:
-        if self.tag in _UNSEEN:
+        if self.tag in _UNSEEN or self.tag == "dialog" and self.get("open") is None:
             return False
         if not self.attributes:
             return True
-        if self.get("hidden") is not None or _HIDING.search(self.get("style") or ""):
+        if self.get("hidden") is not None or self.get("popover") is not None:
             return False
-        return True
+        shown = _DISPLAY.findall(self.get("style") or "")
+        return not shown or shown[-1].lower() != "none"
 
     def veiled(self, around: bool) -> bool:
         """Whether its own text is hidden, given whether the text around it is."""
@@ -94,18 +108,23 @@ def parse(page: str) -> tuple[Node, int]:
     """The tree of a page and its depth; text is in it as strings."""
     root = Node("#root")
     stack, depth = [root], 1
+    opened: Counter[str] = Counter()  # elements of each name in the stack, so that what is not there is not looked for
 
     def close(until: set[str], within: frozenset[str] | set[str]) -> None:
+        if not any(opened[tag] for tag in until):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in until:
+                for x in stack[k:]:
+                    opened[x.tag] -= 1
                 del stack[k:]
                 return
             if stack[k].tag in within:
                 return
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last else _LAST).search(page, at)
         if m is None:
             stack[-1].children.append(html.unescape(page[at:]))
             break
@@ -116,7 +135,7 @@ def parse(page: str) -> tuple[Node, int]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag in _BLOCK or tag == "body":
                 close({tag}, {"table"} if tag not in ("table", "html", "body") else set())
@@ -130,7 +149,7 @@ def parse(page: str) -> tuple[Node, int]:
             if tag == "tr":
                 close({"td", "th", "tr"}, {"table"})
         if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         node = Node(tag, m[3])
         stack[-1].children.append(node)
         if tag in _RAW:
@@ -138,13 +157,14 @@ def parse(page: str) -> tuple[Node, int]:
             text = page[at : end.start()]
             node.children.append(html.unescape(text) if tag in ("title", "textarea") else text)
             at = end.end()
-        elif tag not in _VOID and not (m[3].endswith("/") and (tag in _FOREIGN or any(x.tag in _FOREIGN for x in stack))):
+        elif tag not in _VOID and not (m[3].endswith("/") and (tag in _FOREIGN or any(opened[x] for x in _FOREIGN))):
             if tag in ("tr", "td", "th"):
                 for x in reversed(stack):
                     if x.holds_cells or x.tag in ("table", "caption", "pre", "details"):
                         break
                     x.holds_cells = True
             stack.append(node)
+            opened[tag] += 1
             depth = max(depth, len(stack))
     return root, depth
 
@@ -243,38 +263,80 @@ def render_table(table: Node, out: Layout) -> None:
             out.add(node)
     out.end_line()
     out.veiled = around
-    grid: list[list[list[str]]] = []
-    held: dict[int, int] = {}  # columns that a cell of an earlier row still covers, with rows left
-    for row in filter(None, rows):
-        cells: list[list[str]] = []
-        for cell, veiled in row:
-            while held.get(len(cells), 0):
-                held[len(cells)] -= 1
-                cells.append([""])
+    placed: list[list[tuple[int, list[str]]]] = []  # by row: column and lines of each cell
+    places = placed_cells([[(cell.number("colspan", 1, 1000, 1), cell.number("rowspan", 0, 65534, 1)) for cell, _ in row] for row in filter(None, rows)])
+    for row, columns in zip(filter(None, rows), places, strict=True):
+        placed.append([])
+        for (cell, veiled), column in zip(row, columns, strict=True):
             inner = Layout()
             inner.veiled, inner.pre = cell.veiled(veiled), out.pre
             for child in cell.children:
                 render_child(child, inner)
             inner.end_line()
-            span = lambda name: min(1000, int(x)) if (x := (cell.get(name) or "1").strip()).isdigit() and int(x) else 1  # noqa: B023, E731
-            down = span("rowspan") - 1
-            for k in range(span("colspan")):
-                if down:
-                    held[len(cells)] = down
-                cells.append([x for x in inner.lines if x] or [""] if k == 0 else [""])
-        while held.get(len(cells), 0):
-            held[len(cells)] -= 1
-            cells.append([""])
-        grid.append(cells)
-    widths = [max((width(line) for row in grid if c < len(row) for line in row[c]), default=0) for c in range(max(map(len, grid), default=0))]
-    for row in grid:
-        for k in range(max(map(len, row))):
-            parts = [cell[k] if k < len(cell) else "" for cell in row]
-            text = " | ".join(p + " " * (w - width(p)) for p, w in zip(parts, widths, strict=False)).rstrip(" ")
+            placed[-1].append((column, [x for x in inner.lines if x] or [""]))
+    widths: dict[int, int] = {}
+    for row in placed:
+        for column, lines in row:
+            widths[column] = max(widths.get(column, 0), *map(width, lines))
+    texts = [width(line) for row in placed for _, lines in row for line in lines]
+    if sum(widths.values()) * sum(max(len(lines) for _, lines in row) for row in placed) > SPARSE * (sum(texts) + 1000):
+        widths = dict.fromkeys(widths, 0)  # few long cells among many short ones: padding would outgrow the page
+    order = {column: k for k, column in enumerate(sorted(widths))}
+    padded = [widths[column] for column in sorted(widths)]
+    for row in placed:
+        for k in range(max(len(lines) for _, lines in row)):
+            parts, at = [], 0
+            for column, lines in row:
+                # Columns that a cell from above covers stay empty here.
+                parts += [" " * w for w in padded[at : order[column]]]
+                text = lines[k] if k < len(lines) else ""
+                parts.append(text + " " * (widths[column] - width(text)))
+                at = order[column] + 1
+            text = " | ".join(parts).rstrip(" ")
             if text.strip(" |"):
                 out.put(text)
 
 
+def placed_cells(rows: list[list[tuple[int, int]]]) -> list[list[int]]:
+    """Columns of the cells (colspan, rowspan) of each row; their places in the row where alignment would cost too much."""
+    cells = sum(map(len, rows))
+    left = SPARSE * cells + 1000  # places that may be looked at or left empty
+    out: list[list[int]] = []
+    held: list[tuple[int, int, int]] = []  # columns from, to, and the row up to which a cell covers them; in order
+    starts: set[int] = set()
+    for r, row in enumerate(rows):
+        columns: list[int] = []
+        now = [h for h in held if h[2] > r]
+        after: list[tuple[int, int, int]] = []
+        column = k = 0
+        for across, down in row:
+            while k < len(now) and now[k][0] <= column:
+                column = max(column, now[k][1])
+                after.append(now[k])
+                k += 1
+            columns.append(column)
+            upto = column + across
+            if k < len(now):
+                upto = min(upto, max(now[k][0], column + 1))
+            last = len(rows) if down == 0 else min(r + down, len(rows))
+            if last > r + 1:
+                if after and after[-1][1] == column and after[-1][2] == last:
+                    after[-1] = (after[-1][0], upto, last)
+                else:
+                    after.append((column, upto, last))
+            column = upto
+        held = after + now[k:]
+        starts.update(columns)
+        out.append(columns)
+        left -= len(now) + len(row)
+        if left < 0:
+            return [list(range(len(row))) for row in rows]
+    order = {column: k for k, column in enumerate(sorted(starts))}
+    if sum(order[columns[-1]] + 1 for columns in out if columns) > SPARSE * cells + 1000:
+        return [list(range(len(row))) for row in rows]
+    return out
+
+
 def render_child(child: Node | str, out: Layout) -> None:
     if isinstance(child, str):
         out.add(child)
@@ -306,11 +368,20 @@ def render_as_seen(node: Node, out: Layout) -> None:
     if tag == "hr":
         out.space()
         return
+    if tag == "input":
+        if (node.get("type") or "").lower() in _BUTTONS and (label := (node.get("value") or "").strip()):
+            out.add(f" {label} ")
+        return
     spaced, block = tag in _SPACED, tag in _BLOCK
     if block:
         out.end_line()
         if spaced and not (tag in ("ul", "ol") and out.indent):
             out.gap = 1
+    if tag in ("option", "optgroup") and (label := (node.get("label") or "").strip()):
+        out.add(label)
+        out.end_line()
+        if tag == "option":
+            return
     if tag == "pre":
         start, outer, out.pre = len(out.lines), out.pre, True
         for child in node.children:
@@ -322,8 +393,7 @@ def render_as_seen(node: Node, out: Layout) -> None:
     elif tag == "table":
         render_table(node, out)
     elif tag in ("ul", "ol", "menu"):
-        start = node.get("start") or ""
-        number = int(start) if tag == "ol" and start.lstrip("-").isdigit() else 1
+        number = node.number("start", -(10**9), 10**9, 1) if tag == "ol" else 1
         outer = out.indent
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li" and child.seen():
