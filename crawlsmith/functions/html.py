@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,10 +62,22 @@ def tags(html: Column, name: str) -> Column:
 
 def meta(html: Column, name: str, by: str = "name") -> Column:
     """Content of the first meta element of that name, whatever the order of its attributes; null without one."""
-    own = F.filter(tags(html, "meta"), lambda t: F.lower(attribute(t, by)) == name)
+    return meta_of(tags(html, "meta"), name, by)
+
+
+def meta_of(metas: Column, name: str, by: str = "name") -> Column:
+    """As ``meta``, of the meta tags of a page."""
+    own = F.filter(metas, lambda t: F.lower(attribute(t, by)) == name)
     return F.nullif(attribute(F.get(own, 0), "content"), F.lit(""))
 
 
+def decoded(value: Column) -> Column:
+    """Text with the named characters decoded."""
+    for name, char in NAMED.items():
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
 def first_text(html: Column, tag: str) -> Column:
     inner = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]+>", " "), r"\s+", " ")), F.lit(""))
@@ -91,12 +105,6 @@ def jsonld_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1))
 
 
-def jsonld_types(html: Column) -> Column:
-    """Every @type in JSON-LD blocks, single or in a list, distinct in order of appearance."""
-    values = F.flatten(F.transform(jsonld_blocks(html), lambda b: F.regexp_extract_all(b, F.lit(r'"@type"\s*:\s*("[^"]+"|\[[^\]]*\])'), F.lit(1))))
-    return F.array_distinct(F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(r'"([^"]+)"'), F.lit(1)))))
-
-
 def jsonld_type_count(html: Column, types: list[str]) -> Column:
     """How often one of ``types`` is declared; a list that holds several counts once."""
     values = F.flatten(F.transform(jsonld_blocks(html), lambda b: F.regexp_extract_all(b, F.lit(r'"@type"\s*:\s*("[^"]+"|\[[^\]]*\])'), F.lit(1))))
@@ -136,3 +144,99 @@ ANALYTICS = {"yandex_metrika": "mc.yandex.ru", "google_analytics": "google-analy
 
 def detect_analytics(html: Column) -> Column:
     return F.array_compact(F.array(*[F.when(html.contains(mark), name) for name, mark in ANALYTICS.items()]))
+
+
+_START = r"""<[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, also within its lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_remarks(html: Column) -> Column:
+    """The page without comments, scripts and styles, whose text may look like tags."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+
+
+def elements(html: Column, name: str, opens: str | None = None) -> Column:
+    """start and inner of the outermost elements of that name whose start tag ``opens`` (a pattern) finds; '' without any.
+
+    The page is cut before each of the element's tags; a fold over the pieces counts how deep they lie, so an element ends
+    at the end tag that matches it, whatever elements of its name it holds. What is never closed is no element.
+    """
+    start = rf"(?i)^<{name}(?=[\s/>])"
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("from"), F.lit(1).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("found"))
+
+    def step(s: Column, piece: Column) -> Column:
+        begins, ends = piece.rlike(start), piece.startswith("</")
+        mine = begins if opens is None else begins & F.regexp_extract(piece, _START, 0).rlike(opens)
+        depth = F.when(s.depth > 0, s.depth + F.when(begins, 1).when(ends, -1).otherwise(0)).when(mine, 1).otherwise(0)
+        found = F.when((s.depth == 1) & ends, F.concat(s.found, F.array(F.struct(s["from"].alias("from"), s["at"].alias("to"))))).otherwise(s.found)
+        return F.struct(depth.alias("depth"), F.when((s.depth == 0) & mine, s["at"]).otherwise(s["from"]).alias("from"), (s["at"] + 1).alias("at"), found.alias("found"))
+
+    whole = lambda pieces: F.transform(F.aggregate(pieces, state, step, lambda s: s.found), lambda f: F.array_join(F.slice(pieces, f["from"], f["to"] - f["from"]), ""))
+    return F.transform(bound(F.split(html, rf"(?i)(?=</?{name}(?=[\s/>]))"), whole), lambda x: F.struct(F.regexp_extract(x, _START, 0).alias("start"), F.regexp_replace(x, f"^{_START}", "").alias("inner")))
+
+
+def first_inner(html: Column, name: str, opens: str | None = None) -> Column:
+    """What the first such element holds; null without one or if it holds nothing."""
+    return F.nullif(F.get(F.transform(elements(html, name, opens), lambda e: e.inner), F.lit(0)), F.lit(""))
+
+
+#: A JSON text in pieces: strings that name a member (with their colon), other strings, and brackets.
+_JSON = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|[{}\[\]]'
+
+
+def _json_strings(block: Column, member: str, as_type: bool) -> Column:
+    """Strings of the members of that name at any depth of a JSON text, in the order of the objects that have them.
+
+    A fold over the pieces of the text with the open brackets as a stack. as_type: lists of strings count, too; else
+    the ``name`` of an object does, and blank strings do not.
+    """
+    kinds = "array<struct<open:int,kind:string,up:int>>"
+    tokens = F.regexp_extract_all(block, F.lit(f"(?s){_JSON}"), F.lit(0))
+    plain = lambda t: F.when(t.contains("\\"), F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 0)).otherwise(F.substring(t, 2, F.length(t) - 2))
+    state = F.struct(F.lit(0).alias("i"), F.array().cast(kinds).alias("stack"), F.lit("").alias("key"), F.array().cast("array<struct<open:int,at:int,value:string>>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.get(s.stack, F.size(s.stack) - 1)
+        inside = top.kind.isin("o", "f")
+        opened = F.coalesce(top["open"], F.lit(-1))
+        mine = inside & (s.key == member)
+        push = lambda kind: F.concat(s.stack, F.array(F.struct(s.i.alias("open"), kind.alias("kind"), opened.alias("up"))))
+        stack = (
+            F.when(t == "{", push(F.when(F.lit(not as_type) & mine, "f").otherwise("o")))
+            .when(t == "[", push(F.when(F.lit(as_type) & mine, "t").otherwise("a")))
+            .when(t.isin("}", "]"), F.slice(s.stack, 1, F.greatest(F.size(s.stack) - 1, F.lit(0))))
+            .otherwise(s.stack)
+        )
+        names = t.endswith(":")
+        key = F.when(names, F.coalesce(plain(F.regexp_replace(t, r"\s*:$", "")), F.lit(""))).otherwise(F.lit(""))
+        value = F.when(t.startswith('"') & ~names, plain(t))
+        owner = F.when(mine, opened).when(top.kind == "t", top.up) if as_type else F.when(mine, opened).when((top.kind == "f") & (s.key == "name"), top.up)
+        good = value.isNotNull() & owner.isNotNull() & (F.lit(True) if as_type else F.trim(value) != "")
+        found = F.when(F.coalesce(good, F.lit(False)), F.concat(s.found, F.array(F.struct(owner.alias("open"), s.i.alias("at"), value.alias("value"))))).otherwise(s.found)
+        return F.struct((s.i + 1).alias("i"), stack.alias("stack"), key.alias("key"), found.alias("found"))
+
+    return F.transform(F.array_sort(F.aggregate(tokens, state, step, lambda s: s.found)), lambda x: x.value)
+
+
+def _parsed(block: Column) -> Column:
+    return F.try_parse_json(block).isNotNull()
+
+
+def jsonld_types(html: Column) -> Column:
+    """Every @type at any depth of the JSON-LD blocks, single or in a list, distinct, objects before what they hold.
+
+    Of a block that is no JSON the types are those that a pattern finds.
+    """
+    scanned = lambda b: F.regexp_extract_all(b, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))
+    of = lambda b: F.when(_parsed(b), _json_strings(b, "@type", True)).otherwise(scanned(b))
+    return F.array_distinct(F.flatten(F.transform(jsonld_blocks(html), of)))
+
+
+def jsonld_string(html: Column, member: str) -> Column:
+    """The first string of a member of that name, or the name of the object that it is, in the JSON-LD blocks; null without one."""
+    found = F.flatten(F.transform(jsonld_blocks(html), lambda b: F.when(_parsed(b), _json_strings(b, member, False)).otherwise(F.array().cast("array<string>"))))
+    return F.trim(F.get(found, F.lit(0)))

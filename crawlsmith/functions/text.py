@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +21,15 @@ LETTERS = dict(zip("абвгдеёзийклмнопрстуфхыэ", "a b v g
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">"}
 
 
+_PLAIN = re.compile(r"(?:[^\\.^$*+?{}\[\]|()]|\\\.)+")
+
+
+def any_of(lowered: Column, words: str) -> Column:
+    """Whether a lower-cased text holds one of ``words`` (parted by |). Plain ones are looked for as they are, which is many times faster than a pattern."""
+    parts = words.split("|")
+    return reduce(lambda a, b: a | b, [lowered.contains(w.replace("\\.", ".")) if _PLAIN.fullmatch(w) else lowered.rlike(w) for w in parts])
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, " ", " "), r"\s+", " "))
 

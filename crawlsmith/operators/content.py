@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
 from crawlsmith.functions import text as T
 from crawlsmith.functions.frames import fenced
-from crawlsmith.functions.urls import host, path
-from crawlsmith.operators.context import pagination_columns
+from crawlsmith.functions.urls import host, path, resolve
+from crawlsmith.operators.listing import listing_cards, pagination_of
 
 #: Order of the types; it breaks ties.
 TYPES = ["product", "category", "article", "informational", "home", "landing", "contacts", "unknown"]
@@ -56,10 +57,11 @@ SCHEMAS = {
     "article": ["Article", "NewsArticle", "BlogPosting"],
     "contact": ["Organization", "LocalBusiness", "PostalAddress", "ContactPoint"],
 }
-PRICE = r"(?iu)\d[\d\s]*(?:₽|руб|\$|€)"
-BUY = r"(?iu)(купить|в корзину|заказать|buy now|add to cart)"
-COUNTS = {"h1": r"(?i)<h1\b", "h2": r"(?i)<h2\b", "h3": r"(?i)<h3\b", "tables": r"(?i)<table\b", "lists": r"(?i)<(?:ul|ol)\b", "quotes": r"(?i)<blockquote\b", "videos": r"(?i)<(?:video|iframe)\b", "code": r"(?i)<(?:code|pre)\b", "images": r"(?i)<img\b"}
-LISTING = [r"(?i)data-product\b", r"(?i)class=[\"'][^\"']*(?:product-card|product-item|catalog-item|card-product)[^\"']*[\"']"]
+PRICE = r"(?iu)\d[\d\s]{1,12}(?:[,.]\d+)?\s*(?:₽|руб\.?|р\.(?=[A-Za-z0-9_])|₸|\$|€)"
+BUY = "купить|в корзину|заказать|buy now|add to cart|оформить"
+AUTHOR_ROLE = "редактор|эксперт|author-role|должность|position|контент-менеджер"
+#: Names of the elements that are counted.
+COUNTS = {"h1": ["h1"], "h2": ["h2"], "h3": ["h3"], "tables": ["table"], "lists": ["ul", "ol"], "quotes": ["blockquote"], "videos": ["video", "iframe"], "code": ["code", "pre"], "images": ["img"]}
 
 
 def content_image(tag: Column) -> Column:
@@ -69,39 +71,100 @@ def content_image(tag: Column) -> Column:
     return ~cls.rlike("sprite|icon|logo|avatar|emoji") & ~F.lower(src).rlike(r"\.svg(?:$|\?)") & ((size("width") == 0) | (size("width") >= 50)) & ((size("height") == 0) | (size("height") >= 50))
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """One wide row for each page (page_id, url, html), in one pass and without a shuffle; html is dropped."""
-    df = pages.withColumn("text_", H.visible_text(F.col("html"))).withColumn("low_", F.lower("html")).withColumn("body_", T.strip_layout(F.col("html")))
-    df = df.withColumn("words_", T.strip_html(F.col("body_"))).withColumn("images_", F.filter(H.tags(F.col("html"), "img"), content_image))
-    df = df.withColumn("types", H.jsonld_types(F.col("html"))).withColumn("links_", H.tags(F.col("html"), "a"))
-    flags = {f"{k}_found": F.col("text_").rlike(f"(?iu){p}") for k, p in TEXT_SIGNALS.items()} | {f"{k}_found": F.col("low_").rlike(f"(?iu){p}") for k, p in RAW_SIGNALS.items()}
-    flags |= {f"{k}_found": F.col("text_").rlike(f"(?iu){a}") | F.col("low_").rlike(f"(?iu){b}") for k, (a, b) in EITHER_SIGNALS.items()}
-    mode, page_count = pagination_columns(F.col("html"))
-    cards = F.greatest(*[F.regexp_count("html", F.lit(p)) for p in LISTING])
-    flags["filter_found"] = F.col("low_").rlike("filter|фильтр") & F.col("low_").rlike(r"<(?:form|select|input)\b")
-    flags["phone_found"] = F.col("text_").rlike(r"\+7|8\s?\(?\d{3}\)?[\s-]?\d{3}") | F.col("low_").contains("tel:")
-    flags["email_found"] = F.col("text_").rlike(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}")
-    published = F.coalesce(H.meta(F.col("html"), "article:published_time", "property"), F.nullif(F.regexp_extract("html", r"(?i)<time\b[^>]*datetime=[\"']([^\"']+)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract("text_", r"(?:^|[^\d])(\d{1,2}[./]\d{1,2}[./]\d{2,4})(?:[^\d]|$)", 1), F.lit("")))
-    hrefs = F.transform("links_", lambda t: H.attribute(t, "href"))
-    inside = F.size(F.filter(hrefs, lambda h: (h != "") & (~h.rlike("^[a-z]+:") | (host(h) == host(F.col("url"))))))
-    found = fenced(df).select(
-        "page_id", "url", "types", F.col("text_").alias("visible_text"),
-        T.word_count(F.col("words_")).alias("word_count"), T.content_density_pct(F.col("words_"), F.col("body_")).alias("density"),
-        *[F.regexp_count("html", F.lit(p)).alias(f"{k}_count") for k, p in COUNTS.items()],
-        *[c.alias(k) for k, c in flags.items()],
-        F.regexp_count("text_", F.lit(PRICE)).alias("price_count"), F.col("text_").rlike(BUY).alias("buy_found"),
-        cards.alias("listing_cards"), mode.alias("pagination_mode"), page_count.alias("pagination_pages"),
-        F.when(cards > 0, cards * page_count).alias("assortment"),
-        F.size("images_").alias("content_images"), F.size(F.filter("images_", lambda t: F.trim(H.attribute(t, "alt")) == "")).alias("images_without_alt"),
-        F.size(F.filter(hrefs, lambda h: h.rlike("^(?:https?:)?//") & (host(F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)) != host(F.col("url"))))).alias("external_links"),
-        (F.regexp_count("html", F.lit(r"(?i)<(?:details|summary)\b")) + F.regexp_count("html", F.lit(r"(?i)(?:class|id)=[\"'][^\"']*(?:faq|question|answer)[^\"']*[\"']"))).alias("questions"),
-        F.col("low_").rlike("(?iu)команда|офис|team|about-us|company").alias("team_found"), F.col("html").rlike(r'(?i)"datePublished"').alias("date_schema_found"),
-        *[H.meta(F.col("html"), f"og:{c}", "property").isNotNull().alias(f"og_{c}_found") for c in ("title", "description", "image")],
-        H.jsonld_type_count(F.col("html"), ["Product"]).alias("product_schemas"),
-        published.alias("published"), inside.alias("internal_links"),
-        *[H.head_meta(F.col("html"))[c].alias(c) for c in ("title", "h1", "description", "canonical", "og_title", "lang")],
-    )
-    return fenced(found)
+#: What features are made from, each from the page or from those before it.
+_PARTS: dict[str, tuple[str, Callable[[], Column]]] = {
+    "low_": ("", lambda: F.lower("html")),
+    "text_": ("", lambda: H.visible_text(F.col("html"))),
+    "lowtext_": ("text_", lambda: F.lower("text_")),
+    "body_": ("", lambda: T.strip_layout(F.col("html"))),
+    "words_": ("body_", lambda: T.strip_html(F.col("body_"))),
+    "names_": ("", lambda: F.transform(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9_]*)"), F.lit(1)), F.lower)),
+    "images_": ("", lambda: F.filter(H.tags(F.col("html"), "img"), content_image)),
+    "links_": ("", lambda: H.tags(F.col("html"), "a")),
+    "hrefs_": ("links_", lambda: F.transform("links_", lambda t: H.attribute(t, "href"))),
+    "types_": ("", lambda: H.jsonld_types(F.col("html"))),
+    "cards_": ("low_", lambda: listing_cards(F.col("html"), F.col("low_"))),
+    "pages_": ("low_", lambda: pagination_of(F.col("html"), F.col("url"), F.col("low_"))),
+    "metas_": ("", lambda: H.tags(F.col("html"), "meta")),
+}
+
+
+def _features() -> dict[str, tuple[str, Column]]:
+    """By name of a feature the parts that it is made from, and its expression."""
+    low, text, types, c = F.col("low_"), F.col("lowtext_"), F.col("types_"), F.col
+    has = lambda *ts: F.arrays_overlap(types, F.array(*map(F.lit, ts)))
+    named = lambda *ns: F.arrays_overlap(c("names_"), F.array(*map(F.lit, ns)))
+    meta = lambda name, by="name": H.meta_of(c("metas_"), name, by)
+    out = {f"{k}_found": ("lowtext_", T.any_of(text, words)) for k, words in TEXT_SIGNALS.items()}
+    out |= {f"{k}_found": ("low_", T.any_of(low, words)) for k, words in RAW_SIGNALS.items() if k != "form"}
+    for k, own in COUNTS.items():
+        out[f"{k}_count"] = ("names_", F.size(F.filter("names_", _one_of(own))))
+    also = {"reviews": SCHEMAS["review"], "rating": ["AggregateRating"], "breadcrumbs": ["BreadcrumbList"], "faq": ["FAQPage"], "address": ["PostalAddress"]}
+    for k, ts in also.items():
+        parts, column = out[f"{k}_found"]
+        out[f"{k}_found"] = (f"{parts} types_", column | has(*ts))
+    href = r"(?:^|[^\d])(\d{1,2}[./]\d{1,2}[./]\d{2,4})(?:[^\d]|$)"
+    inside = lambda h: (h != "") & (~h.rlike("^[a-z]+:") | (host(h) == host(c("url"))))
+    outside = lambda h: h.rlike("^(?:https?:)?//") & (host(F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)) != host(c("url")))
+    buttons = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<(a|button)\b[^>]*>(.*?)</\1>"), F.lit(2)), T.strip_html)
+    head = H.head_meta(c("html"))
+    some = lambda pattern, column: F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+    return out | {
+        "types": ("types_", types), "visible_text": ("text_", c("text_")),
+        "word_count": ("words_", T.word_count(c("words_"))), "density": ("words_ body_", T.content_density_pct(c("words_"), c("body_"))),
+        "form_found": ("names_", named("form")),
+        "specs_found": ("lowtext_ names_", T.any_of(text, EITHER_SIGNALS["specs"][0]) | named("table")),
+        "description_block_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["description_block"][0]) | low.rlike(EITHER_SIGNALS["description_block"][1])),
+        "subcategories_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["subcategories"][0]) | low.rlike(EITHER_SIGNALS["subcategories"][1])),
+        "filter_found": ("low_ names_", T.any_of(low, "filter|фильтр") & named("form", "select", "input")),
+        "phone_found": ("text_ low_", c("text_").rlike(r"\+7|8\s?\(?\d{3}\)?[\s-]?\d{3}") | low.contains("tel:")),
+        "email_found": ("text_", c("text_").contains("@") & c("text_").rlike(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}")),
+        "author_found": ("lowtext_ low_ metas_", T.any_of(text, TEXT_SIGNALS["author"]) | meta("author").isNotNull() | low.rlike("rel=[\"']author[\"']")),
+        "author_photo_found": ("low_ names_", low.contains("author") & named("img")),
+        "author_role_found": ("lowtext_", T.any_of(text, AUTHOR_ROLE)),
+        "author_schema_found": ("low_ types_", has("Person") | low.contains('"author"')),
+        "team_found": ("low_", T.any_of(low, "команда|офис|team|about-us|company")),
+        "date_schema_found": ("low_", low.contains('"datepublished"')),
+        "price_text": ("text_", F.nullif(F.regexp_extract("text_", PRICE, 0), F.lit(""))),
+        "price_count": ("text_", F.regexp_count("text_", F.lit(PRICE))),
+        "buy_label": ("low_", F.when(T.any_of(low, BUY), F.get(F.filter(buttons, lambda t: T.any_of(F.lower(t), BUY)), F.lit(0)))),
+        "buy_found": ("low_", F.when(T.any_of(low, BUY), F.exists(buttons, lambda t: T.any_of(F.lower(t), BUY))).otherwise(False)),
+        "listing_cards": ("cards_", c("cards_")), "pagination_mode": ("pages_", c("pages_.mode")), "pagination_pages": ("pages_", c("pages_.pages")),
+        "assortment": ("cards_ pages_", F.when(c("cards_") > 0, c("cards_") * c("pages_.pages"))),
+        "content_images": ("images_", F.size("images_")), "images_without_alt": ("images_", F.size(F.filter("images_", lambda t: F.trim(H.attribute(t, "alt")) == ""))),
+        "internal_links": ("hrefs_", F.size(F.filter("hrefs_", inside))), "external_links": ("hrefs_", F.size(F.filter("hrefs_", outside))),
+        "nofollow_links": ("links_", F.size(F.filter("links_", lambda t: F.lower(H.attribute(t, "rel")).contains("nofollow")))),
+        "questions": ("names_ low_", F.size(F.filter("names_", _one_of(["details", "summary"]))) + F.regexp_count("low_", F.lit(r"(?:class|id)=[\"'][^\"']*(?:faq|question|answer)[^\"']*[\"']"))),
+        **{f"og_{k}_found": ("metas_", meta(f"og:{k}", "property").isNotNull()) for k in ("title", "description", "image")},
+        "product_schemas": ("low_", F.when(low.contains("ld+json"), H.jsonld_type_count(c("html"), ["Product"])).otherwise(0)),
+        "published": ("metas_ text_ low_", F.coalesce(meta("article:published_time", "property"), meta("datepublished"), F.when(low.contains("<time"), some(r"(?i)<time\b[^>]*datetime=[\"']([^\"']+)[\"']", "html")), some(href, "text_"))),
+        "updated": ("metas_", F.coalesce(meta("article:modified_time", "property"), meta("datemodified"))),
+        "robots": ("metas_", F.coalesce(meta("robots"), meta("googlebot"))),
+        "description": ("metas_", meta("description")), "og_title": ("metas_", meta("og:title", "property")),
+        **{k: ("", head[k]) for k in ("title", "h1", "canonical", "lang")},
+    }
+
+
+def _one_of(names: list[str]) -> Callable[[Column], Column]:
+    return lambda n: n.isin(*names)
+
+
+def page_features(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """page_id, url and the features of each page (page_id, url, html), in one pass and without a shuffle; html is dropped.
+
+    Only what the asked ``columns`` (all by default) are made from is computed, each part once.
+    """
+    every = _features()
+    wanted = list(every) if columns is None else columns
+    needed: set[str] = set()
+    for part in reversed(list(_PARTS)):
+        if any(part in every[k][0].split() for k in wanted) or any(part in _PARTS[x][0].split() for x in needed):
+            needed.add(part)
+    df = pages.select("page_id", "url", "html")
+    for part, (_, make) in _PARTS.items():
+        if part in needed:
+            df = df.withColumn(part, make())
+    return fenced(fenced(df).select("page_id", "url", *[every[k][1].alias(k) for k in wanted]))
 
 
 def page_type_scores(features: DataFrame) -> DataFrame:
@@ -253,27 +316,54 @@ def representative_url(urls: DataFrame, kind: str = "default") -> DataFrame:
     return best.select("site", F.when(F.col("b.score") > 0, F.col("b.loc")).alias("url"), F.col("b.score").alias("score"))
 
 
+#: What a menu link is about, by how much it says about a site's owner.
+MENU_PRIORITY = [
+    (5, "contact|контакт|about|о нас|company|requisite|реквизит|legal|privacy|policy|oferta|terms"),
+    (4, "faq|вопрос|question|docs|documentation|help|поддержк"),
+    (3, "service|услуг|catalog|каталог|product|решени|pricing|тариф"),
+]
+_MEDIA = r"(?i)\.(?:jpg|jpeg|png|gif|svg|webp|pdf|xml)$"
+
+
+def menu(pages: DataFrame, labels: int = 20, links: int = 10) -> DataFrame:
+    """page_id, labels and links (label, url) of the links within nav and header elements, else of the whole page.
+
+    Only links to the page's own origin that are no files and have a label of 80 characters at most; labels and links are distinct,
+    and links to the root are left out.
+    """
+    clean = H.without_remarks(F.col("html"))
+    areas = H.bound(clean, lambda h: F.concat(F.transform(H.elements(h, "nav"), lambda e: e.inner), F.transform(H.elements(h, "header"), lambda e: e.inner)))
+    df = pages.select("page_id", F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"), clean.alias("clean_"), areas.alias("areas_"))
+    df = fenced(df)
+    source = F.when(F.size("areas_") > 0, F.array_join("areas_", " ")).otherwise(F.col("clean_"))
+    anchors = F.regexp_extract_all(source, F.lit(r"(?is)(<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>)"), F.lit(1))
+    parts = F.transform(anchors, lambda a: F.struct(T.strip_html(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a>$", "")).alias("label"), resolve(F.concat("origin", F.lit("/")), H.decoded(F.regexp_extract(a, r"(?i)href=[\"']([^\"']+)[\"']", 1))).alias("url")))
+    df = fenced(df.select("page_id", "origin", parts.alias("found_")))
+    fine = F.filter("found_", lambda x: (x.label != "") & (F.length(x.label) <= 80) & (F.lower(F.regexp_extract(x.url, r"^([a-z+.-]+://[^/?#]*)", 1)) == F.lower(F.col("origin"))) & ~path(x.url).rlike(_MEDIA))
+    df = fenced(df.select("page_id", fine.alias("fine_")).withColumn("urls_", F.transform("fine_", lambda x: x.url)))
+    first = F.filter("fine_", lambda x, i: (F.array_position("urls_", x.url) == i + 1) & ~path(x.url).isin("", "/"))
+    return df.select("page_id", F.slice(F.array_distinct(F.transform("fine_", lambda x: x.label)), 1, labels).alias("labels"), F.slice(first, 1, links).alias("links"))
+
+
 def menu_links(pages: DataFrame, most: int = 6) -> DataFrame:
-    """page_id, place, href, label of the menu links that lead deepest into the site's offer."""
-    area = F.nullif(F.regexp_extract("html", r"(?is)<(?:nav|header)\b[^>]*>(.*?)</(?:nav|header)>", 1), F.lit(""))
-    found = F.regexp_extract_all(F.coalesce(area, F.col("html")), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a"))
-    rows = rows.select("page_id", "pos", F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"), F.substring(F.trim(F.regexp_replace("a", r"(?s)<[^>]+>", " ")), 1, 80).alias("label"))
-    rows = rows.where(F.col("href").rlike("^/[^/]") & ~F.col("href").rlike(r"(?i)\.(?:jpe?g|png|gif|svg|webp|pdf|zip|mp4)$"))
-    first = rows.groupBy("page_id", "href").agg(F.min(F.struct("pos", "label")).alias("m")).select("page_id", "href", "m.pos", "m.label")
-    rank = F.when(F.col("href").rlike("(?i)contact|kontakt|about"), 5).when(F.col("href").rlike("(?i)price|catalog|shop|product"), 4).when(F.col("href").rlike("(?i)service|uslug"), 3).otherwise(1)
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(rank), "pos"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", "href", "label")
+    """page_id, place, href, label of the menu links that say most about a site's owner, in the menu's order where equal.
+
+    The few links of a page are ordered within its row, so nothing is shuffled.
+    """
+    about = lambda x: F.lower(F.concat(x.label, F.lit(" "), x.url))
+    rank = lambda x: reduce(lambda out, p: out.when(T.any_of(about(x), p[1]), p[0]), MENU_PRIORITY, F.when(F.lit(False), 0)).otherwise(1)
+    ranked = F.array_sort(F.transform("links", lambda x, i: F.struct((-rank(x)).alias("minus"), i.alias("i"), x.url.alias("href"), x.label.alias("label"))))
+    return menu(pages).select("page_id", F.posexplode(F.slice(ranked, 1, most)).alias("place", "x")).select("page_id", (F.col("place") + 1).alias("place"), "x.href", "x.label")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href, internal, text, nofollow of every link."""
+    """page_id, pos, href, internal, text, nofollow of every link that leads to a place on a network."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
     rows = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a")).withColumn("tag", F.regexp_extract("a", r"(?is)^(<a\s[^>]*>)", 1))
     href = H.attribute(F.col("tag"), "href")
-    origin = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
-    full = F.when(href.rlike("^[a-z]+:"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/"), href))
-    return rows.where(href != "").select("page_id", "pos", full.alias("href"), (host(full) == host(F.col("url"))).alias("internal"), F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]+>", " "), r"\s+", " ")).alias("text"), F.lower(H.attribute(F.col("tag"), "rel")).contains("nofollow").alias("nofollow"))
+    rows = rows.where(href != "").withColumn("href", resolve(F.col("url"), H.decoded(href)))
+    text = F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]+>", " "), r"\s+", " "))
+    return fenced(rows).where("href IS NOT NULL").select("page_id", "pos", "href", (host(F.col("href")) == host(F.col("url"))).alias("internal"), text.alias("text"), F.lower(H.attribute(F.col("tag"), "rel")).contains("nofollow").alias("nofollow"))
 
 
 def page_images(pages: DataFrame) -> DataFrame:

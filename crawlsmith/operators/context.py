@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,20 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from crawlsmith.functions import html as H
 from crawlsmith.functions import text as T
-
-
-@F.pandas_udf(StringType())
-def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Absolute form of a link; null where it has none."""
-
-    def one(b: str | None, h: str | None) -> str | None:
-        try:
-            full = urljoin(b or "", h) if h is not None else None
-        except ValueError:
-            return None
-        return full if full and "://" in full else None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype="object")
+from crawlsmith.operators.listing import pagination_of
 
 
 def _questions(value: object, found: dict[str, str]) -> None:
@@ -107,27 +93,9 @@ def seed_queries(contexts: DataFrame, presets: DataFrame | None = None, grams: i
     return df.select("page_id", F.posexplode(F.slice(F.array_distinct(useful(F.transform(all_, T.seed_phrase))), 1, most)).alias("place", "query"))
 
 
-def page_number(link: Column) -> Column:
-    patterns = [r"(?i)[?&](?:page|paged|pagen(?:_\d+)?)=(\d{1,5})", r"(?i)/page/(\d{1,5})(?:/|$)", r"(?i)[-_/]page[-_/]?(\d{1,5})(?:/|$)"]
-    return F.greatest(*[F.coalesce(F.nullif(F.regexp_extract(link, p, 1), F.lit("")).cast("int"), F.lit(0)) for p in patterns])
-
-
-def pagination_columns(html: Column) -> tuple[Column, Column]:
-    """Mode (pages, infinite, single) and number of pages, from links and pagination blocks."""
-    links = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|link)\b[^>]*?href=[\"']([^\"']+)[\"']"), F.lit(1))
-    blocks = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<(?:nav|div|ul)\b[^>]*class=[\"'][^\"']*(?:pagination|pager|nav-pages|page-nav)[^\"']*[\"'][^>]*>(.*?)</(?:nav|div|ul)>"), F.lit(1)), " ")
-    numbers = F.transform(F.regexp_extract_all(blocks, F.lit(r"[>\s](\d{1,5})(?=[<\s])"), F.lit(1)), lambda x: x.cast("int"))
-    by_link = F.coalesce(F.array_max(F.transform(links, page_number)), F.lit(0))
-    top = F.greatest(by_link, F.coalesce(F.array_max(numbers), F.lit(0)))
-    infinite = html.rlike(r"(?iu)infinite\s*scroll|load more|show more|показать ещё|загрузить ещё|data-next-page|ajaxpager|catalog-more")
-    found = (by_link > 0) & (top > 1)
-    return F.when(found, "pages").when(infinite, "infinite").otherwise("single"), F.when(found, top)
-
-
 def pagination(pages: DataFrame) -> DataFrame:
     """page_id, mode and page_count."""
-    mode, count = pagination_columns(F.col("html"))
-    return pages.select("page_id", mode.alias("mode"), count.alias("page_count"))
+    return pages.select("page_id", pagination_of(F.col("html"), F.col("url")).alias("p")).select("page_id", F.col("p.mode").alias("mode"), F.col("p.pages").alias("page_count"))
 
 
 def search_counts(html: Column, patterns: list[str]) -> Column:

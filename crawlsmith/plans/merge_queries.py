@@ -45,7 +45,7 @@ def u1(spark, sf_dir):
 @query("u4_resolve_url", "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a/b?c=' || CAST(page_id AS VARCHAR) AS full_url FROM v_pages", "v_pages")
 def u4(spark, sf_dir):
     href = F.concat(F.lit("/x/../a/b?c="), F.col("page_id").cast("string"))
-    return view(spark, sf_dir, "v_pages").select("page_id", C.resolve_url(F.col("url"), href).alias("full_url"))
+    return view(spark, sf_dir, "v_pages").select("page_id", U.resolve(F.col("url"), href).alias("full_url"))
 
 
 @query("u6_strip_layout", f"SELECT page_id, {_layout('html')} AS body FROM v_seo_pages", "v_seo_pages")

@@ -217,7 +217,7 @@ def h7(spark, sf_dir):
 SELECT page_id, CAST(len(regexp_extract_all(txt, '(?i)\\d[\\d\\s]*(?:₽|руб|\\$|€)')) AS INT) AS price_count, regexp_matches(txt, '(?i)(купить|в корзину|заказать|buy now|add to cart)') AS buy_found, regexp_matches(low, '<form\\b') AS form_found, regexp_matches(txt, '\\+7|8\\s?\\(?\\d{{3}}\\)?[\\s-]?\\d{{3}}') OR contains(low, 'tel:') AS phone_found,
   CAST(len(regexp_extract_all(html, '(?i)<h2\\b')) AS INT) AS h2_count, CAST(len(regexp_extract_all(html, '(?i)<table\\b')) AS INT) AS tables_count, CAST(len(regexp_extract_all(html, '(?i)<(?:ul|ol)\\b')) AS INT) AS lists_count FROM _t""", "v_seo_pages")
 def h8(spark, sf_dir):
-    return C.page_features(view(spark, sf_dir, "v_seo_pages")).select("page_id", "price_count", "buy_found", "form_found", "phone_found", "h2_count", "tables_count", "lists_count")
+    return C.page_features(view(spark, sf_dir, "v_seo_pages"), ["price_count", "buy_found", "form_found", "phone_found", "h2_count", "tables_count", "lists_count"]).drop("url")
 
 
 def typed(spark, sf_dir):

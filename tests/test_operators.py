@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from crawlsmith.functions import urls as U
 from crawlsmith.operators import indexability as X
 from crawlsmith.operators import keywords as K
 from crawlsmith.operators import ledger as L
@@ -181,7 +182,7 @@ def test_page_context_and_seeds(spark):
     preset = spark.createDataFrame([("t", ["проверить поддомены сайта"])], "slug string, queries array<string>")
     assert C.seed_queries(ctx, preset).where("page_id = 1").first()["query"] == "проверить поддомены сайта"
     assert tuple(C.pagination(df).where("page_id = 1").first()) == (1, "pages", 7)
-    got = spark.createDataFrame([("../c",), ("//d/e",), (None,)], "x string").select(C.resolve_url(F.lit("https://a/b/"), F.col("x")).alias("u"))
+    got = spark.createDataFrame([("../c",), ("//d/e",), (None,)], "x string").select(U.resolve(F.lit("https://a/b/"), F.col("x")).alias("u"))
     assert [r.u for r in got.collect()] == ["https://a/c", "https://d/e", None]
 
 
