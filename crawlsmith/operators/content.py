@@ -127,8 +127,8 @@ def _features() -> dict[str, tuple[str, Column]]:
         "date_schema_found": ("low_", low.contains('"datepublished"')),
         "price_text": ("text_", F.nullif(F.regexp_extract("text_", PRICE, 0), F.lit(""))),
         "price_count": ("text_", F.regexp_count("text_", F.lit(PRICE))),
-        "buy_label": ("low_", F.when(T.any_of(low, BUY), F.get(F.filter(buttons, lambda t: T.any_of(F.lower(t), BUY)), F.lit(0)))),
-        "buy_found": ("low_", F.when(T.any_of(low, BUY), F.exists(buttons, lambda t: T.any_of(F.lower(t), BUY))).otherwise(False)),
+        "buy_label": ("lowtext_", F.when(T.any_of(text, BUY), F.get(F.filter(buttons, lambda t: T.any_of(F.lower(t), BUY)), F.lit(0)))),
+        "buy_found": ("lowtext_", F.when(T.any_of(text, BUY), F.exists(buttons, lambda t: T.any_of(F.lower(t), BUY))).otherwise(False)),
         "listing_cards": ("cards_", c("cards_")), "pagination_mode": ("pages_", c("pages_.mode")), "pagination_pages": ("pages_", c("pages_.pages")),
         "assortment": ("cards_ pages_", F.when(c("cards_") > 0, c("cards_") * c("pages_.pages"))),
         "content_images": ("images_", F.size("images_")), "images_without_alt": ("images_", F.size(F.filter("images_", lambda t: F.trim(H.attribute(t, "alt")) == ""))),

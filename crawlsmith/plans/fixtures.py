@@ -27,6 +27,26 @@ SELECT page_id, url, host, domain,
     WHEN 2 THEN '<table><tr><td>1</td></tr></table><img src="/a.jpg" alt="">'
     ELSE '<a rel="nofollow" href="https://ext.example.org/x">ext</a>' END, '</article>')) AS html
 FROM v_pages
+""",
+    "v_rich_pages": r"""
+SELECT page_id, url, host, domain,
+  replace(replace(replace(html, '</head>', concat(CASE page_id % 6
+    WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"P","offers":{"price":1,"@type":["Offer","AggregateOffer"]},"author":{"name":"Ann"}},{"x":[{"@type":"BreadcrumbList"}]}]}</script>'
+    WHEN 1 THEN concat('<script type="application/ld+json">{"note":"say ', chr(92), '"@type', chr(92), '": no } {","mainEntity":{"@type":"Answer"},"@type":"Ar', chr(92), 'u0074icle","author":" Bob "}</script><meta name="author" content="Bob">')
+    WHEN 2 THEN '<script type="application/ld+json">{"@type":"Broken", "x": {"@type": "Two"}</script><link rel="stylesheet" href="/wp-content/a.css">'
+    WHEN 3 THEN '<script src="https://mc.yandex.ru/metrika/tag.js"></script><script src="/_next/static/a.js"></script><script src="https://www.googletagmanager.com/gtm.js"></script>'
+    WHEN 4 THEN '<link rel="next" href="?page=2"><meta property="article:modified_time" content="2024-01-09">'
+    ELSE '<script src="/bitrix/js/a.js"></script>' END, '</head>')),
+  '<article>', concat(CASE page_id % 3
+    WHEN 0 THEN '<header class="top"><div><div><a href="/contacts/">Contact us</a></div><a href="docs/../faq">Help</a><a href="https://else.example.net/x">Out</a><a href="/logo.png">Logo</a></div><a href="/">Home</a></header>'
+    ELSE '' END, '<article>')),
+  '</article>', concat(CASE page_id % 5
+    WHEN 0 THEN concat('<div class="grid">', repeat('<div class="Product-Card">Item</div>', CAST(page_id % 7 AS INT)), '</div><div class="product-card sidebar">x</div><ul class="pager"><li>1 </li><li>12 </li></ul><a href="?page=3">3</a>')
+    WHEN 1 THEN concat('<ul class="catalog">', repeat('<li>one</li>', CAST(page_id % 9 AS INT)), '</ul><a rel="last" href="/list/page/8/">end</a><img class="icon" src="/i.png"><img src="/s.svg" alt="s"><img src="/w.png" width="20"><img src="/ok.png" alt="fine">')
+    WHEN 2 THEN concat(repeat('<article class="x"><img src="/p.jpg"><b>90 €</b></article>', CAST(page_id % 4 AS INT)), '<button>Load more</button><p>Артикул 5, 1 500,50 руб. Доставка</p><a href="#" class="b">Add to <b>cart</b></a>')
+    WHEN 3 THEN '<details><summary>What is it?</summary>A thing.</details><details><summary>Empty</summary></details><a rel="author" href="/me">me</a><p>Эксперт редакции, ИНН 77</p>'
+    ELSE '<div class="pagination"><a class="p" href="page-2/">2</a></div><li data-product="1">a</li><li data-product="2">b</li>' END, '</article>')) AS html
+FROM v_pages
 """,
     "v_snapshots": r"""
 SELECT p.page_id, p.url, a.agent,

@@ -9,6 +9,7 @@ from crawlsmith.operators import ai_readiness as A
 from crawlsmith.operators import compare as M
 from crawlsmith.operators import context as X
 from crawlsmith.operators import content as C
+from crawlsmith.operators import listing as L
 from crawlsmith.operators import reach as R
 from crawlsmith.operators import site_profile as S
 from crawlsmith.operators import speed as V
@@ -316,3 +317,101 @@ _FLAG = lambda p: f"coalesce(bool_or(regexp_matches(html, '{p}')), false)"  # no
 def s5(spark, sf_dir):
     pages = view(spark, sf_dir, "v_seo_pages").withColumn("site", F.col("domain"))
     return S.site_signals(pages).select("site", "chat", "email", "form")
+
+
+# Pages with nested markup
+
+_TREE = r"""_b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>', 1)) AS b FROM v_rich_pages),
+_t AS (SELECT page_id, t.* FROM (SELECT * FROM _b WHERE json_valid(b)) x, LATERAL (SELECT id, parent, key, atom, type FROM json_tree(x.b)) t),
+_y AS (SELECT page_id, json_extract_string(atom, '$') AS t FROM _t WHERE key = '@type' AND type = 'VARCHAR'
+  UNION SELECT c.page_id, json_extract_string(c.atom, '$') FROM _t c JOIN _t p ON c.page_id = p.page_id AND c.parent = p.id WHERE p.key = '@type' AND p.type = 'ARRAY' AND c.type = 'VARCHAR'
+  UNION SELECT page_id, unnest(regexp_extract_all(b, '"@type"\s*:\s*"([^"]+)"', 1)) FROM _b WHERE NOT json_valid(b)),
+_a AS (SELECT page_id, trim(json_extract_string(atom, '$')) AS author FROM _t WHERE key = 'author' AND type = 'VARCHAR'
+  UNION SELECT c.page_id, trim(json_extract_string(c.atom, '$')) FROM _t c JOIN _t p ON c.page_id = p.page_id AND c.parent = p.id WHERE p.key = 'author' AND c.key = 'name')"""
+
+
+@query("h4_jsonld_nested", _TREE + """
+SELECT v.page_id, coalesce(string_agg(DISTINCT t, ',' ORDER BY t), '') AS types, any_value(author) AS author FROM v_rich_pages v LEFT JOIN _y ON v.page_id = _y.page_id LEFT JOIN _a ON v.page_id = _a.page_id GROUP BY v.page_id""", "v_rich_pages")
+def h4_nested(spark, sf_dir):
+    html = F.col("html")
+    return view(spark, sf_dir, "v_rich_pages").select("page_id", F.array_join(F.array_sort(H.jsonld_types(html)), ",").alias("types"), H.jsonld_string(html, "author").alias("author"))
+
+
+_CARDS = rf"""_d AS (SELECT page_id, lower(regexp_extract(unnest(regexp_extract_all(html, '(?i)<(?:div|li|article|section)\b([^>]*)>', 1)), '(?i)class=["'']([^"'']+)["'']', 1)) AS c FROM v_rich_pages),
+_m AS (SELECT page_id, count(*) AS n FROM _d WHERE regexp_matches(c, '{L.CARD}') AND NOT regexp_matches(c, '{L.NO_CARD}') GROUP BY page_id, c),
+_l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<ul\b[^>]*class=["''][^"'']*(?:{L.LISTS})[^"'']*["''][^>]*>.*?</ul>') || regexp_extract_all(html, '(?is)<ol\b[^>]*class=["''][^"'']*(?:{L.LISTS})[^"'']*["''][^>]*>.*?</ol>')) AS b FROM v_rich_pages),
+_n AS (SELECT page_id, n FROM _m UNION ALL SELECT page_id, len(regexp_extract_all(b, '(?i)<li\b')) FROM _l WHERE NOT regexp_matches(regexp_extract(b, '^<[^>]*>'), '(?i){L.NO_CARD}')
+  UNION ALL SELECT page_id, len(regexp_extract_all(html, '<article class="x"><img[^>]*>[^€]*€</b></article>')) FROM v_rich_pages
+  UNION ALL SELECT page_id, len(regexp_extract_all(html, '(?i)<(?:article|li|div)\b[^>]*data-product')) FROM v_rich_pages
+  UNION ALL SELECT page_id, len(regexp_extract_all(html, '(?i)class=["''][^"'']*(?:product|catalog)[^"'']*(?:card|item)[^"'']*["'']')) FROM v_rich_pages)"""
+
+
+@query("h9_listing_cards", _CARDS + "\nSELECT page_id, CAST(max(n) AS INT) AS cards FROM _n GROUP BY page_id", "v_rich_pages")
+def h9(spark, sf_dir):
+    return view(spark, sf_dir, "v_rich_pages").select("page_id", L.listing_cards(F.col("html")).alias("cards"))
+
+
+_HREFS = r"""_h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|link)\b[^>]*?href=["'']([^"'']+)["'']', 1)) AS h FROM v_rich_pages),
+_k AS (SELECT page_id, greatest(try_cast(regexp_extract(h, '(?i)[?&]page=(\d{1,5})', 1) AS INT), try_cast(regexp_extract(h, '(?i)/page/(\d{1,5})(?:/|$)', 1) AS INT), try_cast(regexp_extract('/' || h, '(?i)[-_/]page[-_/]?(\d{1,5})(?:/|$)', 1) AS INT)) AS n FROM _h),
+_g AS (SELECT page_id, max(n) AS n FROM _k GROUP BY page_id),
+_p AS (SELECT page_id, list_max(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<ul class="pager">(.*?)</ul>', 1), '[>\s](\d{1,5})[<\s]', 1), lambda x: CAST(x AS INT))) AS n FROM v_rich_pages)"""
+
+
+@query("h10_pagination_rules", _HREFS + """
+SELECT v.page_id, CASE WHEN greatest(_g.n, CASE WHEN _g.n > 0 THEN _p.n END) > 1 THEN 'pages' WHEN contains(lower(html), 'load more') THEN 'infinite' ELSE 'single' END AS mode,
+  CASE WHEN greatest(_g.n, CASE WHEN _g.n > 0 THEN _p.n END) > 1 THEN greatest(_g.n, _p.n) END AS page_count FROM v_rich_pages v LEFT JOIN _g ON v.page_id = _g.page_id LEFT JOIN _p ON v.page_id = _p.page_id""", "v_rich_pages")
+def h10_rules(spark, sf_dir):
+    return X.pagination(view(spark, sf_dir, "v_rich_pages"))
+
+
+@query("h7_image_rules", r"""_a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<img\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<img\b[^>]*>'), 1) - 1 AS pos FROM v_rich_pages)
+SELECT page_id, CAST(pos AS INT) AS pos, regexp_extract(t, 'src="([^"]*)"', 1) AS src, nullif(regexp_extract(t, 'alt="([^"]*)"', 1), '') AS alt,
+  NOT regexp_matches(regexp_extract(t, 'class="([^"]*)"', 1), 'sprite|icon|logo|avatar|emoji') AND NOT regexp_matches(t, '\.svg"') AND coalesce(try_cast(regexp_extract(t, 'width="(\d+)', 1) AS INT), 50) >= 50 AS content_image FROM _a""", "v_rich_pages")
+def h7_rules(spark, sf_dir):
+    return C.page_images(view(spark, sf_dir, "v_rich_pages"))
+
+
+_SIGNALS = ["price_text", "price_count", "buy_label", "author_found", "author_photo_found", "author_role_found", "author_schema_found", "requisites_found", "sku_found", "delivery_found", "updated", "listing_cards", "pagination_mode", "pagination_pages", "assortment", "content_images", "images_without_alt", "questions"]
+
+
+@query("h8_signal_details", _CARDS + ",\n" + _HREFS + f""",
+_c AS (SELECT page_id, max(n) AS cards FROM _n GROUP BY page_id),
+_q AS (SELECT v.page_id, html, lower(html) AS low, {d_visible('html')} AS txt, cards, CASE WHEN greatest(_g.n, CASE WHEN _g.n > 0 THEN _p.n END) > 1 THEN greatest(_g.n, _p.n) END AS pages FROM v_rich_pages v LEFT JOIN _c ON v.page_id = _c.page_id LEFT JOIN _g ON v.page_id = _g.page_id LEFT JOIN _p ON v.page_id = _p.page_id),
+_i AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, 'class="icon"|[.]svg"|width="20"')) AS im FROM v_rich_pages)
+SELECT _q.page_id, nullif(regexp_extract(txt, '(?i)\\d[\\d\\s]{{1,12}}(?:[,.]\\d+)?\\s*(?:₽|руб\\.?|₸|\\$|€)'), '') AS price_text, CAST(len(regexp_extract_all(txt, '(?i)\\d[\\d\\s]{{1,12}}(?:[,.]\\d+)?\\s*(?:₽|руб\\.?|₸|\\$|€)')) AS INT) AS price_count,
+  CASE WHEN contains(html, 'Add to <b>cart</b>') THEN 'Add to cart' END AS buy_label, regexp_matches(lower(txt), 'автор|author') OR contains(low, 'rel="author"') OR contains(html, '<meta name="author"') AS author_found,
+  contains(low, 'author') AND contains(low, '<img') AS author_photo_found, regexp_matches(lower(txt), '{C.AUTHOR_ROLE}') AS author_role_found, contains(low, '"author"') AS author_schema_found,
+  regexp_matches(lower(txt), 'инн|огрн|кпп|ооо|(?:ип|ао|пао)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS requisites_found, regexp_matches(lower(txt), '{C.TEXT_SIGNALS["sku"]}') AS sku_found, regexp_matches(lower(txt), '{C.TEXT_SIGNALS["delivery"]}') AS delivery_found,
+  CASE WHEN contains(html, 'article:modified_time') THEN '2024-01-09' END AS updated, CAST(cards AS INT) AS listing_cards, CASE WHEN pages > 1 THEN 'pages' WHEN contains(low, 'load more') THEN 'infinite' ELSE 'single' END AS pagination_mode, pages AS pagination_pages, CAST(CASE WHEN cards > 0 THEN cards * pages END AS INT) AS assortment,
+  CAST(len(im) AS INT) AS content_images, CAST(len(list_filter(im, lambda t: trim(regexp_extract(t, 'alt="([^"]*)"', 1)) = '')) AS INT) AS images_without_alt,
+  CAST(len(regexp_extract_all(low, '<(?:details|summary)\\b')) + len(regexp_extract_all(low, '(?:class|id)=["''][^"'']*(?:faq|question|answer)[^"'']*["'']')) AS INT) AS questions
+FROM _q JOIN _i ON _q.page_id = _i.page_id""", "v_rich_pages")
+def h8_details(spark, sf_dir):
+    return C.page_features(view(spark, sf_dir, "v_rich_pages"), _SIGNALS).drop("url")
+
+
+_MENU = r"""_n AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g') AS h FROM v_rich_pages),
+_r AS (SELECT page_id, origin, h, array_to_string(list_concat(regexp_extract_all(h, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), regexp_extract_all(h, '(?is)<header\b[^>]*>(.*?)</header>', 1)), ' ') AS m FROM _n),
+_a AS (SELECT page_id, origin, unnest(regexp_extract_all(CASE WHEN m = '' THEN h ELSE m END, '(?is)<a\b[^>]*href=["''][^"'']+["''][^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(CASE WHEN m = '' THEN h ELSE m END, '(?is)<a\b[^>]*href=["''][^"'']+["''][^>]*>.*?</a>'), 1) AS i FROM _r),
+_l AS (SELECT page_id, origin, i, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label, regexp_extract(a, '(?i)href=["'']([^"'']+)["'']', 1) AS h FROM _a),
+_u AS (SELECT page_id, i, label, CASE WHEN h = 'docs/../faq' THEN origin || '/faq' WHEN starts_with(h, '/') THEN origin || h WHEN regexp_matches(h, '^[a-z]+:') THEN h ELSE origin || '/' || h END AS url, origin FROM _l WHERE label <> '' AND length(label) <= 80),
+_o AS (SELECT page_id, i, label, url, lower(label || ' ' || url) AS s FROM _u WHERE starts_with(lower(url), lower(origin) || '/') AND NOT regexp_matches(url, '(?i)[.](?:jpg|jpeg|png|gif|svg|webp|pdf|xml)$')),
+_f AS (SELECT page_id, url, min(i) AS i, arg_min(label, i) AS label, arg_min(s, i) AS s FROM _o WHERE NOT regexp_matches(url, '^[a-z]+://[^/]*/?(?:[?#].*)?$') GROUP BY page_id, url QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(i)) <= 10)"""
+_RANK = "CASE " + " ".join(f"WHEN regexp_matches(s, '{words}') THEN {n}" for n, words in C.MENU_PRIORITY) + " ELSE 1 END"
+
+
+@query("h13_menu_links", _MENU + f"""
+SELECT page_id, CAST(row_number() OVER o AS INT) AS place, url AS href, label FROM _f WINDOW o AS (PARTITION BY page_id ORDER BY {_RANK} DESC, i) QUALIFY row_number() OVER o <= 6""", "v_rich_pages")
+def h13(spark, sf_dir):
+    return C.menu_links(view(spark, sf_dir, "v_rich_pages"))
+
+
+_SYSTEM = "CASE " + " ".join(f"WHEN regexp_matches(low, '{pattern}') THEN '{name}'" for name, pattern in H.CMS.items()) + " END"
+
+
+@query("h14_h15_systems", f"""_l AS (SELECT page_id, html, lower(html) AS low FROM v_rich_pages),
+_f AS (SELECT page_id, html, low, {_SYSTEM} AS cms, CASE WHEN regexp_matches(low, '__next_data__|/_next/') THEN 'Next.js' END AS front FROM _l)
+SELECT page_id, CASE WHEN cms IS NOT NULL AND front IS NOT NULL THEN cms || ' + ' || front ELSE coalesce(cms, front, CASE WHEN regexp_matches(low, '[.]php(?:[?"''])') THEN 'PHP' ELSE 'other' END) END AS cms,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN contains(html, '{mark}') THEN '{name}' END" for name, mark in H.ANALYTICS.items())}], lambda x: x IS NOT NULL), ',') AS analytics FROM _f""", "v_rich_pages")
+def h14_rich(spark, sf_dir):
+    return view(spark, sf_dir, "v_rich_pages").select("page_id", H.detect_cms(F.col("html")).alias("cms"), F.array_join(H.detect_analytics(F.col("html")), ",").alias("analytics"))

@@ -1,8 +1,13 @@
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
 from crawlsmith.operators import ai_readiness as A
 from crawlsmith.operators import content as C
+from crawlsmith.operators import listing as L
 from crawlsmith.operators import reach as R
 from crawlsmith.operators import speed as V
 
@@ -163,3 +168,50 @@ def test_speed_and_reach(spark):
 def test_cms(spark):
     df = spark.createDataFrame([("<link href='/wp-content/x'><script src='/_next/a'>",), ("<a href='/x.php?a'>",), ("",)], "h string")
     assert [r.c for r in df.select(H.detect_cms(F.col("h")).alias("c")).collect()] == ["WordPress + Next.js", "PHP", "other"]
+
+
+CARD_PART = ["<a href=x>", "</a>", "<div class='product-card'>", "<div class='Product-Card x'>", "</div>", "<li>", "<li class='grid-item'>", "</li>", "<article>", "</article>", "<img src=a>", "100 ₽", "5 руб.", "$", "р.5", "text", "<span>", "<a title='$'>", "<ul class='catalog'>", "</ul>", "<ol class='filter items'>", "</ol>"]
+
+
+def test_cards_against_patterns_of_the_whole_page(spark):
+    """Each rule as one pattern that looks back and ahead, over pages put together at random."""
+    rng = random.Random(1)
+    pages = ["".join(rng.choice(CARD_PART) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    priced = re.compile(r"<(a|div|article|li)\b[^>]*>(?:(?!</\1>).)*?<img\b(?:(?!</\1>).)*?(?:₽|руб\.?|р\.\b|\$|€)(?:(?!</\1>).)*?</\1>", re.I | re.S)
+
+    def classes(h):
+        names = [(re.search(r"class=[\"']([^\"']+)[\"']", m[2], re.I) or [0, ""])[1].lower() for m in re.finditer(r"<(div|li|article|section)\b([^>]*?)>", h, re.I)]
+        return max(Counter(c for c in names if re.search(L.CARD, c) and not re.search(L.NO_CARD, c)).values(), default=0)
+
+    def lists(h):
+        found = re.finditer(rf"<(ul|ol)\b([^>]*class=[\"'][^\"']*({L.LISTS})[^\"']*[\"'][^>]*)>([\s\S]*?)</\1>", h, re.I)
+        return max((len(re.findall(r"<li\b", m[4], re.I)) for m in found if not re.search(L.NO_CARD, m[2], re.I)), default=0)
+
+    h = F.col("h")
+    df = spark.createDataFrame([(p,) for p in pages], "h string").select("h", L.card_classes(h).alias("c"), L.list_items(h).alias("l"), L.priced_images(h).alias("p"), L.listing_cards(h).alias("all"))
+    for r in df.collect():
+        assert (r.c, r.l, r.p) == (classes(r.h), lists(r.h), len(priced.findall(r.h))), r.h
+        assert r.all >= max(r.c, r.l, r.p)
+
+
+def test_pagination_rules(spark):
+    cases = [
+        ("<a href='/c?page=2'>2</a><a href='/c?page=9'>9</a>", ("pages", 9)), ("<a rel='last' href='/c/page/12/'>x</a>", ("pages", 12)), ("<link rel='next' href='?PAGEN_1=3'>", ("pages", 3)),
+        ("<div class='pagination'><a href='/x'>1</a><a href='/y'>2</a></div>", ("single", None)), ("<div class='pager'><a href='/c?page=2'>2</a> <span>7</span></div>", ("pages", 7)), ("<a href='page4'>next</a>", ("pages", 4)),
+        ("<a href='/page-4/x'>z</a>", ("single", None)), ("Load MORE", ("infinite", None)), ("<a href='/c?page=1'>1</a>", ("single", None)), ("<a class=pagen href='b/page/3'>q</a>", ("pages", 3)), ("", ("single", None)), (None, ("single", None)),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string")
+    for r in df.select("i", L.pagination_of(F.col("h"), F.lit("https://a/b/c")).alias("p")).collect():
+        assert tuple(r.p) == cases[r.i][1], cases[r.i]
+
+
+def test_menu(spark):
+    html = (
+        "<nav><div><div><a href='/about/'>About</a></div><a href='/blog'>Blog</a></div><a href='../faq?x=1&amp;y=2'>FAQ</a><a href='https://else/x'>Out</a><a href='/i.PNG'>I</a><a href='/'>Home</a><a href='/about/'>Again</a></nav>"
+        f"<header><nav><a href='/price'>Pricing</a></nav><a href='/long'>{'x' * 81}</a><a href='mailto:a@b'>m</a></header><a href='/outside'>o</a><!-- <nav><a href='/no'>n</a></nav> -->"
+    )
+    df = spark.createDataFrame([(1, "https://a.b/c/d", html), (2, "https://a.b", "<a href='/only'>Only</a>"), (3, "https://a.b", None)], "page_id int, url string, html string")
+    got = {r.page_id: r for r in C.menu(df).collect()}
+    assert got[1].labels == ["About", "Blog", "FAQ", "Home", "Again", "Pricing"] and [x.url for x in got[1].links] == ["https://a.b/about/", "https://a.b/blog", "https://a.b/faq?x=1&y=2", "https://a.b/price"]
+    assert [x.url for x in got[2].links] == ["https://a.b/only"]
+    assert [(r.place, r.label) for r in C.menu_links(df).where("page_id = 1").orderBy("place").collect()] == [(1, "About"), (2, "FAQ"), (3, "Pricing"), (4, "Blog")]

@@ -1,3 +1,8 @@
+import json
+import random
+import re
+from urllib.parse import urljoin
+
 from pyspark.sql import functions as F
 
 from crawlsmith.functions import html as H
@@ -73,3 +78,67 @@ def test_jsonld(spark):
     page = '<script type="application/ld+json">{"@type":["Article","NewsArticle"],"author":{"@type":"Person"}}</script>'
     assert one(spark, page, H.jsonld_types)[0] == ["Article", "NewsArticle", "Person"]
     assert one(spark, page, lambda c: H.jsonld_type_count(c, ["Article", "NewsArticle"]))[0] == 1
+
+
+def test_references(spark):
+    """RFC 3986, 5.4, and ten thousand pairs against the standard library."""
+    want = {
+        "g:h": "g:h", "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q#s", "g#s": "/b/c/g#s", "g?y#s": "/b/c/g?y#s", ";x": "/b/c/;x", "g;x": "/b/c/g;x", "": "/b/c/d;p?q",
+        ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../": "/", "../../g": "/g", "../../../g": "/g", "../../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", ".g": "/b/c/.g", "g..": "/b/c/g..", "..g": "/b/c/..g",
+        "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/./y": "/b/c/g;x=1/y", "g;x=1/../y": "/b/c/y", "g?y/../x": "/b/c/g?y/../x", "g#s/../x": "/b/c/g#s/../x", " g\n": "/b/c/g",
+    }
+    rows = [("http://a/b/c/d;p?q", h, w if ":" in w else f"http://a{w}") for h, w in want.items()]
+    rows += [("http://a/b/c/d;p?q", "//g", "http://g"), ("http://a/b", "HTTPS://x/a/../b", "https://x/b"), ("http://a/b", "mailto:x@y", "mailto:x@y"), ("a/b", "c", None), ("http://a", None, None), ("http://a", "b", "http://a/b")]
+    rng = random.Random(1)
+    path = lambda: "/".join(rng.choice(["a", "b", ".", "..", "c.d", "é", "x;y", "..."]) for _ in range(rng.randint(1, 5))) + rng.choice(["", "/"])
+    for i in range(10_000):
+        base = f"http://h{i % 7}" + rng.choice(["", "/", "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + rng.choice(["", "/"])]) + rng.choice(["", "?q=1"]) + rng.choice(["", "#f"])
+        href = rng.choice([path(), "/" + path(), "?p=2", "#x", "//o/a/b", "https://z/y?k", "./" + path(), path() + "?a=b/../c", path() + "#frag"])
+        rows.append((base, href, urljoin(base, href)))
+    df = spark.createDataFrame(rows, "b string, h string, want string")
+    assert df.where(~U.resolve(F.col("b"), F.col("h")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_elements_by_depth(spark):
+    page = '<div class=a><div>1<div>2</div></div>3</div><DIV data-x="a > b" class="b x">4<divx>5</divx></DIV><div class="b">6'
+    inner = lambda h, *a: [e.inner for e in one(spark, h, lambda c: H.elements(c, "div", *a))[0]]
+    assert inner(page) == ["<div>1<div>2</div></div>3", "4<divx>5</divx>"]
+    assert inner(page, r"class=[\"'][^\"']*x") == ["4<divx>5</divx>"] and inner("") == inner("</div>text<div>") == []
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert inner(deep) == ["<div>" * 2999 + "x" + "</div>" * 2999]
+    assert one(spark, page, lambda c: H.first_inner(c, "div", "class=a"))[0] == "<div>1<div>2</div></div>3"
+
+
+def test_jsonld_at_any_depth(spark):
+    blocks = [
+        '{"@type":"A","x":{"@type":["B","C"],"y":[{"@type":"D"},{"z":{"@type":"A"}}]}}', '[{"k":"\\"@type\\": \\"No\\"","@type":"Ar\\u0074"},{"a":[1,2,{"@type":[5,"E",{"@type":"F"},"G"]}]}]', '{"child":{"@type":"Inner"},"@type":"Outer"}',
+        '{"@type":"Bro" ,', '{"@graph":[{"@type":"X","s":"}{]["},null,true],"@type":null}', "", '{"\\u0040type":"Esc"}', '"@type"', '{"a":"@type","b":"v"}', '{"a":{"author":{"x":1,"name":" Deep "}},"author":"  "}', '{"author":[{"name":"In list"}],"b":{"author":"Str"}}', '{"b":{"author":"Low"},"author":{"name":"High"}}',
+    ]
+
+    def walk(v, out):
+        if isinstance(v, dict):
+            t = v.get("@type")
+            out += [x for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)]
+        for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+            walk(x, out)
+
+    def string(v):
+        if isinstance(v, dict):
+            own = v.get("author")
+            own = own.get("name") if isinstance(own, dict) else own
+            if isinstance(own, str) and own.strip():
+                return own.strip()
+        for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+            if found := string(x):
+                return found
+        return None
+
+    df = spark.createDataFrame([(b, f'<script type="application/ld+json">{b}</script>') for b in blocks], "b string, h string")
+    for r in df.select("b", H.jsonld_types(F.col("h")).alias("t"), H.jsonld_string(F.col("h"), "author").alias("s")).collect():
+        types = []
+        try:
+            value = json.loads(r.b)
+            walk(value, types)
+        except ValueError:
+            value, types = None, re.findall(r'"@type"\s*:\s*"([^"]+)"', r.b)
+        assert (r.t, r.s) == (list(dict.fromkeys(types)), string(value)), r.b
