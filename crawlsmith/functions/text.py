@@ -16,7 +16,10 @@ GENERIC_STEMS = ["провер", "найт", "узнат", "посмотр", "с
 #: Russian endings, in the order in which they are tried.
 ENDINGS = "иями|ями|ами|ов|ев|ей|ий|ый|ой|ое|ее|ая|яя|ые|ие|ым|им|ом|ем|ую|юю|ых|их|ах|ях|ам|ям|а|я|ы|и|у|ю|е|о"
 #: Transliteration, by Cyrillic letter.
-LETTERS = dict(zip("абвгдеёзийклмнопрстуфхыэ", "a b v g d e e z i y k l m n o p r s t u f h y e".split(), strict=True)) | {"ж": "zh", "ц": "cz", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s",
+    "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "cz", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
 #: Entities that are decoded, in this order.
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">"}
 
@@ -49,6 +52,14 @@ def strip_html(html: Column) -> Column:
     return collapse(html)
 
 
+def text_nodes(html: Column, between: str) -> Column:
+    """The pieces of text between the tags of an element's content, each trimmed and none empty, joined."""
+    pieces = F.split(html, r"(?s)<[^>]*>")
+    for entity, char in ENTITIES.items():
+        pieces = F.transform(pieces, lambda x: F.replace(x, F.lit(entity), F.lit(char)))  # noqa: B023
+    return F.array_join(F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), lambda x: x != ""), between)
+
+
 def strip_layout(html: Column) -> Column:
     """The page without scripts, page furniture and hidden elements; tags stay."""
     html = F.regexp_replace(drop_blocks(html, "script", "style", "noscript"), r"(?s)<!--.*?-->", " ")

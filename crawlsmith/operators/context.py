@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,13 +48,11 @@ def jsonld_questions(blocks: pd.Series) -> pd.Series:
 
 
 def main_text(html: Column) -> Column:
-    """Text of main, else article, else a content block, else the page without its furniture."""
-    inner = [
-        F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1),
-        F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1),
-        F.regexp_extract(html, r"(?is)<div\b[^>]*(?:class|id)=[\"'][^\"']*(?:content|entry|article-body|post-content)[^\"']*[\"'][^>]*>(.*?)</div>", 1),
-    ]
-    return T.strip_html(F.coalesce(*[F.nullif(x, F.lit("")) for x in inner], T.strip_layout(html)))
+    """Text of main, else article, else a content block, else the page without its furniture; elements end at the end tag that matches."""
+    block = r"(?:class|id)=[\"'][^\"']*(?:content|entry|article-body|post-content)[^\"']*[\"']"
+    clean = H.without_remarks(html)
+    inner = lambda page: F.coalesce(H.first_inner(page, "main"), H.first_inner(page, "article"), F.when(page.rlike(f"(?i)<div\\b[^>]*{block}"), H.first_inner(page, "div", f"(?i){block}")))
+    return T.strip_html(F.coalesce(H.bound(clean, inner), T.strip_layout(html)))
 
 
 def page_context(pages: DataFrame, excerpt: int = 5000, questions: int = 12) -> DataFrame:
@@ -156,27 +155,76 @@ def llms_txt_status(df: DataFrame) -> DataFrame:
 
 def vacancy_page(pages: DataFrame) -> DataFrame:
     """vacancy_id with employer, description, key_skills (JSON), experience, employment and applicants of its page (html)."""
-    marked = lambda tag, name: F.regexp_extract("html", rf"(?is)<{tag}\b[^>]*data-qa=[\"']{name}[\"'][^>]*>(.*?)</{tag}>", 1)
-    skills = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<\w+\b[^>]*data-qa=[\"']skills-element[\"'][^>]*>(.*?)</(?:li|div|span)>"), F.lit(1)), T.strip_html)
+    clean = H.without_remarks(F.col("html"))
+    marked = lambda name: rf"data-qa=[\"']{name}[\"']"
+    inners = lambda page, tag, name: F.transform(H.elements(page, tag, marked(name)), lambda e: e.inner)
+    skills = F.concat(*[F.when(F.col("clean_").rlike(marked("skills-element")), inners(F.col("clean_"), tag, "skills-element")).otherwise(F.array().cast("array<string>")) for tag in ("li", "div", "span", "a")])
     about = F.coalesce(H.meta(F.col("html"), "description"), F.lit(""))
     field = lambda name: F.nullif(F.trim(F.regexp_extract(about, rf"(?iu){name}[:\s]+([^.]+)", 1)), F.lit(""))
-    text = T.strip_html(F.col("html"))
-    return pages.select("vacancy_id", F.nullif(T.strip_html(marked("a", "vacancy-company-name")), F.lit("")).alias("employer"), F.nullif(T.strip_html(marked("div", "vacancy-description")), F.lit("")).alias("description"), F.when(F.size(skills) > 0, F.to_json(skills)).alias("key_skills"), field("опыт").alias("experience"), field("занятость").alias("employment"), T.applicants_count(text).alias("applicants_count"))
+    df = pages.select("vacancy_id", "html", clean.alias("clean_"))
+    df = df.select(
+        "vacancy_id", "html", F.transform(skills, lambda x: T.text_nodes(x, "")).alias("skills_"),
+        F.get(inners(F.col("clean_"), "a", "vacancy-company-name"), F.lit(0)).alias("employer_"), F.get(inners(F.col("clean_"), "div", "vacancy-description"), F.lit(0)).alias("description_"),
+    )
+    return df.select(
+        "vacancy_id", F.nullif(T.text_nodes(F.col("employer_"), ""), F.lit("")).alias("employer"), F.nullif(T.text_nodes(F.col("description_"), "\n"), F.lit("")).alias("description"),
+        F.when(F.size("skills_") > 0, F.to_json("skills_")).alias("key_skills"), field("опыт").alias("experience"), field("занятость").alias("employment"), T.applicants_count(T.strip_html(F.col("html"))).alias("applicants_count"),
+    )
+
+
+#: Headings of a resume; those without a section only end the one before.
+HEADINGS = [
+    ("опыт работы", "experience"), ("образование", "education"), ("повышение квалификации, курсы", "courses"), ("повышение квалификации", "courses"), ("знание языков", "languages"), ("навыки", "skills"),
+    ("ключевые навыки", ""), ("опыт вождения", ""), ("дополнительная информация", ""), ("обо мне", "about"), ("рекомендации", ""),
+]
+
+
+def resume_sections(text: Column) -> Column:
+    """section and text of each section of a resume, in any order: a fold over its lines with the heading that stands above."""
+    lines = F.transform(F.split(text, r"\r?\n"), T.collapse)
+    pattern = lambda words: rf"(?iu)^{words}(?![\p{{L}}\p{{N}}_])[\s:]*"
+    named = lambda x: reduce(lambda a, h: a.when(x.rlike(pattern(h[0])), F.lit(h[1])), HEADINGS, F.when(F.lit(False), F.lit("")))
+    rest = lambda x: F.regexp_replace(x, pattern(f"(?:{'|'.join(h for h, _ in HEADINGS)})"), "")
+    state = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<section:string,text:string>>").alias("found"))
+
+    def step(s: Column, line: Column) -> Column:
+        heading = named(line)
+        seen = F.exists(s.found, lambda f: f.section == heading)
+        last = F.get(s.found, F.size(s.found) - 1)
+        longer = F.concat(F.slice(s.found, 1, F.greatest(F.size(s.found) - 1, F.lit(0))), F.array(F.struct(last.section.alias("section"), F.trim(F.concat(last.text, F.lit(" "), line)).alias("text"))))
+        begun = F.concat(s.found, F.array(F.struct(heading.alias("section"), rest(line).alias("text"))))
+        # A heading that came before ends a section, but its first section stands.
+        opens = heading.isNotNull() & (heading != "") & ~seen
+        return F.struct(F.when(opens, heading).when(heading.isNotNull(), "").otherwise(s.now).alias("now"), F.when(opens, begun).when(heading.isNull() & (s.now != ""), longer).otherwise(s.found).alias("found"))
+
+    return F.aggregate(lines, state, step, lambda s: s.found)
 
 
 def parse_resumes(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the fields of a resume's text: contacts, salary, skills, about, experience, education."""
+    """df with the fields of a resume's text; '' where one is missing, null for the salary."""
     c = F.col(text)
-    first = lambda p: F.trim(F.regexp_replace(F.regexp_extract(c, p, 1), r"\s+", " "))
-    section = lambda start, *stops: first(rf"(?isu){start}\s*(.*?)(?:{'|'.join(stops)}|\z)")
+    first = lambda p: T.collapse(F.regexp_extract(c, p, 1))
+    either = lambda *found: reduce(lambda a, b: F.when(a != "", a).otherwise(b), found)
+    heads = F.slice(F.filter(F.transform(F.split(c, r"\r?\n"), F.trim), lambda x: x != ""), 1, 8)
+    name = F.get(F.filter(heads, lambda x: ~F.lower(x).startswith("резюме обновлено") & ~x.rlike(r"\d|@|\+")), F.lit(0))
     salary = F.nullif(F.regexp_replace(F.regexp_extract(c, r"([\d\s]{5,})\s*₽", 1), r"\D", ""), F.lit(""))
+    df = df.withColumn("sections_", resume_sections(c))
+    section = lambda k: F.coalesce(F.get(F.filter("sections_", lambda s: s.section == k), F.lit(0)).text, F.lit(""))
     return df.withColumns({
+        "name": F.coalesce(name, F.lit("")),
+        "position": either(first(r"(?iu)Желаемая должность и зарплата\s+(.+?)(?:\n\s*\d|\n\s*[\d\s]+\s*₽|\n\s*Специализации:)"), first(r"(?imu)^\s*([A-Za-zА-Яа-яЁё /&\-]+(?:SEO|Python|Lead|Developer|Manager)[^\n]*)")),
         "phone": first(r"(\+\d[\d\s()\-]+)"),
         "email": first(r"(?i)([A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})"),
-        "location": first(r"Проживает:[ \t]*([^\n]+)"),
+        "location": first(r"(?iu)Проживает:\s*(.+)"),
+        "citizenship": first(r"(?iu)Гражданство:\s*(.+)"),
+        "work_format": either(first(r"(?iu)Формат работы:\s*(.+)"), F.when(c.rlike("(?iu)готов работать удал[её]нно"), "удалённо").otherwise("")),
+        "employment_type": first(r"(?iu)Тип занятости:\s*(.+)"),
+        "travel_readiness": first(r"(?iu)(Готов работать.+?командировкам)"),
+        "languages": section("languages"),
         "salary_expected": salary.cast("int"),
-        "skills": section("Навыки", "Опыт вождения", "Дополнительная информация", "Обо мне"),
-        "about": section("Обо мне", "Рекомендации", "Ключевые навыки"),
-        "experience": F.substring(section("Опыт работы", "Образование", "Повышение квалификации", "Навыки"), 1, 4000),
-        "education": section("Образование", "Повышение квалификации", "Навыки", "Опыт вождения"),
-    })
+        "skills": section("skills"),
+        "about": section("about"),
+        "experience": F.substring(section("experience"), 1, 4000),
+        "education": section("education"),
+        "courses": section("courses"),
+    }).drop("sections_")

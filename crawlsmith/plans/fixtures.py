@@ -138,6 +138,24 @@ SELECT CAST(d.doc_id AS STRING) AS vacancy_id, concat(p.p_name, ' ', p.p_type) A
   CASE d.doc_id % 3 WHEN 0 THEN 'полная занятость' WHEN 1 THEN 'частичная занятость' ELSE NULL END AS employment,
   CAST(NULL AS STRING) AS pub_date
 FROM documents d JOIN part p ON p.p_partkey = d.doc_id % 200 + 1
+""",
+    "v_vacancy_pages": r"""
+SELECT CAST(doc_id AS STRING) AS vacancy_id, concat(
+  '<html><head><meta name="description" content="Опыт: ', CASE doc_id % 3 WHEN 0 THEN '1–3 года' WHEN 1 THEN 'более 6 лет' ELSE '' END, '. Занятость: ', CASE doc_id % 2 WHEN 0 THEN 'полная' ELSE 'проект' END, '."><script>var a = "<div>";</script></head><body>',
+  '<div class="top"><a class="x" data-qa="vacancy-company-name" href="/e"><span>', source, '</span> &amp; <b>Co</b></a></div>',
+  '<div class="d" data-qa="vacancy-description"><div><p>', replace(replace(replace(substring(text, 1, 400), '<', ' '), '>', ' '), chr(10), ' '), '</p><div>Inner</div></div> Tail<div></div></div><section></section>',
+  CASE doc_id % 4 WHEN 0 THEN '<ul><li data-qa="skills-element">Py<b>thon</b></li><li data-qa="skills-element"><span>SQL &amp; more</span></li></ul>' WHEN 1 THEN '<div data-qa="skills-element"><div>Spark</div></div>' ELSE '' END,
+  CASE doc_id % 5 WHEN 0 THEN '<p>12 человек уже откликнулись</p>' WHEN 1 THEN '<p>Уже откликнулось 1 204 человека</p>' ELSE '' END, '</body></html>') AS html
+FROM documents
+""",
+    "v_resumes": r"""
+SELECT doc_id, concat('Резюме обновлено 5 мая', chr(10), 'a@b.cd', chr(10), CASE doc_id % 2 WHEN 0 THEN 'Иван Иванов' ELSE 'Анна' END, chr(10), '+7 900 123-45-', CAST(10 + doc_id % 80 AS STRING), chr(10), 'Проживает:  Город  N', chr(10),
+  CASE doc_id % 3 WHEN 0 THEN concat('Желаемая должность и зарплата', chr(10), 'Data  Engineer', chr(10), CAST(100 + doc_id % 300 AS STRING), ' 000 ₽', chr(10)) WHEN 1 THEN concat('Python Developer / Lead', chr(10)) ELSE '' END,
+  CASE doc_id % 4 WHEN 0 THEN concat('Формат работы: офис', chr(10)) WHEN 1 THEN concat('Готов работать удалённо', chr(10)) ELSE '' END,
+  CASE doc_id % 3 WHEN 0 THEN concat(w, e, l, s, a) WHEN 1 THEN concat(a, s, chr(10), 'Опыт вождения', chr(10), 'B', chr(10), c, w) ELSE concat(s, a, w, l, e, s) END) AS text
+FROM (SELECT doc_id, concat('Опыт работы — 5 лет', chr(10), t, chr(10)) AS w, concat('Образование', chr(10), substring(t, 1, 20), chr(10), 'МГУ', chr(10)) AS e, concat('Знание языков', chr(10), 'Русский — Родной', chr(10), 'Английский — B1', chr(10)) AS l,
+    concat('Навыки', chr(10), 'Python  SQL', chr(10), substring(t, 5, 30), chr(10)) AS s, concat('Обо мне', chr(10), substring(t, 10, 90), chr(10)) AS a, concat('Повышение квалификации, курсы', chr(10), substring(t, 3, 25), chr(10)) AS c
+  FROM (SELECT doc_id, trim(concat('x ', replace(replace(substring(text, 1, 5200), chr(10), ' '), chr(13), ' '))) AS t FROM documents) z) y
 """,
     "v_profiles": r"""
 SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'Senior Ring Economy' WHEN 1 THEN 'Python widget lead' ELSE 'Standard bolt' END AS position,

@@ -220,3 +220,38 @@ def l7(spark, sf_dir):
     for batch in range(3):
         store.merge(feed.where(F.col("batch") == batch), batch, lambda tables, rows: collected(tables, rows, searches, profiles))
     return store.read("matches").drop("score", "keywords").join(store.read("vacancies"), "vacancy_id")
+
+
+def _nodes(inner: str, between: str) -> str:
+    """DuckDB: trimmed pieces of text between tags."""
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({inner}, '(?s)<[^>]*>'), lambda x: regexp_replace(replace(x, '&amp;', '&'), '^[\\s ]+|[\\s ]+$', '', 'g')), lambda x: x <> ''), {between})"
+
+
+@query("j1_vacancy_pages", f"""_p AS (SELECT vacancy_id, regexp_replace(html, '<script>.*?</script>', ' ') AS html, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS about FROM v_vacancy_pages),
+_s AS (SELECT vacancy_id, list_transform(regexp_extract_all(html, '(?s)<li data-qa="skills-element">(.*?)</li>', 1) || regexp_extract_all(html, '(?s)<div data-qa="skills-element">(.*?</div>)</div>', 1), lambda x: {_nodes('x', "''")}) AS skills FROM _p)
+SELECT _p.vacancy_id, {_nodes("regexp_extract(html, '(?s)vacancy-company-name[^>]*>(.*?)</a>', 1)", "''")} AS employer, nullif({_nodes("regexp_extract(html, '(?s)vacancy-description[^>]*>(.*)</div><section>', 1)", "chr(10)")}, '') AS description,
+  CASE WHEN len(skills) > 0 THEN CAST(to_json(skills) AS VARCHAR) END AS key_skills, nullif(trim(regexp_extract(about, 'Опыт:\\s+([^.]+)', 1)), '') AS experience, nullif(trim(regexp_extract(about, 'Занятость:\\s+([^.]+)', 1)), '') AS employment,
+  CASE WHEN contains(html, '12 человек') THEN 12 WHEN contains(html, '1 204') THEN 1204 END AS applicants_count FROM _p JOIN _s ON _p.vacancy_id = _s.vacancy_id""", "v_vacancy_pages")
+def j1(spark, sf_dir):
+    return C.vacancy_page(view(spark, sf_dir, "v_vacancy_pages"))
+
+
+_STOPS = "Опыт работы|Образование|Повышение квалификации|Знание языков|Навыки|Опыт вождения|Обо мне"
+
+
+def _part(heading: str, least: str = "") -> str:
+    return f"trim(regexp_replace(coalesce(regexp_extract(text, '(?s)(?:^|\\n){heading}({least}.*?)(?:\\n(?:{_STOPS})|$)', 1), ''), '\\s+', ' ', 'g'))"
+
+
+@query("j9_resumes", f"""SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Иван Иванов' ELSE 'Анна' END AS name, CASE WHEN contains(text, 'Желаемая') THEN 'Data Engineer' WHEN contains(text, 'Python Developer') THEN 'Python Developer / Lead' ELSE '' END AS position,
+  CASE WHEN contains(text, 'Формат работы') THEN 'офис' WHEN contains(text, 'удалённо') THEN 'удалённо' ELSE '' END AS work_format, {_part('Знание языков')} AS languages, {_part('Навыки')} AS skills, {_part('Обо мне')} AS about,
+  left({_part('Опыт работы ')}, 4000) AS experience, {_part('Образование')} AS education, {_part('Повышение квалификации, курсы')} AS courses, 'Город N' AS location,
+  CAST(regexp_replace(nullif(regexp_extract(text, '(\\d+ 000) ₽', 1), ''), ' ', '') AS INT) AS salary_expected FROM v_resumes""", "v_resumes")
+def j9(spark, sf_dir):
+    return C.parse_resumes(view(spark, sf_dir, "v_resumes")).select("doc_id", "name", "position", "work_format", "languages", "skills", "about", "experience", "education", "courses", "location", "salary_expected")
+
+
+@query("j11_drop_profile", "SELECT 'profiles' AS part, id AS profile_id, CAST(NULL AS VARCHAR) AS vacancy_id FROM v_profiles WHERE id <> 3 UNION ALL SELECT 'matches', profile_id, vacancy_id FROM v_matches WHERE profile_id IS DISTINCT FROM 3", "v_profiles", "v_matches")
+def j11(spark, sf_dir):
+    profiles, matches = V.drop_profile(3, view(spark, sf_dir, "v_profiles"), view(spark, sf_dir, "v_matches"))
+    return profiles.select(F.lit("profiles").alias("part"), F.col("id").alias("profile_id"), F.lit(None).cast("string").alias("vacancy_id")).unionByName(matches.select(F.lit("matches").alias("part"), "profile_id", "vacancy_id"))

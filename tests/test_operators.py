@@ -1,3 +1,5 @@
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import Row
@@ -203,3 +205,36 @@ def test_pick_sitemap(spark):
 
     got = {r.site: (r.sitemap_found, r.url) for r in pick_sitemap(spark.createDataFrame(rows, "site string, pos int, source string, url string, status int")).collect()}
     assert got == {"s": (True, "b"), "t": (False, "c")}
+
+
+def test_resume_sections_in_any_order(spark):
+    from crawlsmith.operators import context as C
+
+    parts = {"Опыт работы — 3 года": "ООО Х\nдо 2020", "Образование": "МГУ", "Навыки": "Python;  SQL", "Обо мне": "люблю\nSEO", "Знание языков": "Русский\nEnglish", "Повышение квалификации, курсы": "Kurs"}
+    want = {"experience": "— 3 года ООО Х до 2020", "education": "МГУ", "skills": "Python; SQL", "about": "люблю SEO", "languages": "Русский English", "courses": "Kurs"}
+    texts = []
+    for order in itertools.islice(itertools.permutations(parts), 0, 720, 23):
+        texts.append("Имя\n" + "\n".join(f"{h}\n{parts[h]}" for h in order) + "\nНавыки\nещё раз\nОпыт вождения\nB")
+    rows = C.parse_resumes(spark.createDataFrame([(t,) for t in texts] + [("",), ("НАВЫКИ: раз\nНавыкиный текст",)], "text string")).collect()
+    assert all({k: r[k] for k in want} == want for r in rows[:-2])
+    assert rows[-2].skills == "" and rows[-2]["name"] == "" and rows[-1].skills == "раз Навыкиный текст"
+
+
+def test_nested_vacancy_page(spark):
+    from crawlsmith.operators import context as C
+
+    html = (
+        '<script>"<div data-qa=\'vacancy-description\'>no"</script><div class="z"><div data-qa="vacancy-description" id=d><div>One<div>Two &lt;x&gt;</div></div><p> Three </p></div></div>'
+        '<a data-qa="vacancy-company-name"><b>AC</b><i>ME</i></a><span data-qa="skills-element"><span>S<i>Q</i>L</span></span><div data-qa="skills-element"><div>A</div></div>'
+    )
+    v = C.vacancy_page(spark.createDataFrame([("1", html), ("2", None), ("3", "")], "vacancy_id string, html string")).orderBy("vacancy_id").collect()
+    assert (v[0].employer, v[0].description, v[0].key_skills) == ("ACME", "One\nTwo <x>\nThree", '["A","SQL"]')
+    assert [tuple(r)[1:] for r in v[1:]] == [(None,) * 6] * 2
+
+
+def test_main_text_keeps_nested_blocks(spark):
+    from crawlsmith.operators import context as C
+
+    pages = [("<div class='content'><div>a</div>b<div><div>c</div></div></div><div>d</div>", "a b c"), ("<main>m<main>n</main>o</main><article>x</article>", "m n o"), ("<nav>n</nav><p>p</p>", "p"), ("<article></article><!-- <main>no</main> --><div id=\"entry\">e</div>", "e")]
+    df = spark.createDataFrame([(h, w) for h, w in pages], "h string, w string")
+    assert [(r.got, r.w) for r in df.select("w", C.main_text(F.col("h")).alias("got")).collect() if r.got != r.w] == []
