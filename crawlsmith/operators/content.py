@@ -325,35 +325,43 @@ MENU_PRIORITY = [
 _MEDIA = r"(?i)\.(?:jpg|jpeg|png|gif|svg|webp|pdf|xml)$"
 
 
-def menu(pages: DataFrame, labels: int = 20, links: int = 10) -> DataFrame:
-    """page_id, labels and links (label, url) of the links within nav and header elements, else of the whole page.
+def with_menu(pages: DataFrame, labels: int = 20, links: int = 10) -> DataFrame:
+    """``pages`` (url, html and others) with menu_labels and menu_links (label, url) of the links within nav and header elements, else of the whole page.
 
     Only links to the page's own origin that are no files and have a label of 80 characters at most; labels and links are distinct,
     and links to the root are left out.
     """
     clean = H.without_remarks(F.col("html"))
     areas = H.bound(clean, lambda h: F.concat(F.transform(H.elements(h, "nav"), lambda e: e.inner), F.transform(H.elements(h, "header"), lambda e: e.inner)))
-    df = pages.select("page_id", F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"), clean.alias("clean_"), areas.alias("areas_"))
-    df = fenced(df)
-    source = F.when(F.size("areas_") > 0, F.array_join("areas_", " ")).otherwise(F.col("clean_"))
-    anchors = F.regexp_extract_all(source, F.lit(r"(?is)(<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>)"), F.lit(1))
-    parts = F.transform(anchors, lambda a: F.struct(T.strip_html(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a>$", "")).alias("label"), resolve(F.concat("origin", F.lit("/")), H.decoded(F.regexp_extract(a, r"(?i)href=[\"']([^\"']+)[\"']", 1))).alias("url")))
-    df = fenced(df.select("page_id", "origin", parts.alias("found_")))
-    fine = F.filter("found_", lambda x: (x.label != "") & (F.length(x.label) <= 80) & (F.lower(F.regexp_extract(x.url, r"^([a-z+.-]+://[^/?#]*)", 1)) == F.lower(F.col("origin"))) & ~path(x.url).rlike(_MEDIA))
-    df = fenced(df.select("page_id", fine.alias("fine_")).withColumn("urls_", F.transform("fine_", lambda x: x.url)))
-    first = F.filter("fine_", lambda x, i: (F.array_position("urls_", x.url) == i + 1) & ~path(x.url).isin("", "/"))
-    return df.select("page_id", F.slice(F.array_distinct(F.transform("fine_", lambda x: x.label)), 1, labels).alias("labels"), F.slice(first, 1, links).alias("links"))
+    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    source = F.when(F.size(areas) > 0, F.array_join(areas, " ")).otherwise(clean)
+    anchors = lambda h: F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>)"), F.lit(1))
+    parts = lambda a: F.struct(T.strip_html(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a>$", "")).alias("label"), resolve(F.concat(origin, F.lit("/")), H.decoded(F.regexp_extract(a, r"(?i)href=[\"']([^\"']+)[\"']", 1))).alias("url"))
+    inside = lambda x: F.lower(F.regexp_extract(x.url, r"^([a-z+.-]+://[^/?#]*)", 1)) == F.lower(origin)
+    fine = lambda xs: F.filter(xs, lambda x: (x.label != "") & (F.length(x.label) <= 80) & inside(x) & ~path(x.url).rlike(_MEDIA))
+    found = H.bound(source, lambda h: fine(F.transform(anchors(h), parts)))
+    first = lambda xs: F.filter(xs, lambda x, i: (F.array_position(F.transform(xs, lambda y: y.url), x.url) == i + 1) & ~path(x.url).isin("", "/"))
+    both = H.bound(found, lambda xs: F.struct(F.slice(F.array_distinct(F.transform(xs, lambda x: x.label)), 1, labels).alias("labels"), F.slice(first(xs), 1, links).alias("links")))
+    df = fenced(pages.withColumn("menu_", both))
+    return df.withColumns({"menu_labels": F.coalesce("menu_.labels", F.array().cast("array<string>")), "menu_links": F.coalesce("menu_.links", F.array().cast("array<struct<label:string,url:string>>"))}).drop("menu_")
+
+
+def ranked_menu(links: Column, most: int = 6) -> Column:
+    """The menu links that say most about a site's owner, in the menu's order where equal."""
+    about = lambda x: F.lower(F.concat(x.label, F.lit(" "), x.url))
+    rank = lambda x: reduce(lambda out, p: out.when(T.any_of(about(x), p[1]), p[0]), MENU_PRIORITY, F.when(F.lit(False), 0)).otherwise(1)
+    ranked = F.array_sort(F.transform(links, lambda x, i: F.struct((-rank(x)).alias("minus"), i.alias("i"), x.url.alias("href"), x.label.alias("label"))))
+    return F.transform(F.slice(ranked, 1, most), lambda x: F.struct(x.href.alias("href"), x.label.alias("label")))
 
 
-def menu_links(pages: DataFrame, most: int = 6) -> DataFrame:
-    """page_id, place, href, label of the menu links that say most about a site's owner, in the menu's order where equal.
+def menu(pages: DataFrame) -> DataFrame:
+    """page_id, labels and links of each page's menu."""
+    return with_menu(pages.select("page_id", "url", "html")).select("page_id", F.col("menu_labels").alias("labels"), F.col("menu_links").alias("links"))
 
-    The few links of a page are ordered within its row, so nothing is shuffled.
-    """
-    about = lambda x: F.lower(F.concat(x.label, F.lit(" "), x.url))
-    rank = lambda x: reduce(lambda out, p: out.when(T.any_of(about(x), p[1]), p[0]), MENU_PRIORITY, F.when(F.lit(False), 0)).otherwise(1)
-    ranked = F.array_sort(F.transform("links", lambda x, i: F.struct((-rank(x)).alias("minus"), i.alias("i"), x.url.alias("href"), x.label.alias("label"))))
-    return menu(pages).select("page_id", F.posexplode(F.slice(ranked, 1, most)).alias("place", "x")).select("page_id", (F.col("place") + 1).alias("place"), "x.href", "x.label")
+
+def menu_links(pages: DataFrame, most: int = 6) -> DataFrame:
+    """page_id, place, href, label of the best menu links of each page; they are ordered within its row, so nothing is shuffled."""
+    return menu(pages).select("page_id", F.posexplode(ranked_menu(F.col("links"), most)).alias("place", "x")).select("page_id", (F.col("place") + 1).alias("place"), "x.href", "x.label")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -97,45 +97,18 @@ def pagination(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", pagination_of(F.col("html"), F.col("url")).alias("p")).select("page_id", F.col("p.mode").alias("mode"), F.col("p.pages").alias("page_count"))
 
 
-def search_counts(html: Column, patterns: list[str]) -> Column:
-    """Digits of the first pattern that matches; null if none does."""
-    found = [F.nullif(F.regexp_replace(F.regexp_extract(html, p, 1), r"\D", ""), F.lit("")) for p in patterns]
-    return F.coalesce(*found).cast("bigint")
-
-
-def heuristic_profile(df: DataFrame) -> DataFrame:
-    """df (title, h1, description, preview, cart, form, commercial_percent, informational_percent, total) with site_type, audience and topic."""
-    hay = F.lower(F.concat_ws(" ", "title", "h1", "description", "preview"))
-    kind = (
-        F.when(hay.rlike("crm|saas|платформа|сервис|api|dashboard|demo|trial|личный кабинет") & ~hay.rlike("магазин|каталог|товар"), "saas")
-        .when(F.col("cart") | (F.col("commercial_percent") >= 40), "shop")
-        .when(F.col("informational_percent") >= 50, "blog")
-        .when(hay.rlike("агрегатор|сравнение|подбор|каталог компаний|marketplace"), "aggregator")
-        .when((F.col("total") <= 20) & F.col("form"), "landing")
-        .when(hay.rlike("о компании|контакты|услуги|решения|команда"), "corporate")
-        .otherwise("unknown")
-    )
-    b2b = hay.rlike("b2b|для бизнеса|для компаний|оптом|партнерам|корпоративным клиентам")
-    b2c = hay.rlike("купить|доставка|каталог|корзина|заказать|для дома|для себя")
-    head = lambda c: F.trim(F.split(F.split(F.coalesce(F.col(c), F.lit("")), r"\|")[0], "—")[0])
-    topic = F.coalesce(*[F.when(F.length(head(c)) >= 8, head(c)) for c in ("h1", "title", "description")])
-    audience = F.when(b2b & b2c, "mixed").when(b2b, "B2B").when(b2c, "B2C").otherwise("unknown")
-    return df.withColumns({"site_type": kind, "audience": audience, "topic": topic})
-
+#: Where result pages of search engines, and the page of an authority index, have their number.
+SEARCH_PATTERNS = {
+    "google": [r"(?i)About ([\d,.\s]+) results", r"(?iu)Результатов: примерно ([\d\s .,]+)", r"(?is)id=\"result-stats\"[^>]*>(.*?)<"],
+    "yandex": [r"(?iu)Нашл(?:ось|о)[^0-9]{0,20}([\d\s .,]+)", r"(?i)found[^0-9]{0,20}([\d\s .,]+)"],
+    "iks": [r"(?iu)ИКС[^0-9]{0,20}([\d\s]+)", r"(?i)indexrank[^0-9]{0,20}([\d\s]+)", r"(?i)<title>\s*([\d\s]+)\s*</title>"],
+}
 
-def site_profile(pages: DataFrame, urls: DataFrame, as_of: str) -> DataFrame:
-    """A row for each site: structure of its urls, signals of its pages, type, audience and commerce score.
 
-    Each side is aggregated to a site first, so the joins are of small rows.
-    """
-    from crawlsmith.operators.site_profile import commerce_score, site_signals, site_structure
-
-    m = H.head_meta(F.col("html"))
-    home = pages.select("site", F.struct(F.length("url").alias("n"), "url", m["title"].alias("title"), m["h1"].alias("h1"), m["description"].alias("description"), F.substring(T.strip_html(F.col("html")), 1, 1000).alias("preview")).alias("p"))
-    home = home.groupBy("site").agg(F.min("p").alias("p")).select("site", "p.title", "p.h1", "p.description", "p.preview")
-    df = site_structure(urls, as_of).join(site_signals(pages), "site", "left").join(home, "site", "left").fillna(False)
-    df = heuristic_profile(df)
-    return commerce_score(df, F.when(F.col("site_type") == "shop", "shop").when(F.col("site_type") == "saas", "service").otherwise("corporate")).drop("preview")
+def search_counts(html: Column, patterns: list[str]) -> Column:
+    """Digits of the first pattern that finds some; null if none does, or if there are more than a number holds."""
+    found = [F.nullif(F.regexp_replace(F.regexp_extract(html, p, 1), r"\D", ""), F.lit("")) for p in patterns]
+    return F.coalesce(*found).try_cast("bigint")
 
 
 def pick_sitemap(candidates: DataFrame) -> DataFrame:

@@ -66,11 +66,24 @@ def site_structure(urls: DataFrame, as_of: str) -> DataFrame:
 
     One aggregation with partial sums, so a site with most of the urls is no hot spot.
     """
-    rows = urls.select("site", classify_url(F.col("loc")).alias("bucket"), depth_level(F.col("loc")).alias("level"), F.try_to_date("lastmod").alias("day"))
+    rows = urls.select("site", *[c.alias(k) for k, c in url_facts().items()])
+    return with_percents(rows.groupBy("site").agg(*structure_sums(as_of)))
+
+
+def url_facts() -> dict[str, Column]:
+    """bucket, level and day of a url (loc, lastmod)."""
+    return {"bucket": classify_url(F.col("loc")), "level": depth_level(F.col("loc")), "day": F.try_to_date("lastmod")}
+
+
+def structure_sums(as_of: str) -> list[Column]:
+    """Aggregates of the facts of urls; rows without a bucket do not count."""
     counts = [F.count_if(F.col("bucket") == b).alias(f"{b}_count") for b in BUCKETS]
     levels = [F.count_if(F.col("level") == v).alias(v) for v in ("level1", "level2", "level3plus")]
     recent = F.count_if((F.col("day") > F.date_sub(F.lit(as_of).cast("date"), 30)) & (F.col("day") <= F.lit(as_of).cast("date")))
-    per = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"), *counts, *levels, F.max("day").cast("string").alias("last_modified"), recent.alias("updated_30d"))
+    return [F.count("bucket").alias("total"), *counts, *levels, F.max("day").cast("string").alias("last_modified"), recent.alias("updated_30d")]
+
+
+def with_percents(per: DataFrame) -> DataFrame:
     return per.select("*", *[half_up(100.0 * F.col(f"{b}_count") / F.col("total")).alias(f"{b}_percent") for b in BUCKETS])
 
 
@@ -109,23 +122,32 @@ _FORM, _FIELD = r"(?i)<form\b", r"(?iu)name=[\"'](?:name|phone)|телефон|
 
 def site_signals(pages: DataFrame) -> DataFrame:
     """site and a flag for each signal that any of its pages shows; only booleans are shuffled."""
-    flags = {name: F.col("html").rlike(pattern) for name, pattern in SIGNALS.items()}
-    flags |= {"form_": F.col("html").rlike(_FORM), "field_": F.col("html").rlike(_FIELD)}
+    flags = signal_flags(F.col("html"))
     rows = pages.select("site", *[c.alias(n) for n, c in flags.items()])
     per = rows.groupBy("site").agg(*[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in flags])
     return per.withColumn("form", F.col("form_") & F.col("field_")).drop("form_", "field_")
 
 
-#: Signals that count for a kind of site, by weight class.
+#: Signals that count for a kind of site: critical, important, additional.
 COMMERCE = {
-    "shop": (["phone", "prices", "cart", "form"], ["address", "requisites", "reviews", "email"], ["chat", "messenger"]),
-    "service": (["phone", "prices", "form", "email"], ["address", "requisites", "reviews", "messenger"], ["chat", "faq"]),
-    "corporate": (["phone", "form", "email", "address"], ["requisites", "docs", "reviews", "faq"], ["messenger", "demo"]),
+    "shop": (["phone", "prices", "cart", "form"], ["requisites", "address", "email", "reviews"], ["chat", "messenger"]),
+    "service": (["phone", "email", "form", "demo"], ["docs", "faq", "requisites", "reviews"], ["chat", "messenger"]),
+    "corporate": (["phone", "email", "form", "address"], ["requisites", "faq", "reviews", "docs"], ["chat", "messenger"]),
 }
 
 
-def commerce_score(signals: DataFrame, site_type: Column) -> DataFrame:
-    """Signals found of those that count for the type of site (shop, service, else corporate)."""
+def commerce_kind(site_type: Column) -> Column:
+    """What a site's signals are held against, by its type."""
+    return F.when(site_type == "saas", "service").when(site_type.isin("corporate", "landing", "aggregator", "blog"), "corporate").otherwise("shop")
+
+
+def commerce_score(signals: DataFrame, kind: Column) -> DataFrame:
+    """Signals found of those that count for the kind of site (shop, service, corporate)."""
     total = lambda names: sum((F.col(n).cast("int") for n in names), F.lit(0))
-    pick = lambda k: F.when(site_type == "shop", total(COMMERCE["shop"][k])).when(site_type == "service", total(COMMERCE["service"][k])).otherwise(total(COMMERCE["corporate"][k]))
+    pick = lambda k: F.when(kind == "shop", total(COMMERCE["shop"][k])).when(kind == "service", total(COMMERCE["service"][k])).otherwise(total(COMMERCE["corporate"][k]))
     return signals.select("*", pick(0).alias("critical_found"), pick(1).alias("important_found"), pick(2).alias("additional_found"), (pick(0) + pick(1) + pick(2)).alias("found"), F.lit(10).alias("expected"))
+
+
+def signal_flags(html: Column) -> dict[str, Column]:
+    """A flag for each signal, and the two halves of a form with a field to call back."""
+    return {name: html.rlike(pattern) for name, pattern in SIGNALS.items()} | {"form_": html.rlike(_FORM), "field_": html.rlike(_FIELD)}

@@ -10,12 +10,13 @@ from crawlsmith.operators import compare as M
 from crawlsmith.operators import context as X
 from crawlsmith.operators import content as C
 from crawlsmith.operators import listing as L
+from crawlsmith.operators import profile as P
 from crawlsmith.operators import reach as R
 from crawlsmith.operators import site_profile as S
 from crawlsmith.operators import speed as V
 from crawlsmith.operators import subdomains as D
-from crawlsmith.plans.audit_queries import AS_OF, d_host, d_path, d_strip, d_visible
-from crawlsmith.plans.fixtures import view, with_views
+from crawlsmith.plans.audit_queries import _STRUCTURE, AS_OF, d_host, d_path, d_strip, d_visible
+from crawlsmith.plans.fixtures import shared_sql, view, with_views
 from crawlsmith.plans.layout_sql import layout as _layout
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -304,12 +305,6 @@ def h10(spark, sf_dir):
     return X.pagination(view(spark, sf_dir, "v_seo_pages"))
 
 
-@query("s8_site_profile", None, "v_seo_pages", "v_site_urls")
-def s8(spark, sf_dir):
-    pages = view(spark, sf_dir, "v_seo_pages").withColumn("site", F.col("domain"))
-    return X.site_profile(pages, view(spark, sf_dir, "v_site_urls"), AS_OF)
-
-
 _FLAG = lambda p: f"coalesce(bool_or(regexp_matches(html, '{p}')), false)"
 
 
@@ -409,9 +404,74 @@ def h13(spark, sf_dir):
 _SYSTEM = "CASE " + " ".join(f"WHEN regexp_matches(low, '{pattern}') THEN '{name}'" for name, pattern in H.CMS.items()) + " END"
 
 
-@query("h14_h15_systems", f"""_l AS (SELECT page_id, html, lower(html) AS low FROM v_rich_pages),
-_f AS (SELECT page_id, html, low, {_SYSTEM} AS cms, CASE WHEN regexp_matches(low, '__next_data__|/_next/') THEN 'Next.js' END AS front FROM _l)
-SELECT page_id, CASE WHEN cms IS NOT NULL AND front IS NOT NULL THEN cms || ' + ' || front ELSE coalesce(cms, front, CASE WHEN regexp_matches(low, '[.]php(?:[?"''])') THEN 'PHP' ELSE 'other' END) END AS cms,
-  array_to_string(list_filter([{', '.join(f"CASE WHEN contains(html, '{mark}') THEN '{name}' END" for name, mark in H.ANALYTICS.items())}], lambda x: x IS NOT NULL), ',') AS analytics FROM _f""", "v_rich_pages")
+_SYSTEMS = f"""SELECT page_id, CASE WHEN cms IS NOT NULL AND front IS NOT NULL THEN cms || ' + ' || front ELSE coalesce(cms, front, CASE WHEN regexp_matches(low, '[.]php(?:[?"''])') THEN 'PHP' ELSE 'other' END) END AS cms,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN contains(html, '{mark}') THEN '{name}' END" for name, mark in H.ANALYTICS.items())}], lambda x: x IS NOT NULL), ',') AS analytics
+FROM (SELECT *, {_SYSTEM} AS cms, CASE WHEN regexp_matches(low, '__next_data__|/_next/') THEN 'Next.js' END AS front FROM (SELECT page_id, html, lower(html) AS low FROM v_rich_pages) z) y"""
+
+
+@query("h14_h15_systems", _SYSTEMS, "v_rich_pages")
 def h14_rich(spark, sf_dir):
     return view(spark, sf_dir, "v_rich_pages").select("page_id", H.detect_cms(F.col("html")).alias("cms"), F.array_join(H.detect_analytics(F.col("html")), ",").alias("analytics"))
+
+
+# Site profile
+
+_FACTS = """_ds AS (SELECT DISTINCT domain AS site, CAST(length(domain) AS INT) AS n FROM v_pages),
+_sm AS (SELECT site, n % 5 <> 0 AS sitemap_found, concat('https://', site, '/sitemap.xml') AS url FROM _ds WHERE n % 7 <> 0),
+_ll AS (SELECT site, CASE WHEN n % 4 = 0 THEN 404 ELSE 200 END AS status, CASE n % 3 WHEN 0 THEN concat('# ', site) WHEN 1 THEN 'plain' ELSE '' END AS body, CASE WHEN n % 6 = 1 THEN 'gptbot' END AS first_blocked FROM _ds),
+_wh AS (SELECT site, concat('Registrar: R', CAST(n AS STRING), chr(10), CASE n % 3 WHEN 0 THEN concat('Creation Date: 20', lpad(CAST(n % 24 AS STRING), 2, '0'), '-05-17T00:00:00Z') WHEN 1 THEN concat('created: 17.05.19', lpad(CAST(n % 30 + 60 AS STRING), 2, '0')) ELSE 'created: soon' END) AS text FROM _ds WHERE n % 8 <> 0),
+_se AS (SELECT site, 'google' AS engine, concat('About ', CAST(n AS STRING), ',100 results') AS html FROM _ds UNION ALL SELECT site, 'yandex', concat('Нашлось ', CAST(n AS STRING), ' 020 страниц') FROM _ds WHERE n % 2 = 0 UNION ALL SELECT site, 'iks', CASE WHEN n % 3 = 0 THEN 'none' ELSE concat('ИКС: ', CAST(n * 10 AS STRING)) END FROM _ds),
+_ac AS (SELECT site, CASE n % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'fail' ELSE 'unclear' END AS verdict FROM _ds WHERE n % 5 <> 1),
+_ho AS (SELECT domain AS site, CAST(1 AS BIGINT) AS found, CAST(CASE WHEN status IS NULL THEN 0 ELSE 1 END AS BIGINT) AS checked, CAST(CASE WHEN status = 403 THEN 1 ELSE 0 END AS BIGINT) AS risks FROM v_probes),
+_li AS (SELECT site, n % 9 = 0 AS truncated_by_files, n % 11 = 0 AS truncated_by_urls FROM _ds)"""
+_WORD = lambda words, c="hay": "(" + " OR ".join(f"contains({c}, '{w}')" for w in words.split("|")) + ")"
+_EDGE = lambda words: f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{words})(?:$|[^\\p{{L}}\\p{{N}}_])"
+_FLAGGED = {k: f"regexp_matches(html, '{_EDGE('ул|улица|проспект|адрес') if k == 'address' else _EDGE('ИНН|ОГРН|КПП').replace('(?i)', '') if k == 'requisites' else pattern.replace('(?iu)', '(?i)')}')" for k, pattern in S.SIGNALS.items()}
+_NAMED = lambda c, names: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+_COUNT = lambda names: " + ".join(f"CAST({n} AS INT)" for n in names)
+_BY_KIND = lambda k: "CASE kind WHEN 'shop' THEN " + _COUNT(S.COMMERCE["shop"][k]) + " WHEN 'service' THEN " + _COUNT(S.COMMERCE["service"][k]) + " ELSE " + _COUNT(S.COMMERCE["corporate"][k]) + " END"
+_GROUPED = "replace(format('{:,}', CAST(%s AS BIGINT)), ',', chr(160))"
+_TOPIC = lambda c: f"trim(regexp_extract(coalesce({c}, ''), '^[^|—]*'))"
+_PROFILE = _FACTS + ",\n" + _STRUCTURE + ",\n" + _MENU + f""",
+_pg AS (SELECT page_id, domain AS site, url, html, {', '.join(f'{c} AS {k}' for k, c in _FLAGGED.items())}, regexp_matches(html, '(?i)<form\\b') AS form_, regexp_matches(html, '(?i)name=["''](?:name|phone)|телефон|имя') AS field_ FROM v_rich_pages),
+_fl AS (SELECT site, {', '.join(f'bool_or({k}) AS {k}' for k in S.SIGNALS)}, bool_or(form_) AND bool_or(field_) AS form FROM _pg GROUP BY site),
+_hm AS (SELECT site, arg_min(page_id, (length(url), url)) AS page_id FROM _pg GROUP BY site),
+_lb AS (SELECT page_id, list(label ORDER BY i)[1:20] AS labels FROM (SELECT page_id, label, min(i) AS i FROM _o GROUP BY page_id, label) z GROUP BY page_id),
+_mn AS (SELECT page_id, string_agg(url, ' ' ORDER BY rk DESC, i) AS menu FROM (SELECT *, {_RANK} AS rk FROM _f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {_RANK} DESC, i) <= 6) z GROUP BY page_id),
+_sys AS ({{systems}}),
+_hp AS (SELECT _hm.site, _hm.page_id, url AS home_url, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title,
+  nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS h1, nullif(regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1), '') AS description,
+  left({d_strip("coalesce(nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body>', 1), ''), html)")}, 500) AS preview, coalesce(array_to_string(labels, '|'), '') AS menu_labels, coalesce(menu, '') AS menu, cms, analytics
+  FROM _hm JOIN _pg ON _hm.page_id = _pg.page_id LEFT JOIN _lb ON _hm.page_id = _lb.page_id LEFT JOIN _mn ON _hm.page_id = _mn.page_id JOIN _sys ON _sys.page_id = _hm.page_id),
+_j AS (SELECT _hp.* EXCLUDE (page_id), _fl.* EXCLUDE (site), _t.* EXCLUDE (site), lower(concat_ws(' ', title, h1, description, preview, replace(menu_labels, '|', ' '))) AS hay, sitemap_found, _sm.url AS sitemap_url,
+  CASE WHEN _ll.site IS NULL THEN NULL WHEN _ll.status NOT BETWEEN 200 AND 299 THEN 'warn' WHEN first_blocked IS NOT NULL THEN 'fail' WHEN NOT regexp_matches(body, '(?m)^#\\s+\\S') THEN 'warn' ELSE 'ok' END AS llms_status,
+  nullif(regexp_extract(_wh.text, 'Registrar: (\\S+)', 1), '') AS registrar, coalesce(try_strptime(regexp_extract(_wh.text, 'Date: (.{{10}})', 1), '%Y-%m-%d'), try_strptime(regexp_extract(_wh.text, 'created: (.{{10}})', 1), '%d.%m.%Y'))::DATE AS created,
+  CASE WHEN verdict IN ('ok', 'fail') THEN verdict WHEN verdict IS NOT NULL THEN 'warn' END AS access_status, truncated_by_files, truncated_by_urls
+  FROM _hp JOIN _fl ON _hp.site = _fl.site LEFT JOIN _t ON _t.site = _hp.site LEFT JOIN _sm ON _sm.site = _hp.site LEFT JOIN _ll ON _ll.site = _hp.site LEFT JOIN _wh ON _wh.site = _hp.site LEFT JOIN _ac ON _ac.site = _hp.site LEFT JOIN _li ON _li.site = _hp.site),
+_q1 AS (SELECT *, CASE WHEN {_WORD(P.TYPE_WORDS['saas'])} AND NOT {_WORD(P.TYPE_WORDS['no_saas'])} THEN 'saas' WHEN cart OR commercial_percent >= 40 THEN 'shop' WHEN informational_percent >= 50 THEN 'blog' WHEN {_WORD(P.TYPE_WORDS['aggregator'])} THEN 'aggregator' WHEN total <= 20 AND form THEN 'landing' WHEN {_WORD(P.TYPE_WORDS['corporate'])} THEN 'corporate' ELSE 'unknown' END AS site_type,
+  CASE WHEN {_WORD(P.AUDIENCE_WORDS['b2b'])} AND {_WORD(P.AUDIENCE_WORDS['b2c'])} THEN 'mixed' WHEN {_WORD(P.AUDIENCE_WORDS['b2b'])} THEN 'B2B' WHEN {_WORD(P.AUDIENCE_WORDS['b2c'])} THEN 'B2C' ELSE 'unknown' END AS audience,
+  CASE WHEN length({_TOPIC('h1')}) >= 8 THEN {_TOPIC('h1')} WHEN length({_TOPIC('title')}) >= 8 THEN {_TOPIC('title')} WHEN length({_TOPIC('description')}) >= 8 THEN {_TOPIC('description')} END AS topic,
+  (DATE '{AS_OF}' - created) / 365.25 AS age FROM _j),
+_q2 AS (SELECT *, CASE WHEN site_type = 'saas' THEN 'service' WHEN site_type IN ('corporate', 'landing', 'aggregator', 'blog') THEN 'corporate' ELSE 'shop' END AS kind,
+  CASE WHEN age IS NULL THEN 'не удалось определить' WHEN floor(age) <= 0 THEN 'меньше 1 года' WHEN floor(age) = 1 THEN '1 год' WHEN floor(age) BETWEEN 2 AND 4 THEN CAST(floor(age) AS INT) || ' года' ELSE CAST(floor(age) AS INT) || ' лет' END AS age_label FROM _q1),
+_tb AS (SELECT site, string_agg(txt, ', ' ORDER BY r) AS tops FROM (SELECT site, txt, row_number() OVER (PARTITION BY site ORDER BY pc DESC, i) AS r FROM ({' UNION ALL '.join(f"SELECT site, {i} AS i, {b}_percent AS pc, '{P.BUCKET_NAMES[b]} ' || {b}_percent || '%' AS txt FROM _t WHERE {b}_count > 0" for i, b in enumerate(S.BUCKETS))}) z) y WHERE r <= 2 GROUP BY site)"""
+
+
+@query("s8_site_profile", _PROFILE.replace("{systems}", _SYSTEMS) + f"""
+SELECT q.site, home_url, title, h1, description, cms, analytics, menu_labels, menu, {', '.join(S.SIGNALS)}, form, total, {', '.join(f'{b}_{k}' for b in S.BUCKETS for k in ('count', 'percent'))}, level1, level2, level3plus, last_modified, updated_30d, sitemap_found, sitemap_url, llms_status, registrar, CAST(created AS VARCHAR) AS created,
+  site_type, audience, topic, CAST(NULL AS VARCHAR) AS region, round(age, 1) AS age_years, age_label, {_BY_KIND(0)} AS critical_found, {_BY_KIND(1)} AS important_found, {_BY_KIND(2)} AS additional_found, access_status, truncated_by_files, truncated_by_urls,
+  (SELECT max(CAST(regexp_replace(html, '[^0-9]', '', 'g') AS BIGINT)) FROM _se WHERE _se.site = q.site AND engine = 'google') AS google_count, (SELECT max(CAST(regexp_replace(html, '[^0-9]', '', 'g') AS BIGINT)) FROM _se WHERE _se.site = q.site AND engine = 'yandex') AS yandex_count,
+  (SELECT max(try_cast(regexp_replace(html, '[^0-9]', '', 'g') AS BIGINT)) FROM _se WHERE _se.site = q.site AND engine = 'iks') AS iks_count, CAST((SELECT sum(found) FROM _ho WHERE _ho.site = q.site) AS BIGINT) AS hosts_found, CAST((SELECT sum(checked) FROM _ho WHERE _ho.site = q.site) AS BIGINT) AS hosts_checked, CAST((SELECT sum(risks) FROM _ho WHERE _ho.site = q.site) AS BIGINT) AS host_risks,
+  CASE WHEN total IS NULL THEN 'no_sitemap' WHEN truncated_by_urls THEN 'first_urls_only' WHEN truncated_by_files THEN 'first_files_only' END AS structure_note,
+  concat_ws(' ', coalesce(nullif(concat_ws(', ', {_NAMED('audience', P.AUDIENCE_NAMES)}, {_NAMED('site_type', P.TYPE_NAMES)}, topic), '') || '.', 'Тип сайта определить не удалось.'),
+    CASE WHEN total IS NULL THEN 'Sitemap не найден, структура сайта определена частично.' ELSE 'В sitemap найдено ' || {_GROUPED % 'total'} || ' URL' || coalesce('; основные разделы: ' || tops || '.', '.') END,
+    'Пробелы: ' || nullif(concat_ws(', ', CASE WHEN NOT (address AND kind = 'shop') THEN 'адрес не найден' END, CASE WHEN NOT reviews THEN 'отзывы не найдены' END, CASE WHEN unknown_count > 0 THEN {_GROUPED % 'unknown_count'} || ' страниц не классифицированы' END), '') || '.') AS summary
+FROM _q2 q LEFT JOIN _tb ON _tb.site = q.site""", "v_rich_pages", "v_site_urls", "v_probes")
+def s8(spark, sf_dir):
+    fact = lambda name: shared_sql(spark, sf_dir, _FACTS, name, "v_rich_pages", "v_site_urls", "v_probes")
+    pages = view(spark, sf_dir, "v_rich_pages").withColumn("site", F.col("domain"))
+    sources = {"sitemap": fact("_sm"), "llms": fact("_ll"), "whois": fact("_wh"), "search": fact("_se"), "access": fact("_ac"), "hosts": fact("_ho"), "sitemap_limits": fact("_li")}
+    df = P.site_profile(view(spark, sf_dir, "v_site_urls"), pages, AS_OF, **sources)
+    menu = F.array_join(F.transform("menu", lambda x: x.href), " ")
+    df = df.withColumns({"analytics": F.array_join("analytics", ","), "menu_labels": F.array_join("menu_labels", "|"), "menu": menu, "created": F.col("created").cast("string"), "region": F.col("region").cast("string")})
+    return df.drop("found", "expected")

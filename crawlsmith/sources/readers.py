@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlsmith.functions.dates import age_in_years, age_label, parse_date
+from crawlsmith.functions.text import strip_html
+
 SNAPSHOTS = "url string, agent string, http_code int, headers map<string,string>, body string, ttfb_ms int, final_url string, redirect_chain array<struct<from_url:string,to_url:string,status_code:int>>, error string, fetched_at timestamp"
 SUGGESTIONS = "struct<totalCount:string,topRequests:array<struct<phrase:string,query:string,count:string,frequency:string,shows:string>>>"
 
@@ -73,12 +76,18 @@ def parse_suggestions(df: DataFrame, response: str = "response") -> DataFrame:
     return rows.select(*[c for c in df.columns if c != response], phrase.alias("phrase"), number(F.coalesce(r["count"], r.frequency, r.shows)).alias("count"), number(F.col("p_.totalCount")).alias("total")).where(phrase != "")
 
 
+#: Where a registration record has its date and its registrar, in the order tried.
+WHOIS_CREATED = [
+    r"(?iu)created\s*[:>]\s*([0-9TZ:\-. ]+)", r"(?iu)registered\s*[:>]\s*([0-9TZ:\-. ]+)", r"(?iu)Дата регистрации\s*[:>]\s*([0-9TZ:\-. ]+)",
+    r"(?iu)created[^0-9]*(\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}(?:T[0-9:]+Z)?)", r"(?iu)registered[^0-9]*(\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}(?:T[0-9:]+Z)?)",
+    r"(?iu)(?:creation date|created(?: on)?|registered(?: on)?|registration date|Дата регистрации)\s*[:>]\s*([^\n<]+)",
+]
+WHOIS_REGISTRAR = [r"(?iu)registrar\s*[:>]\s*([^\n<]+)", r"(?iu)Регистратор\s*[:>]\s*([^\n<]+)"]
+
+
 def whois_fields(text: Column, as_of: str) -> dict[str, Column]:
-    """registrar, created and age in years of a domain registration record."""
-    day = F.regexp_extract(text, r"(?im)^\s*(?:creation date|created|registered on)\s*:\s*(\S+)", 1)
-    created = F.coalesce(F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd"), F.try_to_date(F.substring(day, 1, 10), "dd.MM.yyyy"))
-    return {
-        "registrar": F.nullif(F.trim(F.regexp_extract(text, r"(?im)^\s*registrar\s*:\s*(.+?)\s*$", 1)), F.lit("")),
-        "created": created,
-        "age_years": F.floor(F.datediff(F.lit(as_of).cast("date"), created) / 365.25).cast("int"),
-    }
+    """registrar, created, age in whole years and its label, of a domain registration record."""
+    found = F.transform(F.array(*[F.regexp_extract(text, p, 1) for p in WHOIS_CREATED]), parse_date)
+    created = F.get(F.array_compact(found), F.lit(0))
+    registrar = F.coalesce(*[F.nullif(strip_html(F.regexp_extract(text, p, 1)), F.lit("")) for p in WHOIS_REGISTRAR])
+    return {"registrar": registrar, "created": created, "age_years": F.floor(age_in_years(created, as_of)).cast("int"), "age_label": age_label(age_in_years(created, as_of))}

@@ -5,6 +5,7 @@ from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
+from crawlsmith.functions import dates as D
 from crawlsmith.functions import html as H
 from crawlsmith.functions import text as T
 from crawlsmith.functions import urls as U
@@ -142,3 +143,20 @@ def test_jsonld_at_any_depth(spark):
         except ValueError:
             value, types = None, re.findall(r'"@type"\s*:\s*"([^"]+)"', r.b)
         assert (r.t, r.s) == (list(dict.fromkeys(types)), string(value)), r.b
+
+
+DATES = {
+    "2014-06-01": "2014-06-01", "2014-06-01T10:00:00Z": "2014-06-01", "2014-6-1 10:00": "2014-06-01", "2014/06/01": "2014-06-01", "2014.06.01": "2014-06-01", "2014 06 01": "2014-06-01", "01.02.2020": "2020-02-01", "1.2.2020": "2020-02-01",
+    "before 01.02.2020": "2020-02-01", "15 Jan 2020": "2020-01-15", "15-Jan-2020": "2020-01-15", "15-jan-98": "1998-01-15", "15-JAN-07": "2007-01-15", "1st March 2011": "2011-03-01", "Wed, 15 Jan 2020 00:00:00 GMT": "2020-01-15",
+    "Wed Jan 15 2020": "2020-01-15", "Jan 15, 2020": "2020-01-15", "January 15 2020": "2020-01-15", "Sept. 3, 2001": "2001-09-03", "Wed Jan 15 10:20:30 UTC 2020": "2020-01-15", "2020-Jan-15": "2020-01-15", "2020 jan 5": "2020-01-05",
+    "01/15/2020": "2020-01-15", "1/5/49": "2049-01-05", "1/5/50": "1950-01-05", "12-31-1999": "1999-12-31", "Jan 2020": "2020-01-01", "December, 1999": "1999-12-01", "2020-02-30": None, "31.04.2020": None, "29.02.2020": "2020-02-29", "29 Feb 2021": None,
+    "13/45/2020": None, "never": None, "": None, "20200115": None, "Jan": None, "99": None, "2014-13-01": None, "Smarch 3, 2001": None, "1234567890": None,
+}
+
+
+def test_dates_in_text(spark):
+    df = spark.createDataFrame([*DATES.items(), (None, None)], "t string, want string")
+    got = [(r.t, r.d, r.want) for r in df.select("t", "want", D.parse_date(F.col("t")).cast("string").alias("d")).collect() if r.d != r.want]
+    assert got == []
+    ages = spark.createDataFrame([(None,), (0.4,), (1.9,), (2.0,), (4.99,), (5.0,), (21.0,)], "y double")
+    assert [r.a for r in ages.select(D.age_label(F.col("y")).alias("a")).collect()] == ["не удалось определить", "меньше 1 года", "1 год", "2 года", "4 года", "5 лет", "21 лет"]
