@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsmith.operators.site_profile import BUCKETS
+
 #: Whether more is better, by metric.
 NUMBERS = {"authority": True, "sitemap_total": True, "informational_count": True, "ttfb_ms": False, "mobile_score": True, "desktop_score": True, "commercial_signals_found": True, "regional": True}
 FLAGS = ["gptbot_ok", "llms_txt", "schema_critical", "canonical_ok", "googlebot_ok", "yandexbot_ok"]
@@ -21,6 +23,47 @@ def site_metrics(domains: DataFrame, **checks: DataFrame) -> DataFrame:
     return df.withColumn("errors", errors).drop(*[f"has_{n}" for n in checks])
 
 
+#: By check the metrics that it gives a domain, as SQL over the check's rows; several rows of a domain are brought together by maximum.
+METRICS = {
+    "site_profile": {
+        "type": "site_type", "age_years": "age_years", "age_label": "age_label", "cms": "cms", "authority": "iks_count", "sitemap_total": "total",
+        **{f"{b}_{k}": f"{b}_{k}" for b in BUCKETS for k in ("count", "percent")},
+        "commercial_signals_found": "critical_found + important_found + additional_found", "commercial_signals_total": "CASE WHEN critical_found IS NOT NULL THEN 10 END", "llms_txt": "llms_status = 'ok'",
+    },
+    "speed": {"ttfb_ms": "ttfb_ms", "mobile_score": "mobile_score", "desktop_score": "desktop_score"},
+    "ssr": {f"{bot}bot_ok": f"CASE WHEN agent = '{bot}' THEN coalesce(http_code = 200 AND coalesce(access_state, 'ok') = 'ok', false) END" for bot in ("google", "yandex")},
+    "index": {"canonical_ok": "canonical_ok", "robots_ok": "robots_allowed"},
+    "llm": {"gptbot_ok": "CASE WHEN agent = 'gptbot' THEN coalesce(http_code = 200 AND coalesce(access_state, 'ok') = 'ok', false) END", "schema_critical": "coalesce(schema_critical_matched, 0) > 0", "faq_found": "coalesce(size(faq_signals), 0) > 0"},
+    "subdomains": {"found": "found", "checked": "checked", "regional": "regional"},
+    "hosts": {"open_dev_test": "coalesce(category = 'environment' AND state = 'working' AND NOT coalesce(robots_blocked, false) AND NOT coalesce(noindex, false), false)"},
+    "content": {
+        "page_type": "page_type", "representative_url": "url", "content_verdict": "CASE WHEN critical_count > 0 THEN 'fail' WHEN important_count > 0 THEN 'warn' ELSE 'ok' END",
+        **{c: c for c in ("critical_count", "important_count", "improve_count", "items_on_page", "pagination_pages", "estimated_assortment", "infinite_scroll")},
+    },
+    "article": {f"article_{k}": f"CASE WHEN page_type = 'article' THEN {c} END" for k, c in {"url": "url", "word_count": "word_count", "density_percent": "density", "author_found": "author_found", "schema_found": "article_schema_found", "internal_links": "internal_links", "images_count": "content_images"}.items()},
+}
+#: Checks whose absence is no error of a comparison: the article is a second look at content, hosts belong to subdomains.
+_QUIET = ("hosts", "article")
+
+
+def derive_metrics(domains: DataFrame, **checks: DataFrame) -> DataFrame:
+    """A row for each domain with all METRICS of the checks, and errors, the names of those that failed for it.
+
+    A check is a table (domain, ok, and what its metrics read); rows that are not ok count as missing, and so do checks that are not
+    given. Each check's rows become metrics where they are, and all meet in one aggregation by domain.
+    """
+    kinds = {name: checks[name].where("ok").selectExpr("domain", *[f"{sql} AS `{m}`" for m, sql in METRICS[name].items()], f"true AS `has_{name}`") for name in checks}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds.values(), domains.select("domain").withColumn("wanted_", F.lit(True)))
+    made = [m for name in METRICS if name in kinds for m in METRICS[name]]
+    per = rows.groupBy("domain").agg(F.max("wanted_").alias("wanted_"), *[F.max(c).alias(c) for c in [*made, *[f"has_{n}" for n in kinds]]]).where("wanted_")
+    absent = {m: F.lit(None).cast("string") for name in METRICS if name not in kinds for m in METRICS[name]}
+    ok = {n: F.coalesce(F.col(f"has_{n}"), F.lit(False)) if n in kinds else F.lit(False) for n in METRICS}
+    errors = F.array_compact(F.array(*[F.when(~ok[n], n) for n in METRICS if n not in _QUIET]))
+    # A check of subdomains that found no host has no open one.
+    open_ = {"open_dev_test": F.when(ok["subdomains"], F.coalesce("open_dev_test", F.lit(False)))} if "hosts" in kinds else {}
+    return per.withColumns(absent | open_ | {"errors": errors}).select("domain", *[m for own in METRICS.values() for m in own], "errors")
+
+
 def _pairs(metrics: DataFrame) -> DataFrame:
     cols = [*NUMBERS, *FLAGS]
     own = metrics.where("is_own").select("grp", F.struct("domain", *cols).alias("o"))

@@ -303,6 +303,16 @@ def catalog_structure(df: DataFrame) -> DataFrame:
     return df.select("page_id", *[F.when(category, c).alias(k) for k, c in found.items()])
 
 
+def compare_summary(df: DataFrame) -> DataFrame:
+    """What a comparison takes from audited pages: page_id, url, page_type, numbers of issues by severity and figures of the page; null figures where an audit stopped at its type."""
+    audited = ~F.col("needs_choice")
+    count = lambda s: F.when(audited, F.size(F.filter("issues", lambda x: x.severity == s)))
+    category, mode = F.col("page_type") == "category", F.col("pagination_mode")
+    figures = {"word_count": F.col("word_count"), "density": F.col("density"), "internal_links": F.col("internal_links"), "content_images": F.col("content_images"), "author_found": F.col("author_found"), "article_schema_found": F.arrays_overlap("types", F.array(*map(F.lit, SCHEMAS["article"])))}
+    listing = {"items_on_page": F.when(category, F.nullif("listing_cards", F.lit(0))), "pagination_pages": F.when(category & (mode == "pages"), F.col("pagination_pages")), "estimated_assortment": F.when(category & (mode == "pages"), F.col("assortment")), "infinite_scroll": category & (mode == "infinite")}
+    return df.select("page_id", "url", "page_type", count("critical").alias("critical_count"), count("warn").alias("important_count"), count("improve").alias("improve_count"), *[c.alias(k) for k, c in (figures | listing).items()])
+
+
 def representative_url(urls: DataFrame, kind: str = "default") -> DataFrame:
     """site, url: the url (site, loc, pos) that stands best for a site; the earliest of the best, or none above 0."""
     p = F.lower(path(F.col("loc")))

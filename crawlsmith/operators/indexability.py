@@ -114,28 +114,55 @@ def redirect_chains(hops: DataFrame, most: int = 5) -> DataFrame:
     return chains.select("start", "final_url", F.get("chain", F.lit(0)).to_url.alias("first_target"), F.size("chain").alias("hops"), "chain")
 
 
-def expand_sitemaps(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """site, loc, lastmod, root_kind of all url rows reachable from ``roots`` (site, file), whatever their depth.
+def expand_sitemaps(files: DataFrame, roots: DataFrame, max_files: int | None = None, max_urls: int | None = None) -> DataFrame:
+    """site, loc, lastmod, root_kind, truncated_by_files and truncated_by_urls of all url rows reachable from ``roots`` (site, file), whatever their depth.
 
-    ``files`` has a row for each entry of a sitemap file: file, kind (index or url), loc, lastmod. A file is followed once
-    for each site, so cycles end; a level of nesting is a join, and its files are settled before the next. root_kind is
+    ``files`` has a row for each entry of a sitemap file: file, kind (index or url), loc, lastmod, and pos where its order is known. A file is
+    followed once for each site, so cycles end; a level of nesting is a join, and its files are settled before the next. root_kind is
     index if any entry of the site's root is one.
+
+    By default nothing is left out. With bounds a site's files are taken level by level, in the order of the entries that name them, and
+    its urls in the order of its files and entries; what a level uses of the bound is carried to the next, and the flags tell which sites lost some.
     """
-    frontier = settled(roots.select("site", "file").distinct())
+    if "pos" not in files.columns:
+        files = files.withColumn("pos", F.lit(0))
+    place = lambda *order: F.row_number().over(Window.partitionBy("site").orderBy(*order))
+    first = roots.select("site", "file").distinct().withColumn("place", place("file") if max_files is not None else F.lit(1))
+    frontier = settled(first.withColumn("level", F.lit(0)).where("true" if max_files is None else f"place <= {max_files}"))
+    cut = first.where(f"place > {max_files}").select("site") if max_files is not None else None
     seen = frontier
     root_kind = frontier.join(files, "file").groupBy("site").agg(F.min("kind").alias("root_kind"))
+    level = 0
     while True:
-        nested = unseen_files(frontier.join(files.where("kind = 'index'"), "file"), seen)
-        frontier = settled(nested)
+        level += 1
+        entries = frontier.select("site", "file", F.col("place").alias("above_")).join(files.where("kind = 'index'"), "file")
+        nested = entries.groupBy("site", F.col("loc").alias("file")).agg(F.min(F.struct("above_", "pos")).alias("order_")).join(seen.select("site", "file"), ["site", "file"], "left_anti")
+        if max_files is None:
+            frontier = settled(nested.select("site", "file", F.lit(1).alias("place"), F.lit(level).alias("level")))
+        else:
+            # One more than the bound tells that there is more; a window keeps no more rows of a site.
+            used = seen.groupBy("site").agg(F.count(F.lit(1)).alias("used_"))
+            ranked = settled(nested.withColumn("place", place("order_", "file")).where(f"place <= {max_files} + 1").join(used, "site").withColumn("fits_", F.col("place") + F.col("used_") <= max_files))
+            cut = cut.union(ranked.where("NOT fits_").select("site"))
+            frontier = settled(ranked.where("fits_").select("site", "file", "place", F.lit(level).alias("level")))
         if not frontier.limit(1).count():
             break
         seen = settled(seen.union(frontier))
-    return seen.join(files.where("kind = 'url'"), "file").join(root_kind, "site").select("site", "loc", "lastmod", "root_kind")
-
-
-def unseen_files(entries: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files of index ``entries`` that are not yet in ``seen``."""
-    return entries.select("site", F.col("loc").alias("file")).distinct().join(seen, ["site", "file"], "left_anti")
+    urls = files.where("kind = 'url'")
+    rows = seen.join(urls, "file").join(root_kind, "site")
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    if max_urls is not None:
+        # Sums over files, which are few, give where each file's urls begin; only within a file are urls counted one by one.
+        counts = seen.join(urls.groupBy("file").agg(F.count(F.lit(1)).alias("n_")), "file")
+        before = F.sum("n_").over(Window.partitionBy("site").orderBy("level", "place", "file").rowsBetween(Window.unboundedPreceding, -1))
+        starts = settled(counts.withColumn("before_", F.coalesce(before, F.lit(0))).select("site", "file", "before_", "n_"))
+        within = F.row_number().over(Window.partitionBy("site", "file").orderBy("pos", "loc", "lastmod"))
+        rows = rows.join(starts.where(f"before_ < {max_urls}"), ["site", "file"]).withColumn("within_", within).where(f"before_ + within_ <= {max_urls}")
+        rows = rows.join(flag(starts.where(f"before_ + n_ > {max_urls}").select("site"), "truncated_by_urls"), "site", "left")
+    else:
+        rows = rows.withColumn("truncated_by_urls", F.lit(False))
+    rows = rows.join(flag(cut, "truncated_by_files"), "site", "left") if cut is not None else rows.withColumn("truncated_by_files", F.lit(False))
+    return rows.select("site", "loc", "lastmod", "root_kind", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("truncated_by_files", "truncated_by_urls")])
 
 
 def robots_home_blocked(robots_rules: DataFrame, sites: DataFrame, agents: list[str]) -> DataFrame:

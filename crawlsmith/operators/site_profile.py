@@ -84,7 +84,7 @@ def structure_sums(as_of: str) -> list[Column]:
 
 
 def with_percents(per: DataFrame) -> DataFrame:
-    return per.select("*", *[half_up(100.0 * F.col(f"{b}_count") / F.col("total")).alias(f"{b}_percent") for b in BUCKETS])
+    return per.select("*", *[half_up(F.try_divide(100.0 * F.col(f"{b}_count"), F.col("total"))).alias(f"{b}_percent") for b in BUCKETS])
 
 
 def top_sections(urls: DataFrame, n: int = 12) -> DataFrame:

@@ -16,6 +16,7 @@ from crawlsmith.operators import keywords as K
 from crawlsmith.operators import ledger as L
 from crawlsmith.operators import speed as S
 from crawlsmith.operators import vacancies as V
+from crawlsmith.operators.site_profile import BUCKETS
 from crawlsmith.plans.audit_queries import ROBOTS, d_host
 from crawlsmith.plans.fixtures import shared_sql, view, with_views
 from crawlsmith.plans.layout_sql import layout as _layout
@@ -255,3 +256,53 @@ def j9(spark, sf_dir):
 def j11(spark, sf_dir):
     profiles, matches = V.drop_profile(3, view(spark, sf_dir, "v_profiles"), view(spark, sf_dir, "v_matches"))
     return profiles.select(F.lit("profiles").alias("part"), F.col("id").alias("profile_id"), F.lit(None).cast("string").alias("vacancy_id")).unionByName(matches.select(F.lit("matches").alias("part"), "profile_id", "vacancy_id"))
+
+
+_CHECKS = """_dm AS (SELECT DISTINCT domain, CAST(length(domain) AS INT) AS n FROM v_pages),
+_sp AS (SELECT domain, n % 7 <> 0 AS ok, CASE WHEN n % 2 = 0 THEN 'shop' ELSE 'blog' END AS site_type, CAST(n AS DOUBLE) AS age_years, 'x' AS age_label, 'PHP' AS cms, CAST(n * 10 AS BIGINT) AS iks_count, CAST(n AS BIGINT) AS total, """ + ", ".join(f"CAST(n % {i + 2} AS BIGINT) AS {b}_count, CAST(n % {i + 3} AS BIGINT) AS {b}_percent" for i, b in enumerate(BUCKETS)) + """,
+  n % 5 AS critical_found, n % 4 AS important_found, n % 3 AS additional_found, CASE WHEN n % 3 = 0 THEN 'ok' ELSE 'warn' END AS llms_status FROM _dm WHERE n % 11 <> 0),
+_sd AS (SELECT domain, n % 5 <> 1 AS ok, n * 10 AS ttfb_ms, n AS mobile_score, CASE WHEN n % 2 = 0 THEN n + 1 END AS desktop_score FROM _dm),
+_ss AS (SELECT domain, true AS ok, agent, http_code, CASE WHEN page_id % 3 = 0 THEN 'captcha' END AS access_state FROM v_snapshots s JOIN v_pages p USING (page_id) WHERE page_id % 4 <> 0),
+_ix AS (SELECT domain, true AS ok, n % 2 = 0 AS canonical_ok, n % 3 = 0 AS robots_allowed FROM _dm WHERE n % 3 <> 2),
+_lm AS (SELECT domain, true AS ok, CASE n % 2 WHEN 0 THEN 'gptbot' ELSE 'claudebot' END AS agent, 200 AS http_code, CAST(NULL AS STRING) AS access_state, n % 4 AS schema_critical_matched, CASE WHEN n % 5 = 0 THEN {array}('details') ELSE {array}() END AS faq_signals FROM _dm),
+_sb AS (SELECT domain, true AS ok, CAST(n AS BIGINT) AS found, CAST(n - 1 AS BIGINT) AS checked, CAST(n % 6 AS BIGINT) AS regional FROM _dm WHERE n % 4 <> 3),
+_hs AS (SELECT domain, true AS ok, CASE WHEN host LIKE 'dev.%' THEN 'environment' ELSE 'other' END AS category, CASE WHEN status = 200 THEN 'working' ELSE 'closed' END AS state, false AS robots_blocked, length(host) % 3 = 0 AS noindex FROM v_probes),
+_ct AS (SELECT domain, true AS ok, CASE WHEN n % 3 = 0 THEN 'article' ELSE 'category' END AS page_type, concat('https://', domain) AS url, n % 2 AS critical_count, n % 3 AS important_count, n % 4 AS improve_count, n % 5 AS items_on_page, n AS pagination_pages, n * 2 AS estimated_assortment, n % 2 = 0 AS infinite_scroll, n * 3 AS word_count, CAST(n AS DOUBLE) AS density, n % 2 = 1 AS author_found, n % 3 = 0 AS article_schema_found, n AS internal_links, n + 1 AS content_images FROM _dm WHERE n % 5 <> 4)"""
+_PARTS = {"site_profile": "_sp", "speed": "_sd", "ssr": "_ss", "index": "_ix", "llm": "_lm", "subdomains": "_sb", "hosts": "_hs", "content": "_ct", "article": "_ct"}
+
+
+def _metrics_sql() -> str:
+    """DuckDB: each check summed up by itself, then left joins."""
+    parts, columns, joins = [], [], []
+    for name, table in _PARTS.items():
+        own = ", ".join(f"max({sql.replace('size(', 'len(')}) AS {m}" for m, sql in M.METRICS[name].items())
+        parts.append(f"_z{name} AS (SELECT domain, {own} FROM {table} WHERE ok GROUP BY domain)")
+        joins.append(f"LEFT JOIN _z{name} ON _z{name}.domain = _dm.domain")
+        columns += [f"CASE WHEN _zsubdomains.domain IS NOT NULL THEN coalesce(open_dev_test, false) END AS {m}" if m == "open_dev_test" else f"_z{name}.{m}" for m in M.METRICS[name]]
+    errors = ", ".join(f"CASE WHEN _z{n}.domain IS NULL THEN '{n}' END" for n in _PARTS if n not in ("hosts", "article"))
+    return f"{_CHECKS.replace('{array}', 'list_value')},\n{', '.join(parts)}\nSELECT _dm.domain, {', '.join(columns)}, array_to_string(list_filter([{errors}], lambda x: x IS NOT NULL), ',') AS errors FROM _dm {' '.join(joins)}"
+
+
+@query("m1_derived_metrics", _metrics_sql(), "v_pages", "v_snapshots", "v_probes")
+def m1_derived(spark, sf_dir):
+    checks = {name: shared_sql(spark, sf_dir, _CHECKS.replace("{array}", "array"), table, "v_pages", "v_snapshots", "v_probes") for name, table in _PARTS.items()}
+    return M.derive_metrics(view(spark, sf_dir, "v_pages").select("domain"), **checks).withColumn("errors", F.array_join("errors", ","))
+
+
+_FILES = """_sf AS (SELECT concat('r:', site) AS file, 'index' AS kind, concat(x.k, ':', site) AS loc, CAST(NULL AS STRING) AS lastmod, x.p AS pos FROM (SELECT DISTINCT site FROM v_sitemap_urls) s CROSS JOIN (SELECT 'a' AS k, 0 AS p UNION ALL SELECT 'b', 1 UNION ALL SELECT 'c', 2 UNION ALL SELECT 'd', 3) x
+UNION ALL SELECT DISTINCT concat('a:', site), 'index', concat(x.k, ':', site), CAST(NULL AS STRING), x.p FROM v_sitemap_urls CROSS JOIN (SELECT 'm' AS k, 0 AS p UNION ALL SELECT 'r', 1) x
+UNION ALL SELECT concat(CASE pos % 3 WHEN 0 THEN 'b:' WHEN 1 THEN 'c:' ELSE 'd:' END, site), 'url', loc, lastmod, CAST(pos AS INT) FROM v_sitemap_urls
+UNION ALL SELECT concat('m:', site), 'url', loc, lastmod, CAST(pos AS INT) FROM v_sitemap_urls WHERE pos % 5 = 0)"""
+
+
+@query("x4_expand_sitemaps", """SELECT site, loc, lastmod, 'index' AS root_kind, false AS truncated_by_files, false AS truncated_by_urls FROM v_sitemap_urls UNION ALL SELECT site, loc, lastmod, 'index', false, false FROM v_sitemap_urls WHERE pos % 5 = 0""", "v_sitemap_urls")
+def x4(spark, sf_dir):
+    roots = view(spark, sf_dir, "v_sitemap_urls").select("site", F.concat(F.lit("r:"), "site").alias("file"))
+    return X.expand_sitemaps(shared_sql(spark, sf_dir, _FILES, "_sf", "v_sitemap_urls"), roots)
+
+
+@query("x4_bounded_sitemaps", """_u AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pos % 3, pos) AS k, count(*) OVER (PARTITION BY site) AS n FROM v_sitemap_urls WHERE pos % 3 < 2)
+SELECT site, loc, lastmod, 'index' AS root_kind, true AS truncated_by_files, n > 3 AS truncated_by_urls FROM _u WHERE k <= 3""", "v_sitemap_urls")
+def x4_bounded(spark, sf_dir):
+    roots = view(spark, sf_dir, "v_sitemap_urls").select("site", F.concat(F.lit("r:"), "site").alias("file"))
+    return X.expand_sitemaps(shared_sql(spark, sf_dir, _FILES, "_sf", "v_sitemap_urls"), roots, 4, 3)

@@ -215,3 +215,51 @@ def test_menu(spark):
     assert got[1].labels == ["About", "Blog", "FAQ", "Home", "Again", "Pricing"] and [x.url for x in got[1].links] == ["https://a.b/about/", "https://a.b/blog", "https://a.b/faq?x=1&y=2", "https://a.b/price"]
     assert [x.url for x in got[2].links] == ["https://a.b/only"]
     assert [(r.place, r.label) for r in C.menu_links(df).where("page_id = 1").orderBy("place").collect()] == [(1, "About"), (2, "FAQ"), (3, "Pricing"), (4, "Blog")]
+
+
+def test_compare_summary(spark):
+    cases = [("article", "https://a/x", "<h1>t</h1><p>Автор</p>"), ("category", "https://a/x", "<li data-product></li>" * 6 + "<a href='/x?page=5'>5</a>")]
+    df = C.content_issues(typed(spark, cases))
+    got = {r.page_id: r for r in C.compare_summary(df).collect()}
+    issues = {r.page_id: [x.severity for x in r.issues] for r in df.collect()}
+    assert all((got[i].critical_count, got[i].important_count, got[i].improve_count) == tuple(map(issues[i].count, ("critical", "warn", "improve"))) for i in (0, 1))
+    assert (got[0].author_found, got[0].article_schema_found, got[0].items_on_page, got[0].infinite_scroll) == (True, False, None, False)
+    assert (got[1].items_on_page, got[1].pagination_pages, got[1].estimated_assortment) == (6, 5, 30)
+    asked = C.compare_summary(df.withColumn("needs_choice", F.lit(True))).first()
+    assert asked.critical_count is None and asked.word_count is not None
+
+
+def test_derived_metrics(spark):
+    from crawlsmith.operators import compare as M
+
+    domains = spark.createDataFrame([("a",), ("b",), ("a",)], "domain string")
+    speed = spark.createDataFrame([("a", True, 5, 6, None), ("b", False, 7, 8, 9), ("z", True, 1, 1, 1)], "domain string, ok boolean, ttfb_ms int, mobile_score int, desktop_score int")
+    ssr = spark.createDataFrame([("a", True, "google", 200, None), ("a", True, "yandex", 200, "captcha"), ("b", True, "google", 403, "ok")], "domain string, ok boolean, agent string, http_code int, access_state string")
+    subs = spark.createDataFrame([("a", True, 3, 2, 1), ("b", True, 1, 1, 0)], "domain string, ok boolean, found int, checked int, regional int")
+    hosts = spark.createDataFrame([("a", True, "environment", "working", False, False), ("a", True, "mail", "working", False, False)], "domain string, ok boolean, category string, state string, robots_blocked boolean, noindex boolean")
+    article = spark.createDataFrame([("a", True, "article", "u", 10, 5.0, True, False, 1, 2), ("b", True, "category", "u", 10, 5.0, True, False, 1, 2)], "domain string, ok boolean, page_type string, url string, word_count int, density double, author_found boolean, article_schema_found boolean, internal_links int, content_images int")
+    got = {r.domain: r for r in M.derive_metrics(domains, speed=speed, ssr=ssr, subdomains=subs, hosts=hosts, article=article).collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a.ttfb_ms, a.desktop_score, a.googlebot_ok, a.yandexbot_ok, a.open_dev_test, a.article_word_count) == (5, None, True, False, True, 10)
+    assert (b.ttfb_ms, b.googlebot_ok, b.yandexbot_ok, b.open_dev_test, b.article_word_count, b.found) == (None, False, None, False, None, 1)
+    assert a.errors == ["site_profile", "index", "llm", "content"] and b.errors == ["site_profile", "speed", "index", "llm", "content"]
+
+
+def test_profile_of_a_site(spark):
+    from crawlsmith.operators import profile as P
+
+    urls = spark.createDataFrame([("s", f"https://s/{p}", "2024-01-20") for p in ("blog/1", "blog/2", "faq/", "zzz")] + [("t", None, None)], "site string, loc string, lastmod string").where("loc IS NOT NULL")
+    home = "<title>Блог для бизнеса | S</title><h1>Самара: новости</h1><nav><a href='/contacts'>Контакты</a></nav><p>отзывы</p>"
+    pages = spark.createDataFrame([("s", "https://s/", home), ("s", "https://s/other", "<title>Казань</title><h1>другое</h1>ул. Мира"), ("t", "https://t/", "<p>ничего</p>"), ("u", "https://u/", None)], "site string, url string, html string")
+    whois = spark.createDataFrame([("s", "Registrar: R\nCreated: 5 May 2012")], "site string, text string")
+    search = spark.createDataFrame([("s", "google", "About 1,200 results"), ("s", "yandex", "nothing"), ("s", "iks", "ИКС 30")], "site string, engine string, html string")
+    got = {r.site: r for r in P.site_profile(urls, pages, "2024-02-01", whois=whois, search=search).collect()}
+    s, t = got["s"], got["t"]
+    assert (s.site_type, s.audience, s.topic, s.region, s.home_url) == ("blog", "B2B", "Самара: новости", "Самара", "https://s/")
+    assert (s.total, s.informational_percent, s.google_count, s.yandex_count, s.iks_count, s.registrar, s.age_label, s.age_years) == (4, 50, 1200, None, 30, "R", "11 лет", 11.7)
+    assert s.summary == "B2B, блог, Самара: новости, Самара. В sitemap найдено 4 URL; основные разделы: информационных 50%, faq 25%. Пробелы: адрес не найден, 1 страниц не классифицированы."
+    assert (t.total, t.structure_note, t.site_type, t.llms_status, t.age_label) == (None, "no_sitemap", "unknown", None, "не удалось определить") and t.summary.startswith("Тип сайта определить не удалось. Sitemap не найден")
+    assert got["u"].h1 is None and got["u"].menu == []
+    plan = P.site_profile(urls, pages, "2024-02-01", whois=whois)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -58,7 +58,7 @@ def test_redirect_chains(spark):
 def test_expand_sitemaps_ends_on_cycles(spark):
     files = spark.createDataFrame([("i", "index", "j", None), ("j", "index", "i", None), ("j", "index", "u", None), ("u", "url", "x", "2024-01-01")], "file string, kind string, loc string, lastmod string")
     out = X.expand_sitemaps(files, spark.createDataFrame([("s", "i")], "site string, file string"))
-    assert [tuple(r) for r in out.collect()] == [("s", "x", "2024-01-01", "index")]
+    assert [tuple(r) for r in out.collect()] == [("s", "x", "2024-01-01", "index", False, False)]
 
 
 def test_expand_sitemaps_has_no_depth(spark):
@@ -67,6 +67,47 @@ def test_expand_sitemaps_has_no_depth(spark):
     assert [r.loc for r in X.expand_sitemaps(files, spark.createDataFrame([("s", "f0")], "site string, file string")).collect()] == ["deep"]
 
 
+def breadth_first(files, roots, max_files, max_urls):
+    """A file at a time, as a crawler with a queue takes them."""
+    by, out = {}, []
+    for f, kind, loc, pos in sorted(files, key=lambda r: r[3]):
+        by.setdefault(f, []).append((kind, loc))
+    for site, root in roots:
+        queue, seen, urls, cut = [root], {root}, [], False
+        taken = []
+        while queue:
+            f = queue.pop(0)
+            if max_files is not None and len(taken) >= max_files:
+                cut = True
+                break
+            taken.append(f)
+            for kind, loc in by.get(f, ()):
+                if kind == "index" and loc not in seen:
+                    seen.add(loc)
+                    queue.append(loc)
+                elif kind == "url":
+                    urls.append(loc)
+        most = len(urls) if max_urls is None else max_urls
+        out += [(site, u, cut, len(urls) > most) for u in urls[:most]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [(None, None), (3, None), (None, 5), (4, 7), (1, 1), (100, 100)])
+def test_sitemap_bounds_carry_over_levels(spark, most):
+    files, n = [], 0
+    for site in "ab":
+        for name, entries in {"r": "i:x i:y i:z", "x": "i:p u:1 u:2", "y": "u:3 i:r i:q", "z": "u:4 u:5 u:6", "p": "u:7 i:z i:missing", "q": "u:8 u:9"}.items():
+            for entry in entries.split():
+                kind, loc = entry.split(":")
+                n += 1
+                if site == "a" or name != "y":
+                    files.append((site + name, "index" if kind == "i" else "url", site + loc, n))
+    roots = [("a", "ar"), ("b", "br")]
+    df = spark.createDataFrame([(f, k, loc, None, pos) for f, k, loc, pos in files], "file string, kind string, loc string, lastmod string, pos int").repartition(3)
+    got = X.expand_sitemaps(df, spark.createDataFrame(roots, "site string, file string"), *most)
+    assert sorted((r.site, r.loc, r.truncated_by_files, r.truncated_by_urls) for r in got.collect()) == breadth_first(files, roots, *most)
+
+
 def test_regional_notes_and_verdicts(spark):
     rows = [("d", "a.d", "working", None, False, True, "ok", 3), ("d", "b.d", "working", "https://x.d/p", True, False, "warn", 1), ("d", "c.d", "timeout", None, True, False, "warn", 2), ("e", "m.e", "working", None, False, False, "ok", 1), ("e", "n.e", "working", "https://n.e/", True, True, "ok", 2)]
     notes = D.regional_notes(spark.createDataFrame(rows, "domain string, host string, state string, canonical string, same_title boolean, has_hreflang boolean, level string, place int"))
