@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlsmith.functions.frames import fenced, settled
 from crawlsmith.functions.text import anchor_tokens, collapse, comparable_tokens, query_tokens, seed_phrase, slugify
+from crawlsmith.functions.urls import path
 
 #: Words of worthless intent, and competing brands.
 STOP = ["скачать", "торрент", "crack", "вакансия", "работа", "wikipedia", "бесплатно", "реферат"]
@@ -193,6 +194,34 @@ def content_plan(clusters: DataFrame, tools: DataFrame, members: DataFrame, list
     return articles.unionByName(pages)
 
 
+#: Titles and descriptions of drafts, by their type, and the query of a tool page without one of its own.
+DRAFTS = {
+    "tool_page": ("{q} — проверка и решение", "Проверьте запрос «{q}» через инструмент и найдите причину проблемы."),
+    "blog_article": ("{q}: что проверить и как исправить", "Разбираем запрос «{q}»: причины, диагностика и пошаговые действия."),
+}
+NO_TOOL_QUERY = "seo инструмент"
+
+
+def plan_drafts(research: DataFrame, clusters: DataFrame, tools: DataFrame, members: DataFrame, listed: int = 12) -> DataFrame:
+    """A draft for the tool page of each research (research_id, url) and one for each of its clusters, with title, description, target and a whole brief.
+
+    A tool page stands at the path of the research's url, an article at the slug of its query; both link to the research.
+    """
+    ordered = members.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("frequency"), "query"))).where(F.col("place") <= listed)
+    lists = ordered.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("place", "query"))).alias("l")).select("cluster_id", F.transform("l", lambda x: x.query).alias("secondary_queries"))
+    none = F.array().cast("array<string>")
+    articles = clusters.join(lists, "cluster_id", "left").select("research_id", "cluster_id", F.lit("blog_article").alias("type"), "main_query", F.coalesce("secondary_queries", none).alias("secondary_queries"))
+    pages = research.select("research_id").join(tools, "research_id", "left").select("research_id", F.lit(None).cast("string").alias("cluster_id"), F.lit("tool_page").alias("type"), F.coalesce("main_query", F.lit(NO_TOOL_QUERY)).alias("main_query"), F.coalesce("secondary_queries", none).alias("secondary_queries"))
+    rows = articles.withColumn("cluster_id", F.col("cluster_id").cast("string")).unionByName(pages).join(research.select("research_id", F.col("url").alias("source_url")), "research_id")
+    spelled = F.concat(F.upper(F.substring("main_query", 1, 1)), F.expr("substring(main_query, 2)"))
+    filled = lambda text, q: F.replace(F.lit(text), F.lit("{q}"), q)
+    by_type = lambda k, q: F.when(F.col("type") == "tool_page", filled(DRAFTS["tool_page"][k], q)).otherwise(filled(DRAFTS["blog_article"][k], q))
+    at = F.when(path(F.col("source_url")) == "", "/").otherwise(path(F.col("source_url")))
+    target = F.when(F.col("type") == "tool_page", at).otherwise(F.concat(F.lit("/blog/"), slugify(F.col("main_query")), F.lit("/")))
+    rows = rows.withColumns({"target_url": target, "title": by_type(0, spelled), "description": by_type(1, F.col("main_query")), "linking_hints": F.array("source_url")})
+    return complete_briefs(rows)
+
+
 def replace_partition(existing: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``existing`` without the researches of ``new``, and ``new``."""
     keys = keys or ["research_id"]

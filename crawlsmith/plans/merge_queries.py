@@ -306,3 +306,28 @@ SELECT site, loc, lastmod, 'index' AS root_kind, true AS truncated_by_files, n >
 def x4_bounded(spark, sf_dir):
     roots = view(spark, sf_dir, "v_sitemap_urls").select("site", F.concat(F.lit("r:"), "site").alias("file"))
     return X.expand_sitemaps(shared_sql(spark, sf_dir, _FILES, "_sf", "v_sitemap_urls"), roots, 4, 3)
+
+
+_DRAFTS = """_rs AS (SELECT DISTINCT research_id, concat('https://', research_id, '.example.com/tools/x') AS url FROM v_queries),
+_mb AS (SELECT research_id, concat(research_id, '/', CAST(id % 7 AS STRING)) AS cluster_id, id, query, frequency FROM v_queries),
+_cl AS (SELECT research_id, cluster_id, min(query) AS main_query, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM _mb GROUP BY research_id, cluster_id),
+_tl AS (SELECT research_id, min(query) AS main_query FROM v_queries WHERE id % 3 = 0 AND length(research_id) % 2 = 0 GROUP BY research_id)"""
+_BRIEF = lambda k: "CASE type WHEN 'tool_page' THEN '" + "|".join(K.BRIEFS["tool_page"][k]) + "' ELSE '" + "|".join(K.BRIEFS["blog_article"][k]) + "' END"
+_SET = lambda k: "CASE type WHEN 'tool_page' THEN " + repr(K.BRIEFS["tool_page"]["settings"][k]) + " ELSE " + repr(K.BRIEFS["blog_article"]["settings"][k]) + " END"
+_DRAFT = lambda k, q: f"CASE type WHEN 'tool_page' THEN replace('{K.DRAFTS['tool_page'][k]}', '{{q}}', {q}) ELSE replace('{K.DRAFTS['blog_article'][k]}', '{{q}}', {q}) END"
+
+
+@query("k10_plan_drafts", _DRAFTS + f""",
+_ol AS (SELECT cluster_id, query, row_number() OVER (PARTITION BY cluster_id ORDER BY frequency DESC, query) AS place FROM _mb QUALIFY place <= 12),
+_cx AS (SELECT cluster_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS q, place, row_number() OVER (PARTITION BY cluster_id, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) ORDER BY place) AS k FROM _ol),
+_ls AS (SELECT cluster_id, string_agg(q, '|' ORDER BY place) AS sq FROM _cx WHERE k = 1 AND q <> '' GROUP BY cluster_id),
+_al AS (SELECT research_id, cluster_id, 'blog_article' AS type, main_query, sq FROM _cl LEFT JOIN _ls USING (cluster_id) UNION ALL SELECT research_id, NULL, 'tool_page', coalesce(main_query, '{K.NO_TOOL_QUERY}'), NULL FROM _rs LEFT JOIN _tl USING (research_id))
+SELECT research_id, cluster_id, type, main_query, coalesce(sq, '') AS secondary_queries, url AS source_url, CASE type WHEN 'tool_page' THEN '/tools/x' ELSE '/blog/' || left(regexp_replace(regexp_replace(lower(main_query), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 120) || '/' END AS target_url,
+  {_DRAFT(0, 'upper(left(main_query, 1)) || substr(main_query, 2)')} AS title, {_DRAFT(1, 'main_query')} AS description, {_BRIEF('required_blocks')} AS required_blocks, {_BRIEF('schema_types')} AS schema_types, {_SET('tone')} AS tone, {_SET('min_words')} AS min_words, url AS linking_hints
+FROM _al JOIN _rs USING (research_id)""", "v_queries")
+def k10_drafts(spark, sf_dir):
+    part = lambda name: shared_sql(spark, sf_dir, _DRAFTS, name, "v_queries")
+    tools = part("_tl").withColumn("secondary_queries", F.array().cast("array<string>"))
+    df = K.plan_drafts(part("_rs"), part("_cl"), tools, part("_mb"))
+    lists = {c: F.array_join(c, "|") for c in ("secondary_queries", "required_blocks", "schema_types", "linking_hints")}
+    return df.withColumns(lists).select("research_id", "cluster_id", "type", "main_query", "secondary_queries", "source_url", "target_url", "title", "description", "required_blocks", "schema_types", "tone", "min_words", "linking_hints")
