@@ -80,6 +80,7 @@ def content_density_pct(text: Column, html: Column) -> Column:
 
 def seed_phrase(c: Column) -> Column:
     """A phrase in the form in which phrases are compared."""
+    #: Words that a phrase loses, and imperatives that become infinitives.
     edge = lambda words: rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
     c = F.regexp_replace(F.lower(c), r"[–—/]+", " ")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}\s-]+", " ")
@@ -93,6 +94,7 @@ def seed_phrase(c: Column) -> Column:
 def is_useful_phrase(c: Column) -> Column:
     """Whether a phrase of 2 to 6 words has none of the listed empty shapes."""
     n = F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    #: Shapes of phrases that say nothing.
     junk = [
         r"^(?:найти|проверить|проверка)$",
         r"(?i)(?<![A-Za-z0-9_])(?:subdomain|site|tool)(?![A-Za-z0-9_])",

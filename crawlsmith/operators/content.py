@@ -176,6 +176,7 @@ def page_type_scores(features: DataFrame) -> DataFrame:
     dated, cards, priced = F.col("published").isNotNull(), F.col("listing_cards"), F.col("price_count") > 0
     catalog = has("ItemList") | ((cards >= 5) & ((F.col("price_count") >= 5) | f("filter") | p.rlike("catalog|category|shop|store|products")))
     inner = ~root
+    #: What speaks for a type, and how much.
     rules: dict[str, list[tuple[Column, int]]] = {
         "product": [(inner & p.rlike("product|tovar|item|goods"), 35), (inner & (F.col("product_schemas") == 1) & ~catalog, 70), (inner & has("Product") & ~catalog, 40), (inner & priced & ~catalog, 25), (inner & F.col("buy_found") & ~catalog, 30), (inner & f("related") & priced & F.col("buy_found") & ~catalog, 10)],
         "category": [(inner & p.rlike("catalog|category|shop|store|collection|products"), 25), (inner & catalog, 95), (inner & has("ItemList"), 55), (inner & (cards >= 4), 35), (inner & f("filter"), 25), (inner & (n >= 120) & (cards >= 4), 10)],

@@ -63,6 +63,7 @@ def cleanup_flags(queries: DataFrame) -> DataFrame:
     """queries with flag (danger, warn, neutral) and its reason, the first that holds."""
     q, f = F.lower("query"), F.coalesce("frequency", F.lit(0))
     words = F.size(F.filter(F.split(q, r"\s+"), lambda x: x != ""))
+    #: Bounds, and patterns of versions and years, and what excuses them.
     version = q.rlike(r"(?:^|[^a-z0-9_])(?:v?\d+(?:\.\d+){1,3}|202\d|203\d)(?:[^a-z0-9_]|$)")
     rules = [
         (f < 10, "danger", "low_frequency"),
@@ -82,6 +83,7 @@ def cleanup_flags(queries: DataFrame) -> DataFrame:
 def classify_queries(queries: DataFrame) -> DataFrame:
     """queries with type, destination and relevance."""
     q = F.lower("query")
+    #: Words that tell a query's type, where it goes and how relevant it is.
     cases = [
         (q.rlike("проверить|чекер|симулятор|анализатор|проверка|tool|checker"), "instrumental", "tool", 9),
         (q.rlike("ошибка|не индекс|не открыва|не работает|упал|404|500|бот"), "symptom", "blog", 8),
