@@ -17,7 +17,8 @@ ones; the row's own key then settles it. Both hashes are splitmix64 finalisers.
 
 Encoding: texts are cut before every blank that a non-blank follows and around line ends, where the
 tokenizer's pattern cuts them too; each distinct piece is given to the ``tokenizers`` library once and its ids
-are remembered. Texts with other white space, or with a special string, go to the library whole.
+are remembered. Words of letters, which most pieces are, are merged in rounds over many at once (``byte_merges``) where the tokenizer is a plain byte-level
+one; the ids are the library's. Texts with other white space, or with a special string, go to the library whole.
 
 Nulls and edge cases: a null text counts as empty; rows with a null key come last, after all keys, in order of their text's hash, and can
 be read but not looked up; rows that share a key are stored side by side in order of their text and looked up
@@ -41,6 +42,7 @@ from tokenizers import Tokenizer
 
 from crawlsmith.llm._arrow import chunks, text_bytes, texts
 from crawlsmith.llm._store import materialize
+from crawlsmith.llm.byte_merges import LONGEST, WORD, ByteMerges
 
 MAGIC = 0x31584449_4E4B4F54
 MEMO_PIECES = 500_000  # beyond this a worker's remembered pieces become the older of two generations
@@ -165,6 +167,32 @@ class PieceEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.merges = ByteMerges.load(path)
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of each piece."""
+        out: dict[str, bytes] = {}
+        rest = pieces
+        if self.merges is not None:
+            rest, own, words, tails = [], [], [], []
+            match, known = WORD.fullmatch, self.tails
+            for p in pieces:
+                if len(p) * 2 <= LONGEST and (m := match(p)):
+                    word, tail = m.groups()
+                    own.append(p)
+                    words.append(word.encode())
+                    tails.append(tail)
+                else:
+                    rest.append(p)
+            new = sorted(set(tails).difference(known))
+            known.update(zip(new, self.library(new), strict=True))
+            # Words with several tails are merged once for each: they are few.
+            ids, at = self.merges.ids(words)
+            raw, at = ids.astype("<u2" if self.width == 2 else "<u4").tobytes(), (at * self.width).tolist()
+            out.update(zip(own, [raw[i:j] + known[t] for i, j, t in zip(at, at[1:], tails, strict=False)], strict=True))
+        out.update(zip(rest, self.library(rest), strict=True))
+        return out
 
     def library(self, texts_: list[str]) -> list[bytes]:
         code = "H" if self.width == 2 else "I"
@@ -185,7 +213,7 @@ class PieceEncoder:
                 new.append(piece)
             else:
                 known[piece] = ids
-        known.update(zip(new, self.library(new), strict=True))
+        known.update(self.pieces(new))
         whole = iter(self.library([t for t, cut in zip(texts_, cuts, strict=True) if cut is None]))
         return [next(whole) if cut is None else b"".join(map(known.__getitem__, cut)) for cut in cuts]
 
