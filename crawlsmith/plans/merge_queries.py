@@ -20,7 +20,7 @@ from crawlsmith.operators.site_profile import BUCKETS
 from crawlsmith.plans.audit_queries import ROBOTS, d_host
 from crawlsmith.plans.fixtures import shared_sql, view, with_views
 from crawlsmith.plans.layout_sql import layout as _layout
-from crawlsmith.plans.research_queries import _CLASSES, _FIRSTS, _ITEMS
+from crawlsmith.plans.research_queries import _CLASSES, _FIRSTS, _ITEMS, CLUSTERS
 from crawlsmith.streaming.jobs import collected, vacancy_store
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -143,7 +143,16 @@ def k7(spark, sf_dir):
     return K.apply_classification(old, K.classify_queries(df.where("id % 2 = 0"))).select("id", "type", "destination", "relevance")
 
 
-@query("k10_content_plan", None, "v_queries")
+_SLUG = "left(regexp_replace(regexp_replace(lower({q}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 120)"
+
+
+@query("k10_content_plan", CLUSTERS + ",\n" + _CLASSES + f""",
+_kc AS (SELECT research_id, cluster_id, main_query, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM _km GROUP BY ALL),
+_kl AS (SELECT cluster_id, string_agg(query, '|' ORDER BY place) AS queries FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY frequency DESC, query) AS place FROM _km) z WHERE place <= 12 GROUP BY cluster_id),
+_kp AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY CASE WHEN destination = 'tool' THEN 1 ELSE 0 END DESC, frequency DESC, id) AS place FROM _c),
+_kq AS (SELECT research_id, max(query) FILTER (place = 1) AS main_query, coalesce(string_agg(query, '|' ORDER BY place) FILTER (place > 1 AND place <= 13 AND destination = 'tool'), '') AS queries FROM _kp GROUP BY research_id)
+SELECT research_id, 'blog_article' AS type, main_query AS title, '/blog/' || {_SLUG.format(q='main_query')} || '/' AS target_url, total_frequency, queries FROM _kc JOIN _kl USING (cluster_id)
+UNION ALL SELECT research_id, 'tool_page', main_query, '/tools/' || {_SLUG.format(q='main_query')} || '/', NULL, queries FROM _kq""", "v_queries")
 def k10(spark, sf_dir):
     df = view(spark, sf_dir, "v_queries")
     members = K.cluster_queries_distributed(df)
@@ -331,3 +340,6 @@ def k10_drafts(spark, sf_dir):
     df = K.plan_drafts(part("_rs"), part("_cl"), tools, part("_mb"))
     lists = {c: F.array_join(c, "|") for c in ("secondary_queries", "required_blocks", "schema_types", "linking_hints")}
     return df.withColumns(lists).select("research_id", "cluster_id", "type", "main_query", "secondary_queries", "source_url", "target_url", "title", "description", "required_blocks", "schema_types", "tone", "min_words", "linking_hints")
+
+
+ORACLE_SQL["k10_content_plan"] = ORACLE_SQL["k10_content_plan"].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -99,7 +99,16 @@ def k6(spark, sf_dir):
     return K.classify_queries(view(spark, sf_dir, "v_queries")).select("id", "type", "destination", "relevance")
 
 
-@query("k8_cluster_queries", None, "v_queries")
+#: Queries by rank, each held against the leaders before it.
+CLUSTERS = f"""_kt AS (SELECT id, research_id, query, coalesce(frequency, 0) AS frequency, list_distinct({d_query_tokens('query')}) AS t FROM v_queries),
+_kr AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY frequency DESC, query, id) AS rk FROM _kt),
+_kw AS (SELECT DISTINCT research_id, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(t VARCHAR[], q VARCHAR)[]) AS leads, CAST('' AS VARCHAR) AS main FROM _kr
+  UNION ALL SELECT research_id, rk, CASE WHEN hit IS NULL THEN list_append(leads, {{'t': t, 'q': query}}) ELSE leads END, coalesce(hit, query)
+  FROM (SELECT r.research_id, r.rk, w.leads, r.t, r.query, list_filter(w.leads, lambda x: len(list_intersect(x.t, r.t)) > 0 AND 3 * len(list_intersect(x.t, r.t)) >= len(x.t) + len(r.t))[1].q AS hit FROM _kw w JOIN _kr r ON r.research_id = w.research_id AND r.rk = w.rk + 1) z),
+_km AS (SELECT r.id, r.research_id, r.query, CAST(r.frequency AS BIGINT) AS frequency, w.main AS main_query, sha256(concat_ws('|', r.research_id, w.main)) AS cluster_id FROM _kr r JOIN _kw w ON r.research_id = w.research_id AND r.rk = w.rk)"""
+
+
+@query("k8_cluster_queries", CLUSTERS + "\nSELECT * FROM _km", "v_queries")
 def k8(spark, sf_dir):
     return K.cluster_queries_distributed(view(spark, sf_dir, "v_queries"))
 
@@ -215,3 +224,7 @@ _k AS (SELECT id, row_number() OVER (PARTITION BY ip, day ORDER BY ts, id) AS k
 SELECT _r.id, ip, CAST(day AS VARCHAR) AS day, ex OR coalesce(k = 1, false) AS admitted, CASE WHEN ex THEN 'exempt' WHEN k = 1 THEN 'first' ELSE 'daily_limit' END AS reason FROM _r LEFT JOIN _k ON _r.id = _k.id""", "v_requests")
 def l5(spark, sf_dir):
     return L.daily_admission(view(spark, sf_dir, "v_requests"), ["compare-internal"], ["exempt.example.com"]).withColumn("day", F.col("day").cast("string"))
+
+
+# Clusters grow from the ones before, so their SQL is recursive.
+ORACLE_SQL["k8_cluster_queries"] = ORACLE_SQL["k8_cluster_queries"].replace("WITH ", "WITH RECURSIVE ", 1)
