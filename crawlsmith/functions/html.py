@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlsmith.functions.text import drop_blocks
+from crawlsmith.functions.text import any_of, drop_blocks
 
 #: Texts of pages that turn a robot away, by state and in this order.
 ACCESS = {
@@ -129,13 +129,15 @@ CMS = {
 
 def detect_cms(html: Column) -> Column:
     """The site's system and the front-end layer on top of it, joined by " + " where both are seen."""
-    lowered = F.lower(html)
-    cms = F.when(F.lit(False), "")
-    for name, pattern in CMS.items():
-        cms = cms.when(lowered.rlike(pattern), name)
-    front = F.when(lowered.rlike(r"__next_data__|/_next/"), "Next.js").when(lowered.rlike(r"data-reactroot|react-dom"), "React").when(lowered.rlike(r'<div id=[\"\'](?:app|root)[\"\']>\s*</div>'), "SPA")
-    other = F.when(lowered.rlike(r"\.php(?:[?\"'])"), "PHP").otherwise("other")
-    return F.when(cms.isNotNull() & front.isNotNull(), F.concat(cms, F.lit(" + "), front)).otherwise(F.coalesce(cms, front, other))
+    def named(low: Column) -> Column:
+        cms = F.when(F.lit(False), "")
+        for name, pattern in CMS.items():
+            cms = cms.when(any_of(low, pattern), name)
+        front = F.when(any_of(low, "__next_data__|/_next/"), "Next.js").when(any_of(low, "data-reactroot|react-dom"), "React").when(low.rlike(r'<div id=[\"\'](?:app|root)[\"\']>\s*</div>'), "SPA")
+        other = F.when(low.contains(".php") & low.rlike(r"\.php(?:[?\"'])"), "PHP").otherwise("other")
+        return F.when(cms.isNotNull() & front.isNotNull(), F.concat(cms, F.lit(" + "), front)).otherwise(F.coalesce(cms, front, other))
+
+    return bound(F.lower(html), named)
 
 
 #: Marks of counters.

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsmith.functions.text import any_of
 from crawlsmith.functions.urls import depth_level, path, site_keys
 
 BUCKETS = ["commercial", "informational", "application", "search", "documents", "video", "faq", "service", "unknown"]
@@ -150,4 +151,8 @@ def commerce_score(signals: DataFrame, kind: Column) -> DataFrame:
 
 def signal_flags(html: Column) -> dict[str, Column]:
     """A flag for each signal, and the two halves of a form with a field to call back."""
-    return {name: html.rlike(pattern) for name, pattern in SIGNALS.items()} | {"form_": html.rlike(_FORM), "field_": html.rlike(_FIELD)}
+    low = F.lower(html)
+    plain = {name: any_of(low, SIGNALS[name].partition(")")[2]) for name in ("cart", "reviews", "chat", "messenger", "docs", "faq", "demo")}
+    at = {"email": html.contains("@") & html.rlike(SIGNALS["email"])}
+    flags = {name: html.rlike(pattern) for name, pattern in SIGNALS.items()} | plain | at
+    return {name: flags[name] for name in SIGNALS} | {"form_": html.rlike(_FORM), "field_": html.rlike(_FIELD)}
