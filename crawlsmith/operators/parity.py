@@ -19,8 +19,8 @@ def cut_bytes(body: Column, n: int) -> Column:
     return F.when(F.octet_length(body) <= n, body).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(body, "UTF-8"), 1, n), "UTF-8"), "�+$", ""))
 
 
-def snapshot_features(snapshots: DataFrame, most_bytes: int = 400_000) -> DataFrame:
-    """A narrow row for each snapshot; the body is dropped before anything is shuffled."""
+def snapshot_features(snapshots: DataFrame, most_bytes: int = 400_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A narrow row for each snapshot; the body is dropped before anything is shuffled. Columns named in ``keep`` are passed on."""
     body = cut_bytes(F.col("body"), most_bytes)
     text = H.visible_text(body)
     df = snapshots.withColumn("text_", text).withColumn("links_", F.size(H.links(body)))
@@ -34,13 +34,19 @@ def snapshot_features(snapshots: DataFrame, most_bytes: int = 400_000) -> DataFr
         F.col("body").rlike(r"(?i)<h1[\s>/]").alias("has_h1"),
         F.col("body").rlike(r"(?i)<title[\s>/]").alias("has_title"),
         H.access_state(F.col("text_")).alias("access_state"),
-        H.access_match(F.col("text_")).alias("access_match"),
+        H.access_match(F.col("text_")).alias("access_match"), *keep,
     )
 
 
-def agent_pivot(features: DataFrame, agents: list[str] = AGENTS) -> DataFrame:
-    """A row for each url with a struct for each agent; values of the agents are given, so no job looks for them."""
-    return features.groupBy("url").pivot("agent", agents).agg(F.first(F.struct(*FEATURES)))
+def agent_pivot(features: DataFrame, agents: list[str] = AGENTS, by: str | None = None) -> DataFrame:
+    """A row for each url with a struct for each agent; values of the agents are given, so no job looks for them.
+
+    Where several rows share a url and agent, each feature is the first that is not null, in the order of the column ``by``
+    (of all features, without it), so that reruns agree.
+    """
+    order = F.col(by) if by else F.struct(*FEATURES)
+    first = lambda c, a: F.min_by(c, F.when((F.col("agent") == a) & F.col(c).isNotNull(), order)).alias(c)
+    return features.groupBy("url").agg(*[F.struct(*[first(c, a) for c in FEATURES]).alias(a) for a in agents])
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -147,15 +153,20 @@ def agent_cards(pivot: DataFrame) -> DataFrame:
     return pivot.select("url", F.explode(F.array(*cards)).alias("c")).select("url", "c.*")
 
 
-def ai_parity_reasons(features: DataFrame, base: str = "browser") -> DataFrame:
-    """For each url the agent:field pairs in which an agent differs from the browser at all."""
+def ai_parity_reasons(features: DataFrame, base: str = "browser", by: str | None = None) -> DataFrame:
+    """For each url the agent:field pairs in which an agent differs from the browser at all.
+
+    Where several pages share a url, each snapshot is held against each of the browser's: the browser's with the greatest
+    number in the column ``by`` first, and for each of them the others from the least on.
+    """
+    at = [F.col(by)] if by else []
     fields = {"http_code": "http_code", "text_len": "text_len", "links_count": "links_count", "has_h1": "has_h1", "has_title": "has_title", "access": "access_state"}
-    own = features.where(F.col("agent") == base).select(F.col("url"), F.struct(*FEATURES).alias("b"))
+    own = features.where(F.col("agent") == base).select(F.col("url"), F.struct(*FEATURES).alias("b"), *[(-c).alias("b_at") for c in at])
     value = lambda s, f: F.coalesce(s[f], F.lit("ok")) if f == "access_state" else s[f]
-    rows = features.where(F.col("agent") != base).select("url", "agent", F.struct(*FEATURES).alias("s")).join(own, "url", "left")
+    rows = features.where(F.col("agent") != base).select("url", "agent", F.struct(*FEATURES).alias("s"), *[c.alias("s_at") for c in at]).join(own, "url", "left")
     diffs = _kept([(~value(F.col("s"), f).eqNullSafe(value(F.col("b"), f)), F.concat("agent", F.lit(f":{name}"))) for name, f in fields.items()])
     found = rows.withColumn("d", F.when(F.col("b").isNotNull(), diffs).otherwise(F.array().cast("array<string>")))
-    found = found.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("agent", "d"))).alias("ds"), F.max(F.col("b").isNull()).alias("no_browser"))
+    found = found.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("agent", *(["b_at", "s_at"] if by else []), "d"))).alias("ds"), F.max(F.col("b").isNull()).alias("no_browser"))
     reasons = F.flatten(F.transform("ds", lambda x: x.d))
     return found.select("url", reasons.alias("reasons"), F.when(F.col("no_browser"), "error").when(F.size(reasons) > 0, "mismatch").otherwise("ok").alias("verdict"))
 
