@@ -291,6 +291,18 @@ def test_bpe_is_the_library(hard_docs, no_docs):
     assert bpe.encode(no_docs, path, lex).count() == 0
 
 
+def test_lexicon_file_in_a_relative_folder(tmp_path, monkeypatch):
+    """Executors call their folder "."; both paths of the rename must be spelled alike, as they may else be on two devices."""
+    path, moves, replace = public_tokenizers.path("word_bpe_49k.json"), [], os.replace
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(bpe.SparkFiles, "getRootDirectory", lambda: ".")
+    monkeypatch.setattr(bpe.os, "replace", lambda a, b: (moves.append((a, b)), replace(a, b)))
+    monkeypatch.setattr(bpe, "_encoders", {})
+    own = bpe.encoder(path, "words", lexicon.compile_words([(b"ring", [7])]))
+    assert own.lexicon.get(b"ring") == [7] and (tmp_path / "words.lexicon").exists()
+    assert [(os.path.dirname(a), os.path.dirname(b)) for a, b in moves] == [(str(tmp_path), str(tmp_path))]
+
+
 def test_lexicon(tmp_path):
     words = {f"{a}{b}ing".encode(): [len(a), k] for k, a in enumerate(["r", "s", "st", "str", ""]) for b in ("", "ea", "o")}
     (tmp_path / "l").write_bytes(lexicon.compile_words(list(words.items())))
