@@ -291,6 +291,18 @@ def test_bpe_is_the_library(hard_docs, no_docs):
     assert bpe.encode(no_docs, path, lex).count() == 0
 
 
+def test_lexicon_holds_the_whole_vocabulary(spark, hard_docs, no_docs, tmp_path):
+    """No sample of the documents decides what is in it: each word that the vocabulary holds whole is, with its ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    (tmp_path / "l").write_bytes(built := bpe.build_lexicon(hard_docs, path))
+    assert built == bpe.build_lexicon(no_docs, path) == bpe.build_lexicon(spark.range(3).selectExpr("id AS doc_id", "'ring' AS text"), path)
+    library, lex = Tokenizer.from_file(path), lexicon.Lexicon(str(tmp_path / "l"))
+    words = [t.removesuffix("</w>") for t in library.get_vocab() if t.endswith("</w>") and t.isascii() and t == t.lower() and t.removesuffix("</w>").isalpha()]
+    assert len(words) > 10_000
+    for w in words:
+        assert lex.get(w.encode()) == library.encode(w, add_special_tokens=False).ids
+
+
 def test_lexicon_file_in_a_relative_folder(tmp_path, monkeypatch):
     """Executors call their folder "."; both paths of the rename must be spelled alike, as they may else be on two devices."""
     path, moves, replace = public_tokenizers.path("word_bpe_49k.json"), [], os.replace
