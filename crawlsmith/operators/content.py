@@ -167,6 +167,11 @@ def page_features(pages: DataFrame, columns: list[str] | None = None) -> DataFra
     return fenced(fenced(df).select("page_id", "url", *[every[k][1].alias(k) for k in wanted]))
 
 
+#: Features that the scores of types are made from.
+TYPE_FEATURES = ["word_count", "types", "published", "listing_cards", "price_count", "product_schemas", "h2_count", "h3_count", "internal_links"]
+TYPE_FEATURES += [f"{k}_found" for k in ("buy", "related", "filter", "author", "faq", "phone", "address", "cta", "reviews", "form")]
+
+
 def page_type_scores(features: DataFrame) -> DataFrame:
     """features with a score for each type."""
     p = F.lower(path(F.col("url")))

@@ -222,8 +222,8 @@ def h8(spark, sf_dir):
     return C.page_features(view(spark, sf_dir, "v_seo_pages"), ["price_count", "buy_found", "form_found", "phone_found", "h2_count", "tables_count", "lists_count"]).drop("url")
 
 
-def typed(spark, sf_dir):
-    return C.resolve_page_type(C.page_type_scores(C.page_features(view(spark, sf_dir, "v_seo_pages"))))
+def typed(spark, sf_dir, columns=None):
+    return C.resolve_page_type(C.page_type_scores(C.page_features(view(spark, sf_dir, "v_seo_pages"), columns)))
 
 
 def _page_facts() -> str:
@@ -269,7 +269,7 @@ _q AS (SELECT page_id, max(k) FILTER (r2 = 1) AS page_type, greatest(35, least(9
 _g AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY r) AS g FROM _o WHERE k <> 'unknown' AND s > 0), _h AS (SELECT page_id, string_agg(k, ',' ORDER BY g) AS suggestions FROM _g WHERE g <= 3 GROUP BY page_id)
 SELECT _s.page_id, page_type, CAST(confidence AS INT) AS confidence, page_type = 'unknown' OR confidence < 80 AS needs_choice, coalesce(suggestions, '') AS suggestions, {', '.join(f'CAST(score_{t} AS INT) AS score_{t}' for t in C.TYPES)} FROM _s JOIN _q ON _s.page_id = _q.page_id LEFT JOIN _h ON _s.page_id = _h.page_id""", "v_seo_pages")
 def c2(spark, sf_dir):
-    return typed(spark, sf_dir).select("page_id", "page_type", "confidence", "needs_choice", F.array_join("suggestions", ",").alias("suggestions"), *[f"score_{t}" for t in C.TYPES])
+    return typed(spark, sf_dir, C.TYPE_FEATURES).select("page_id", "page_type", "confidence", "needs_choice", F.array_join("suggestions", ",").alias("suggestions"), *[f"score_{t}" for t in C.TYPES])
 
 
 @query("c4_content_verdict", None, "v_seo_pages")

@@ -263,3 +263,13 @@ def test_profile_of_a_site(spark):
     assert got["u"].h1 is None and got["u"].menu == []
     plan = P.site_profile(urls, pages, "2024-02-01", whois=whois)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_types_need_only_their_features(spark):
+    """c2 asks for no more of a page than scores are made from, and gets the same scores."""
+    rows = [(1, "https://a.example.com/product/1", "<h1>Ring</h1><form></form><p>1 200 $</p><button>Buy now</button><img src=/a.jpg>"), (2, "https://a.example.com/", "<a href='/x'>x</a> contact +7 900"), (3, "https://a.example.com/q", None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    few = C.page_type_scores(C.page_features(df, C.TYPE_FEATURES))
+    assert not {"price_text", "buy_label", "content_images", "assortment"} & set(few.columns)
+    scores = ["page_id", *[f"score_{t}" for t in C.TYPES]]
+    assert sorted(few.select(scores).collect()) == sorted(C.page_type_scores(C.page_features(df)).select(scores).collect())
