@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlsmith.functions.text import any_of, drop_blocks
+from crawlsmith.functions.text import any_of, bound, drop_blocks, drop_remarks, replaced
 
 #: Texts of pages that turn a robot away, by state and in this order.
 ACCESS = {
@@ -19,13 +17,12 @@ ACCESS = {
 NAMED = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
-def visible_text(html: Column) -> Column:
-    """Text outside scripts and styles, the title included, white space collapsed."""
-    html = F.regexp_replace(drop_blocks(html, "script", "style"), r"(?s)<!--.*?-->", " ")
-    html = F.regexp_replace(html, r"(?s)<[^>]+>", " ")
-    for name, char in NAMED.items():
-        html = F.replace(html, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(html, r"[\s ]+", " "))
+def visible_text(html: Column, low: Column | None = None) -> Column:
+    """Text outside scripts and styles, the title included, white space collapsed (``low`` as in ``drop_blocks``)."""
+    html = F.regexp_replace(drop_remarks(drop_blocks(html, "script", "style", low=low)), r"(?s)<[^>]+>", " ")
+    html = replaced(html, NAMED)
+    # A blank that stands alone is not matched: replacing each would take most of the time.
+    return F.trim(F.regexp_replace(html, r"[\s\xA0]{2,}|[\t\n\x0B\f\r\xA0]", " "))
 
 
 def links(html: Column) -> Column:
@@ -127,17 +124,17 @@ CMS = {
 }
 
 
-def detect_cms(html: Column) -> Column:
-    """The site's system and the front-end layer on top of it, joined by " + " where both are seen."""
+def detect_cms(html: Column, low: Column | None = None) -> Column:
+    """The site's system and the front-end layer on top of it, joined by " + " where both are seen (``low`` is the page in lower case, if it is known)."""
     def named(low: Column) -> Column:
         cms = F.when(F.lit(False), "")
         for name, pattern in CMS.items():
             cms = cms.when(any_of(low, pattern), name)
-        front = F.when(any_of(low, "__next_data__|/_next/"), "Next.js").when(any_of(low, "data-reactroot|react-dom"), "React").when(low.rlike(r'<div id=[\"\'](?:app|root)[\"\']>\s*</div>'), "SPA")
+        front = F.when(any_of(low, "__next_data__|/_next/"), "Next.js").when(any_of(low, "data-reactroot|react-dom"), "React").when(low.contains("<div id=") & low.rlike(r'<div id=[\"\'](?:app|root)[\"\']>\s*</div>'), "SPA")
         other = F.when(low.contains(".php") & low.rlike(r"\.php(?:[?\"'])"), "PHP").otherwise("other")
         return F.when(cms.isNotNull() & front.isNotNull(), F.concat(cms, F.lit(" + "), front)).otherwise(F.coalesce(cms, front, other))
 
-    return bound(F.lower(html), named)
+    return bound(F.lower(html), named) if low is None else named(low)
 
 
 #: Marks of counters.
@@ -151,11 +148,6 @@ def detect_analytics(html: Column) -> Column:
 _START = r"""<[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it, also within its lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def without_remarks(html: Column) -> Column:
     """The page without comments, scripts and styles, whose text may look like tags."""
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")

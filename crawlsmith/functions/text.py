@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,29 +28,61 @@ ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&lt;": "<
 _PLAIN = re.compile(r"(?:[^\\.^$*+?{}\[\]|()]|\\\.)+")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, also within its lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(lowered: Column, words: str) -> Column:
     """Whether a lower-cased text holds one of ``words`` (parted by |). Plain ones are looked for as they are, which is many times faster than a pattern."""
     parts = words.split("|")
-    return reduce(lambda a, b: a | b, [lowered.contains(w.replace("\\.", ".")) if _PLAIN.fullmatch(w) else lowered.rlike(w) for w in parts])
+    return reduce(lambda a, b: a | b, [lowered.contains(w.replace("\\.", ".")) if _PLAIN.fullmatch(w) else _begun(lowered, w) for w in parts])
+
+
+def _begun(lowered: Column, pattern: str) -> Column:
+    """A pattern that is looked for only where the plain characters that it begins with are."""
+    plain = _PLAIN.match(pattern)
+    begin = plain[0] if plain else ""
+    if pattern[len(begin) : len(begin) + 1] in ("?", "*", "{"):
+        begin = begin[:-2] if begin.endswith("\\.") else begin[:-1]
+    return lowered.contains(begin.replace("\\.", ".")) & lowered.rlike(pattern) if begin else lowered.rlike(pattern)
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(c, " ", " "), r"\s+", " "))
+    """White space as single blanks, none at the ends. Blanks that stand alone already are not matched: replacing each takes most of the time."""
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
-def drop_blocks(html: Column, *tags: str) -> Column:
+def drop_blocks(html: Column, *tags: str, low: Column | None = None) -> Column:
+    """The page without elements of these names; ``low``, the page or what it is a part of in lower case, saves looking for those that it lacks."""
     for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        pattern = rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
+        html = F.regexp_replace(html, pattern, " ") if low is None else _if_able(html, lambda h: low.contains(f"<{tag}"), lambda h: F.regexp_replace(h, pattern, " "))  # noqa: B023
     return html
 
 
-def strip_html(html: Column) -> Column:
-    """Text of a page without scripts, styles, comments and tags."""
-    html = F.regexp_replace(drop_blocks(html, "script", "style", "noscript"), r"(?s)<!--.*?-->", " ")
-    html = F.regexp_replace(html, r"(?s)<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        html = F.replace(html, F.lit(entity), F.lit(char))
-    return collapse(html)
+def _if_able(value: Column, able: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
+    return bound(value, lambda h: F.when(able(h), made(h)).otherwise(h))
+
+
+def drop_remarks(html: Column) -> Column:
+    return _if_able(html, lambda h: h.contains("<!--"), lambda h: F.regexp_replace(h, r"(?s)<!--.*?-->", " "))
+
+
+def replaced(text: Column, entities: dict[str, str]) -> Column:
+    """Text with its entities, which all begin with &, replaced in their order."""
+    def each(t: Column) -> Column:
+        for entity, char in entities.items():
+            t = F.replace(t, F.lit(entity), F.lit(char))
+        return t
+
+    return _if_able(text, lambda t: t.contains("&"), each)
+
+
+def strip_html(html: Column, low: Column | None = None) -> Column:
+    """Text of a page without scripts, styles, comments and tags (``low`` as in ``drop_blocks``)."""
+    tagless = lambda h: F.regexp_replace(drop_remarks(drop_blocks(h, "script", "style", "noscript", low=low)), r"(?s)<[^>]+>", " ")
+    return collapse(replaced(_if_able(html, lambda h: h.contains("<"), tagless), ENTITIES))
 
 
 def text_nodes(html: Column, between: str) -> Column:
@@ -60,22 +93,23 @@ def text_nodes(html: Column, between: str) -> Column:
     return F.array_join(F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), lambda x: x != ""), between)
 
 
-def strip_layout(html: Column) -> Column:
-    """The page without scripts, page furniture and hidden elements; tags stay."""
-    html = F.regexp_replace(drop_blocks(html, "script", "style", "noscript"), r"(?s)<!--.*?-->", " ")
-    html = drop_blocks(html, "header", "nav", "footer", "aside")
-    return F.regexp_replace(html, r"(?is)<[^>]+(?:\shidden\b|display\s*:\s*none|aria-hidden=[\"']true[\"'])[^>]*>.*?</[^>]+>", " ")
+def strip_layout(html: Column, low: Column | None = None) -> Column:
+    """The page without scripts, page furniture and hidden elements (``low`` as in ``drop_blocks``); tags stay."""
+    html = drop_remarks(drop_blocks(html, "script", "style", "noscript", low=low))
+    html = drop_blocks(html, "header", "nav", "footer", "aside", low=low)
+    hidden = lambda h: F.regexp_replace(h, r"(?is)<[^>]+(?:\shidden\b|display\s*:\s*none|aria-hidden=[\"']true[\"'])[^>]*>.*?</[^>]+>", " ")
+    return hidden(html) if low is None else _if_able(html, lambda h: low.contains("hidden") | low.contains("display"), hidden)
 
 
 def word_count(text: Column) -> Column:
-    text = collapse(text)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    blanks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" ")))
+    return bound(collapse(text), lambda t: F.when(t == "", 0).otherwise(blanks(t) + 1))
 
 
 def content_density_pct(text: Column, html: Column) -> Column:
     """Share of the page that is text, in percent with one decimal; 0 if either is empty."""
-    a, b = F.length(collapse(text)), F.length(collapse(html))
-    return F.when((a == 0) | (b == 0), 0.0).otherwise(F.round(100.0 * a / b, 1))
+    lengths = F.struct(F.length(collapse(text)).alias("a"), F.length(collapse(html)).alias("b"))
+    return bound(lengths, lambda n: F.when((n.a == 0) | (n.b == 0), 0.0).otherwise(F.round(100.0 * n.a / n.b, 1)))
 
 
 def seed_phrase(c: Column) -> Column:

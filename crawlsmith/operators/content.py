@@ -71,21 +71,27 @@ def content_image(tag: Column) -> Column:
     return ~cls.rlike("sprite|icon|logo|avatar|emoji") & ~F.lower(src).rlike(r"\.svg(?:$|\?)") & ((size("width") == 0) | (size("width") >= 50)) & ((size("height") == 0) | (size("height") >= 50))
 
 
+def _if_holds(mark: str, kind: str, found: Column) -> Column:
+    """What is found on pages whose lower-cased text (low_) holds a mark, an empty array on others."""
+    return F.when(F.coalesce(F.col("low_").contains(mark), F.lit(True)), found).otherwise(F.array().cast(kind))
+
+
 #: What features are made from, each from the page or from those before it.
 _PARTS: dict[str, tuple[str, Callable[[], Column]]] = {
     "low_": ("", lambda: F.lower("html")),
-    "text_": ("", lambda: H.visible_text(F.col("html"))),
+    "text_": ("low_", lambda: H.visible_text(F.col("html"), F.col("low_"))),
     "lowtext_": ("text_", lambda: F.lower("text_")),
-    "body_": ("", lambda: T.strip_layout(F.col("html"))),
-    "words_": ("body_", lambda: T.strip_html(F.col("body_"))),
+    "body_": ("low_", lambda: T.strip_layout(F.col("html"), F.col("low_"))),
+    "words_": ("body_ low_", lambda: T.strip_html(F.col("body_"), F.col("low_"))),
     "names_": ("", lambda: F.transform(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9_]*)"), F.lit(1)), F.lower)),
-    "images_": ("", lambda: F.filter(H.tags(F.col("html"), "img"), content_image)),
+    "images_": ("low_", lambda: _if_holds("<img", "array<string>", F.filter(H.tags(F.col("html"), "img"), content_image))),
     "links_": ("", lambda: H.tags(F.col("html"), "a")),
     "hrefs_": ("links_", lambda: F.transform("links_", lambda t: H.attribute(t, "href"))),
-    "types_": ("", lambda: H.jsonld_types(F.col("html"))),
+    "types_": ("low_", lambda: _if_holds("application/ld+json", "array<string>", H.jsonld_types(F.col("html")))),
     "cards_": ("low_", lambda: listing_cards(F.col("html"), F.col("low_"))),
+    "prices_": ("text_", lambda: F.regexp_extract_all("text_", F.lit(PRICE), F.lit(0))),
     "pages_": ("low_", lambda: pagination_of(F.col("html"), F.col("url"), F.col("low_"))),
-    "metas_": ("", lambda: H.tags(F.col("html"), "meta")),
+    "metas_": ("low_", lambda: _if_holds("<meta", "array<string>", H.tags(F.col("html"), "meta"))),
 }
 
 
@@ -103,7 +109,7 @@ def _features() -> dict[str, tuple[str, Column]]:
     for k, ts in also.items():
         parts, column = out[f"{k}_found"]
         out[f"{k}_found"] = (f"{parts} types_", column | has(*ts))
-    href = r"(?:^|[^\d])(\d{1,2}[./]\d{1,2}[./]\d{2,4})(?:[^\d]|$)"
+    href = r"(\d(?<!\d\d)\d?[./]\d{1,2}[./]\d{2,4})(?!\d)"
     inside = lambda h: (h != "") & (~h.rlike("^[a-z]+:") | (host(h) == host(c("url"))))
     outside = lambda h: h.rlike("^(?:https?:)?//") & (host(F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)) != host(c("url")))
     buttons = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<(a|button)\b[^>]*>(.*?)</\1>"), F.lit(2)), T.strip_html)
@@ -114,19 +120,19 @@ def _features() -> dict[str, tuple[str, Column]]:
         "word_count": ("words_", T.word_count(c("words_"))), "density": ("words_ body_", T.content_density_pct(c("words_"), c("body_"))),
         "form_found": ("names_", named("form")),
         "specs_found": ("lowtext_ names_", T.any_of(text, EITHER_SIGNALS["specs"][0]) | named("table")),
-        "description_block_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["description_block"][0]) | low.rlike(EITHER_SIGNALS["description_block"][1])),
-        "subcategories_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["subcategories"][0]) | low.rlike(EITHER_SIGNALS["subcategories"][1])),
+        "description_block_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["description_block"][0]) | (low.contains("description") & low.rlike(EITHER_SIGNALS["description_block"][1]))),
+        "subcategories_found": ("lowtext_ low_", T.any_of(text, EITHER_SIGNALS["subcategories"][0]) | (low.contains("subcategory") & low.rlike(EITHER_SIGNALS["subcategories"][1]))),
         "filter_found": ("low_ names_", T.any_of(low, "filter|фильтр") & named("form", "select", "input")),
-        "phone_found": ("text_ low_", c("text_").rlike(r"\+7|8\s?\(?\d{3}\)?[\s-]?\d{3}") | low.contains("tel:")),
+        "phone_found": ("text_ low_", low.contains("tel:") | c("text_").contains("+7") | (c("text_").contains("8") & c("text_").rlike(r"8\s?\(?\d{3}\)?[\s-]?\d{3}"))),
         "email_found": ("text_", c("text_").contains("@") & c("text_").rlike(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}")),
-        "author_found": ("lowtext_ low_ metas_", T.any_of(text, TEXT_SIGNALS["author"]) | meta("author").isNotNull() | low.rlike("rel=[\"']author[\"']")),
+        "author_found": ("lowtext_ low_ metas_", T.any_of(text, TEXT_SIGNALS["author"]) | (low.contains("author") & (meta("author").isNotNull() | low.rlike("rel=[\"']author[\"']")))),
         "author_photo_found": ("low_ names_", low.contains("author") & named("img")),
         "author_role_found": ("lowtext_", T.any_of(text, AUTHOR_ROLE)),
         "author_schema_found": ("low_ types_", has("Person") | low.contains('"author"')),
         "team_found": ("low_", T.any_of(low, "команда|офис|team|about-us|company")),
         "date_schema_found": ("low_", low.contains('"datepublished"')),
-        "price_text": ("text_", F.nullif(F.regexp_extract("text_", PRICE, 0), F.lit(""))),
-        "price_count": ("text_", F.regexp_count("text_", F.lit(PRICE))),
+        "price_text": ("prices_", F.get("prices_", F.lit(0))),
+        "price_count": ("prices_", F.size("prices_")),
         "buy_label": ("lowtext_", F.when(T.any_of(text, BUY), F.get(F.filter(buttons, lambda t: T.any_of(F.lower(t), BUY)), F.lit(0)))),
         "buy_found": ("lowtext_", F.when(T.any_of(text, BUY), F.exists(buttons, lambda t: T.any_of(F.lower(t), BUY))).otherwise(False)),
         "listing_cards": ("cards_", c("cards_")), "pagination_mode": ("pages_", c("pages_.mode")), "pagination_pages": ("pages_", c("pages_.pages")),
@@ -134,7 +140,7 @@ def _features() -> dict[str, tuple[str, Column]]:
         "content_images": ("images_", F.size("images_")), "images_without_alt": ("images_", F.size(F.filter("images_", lambda t: F.trim(H.attribute(t, "alt")) == ""))),
         "internal_links": ("hrefs_", F.size(F.filter("hrefs_", inside))), "external_links": ("hrefs_", F.size(F.filter("hrefs_", outside))),
         "nofollow_links": ("links_", F.size(F.filter("links_", lambda t: F.lower(H.attribute(t, "rel")).contains("nofollow")))),
-        "questions": ("names_ low_", F.size(F.filter("names_", _one_of(["details", "summary"]))) + F.regexp_count("low_", F.lit(r"(?:class|id)=[\"'][^\"']*(?:faq|question|answer)[^\"']*[\"']"))),
+        "questions": ("names_ low_", F.size(F.filter("names_", _one_of(["details", "summary"]))) + F.when(T.any_of(low, "faq|question|answer"), F.regexp_count("low_", F.lit(r"(?:class|id)=[\"'][^\"']*(?:faq|question|answer)[^\"']*[\"']"))).otherwise(0)),
         **{f"og_{k}_found": ("metas_", meta(f"og:{k}", "property").isNotNull()) for k in ("title", "description", "image")},
         "product_schemas": ("low_", F.when(low.contains("ld+json"), H.jsonld_type_count(c("html"), ["Product"])).otherwise(0)),
         "published": ("metas_ text_ low_", F.coalesce(meta("article:published_time", "property"), meta("datepublished"), F.when(low.contains("<time"), some(r"(?i)<time\b[^>]*datetime=[\"']([^\"']+)[\"']", "html")), some(href, "text_"))),
@@ -341,14 +347,16 @@ MENU_PRIORITY = [
 _MEDIA = r"(?i)\.(?:jpg|jpeg|png|gif|svg|webp|pdf|xml)$"
 
 
-def with_menu(pages: DataFrame, labels: int = 20, links: int = 10) -> DataFrame:
+def with_menu(pages: DataFrame, labels: int = 20, links: int = 10, low: Column | None = None) -> DataFrame:
     """``pages`` (url, html and others) with menu_labels and menu_links (label, url) of the links within nav and header elements, else of the whole page.
 
     Only links to the page's own origin that are no files and have a label of 80 characters at most; labels and links are distinct,
-    and links to the root are left out.
+    and links to the root are left out. ``low`` is the page in lower case, if it is known already.
     """
     clean = H.without_remarks(F.col("html"))
-    areas = H.bound(clean, lambda h: F.concat(F.transform(H.elements(h, "nav"), lambda e: e.inner), F.transform(H.elements(h, "header"), lambda e: e.inner)))
+    low = F.lower("html") if low is None else low
+    inner = lambda h, name: F.when(low.contains(f"<{name}"), F.transform(H.elements(h, name), lambda e: e.inner)).otherwise(F.array().cast("array<string>"))
+    areas = H.bound(clean, lambda h: F.concat(inner(h, "nav"), inner(h, "header")))
     origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     source = F.when(F.size(areas) > 0, F.array_join(areas, " ")).otherwise(clean)
     anchors = lambda h: F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>)"), F.lit(1))

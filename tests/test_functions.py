@@ -160,3 +160,22 @@ def test_dates_in_text(spark):
     assert got == []
     ages = spark.createDataFrame([(None,), (0.4,), (1.9,), (2.0,), (4.99,), (5.0,), (21.0,)], "y double")
     assert [r.a for r in ages.select(D.age_label(F.col("y")).alias("a")).collect()] == ["не удалось определить", "меньше 1 года", "1 год", "2 года", "4 года", "5 лет", "21 лет"]
+
+
+def test_a_page_is_only_searched_for_what_it_has(spark):
+    """Blanks, blocks, signs and prices as the plain patterns find them, where a page in lower case says what need not be looked for."""
+
+    pages = [
+        "", " ", " ", "a  \t\n b  c ", "a\u00a0b\u00a0\u00a0 c", "\x0ba\x0c\rb ", "<SCRIPT >x<b></Script >y", "<style>p</style><noscript>q</noscript>r", "a<!-- <nav>x</nav> -->b<!-- c", "<Nav>m</nav><b HIDDEN>h</b>t<i style='Display : None'>u</i>",
+        "<scr<!-- -->ipt>x</script>", "&amp;lt; &nbsp;&#39;&copy;", "1 < 2 & 3 > 2", "<main>m</main><header><nav><a href='/a'>A</a></nav></header>", "TEL:1", "+7 (900", "+7 x", "12 345 ₽", "5₽ 7 $", "7 Руб", "a@b", "x@y.zz", "@y.zz", "a.@-.zz",
+        "ул. Ленина", "проᲃпект Мира", "аᲁреᲃ", "адреса", "ИНН 1", "инн", "NAME='Phone", "ᲄелефᲂн", "ИМЯ", "<FORM>", "<form_", None,
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    h, low = F.col("html"), F.lower("html")
+    spaces = F.trim(F.regexp_replace(F.translate(h, "\u00a0", " "), r"\s+", " "))
+    both = {
+        "collapse": (T.collapse(h), spaces), "words": (T.word_count(h), F.when(spaces == "", 0).otherwise(F.size(F.split(spaces, " ")))),
+        "strip": (T.strip_html(h, low), T.strip_html(h)), "layout": (T.strip_layout(h, low), T.strip_layout(h)), "visible": (H.visible_text(h, low), H.visible_text(h)), "cms": (H.detect_cms(h, low), H.detect_cms(h)),
+    }
+    rows = df.select("html", *[c.alias(f"{k}_{n}") for k, pair in both.items() for n, c in zip("ab", pair, strict=True)]).collect()
+    assert [(r.html, k, r[f"{k}_a"], r[f"{k}_b"]) for r in rows for k in both if r[f"{k}_a"] != r[f"{k}_b"]] == []
