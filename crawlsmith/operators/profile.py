@@ -52,12 +52,13 @@ def heuristic_profile(df: DataFrame) -> DataFrame:
 
 def home_facts(pages: DataFrame) -> DataFrame:
     """site, the signals of each page (site, url, html), and home: what is said of a site if this is its home, led by the length of its url."""
-    df = with_menu(pages.select("site", "url", "html"))
+    low = F.col("low_")
+    df = with_menu(pages.select("site", "url", "html", F.lower("html").alias("low_")), low=low)
     m = H.head_meta(F.col("html"))
-    body = F.coalesce(H.first_inner(F.col("html"), "main"), F.nullif(F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*?)</body>", 1), F.lit("")), F.col("html"))
-    said = {"title": m["title"], "h1": m["h1"], "description": m["description"], "preview": F.substring(T.strip_html(body), 1, 500), "cms": H.detect_cms(F.col("html")), "analytics": H.detect_analytics(F.col("html")), "menu_labels": F.col("menu_labels"), "menu": ranked_menu(F.col("menu_links"))}
+    body = F.coalesce(F.when(low.contains("<main"), H.first_inner(F.col("html"), "main")), F.nullif(F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*?)</body>", 1), F.lit("")), F.col("html"))
+    said = {"title": m["title"], "h1": m["h1"], "description": m["description"], "preview": F.substring(T.strip_html(body, low), 1, 500), "cms": H.detect_cms(F.col("html"), low), "analytics": H.detect_analytics(F.col("html")), "menu_labels": F.col("menu_labels"), "menu": ranked_menu(F.col("menu_links"))}
     home = F.struct(F.length("url").alias("n"), F.col("url"), *[c.alias(k) for k, c in said.items()])
-    return df.select("site", home.alias("home"), *[c.alias(k) for k, c in signal_flags(F.col("html")).items()])
+    return df.select("site", home.alias("home"), *[c.alias(k) for k, c in signal_flags(F.col("html"), low).items()])
 
 
 #: What each further source says of a site, by its columns; a site's rows are brought together by the aggregate named.

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlsmith.functions.text import any_of
+from crawlsmith.functions import text as T
 from crawlsmith.functions.urls import depth_level, path, site_keys
 
 BUCKETS = ["commercial", "informational", "application", "search", "documents", "video", "faq", "service", "unknown"]
@@ -119,6 +119,8 @@ SIGNALS = {
     "demo": r"(?iu)демо|demo|trial",
 }
 _FORM, _FIELD = r"(?i)<form\b", r"(?iu)name=[\"'](?:name|phone)|телефон|имя"
+#: What every text that the pattern of fields finds has, whatever letters fold to the others.
+_FIELD_PARTS = "name=|елеф|имя"
 
 
 def site_signals(pages: DataFrame) -> DataFrame:
@@ -149,10 +151,21 @@ def commerce_score(signals: DataFrame, kind: Column) -> DataFrame:
     return signals.select("*", pick(0).alias("critical_found"), pick(1).alias("important_found"), pick(2).alias("additional_found"), (pick(0) + pick(1) + pick(2)).alias("found"), F.lit(10).alias("expected"))
 
 
-def signal_flags(html: Column) -> dict[str, Column]:
-    """A flag for each signal, and the two halves of a form with a field to call back."""
-    low = F.lower(html)
-    plain = {name: any_of(low, SIGNALS[name].partition(")")[2]) for name in ("cart", "reviews", "chat", "messenger", "docs", "faq", "demo")}
-    at = {"email": html.contains("@") & html.rlike(SIGNALS["email"])}
-    flags = {name: html.rlike(pattern) for name, pattern in SIGNALS.items()} | plain | at
-    return {name: flags[name] for name in SIGNALS} | {"form_": html.rlike(_FORM), "field_": html.rlike(_FIELD)}
+def signal_flags(html: Column, low: Column | None = None) -> dict[str, Column]:
+    """A flag for each signal, and the two halves of a form with a field to call back (``low`` is the page in lower case, if it is known).
+
+    A pattern is tried where a plain part of it is found, and in the shortest form that finds the same pages: the last digit
+    before a price's sign, the last character before an address's @.
+    """
+    low = F.lower(html) if low is None else low
+    plain = {name: T.any_of(low, SIGNALS[name].partition(")")[2]) for name in ("cart", "reviews", "chat", "messenger", "docs", "faq", "demo")}
+    tried = {
+        "phone": low.contains("tel:") | (html.contains("+7") & html.rlike(SIGNALS["phone"])),
+        "prices": html.rlike(SIGNALS["prices"].replace(r"\d[\d\s]*", r"\d\s*")),
+        "email": html.contains("@") & html.rlike(SIGNALS["email"].replace("]+@", "]@")),
+        "address": T.any_of(low, "ул|пек|ре") & html.rlike(SIGNALS["address"]),
+        "requisites": T.any_of(html, "ИНН|ОГРН|КПП") & html.rlike(SIGNALS["requisites"]),
+    }
+    flags = {name: html.rlike(pattern) for name, pattern in SIGNALS.items()} | plain | tried
+    field = T.any_of(low, _FIELD_PARTS) & html.rlike(_FIELD)
+    return {name: flags[name] for name in SIGNALS} | {"form_": low.contains("<form") & html.rlike(_FORM), "field_": field}

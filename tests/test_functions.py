@@ -164,6 +164,7 @@ def test_dates_in_text(spark):
 
 def test_a_page_is_only_searched_for_what_it_has(spark):
     """Blanks, blocks, signs and prices as the plain patterns find them, where a page in lower case says what need not be looked for."""
+    from crawlsmith.operators.site_profile import _FIELD, _FORM, SIGNALS, signal_flags
 
     pages = [
         "", " ", " ", "a  \t\n b  c ", "a\u00a0b\u00a0\u00a0 c", "\x0ba\x0c\rb ", "<SCRIPT >x<b></Script >y", "<style>p</style><noscript>q</noscript>r", "a<!-- <nav>x</nav> -->b<!-- c", "<Nav>m</nav><b HIDDEN>h</b>t<i style='Display : None'>u</i>",
@@ -172,10 +173,15 @@ def test_a_page_is_only_searched_for_what_it_has(spark):
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
     h, low = F.col("html"), F.lower("html")
+    flags = signal_flags(h, low)
+    plain = SIGNALS | {"form_": _FORM, "field_": _FIELD}
+    checked = ["phone", "prices", "email", "address", "requisites", "form_", "field_"]
     spaces = F.trim(F.regexp_replace(F.translate(h, "\u00a0", " "), r"\s+", " "))
     both = {
         "collapse": (T.collapse(h), spaces), "words": (T.word_count(h), F.when(spaces == "", 0).otherwise(F.size(F.split(spaces, " ")))),
         "strip": (T.strip_html(h, low), T.strip_html(h)), "layout": (T.strip_layout(h, low), T.strip_layout(h)), "visible": (H.visible_text(h, low), H.visible_text(h)), "cms": (H.detect_cms(h, low), H.detect_cms(h)),
+        **{k: (flags[k], h.rlike(plain[k])) for k in checked},
     }
     rows = df.select("html", *[c.alias(f"{k}_{n}") for k, pair in both.items() for n, c in zip("ab", pair, strict=True)]).collect()
     assert [(r.html, k, r[f"{k}_a"], r[f"{k}_b"]) for r in rows for k in both if r[f"{k}_a"] != r[f"{k}_b"]] == []
+    assert {k: sum(bool(r[f"{k}_a"]) for r in rows) for k in checked} == {"phone": 2, "prices": 3, "email": 2, "address": 3, "requisites": 1, "form_": 1, "field_": 3}
