@@ -222,6 +222,57 @@ def test_removals(spark, hard_docs, no_docs, monkeypatch, group, stretch):
     assert Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in texts(left)) == Counter(r[3] for r in brute_removal(docs, 250))
 
 
+def test_removals_at_the_edges_of_windows(spark):
+    """Shared strings just under, at and over the lengths, at starts, ends and within of texts, beside equal and other bytes."""
+    rng = np.random.default_rng(5)
+    noise = lambda n, letters=20: bytes(rng.integers(97, 97 + letters, n, dtype=np.uint8)).decode()
+    rows = []
+    for n in (249, 250, 251, 262, 399, 400, 401, 413, 700):
+        x = noise(n)
+        rows += [x + noise(300), noise(300) + x, noise(150) + x + noise(150), noise(40) + x[:-1], x[1:] + noise(1, 2)]
+    rows += [noise(900, 2) for _ in range(6)] + ["".join(noise(9, 2) * 40 + noise(60) for _ in range(3)) for _ in range(6)]
+    docs = [(k, t) for k, t in enumerate(rows)]
+    want = Counter((i, *r, *s) for (i, _), r, s in zip(docs, brute_removal(docs), brute_passages(docs, 250), strict=True))
+    got = suffix_dedup.removals(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages")) for r in got) == want
+
+
+def test_windows_of_an_anchor():
+    """Each window has the anchors of its least hash, and no anchor has another's windows."""
+    texts_ = [prose(1, 200).encode(), b"ab" * 300, b"x" * 500, prose(2, 20).encode(), prose(1, 90).encode()]
+    offsets, data = np.cumsum([0, *map(len, texts_)]), np.frombuffer(b"".join(texts_), np.uint8)
+    for shortest in (250, 400):
+        row, at, gram, (least, most, _, _) = suffix_dedup.find_anchors(data, offsets, shortest)
+        hashed = {int(p): int(g) for p, g in zip(at, gram, strict=True)}
+        got = {(int(p - o), int(p)) for p, a, b in zip(at, least, most, strict=True) for o in range(a, b + 1)}
+        want = set()
+        for r in range(len(texts_)):
+            for s in range(offsets[r], offsets[r + 1] - shortest + 1):
+                own = [p for p in range(s, s + shortest - suffix_dedup.GRAM + 1) if p in hashed]
+                want |= {(s, p) for p in own if hashed[p] == min(hashed[q] for q in own)}
+        assert got == want and want
+
+
+def test_bytes_that_repeats_move(spark):
+    """Texts that share nothing, and those one in twenty that share a passage, move under 45 % of their bytes; half, when digests went with each anchor."""
+    rng = np.random.default_rng(9)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 9, 3000)])
+    passages = [" ".join(rng.choice(words, 80)) for _ in range(10)]
+    texts_ = [" ".join(rng.choice(words, 800)) for _ in range(400)]
+    docs = [(k, t + passages[k // 20 % 10] if k % 20 == 0 else t) for k, t in enumerate(texts_)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = moved()
+    assert suffix_dedup.removals(df).where("n_removed > 0").count() == 20
+    size = sum(len(t) for _, t in docs)
+    assert moved() - before < 0.45 * size, (moved() - before) / size
+
+
 def test_removal_of_hard_rows(hard_docs, no_docs):
     assert suffix_dedup.removals(no_docs).count() == 0
     left = suffix_dedup.remove(hard_docs)
