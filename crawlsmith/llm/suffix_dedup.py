@@ -46,6 +46,7 @@ LENGTH = 400  # the contract of op8
 PASSAGE = 250  # bytes; nineteen of twenty passages of over 50 words are longer
 GRAM = 64  # a shorter one makes fewer anchors, each of more windows
 STRETCH = 1 << 20  # bytes of a long text that are scanned at a time
+CACHED = 1 << 14  # hashes that a processor's cache holds
 GROUP = 4_000  # anchors that a task sorts at a time, on average
 MOST = 40_000  # places of one anchor that a task sorts; they take some 300 MB
 BLOCK = 16  # neighbouring window offsets by whose common bytes an anchor's places are split
@@ -56,12 +57,15 @@ ANCHORS = "digest string, settled array<struct<n:int,a:int,b:int>>, anchors arra
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """best of values[i : i + width] for each i where that many are left, by doubling."""
-    out, done = values, 1
-    while done < width:
-        step = min(done, width - done)
-        out = best(out[: len(out) - step], out[step:])
-        done += step
+    """best of values[i : i + width] for each i where that many are left, by doubling, in parts that stay in the cache."""
+    out = np.empty(len(values) - width + 1, values.dtype)
+    for a in range(0, len(out), CACHED):
+        part, done = values[a : a + CACHED + width - 1], 1
+        while done < width:
+            step = min(done, width - done)
+            part = best(part[: len(part) - step], part[step:])
+            done += step
+        out[a : a + CACHED] = part
     return out
 
 
@@ -76,7 +80,10 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, shortest: int) -> tuple[
     if len(data) < shortest:
         return none, none, np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
     prefix = prefixes(data)
-    hashes = finish((prefix[GRAM:] - prefix[:-GRAM]) * _hashing.powers(len(prefix))[1][: len(data) - GRAM + 1])
+    hashes, inverse = np.empty(len(data) - GRAM + 1, np.uint64), _hashing.powers(len(prefix))[1]
+    for a in range(0, len(hashes), CACHED):
+        b = min(a + CACHED, len(hashes))
+        hashes[a:b] = finish((prefix[a + GRAM : b + GRAM] - prefix[a:b]) * inverse[a:b])
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     least = _sliding(hashes, reach + 1, np.minimum)  # of the window that starts here
     least[row[: len(least)] != row[shortest - 1 :]] = 0  # windows that reach into the next text do not count
