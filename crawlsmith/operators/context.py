@@ -153,39 +153,50 @@ HEADINGS = [
 
 
 def resume_sections(text: Column) -> Column:
-    """section and text of each section of a resume, in any order: a fold over its lines with the heading that stands above."""
-    lines = F.transform(F.split(text, r"\r?\n"), T.collapse)
+    """above and found: how many lines of a resume stand above its first heading, and section and text of each section.
+
+    A fold over the lines, which may have their sections in any order, with the heading that stands above.
+    """
     pattern = lambda words: rf"(?iu)^{words}(?![\p{{L}}\p{{N}}_])[\s:]*"
     named = lambda x: reduce(lambda a, h: a.when(x.rlike(pattern(h[0])), F.lit(h[1])), HEADINGS, F.when(F.lit(False), F.lit("")))
     rest = lambda x: F.regexp_replace(x, pattern(f"(?:{'|'.join(h for h, _ in HEADINGS)})"), "")
-    state = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<section:string,text:string>>").alias("found"))
+    lines = F.transform(F.transform(F.split(text, r"\r?\n"), T.collapse), lambda x: F.struct(x.alias("text"), named(x).alias("heading")))
+    state = F.struct(F.lit(0).alias("above"), F.lit(None).cast("string").alias("now"), F.array().cast("array<struct<section:string,text:string>>").alias("found"))
 
-    def step(s: Column, line: Column) -> Column:
-        heading = named(line)
+    def step(s: Column, x: Column) -> Column:
+        line, heading = x.text, x.heading
         seen = F.exists(s.found, lambda f: f.section == heading)
         last = F.get(s.found, F.size(s.found) - 1)
         longer = F.concat(F.slice(s.found, 1, F.greatest(F.size(s.found) - 1, F.lit(0))), F.array(F.struct(last.section.alias("section"), F.trim(F.concat(last.text, F.lit(" "), line)).alias("text"))))
         begun = F.concat(s.found, F.array(F.struct(heading.alias("section"), rest(line).alias("text"))))
         # A heading that came before ends a section, but its first section stands.
         opens = heading.isNotNull() & (heading != "") & ~seen
-        return F.struct(F.when(opens, heading).when(heading.isNotNull(), "").otherwise(s.now).alias("now"), F.when(opens, begun).when(heading.isNull() & (s.now != ""), longer).otherwise(s.found).alias("found"))
+        now = F.when(opens, heading).when(heading.isNotNull(), "").otherwise(s.now)
+        return F.struct(
+            F.when(now.isNull(), s.above + 1).otherwise(s.above).alias("above"), now.alias("now"),
+            F.when(opens, begun).when(heading.isNull() & (s.now != ""), longer).otherwise(s.found).alias("found"),
+        )
 
-    return F.aggregate(lines, state, step, lambda s: s.found)
+    return F.aggregate(lines, state, step, lambda s: F.struct(s.above.alias("above"), s.found.alias("found")))
 
 
 def parse_resumes(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the fields of a resume's text; '' where one is missing, null for the salary."""
+    """df with the fields of a resume's text; '' where one is missing, null for the salary.
+
+    A position without its label is a line that names a trade and stands above all headings: what stands under one is no position.
+    """
     c = F.col(text)
-    first = lambda p: T.collapse(F.regexp_extract(c, p, 1))
+    first = lambda p, c=c: T.collapse(F.regexp_extract(c, p, 1))
     either = lambda *found: reduce(lambda a, b: F.when(a != "", a).otherwise(b), found)
     heads = F.slice(F.filter(F.transform(F.split(c, r"\r?\n"), F.trim), lambda x: x != ""), 1, 8)
     name = F.get(F.filter(heads, lambda x: ~F.lower(x).startswith("резюме обновлено") & ~x.rlike(r"\d|@|\+")), F.lit(0))
     salary = F.nullif(F.regexp_replace(F.regexp_extract(c, r"([\d\s]{5,})\s*₽", 1), r"\D", ""), F.lit(""))
     df = df.withColumn("sections_", resume_sections(c))
-    section = lambda k: F.coalesce(F.get(F.filter("sections_", lambda s: s.section == k), F.lit(0)).text, F.lit(""))
+    section = lambda k: F.coalesce(F.get(F.filter("sections_.found", lambda s: s.section == k), F.lit(0)).text, F.lit(""))
+    above = F.array_join(F.slice(F.split(c, r"\r?\n"), F.lit(1), F.col("sections_.above")), "\n")
     return df.withColumns({
         "name": F.coalesce(name, F.lit("")),
-        "position": either(first(r"(?iu)Желаемая должность и зарплата\s+(.+?)(?:\n\s*\d|\n\s*[\d\s]+\s*₽|\n\s*Специализации:)"), first(r"(?imu)^\s*([A-Za-zА-Яа-яЁё /&\-]+(?:SEO|Python|Lead|Developer|Manager)[^\n]*)")),
+        "position": either(first(r"(?iu)Желаемая должность и зарплата\s+(.+?)(?:\n\s*\d|\n\s*[\d\s]+\s*₽|\n\s*Специализации:)"), first(r"(?imu)^\s*([A-Za-zА-Яа-яЁё /&\-]+(?:SEO|Python|Lead|Developer|Manager)[^\n]*)", above)),
         "phone": first(r"(\+\d[\d\s()\-]+)"),
         "email": first(r"(?i)([A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})"),
         "location": first(r"(?iu)Проживает:\s*(.+)"),

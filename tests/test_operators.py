@@ -310,3 +310,19 @@ def test_main_text_keeps_nested_blocks(spark):
     pages = [("<div class='content'><div>a</div>b<div><div>c</div></div></div><div>d</div>", "a b c"), ("<main>m<main>n</main>o</main><article>x</article>", "m n o"), ("<nav>n</nav><p>p</p>", "p"), ("<article></article><!-- <main>no</main> --><div id=\"entry\">e</div>", "e")]
     df = spark.createDataFrame([(h, w) for h, w in pages], "h string, w string")
     assert [(r.got, r.w) for r in df.select("w", C.main_text(F.col("h")).alias("got")).collect() if r.got != r.w] == []
+
+
+def test_resume_position_stands_above_the_headings(spark):
+    from crawlsmith.operators import context as C
+
+    rows = [
+        ("Имя\nНавыки\nosqueraco seostaóñ\nОбо мне\nx Seosmenteoses que\nлюблю SEO", ""),  # words of other fields
+        ("Имя\nОпыт вождения\nHead of SEO\n", ""),  # a heading without a field
+        ("Имя\r\nTeam Lead\r\nНавыки\r\nSenior Python", "Team Lead"),
+        ("Имя\nГород\nSenior Python Developer / Lead", "Senior Python Developer / Lead"),  # no heading at all
+        ("НАВЫКИ\nx\nЖелаемая должность и зарплата\nData  Engineer\n100 000 ₽", "Data Engineer"),  # the label counts anywhere
+        ("", ""),
+        (None, None),
+    ]
+    got = C.parse_resumes(spark.createDataFrame(rows, "text string, want string")).select("position", "want").collect()
+    assert [r.position for r in got] == [r.want for r in got]
