@@ -14,17 +14,11 @@ FEATURES = ["http_code", "text_len", "links_count", "has_h1", "has_title", "acce
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 
 
-def cut_bytes(body: Column, n: int) -> Column:
-    """The first n bytes of a text; a character that is cut in two goes."""
-    return F.when(F.octet_length(body) <= n, body).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(body, "UTF-8"), 1, n), "UTF-8"), "�+$", ""))
-
-
-def snapshot_features(snapshots: DataFrame, most_bytes: int = 400_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A narrow row for each snapshot; the body is dropped before anything is shuffled. Columns named in ``keep`` are passed on."""
-    body = cut_bytes(F.col("body"), most_bytes)
-    text = H.visible_text(body)
-    df = snapshots.withColumn("text_", text).withColumn("links_", F.size(H.links(body)))
-    anchors = F.size(H.tags(F.col("body"), "a"))
+def snapshot_features(snapshots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A narrow row for each snapshot, of its whole body, which is dropped before anything is shuffled. Columns named in ``keep`` are passed on."""
+    body = F.col("body")
+    df = snapshots.withColumn("text_", H.visible_text(body)).withColumn("links_", F.size(H.links(body)))
+    anchors = F.size(H.tags(body, "a"))
     return df.select(
         "url", "agent", "http_code",
         F.coalesce(F.octet_length("body"), F.lit(0)).alias("size_bytes"),

@@ -237,6 +237,22 @@ def test_pages_that_share_a_url(spark, tmp_path, name):
     assert sorted(row([r[c] for c in names]) for r in registry.QUERIES[name](spark, str(tmp_path)).repartition(3).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["h1_snapshot_features", "p2_parity_verdict"])
+def test_long_pages_are_read_to_their_end(spark, tmp_path, name):
+    """Pages whose text, links and state come after 400,000 and 2,000,000 bytes, served whole to all or cut short for one bot."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    for page_id in (3, 8, 9):  # all are served the same; yandex and google get another page
+        long = "<html><head><title>t</title></head><body><h1>h</h1><script>" + "é" * (200_000 if page_id < 9 else 1_000_000) + "</script>"
+        links = "".join(f'<a href="/{i}">link {i}</a>' for i in range(20))
+        con.execute("INSERT INTO pages VALUES (?, ?, ?)", [page_id, f"https://a.example.com/{page_id}", f"{long}<p>Solve the captcha</p>{links}</body></html>"])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    result = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in result.description]
+    want = sorted(map(repr, result.fetchall()))
+    assert sorted(repr(tuple(r[c] for c in names)) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_registry_covers_all_tables():
     assert registry.FLAGSHIP in registry.QUERIES
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
