@@ -237,7 +237,7 @@ def test_pages_that_share_a_url(spark, tmp_path, name):
     assert sorted(row([r[c] for c in names]) for r in registry.QUERIES[name](spark, str(tmp_path)).repartition(3).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["h1_snapshot_features", "p2_parity_verdict", "p3_parity_rules", "p4_agent_cards", "p5_ai_parity_reasons"])
+@pytest.mark.parametrize("name", ["h1_snapshot_features", "p2_parity_verdict", "p3_parity_rules", "p4_agent_cards", "p5_ai_parity_reasons", "p6_ai_bot_status"])
 def test_long_pages_are_read_to_their_end(spark, tmp_path, name):
     """Pages whose text, links and state come after 400,000 and 2,000,000 bytes, served whole to all or cut short for one bot."""
     con = duckdb.connect()
