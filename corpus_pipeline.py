@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (packed little-endian unsigned 32-bit), a row for each copy in the mix."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.encode(docs, path, bpe.build_lexicon(docs, path))
+    out = bpe.encode(docs, path, bpe.corpus_lexicon(docs, path))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
 

@@ -3,6 +3,7 @@ import os
 import re
 import subprocess
 import sys
+import unicodedata
 import zlib
 from math import comb
 from collections import Counter, defaultdict
@@ -354,6 +355,30 @@ def test_lexicon_holds_the_whole_vocabulary(spark, hard_docs, no_docs, tmp_path)
         assert lex.get(w.encode()) == library.encode(w, add_special_tokens=False).ids
 
 
+def test_words_of_all_documents_are_counted(spark, hard_docs, no_docs, tmp_path, monkeypatch):
+    """What is frequent among all words of all texts is in the lexicon of op5, also words of several tokens; other words are merged."""
+    from crawlsmith.llm import queries
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = hard_docs.select("doc_id", "text").union(spark.range(6000).selectExpr("id + 100", "concat('Zzqxring! Ünz', id, ' <|endoftext|>zzqxring')"))
+    own, want = bpe.Encoder(path, None), Counter()
+    for _, text in texts(docs):
+        for part in text.split("<|endoftext|>"):
+            want.update(p for w in own.split(part) for p in own.pieces(w))
+    assert {r.word: r.n for r in bpe.word_counts(docs, path).collect()} == want
+    assert bpe.word_counts(no_docs, path).count() == 0 and bpe.frequent_words(no_docs, path) == []
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    built = []
+    monkeypatch.setattr(bpe, "compile_words", lambda entries: lexicon.compile_words(built.append(dict(entries)) or entries))
+    got = queries.op5_bpe(spark, str(tmp_path))
+    library, total = Tokenizer.from_file(path), want.total()
+    frequent = {w.encode() for w, n in want.items() if n > 1 and n * bpe.FREQUENT >= len(w.encode()) * total}
+    assert b"zzqxring" in frequent and len(library.encode("zzqxring", add_special_tokens=False).ids) > 1 and len(frequent) < len(want)
+    assert set(built[-1]) == frequent | {unicodedata.normalize("NFC", w).encode() for w in bpe.whole_words(bpe.Merger(path))}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts(docs) if i is not None and i != 10}
+    assert {r.doc_id: r.ids_sha256 for r in got.collect() if r.doc_id in ids} == {i: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for i, x in ids.items()}
+
+
 def test_lexicon_file_in_a_relative_folder(tmp_path, monkeypatch):
     """Executors call their folder "."; both paths of the rename must be spelled alike, as they may else be on two devices."""
     path, moves, replace = public_tokenizers.path("word_bpe_49k.json"), [], os.replace
